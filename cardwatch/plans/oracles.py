@@ -58,7 +58,7 @@ scored AS (
   SELECT *, CAST((SELECT coalesce(sum(pts), 0) FROM points WHERE flag IN (f1, f2, f3, f4, f5)) AS INT) AS score,
     concat_ws(',', f1, f2, f3, f4, f5) AS flags FROM fired),
 v AS (
-  SELECT id AS tx_id, event_id, card_hash, card_bin, amount, currency, country, score, flags, ts_ms AS at,
+  SELECT id AS tx_id, event_id, card_hash, card_bin, amount, currency, country, score, flags, ts_ms AS "at",
     CASE WHEN score >= 70 THEN 'decline' WHEN score >= 40 THEN 'review' ELSE 'approve' END AS decision
   FROM scored),
 hot AS (SELECT * FROM v WHERE decision <> 'approve'),
@@ -70,7 +70,7 @@ fires AS (
 
 _RESOLUTIONS = """,
 res AS (
-  SELECT tx_id AS id, at + 90000 + again * 1000 AS resolved_at, event_id * 2 + again AS seq,
+  SELECT tx_id AS id, "at" + 90000 + again * 1000 AS resolved_at, event_id * 2 + again AS seq,
     CASE WHEN event_id % 5 = 0 THEN 'maybe' WHEN score >= 70 THEN 'confirmed_fraud'
          ELSE 'false_positive' END AS resolution
   FROM hot, (VALUES (0), (1)) AS r(again)
@@ -80,7 +80,7 @@ firsts AS (
   FROM res WHERE resolution <> 'maybe' GROUP BY id),
 cases AS (
   SELECT tx_id AS id, score, CASE WHEN f.id IS NULL THEN 'open' ELSE 'resolved' END AS status,
-    f.resolution, at AS opened_at, f.resolved_at
+    f.resolution, "at" AS opened_at, f.resolved_at
   FROM hot LEFT JOIN firsts f ON f.id = tx_id)
 """
 
@@ -205,7 +205,7 @@ ORACLES: dict[str, str] = {
     "P7_decide": _ver("SELECT tx_id, decision FROM v"),
     "P8_verdicts": _ver(
         "SELECT tx_id, card_bin, amount, currency, country, score, flags, decision, "
-        "CAST(0 AS BIGINT) AS latency_us, at FROM v"
+        "CAST(0 AS BIGINT) AS latency_us, \"at\" FROM v"
     ),
     "P9_flagged": _ver("SELECT tx_id, score, decision FROM hot"),
     "P10_to_millis": _tx("SELECT id, ts_ms FROM tx"),
@@ -256,10 +256,10 @@ UNION ALL SELECT 'throughput_per_second', 'gauge', '', n FROM series WHERE secon
 UNION ALL SELECT 'kafka_consumer_lag', 'gauge', '{{partition="' || partition || '"}}', lag FROM lags
 UNION ALL SELECT 'kafka_consumer_lag_total', 'gauge', '', CAST(sum(lag) AS BIGINT) FROM lags"""
     ),
-    "W6_first_verdict_wins": _ver("SELECT tx_id, at, score FROM hot WHERE event_id % 11 <> 0"),
-    "J3_open_new_cases": _ver("SELECT tx_id AS id, score, at AS opened_at FROM hot WHERE event_id % 2 <> 0"),
+    "W6_first_verdict_wins": _ver("SELECT tx_id, \"at\", score FROM hot WHERE event_id % 11 <> 0"),
+    "J3_open_new_cases": _ver("SELECT tx_id AS id, score, \"at\" AS opened_at FROM hot WHERE event_id % 2 <> 0"),
     "C1_open_cases": _ver(
-        "SELECT tx_id AS id, score, 'open' AS status, CAST(NULL AS VARCHAR) AS resolution, at AS opened_at, "
+        "SELECT tx_id AS id, score, 'open' AS status, CAST(NULL AS VARCHAR) AS resolution, \"at\" AS opened_at, "
         "CAST(NULL AS BIGINT) AS resolved_at FROM hot"
     ),
     "J4_apply_resolutions": _case("SELECT id, resolution, resolved_at FROM firsts"),
@@ -289,20 +289,20 @@ UNION ALL SELECT 'kafka_consumer_lag_total', 'gauge', '', CAST(sum(lag) AS BIGIN
     ),
     "C5_label_export": _case(
         "SELECT c.resolution, tx_id, card_bin, amount, currency, country, h.score, flags, decision, "
-        "CAST(0 AS BIGINT) AS latency_us, at FROM cases c JOIN hot h ON tx_id = id WHERE status = 'resolved'"
+        "CAST(0 AS BIGINT) AS latency_us, \"at\" FROM cases c JOIN hot h ON tx_id = id WHERE status = 'resolved'"
     ),
     "S8_case_table": _case(f"SELECT {_FLAT} FROM cases"),
     "W7_approval_sample": _ver(
-        "SELECT tx_id, processed_no FROM (SELECT *, row_number() OVER (ORDER BY at, event_id) AS processed_no FROM v) "
+        "SELECT tx_id, processed_no FROM (SELECT *, row_number() OVER (ORDER BY \"at\", event_id) AS processed_no FROM v) "
         "WHERE decision = 'approve' AND processed_no % 97 = 0"
     ),
     "W7_approval_sample_by_id": _ver(
         "SELECT tx_id FROM v WHERE decision = 'approve' AND CAST('0x' || substr(md5(tx_id), 1, 8) AS BIGINT) % 97 = 0"
     ),
     "L3_recent_feed": _ver(
-        "SELECT tx_id, score, decision, at, CASE WHEN flags = '' THEN 'clean' ELSE replace(flags, ',', ', ') END "
-        "AS flags FROM (SELECT *, row_number() OVER (ORDER BY at, event_id) AS no FROM v) "
-        "WHERE decision <> 'approve' OR no % 97 = 0 ORDER BY at DESC, event_id DESC LIMIT 64"
+        "SELECT tx_id, score, decision, \"at\", CASE WHEN flags = '' THEN 'clean' ELSE replace(flags, ',', ', ') END "
+        "AS flags FROM (SELECT *, row_number() OVER (ORDER BY \"at\", event_id) AS no FROM v) "
+        "WHERE decision <> 'approve' OR no % 97 = 0 ORDER BY \"at\" DESC, event_id DESC LIMIT 64"
     ),
     "J6_missing_verdicts": _ver("SELECT tx_id FROM hot WHERE event_id % 11 = 0"),
     "A12_delivery_audit": _ver(
@@ -333,7 +333,7 @@ UNION ALL SELECT 'kafka_consumer_lag_total', 'gauge', '', CAST(sum(lag) AS BIGIN
         f"{_CAUSES}[CAST((event_id // 40) % 9 AS INT) + 1] || ';origin-topic=transactions;origin-partition=' || "
         "(user_id % 6) || ';origin-offset=' || (event_id * 2 + 1) AS headers FROM tx WHERE event_id % 40 = 0"
     ),
-    "S5_write_verdicts": _ver("SELECT tx_id AS key, tx_id, score, flags, at FROM hot"),
+    "S5_write_verdicts": _ver("SELECT tx_id AS key, tx_id, score, flags, \"at\" FROM hot"),
     "S6_write_tx_keyed": _tx("SELECT card_hash AS key, id FROM tx"),
     "S2_read_tx_batch": _tx("SELECT id, amount, ts_ms FROM tx WHERE (event_id // 100) % 9 <> 4"),
     "T1_stream_velocity": _vel(
@@ -343,7 +343,7 @@ UNION ALL SELECT 'kafka_consumer_lag_total', 'gauge', '', CAST(sum(lag) AS BIGIN
         f"{_LATE}{_late_count('card_hash', 60000, 'late_card')}{_late_count('ip', 300000, 'late_ip')}"
         "SELECT id, c.n AS card_n, i.n AS ip_n FROM tx JOIN late_card c USING (event_id) JOIN late_ip i USING (event_id)"
     ),
-    "T5_verdict_dedupe": _ver("SELECT tx_id, score, at FROM hot"),
+    "T5_verdict_dedupe": _ver("SELECT tx_id, score, \"at\" FROM hot"),
     "T6_state_survives_restart": _vel(
         ", late AS (SELECT card_hash, max(card_n) AS m FROM tx JOIN card USING (event_id) "
         "WHERE least((ts_ms - 1704067200000) // 600000, 2) = 2 GROUP BY card_hash) "
@@ -357,5 +357,5 @@ UNION ALL SELECT 'kafka_consumer_lag_total', 'gauge', '', CAST(sum(lag) AS BIGIN
         "count(*) FILTER (decision <> 'approve') AS open, "
         "(SELECT string_agg(rule || '=' || fires, ',' ORDER BY rule) FROM fires) AS rule_fires FROM v"
     ),
-    "S1_S7_scoring_job": _ver("SELECT tx_id, score, flags, decision, at FROM hot"),
+    "S1_S7_scoring_job": _ver("SELECT tx_id, score, flags, decision, \"at\" FROM hot"),
 }

@@ -37,16 +37,9 @@ def canonical(df: pd.DataFrame) -> list[tuple]:
     return sorted(rows)
 
 
-def ints(df: pd.DataFrame) -> pd.DataFrame:
-    return df
-
-
 def compare(spark, con, d: str, name: str) -> tuple[bool, str]:
     got = queries()[name](spark, d).toArrow().to_pandas(types_mapper=pd.ArrowDtype)
-    want = con.execute(oracle_sql()[name]).arrow()
-    if hasattr(want, "read_all"):
-        want = want.read_all()
-    want = want.to_pandas(types_mapper=pd.ArrowDtype)
+    want = con.execute(oracle_sql()[name]).to_arrow_table().to_pandas(types_mapper=pd.ArrowDtype)
     if sorted(got.columns) != sorted(want.columns):
         return False, f"columns {sorted(got.columns)} != {sorted(want.columns)}"
     kinds = {c: (str(got[c].dtype), str(want[c].dtype)) for c in got.columns if got[c].dtype != want[c].dtype}
