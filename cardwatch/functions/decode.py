@@ -24,29 +24,27 @@ def _kind(variant: Column) -> Column:
     return F.coalesce(F.regexp_replace(F.schema_of_variant(variant), "[(<].*$", ""), F.lit("VOID"))
 
 
-def _document(doc: Column) -> Column:
-    return F.struct(
-        _kind(doc).alias("kind"), F.try_variant_get(doc, "$", "map<string,variant>").alias("map")
-    )
+def _exact(doc: Column) -> Column:
+    """One variant per transaction field, by exact name; null for a non-object."""
+    return F.try_variant_get(doc, "$", "struct<" + ",".join(f"`{n}`:variant" for n in _NAMES) + ">")
 
 
-def _field(fields: Column, name: str) -> Column:
-    folded = F.filter(F.map_entries(fields), lambda e: F.lower(e["key"]) == name)
-    return F.coalesce(F.try_element_at(fields, F.lit(name)), F.try_element_at(folded, F.lit(-1))["value"])
+def _any_case(doc: Column, name: str) -> Column:
+    """The field under another spelling of its name. Read only where the exact one is absent."""
+    entries = F.map_entries(F.try_variant_get(doc, "$", "map<string,variant>"))
+    return F.try_element_at(F.filter(entries, lambda e: F.lower(e["key"]) == name), F.lit(-1))["value"]
 
 
-def _parts(document: Column) -> Column:
-    """The document's kind and one variant per transaction field."""
-    values = [_field(document["map"], n).alias(n) for n in _NAMES]
-    return F.struct(document["kind"].alias("_kind"), *values)
+def _field(exact: Column, doc: Column, name: str) -> Column:
+    return F.coalesce(exact[name], _any_case(doc, name))
 
 
-def _cause(parts: Column) -> Column:
+def _cause(kind: Column, parts) -> Column:
     """Why the document is no transaction; null where it is one.
 
     A null document decodes to the zero transaction, like an empty object.
     """
-    cause = F.when(~parts["_kind"].isin("OBJECT", "VOID"), F.lit("not a JSON object"))
+    cause = F.when(~kind.isin("OBJECT", "VOID"), F.lit("not a JSON object"))
     for name in schemas.TEXT_FIELDS:
         cause = cause.when(~_kind(parts[name]).isin("STRING", "VOID"), F.lit(f"{name} is not a string"))
     amount_kind = _kind(parts["amount"])
@@ -61,7 +59,7 @@ def _cause(parts: Column) -> Column:
     return cause.when(bad_time, F.lit("timestamp is not RFC 3339"))
 
 
-def _transaction(parts: Column, default_time: Column) -> Column:
+def _transaction(parts, default_time: Column) -> Column:
     """Typed fields; an absent field takes its zero value, an absent time the default."""
     fields = []
     for field in schemas.TRANSACTION:
@@ -83,17 +81,22 @@ def decode_records(raw: DataFrame, value: str = "value", record_time: str = "tim
     """
     text = F.col(value).cast("string")
     df = raw.withColumn("_all", F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))))
-    df = df.withColumn("_docs", F.try_variant_get("_all", "$", "array<variant>"))
-    df = df.withColumn("_doc", _document(F.try_element_at("_docs", F.lit(1))))
-    df = df.withColumn("_parts", _parts(F.col("_doc")))
+    df = df.withColumns({"_doc": F.try_variant_get("_all", "$[0]", "variant"), "_second": F.try_variant_get("_all", "$[1]", "variant")})
+    df = df.withColumn("_exact", _exact(F.col("_doc")))
+    df = df.withColumns({f"_f_{n}": _field(F.col("_exact"), F.col("_doc"), n) for n in _NAMES})
+    parts = {n: F.col(f"_f_{n}") for n in _NAMES}
     cause = (
         F.when(text.isNull() | (F.trim(text) == ""), F.lit("empty record"))
         .when(F.col("_all").isNull(), F.lit("invalid JSON"))
-        .when(F.size("_docs") != 1, F.lit("more than one JSON document"))
-        .otherwise(_cause(F.col("_parts")))
+        .when(F.col("_second").isNotNull() | F.col("_doc").isNull(), F.lit("more than one JSON document"))
+        .otherwise(_cause(_kind(F.col("_doc")), parts))
     )
-    tx = _transaction(F.col("_parts"), F.col(record_time).cast("timestamp"))
-    return df.select(*raw.columns, cause.alias("cause"), F.when(cause.isNull(), tx).alias("tx"))
+    tx = _transaction(parts, F.col(record_time).cast("timestamp"))
+    # The generator keeps a filter on ``cause`` above the parsing: each record
+    # is parsed once, whichever side of the split reads it.
+    decoded = F.inline(F.array(F.struct(cause.alias("cause"), tx.alias("_tx"))))
+    df = df.select(*raw.columns, decoded)
+    return df.select(*raw.columns, "cause", F.when(F.col("cause").isNull(), F.col("_tx")).alias("tx"))
 
 
 def decode_bodies(bodies: DataFrame, ingest_time: Column, value: str = "value") -> DataFrame:
@@ -103,15 +106,20 @@ def decode_bodies(bodies: DataFrame, ingest_time: Column, value: str = "value")
     and ``txs`` (the transactions of a good body). Row-local: no shuffle ties
     the elements of a body together again.
     """
+
+    def read(doc: Column) -> Column:
+        exact = F.transform(F.array(_exact(doc)), lambda e: F.struct(*[_field(e, doc, n).alias(n) for n in _NAMES]))
+        return F.struct(_kind(doc).alias("kind"), exact[0].alias("parts"))
+
     df = bodies.withColumn("_all", F.try_parse_json(F.col(value)))
     df = df.withColumn("_docs", F.try_variant_get("_all", "$", "array<variant>"))
-    df = df.withColumn("_docs", F.transform("_docs", _document))
-    df = df.withColumn("_parts", F.transform("_docs", _parts))
-    faults = F.filter(F.transform("_parts", _cause), lambda c: c.isNotNull())
+    df = df.withColumn("_read", F.transform("_docs", read))
+    faults = F.filter(F.transform("_read", lambda r: _cause(r["kind"], r["parts"])), lambda c: c.isNotNull())
     cause = (
         F.when(F.col("_all").isNull(), F.lit("invalid JSON"))
         .when(F.col("_docs").isNull() & (_kind(F.col("_all")) != "VOID"), F.lit("not a JSON array"))
         .otherwise(F.try_element_at(faults, F.lit(1)))
     )
-    txs = F.transform("_parts", lambda p: _transaction(p, ingest_time))
-    return df.select(*bodies.columns, cause.alias("cause"), F.when(cause.isNull(), txs).alias("txs"))
+    txs = F.transform("_read", lambda r: _transaction(r["parts"], ingest_time))
+    df = df.select(*bodies.columns, F.inline(F.array(F.struct(cause.alias("cause"), txs.alias("_txs")))))
+    return df.select(*bodies.columns, "cause", F.when(F.col("cause").isNull(), F.col("_txs")).alias("txs"))

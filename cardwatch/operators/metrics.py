@@ -15,11 +15,11 @@ from cardwatch import constants as K
 from cardwatch.functions.columns import label
 from cardwatch.operators.lag import lag_total
 
-COLUMNS = ["family", "metric", "type", "label", "sort", "value"]
+_SCORING = "scoring_duration_microseconds"
 
 
-def _rows(df: DataFrame, family: int, metric: str, kind: str, value: Column, text=None, sort=None) -> DataFrame:
-    return df.select(
+def _row(family: int, metric: str, kind: str, value: Column, text=None, sort=None) -> Column:
+    return F.struct(
         F.lit(family).alias("family"),
         F.lit(metric).alias("metric"),
         F.lit(kind).alias("type"),
@@ -29,6 +29,10 @@ def _rows(df: DataFrame, family: int, metric: str, kind: str, value: Column, tex
     )
 
 
+def _rows(df: DataFrame, *rows: Column) -> DataFrame:
+    return df.select(F.inline(F.array(*rows)))
+
+
 def metric_rows(
     counts: DataFrame,
     fires: DataFrame,
@@ -42,30 +46,33 @@ def metric_rows(
     ``lags`` is None where nothing consumes a topic: the lag families are then
     absent, since a zero would read as a consumer that keeps up.
     """
-    parts = [_rows(counts, 1, "transactions_scored_total", "counter", F.col("processed"))]
-    for i, (decision, column) in enumerate(
-        [(K.APPROVE, "approved"), (K.REVIEW, "reviewed"), (K.DECLINE, "declined")]
-    ):
-        text = label("decision", F.lit(decision))
-        parts.append(_rows(counts, 2, "decisions_total", "counter", F.col(column), text, F.lit(i)))
-    parts.append(_rows(counts, 3, "submissions_rejected_total", "counter", F.lit(rejected)))
-    parts.append(_rows(fires, 4, "rule_fires_total", "counter", F.col("fires"), label("rule", F.col("rule"))))
-
-    name = "scoring_duration_microseconds"
-    bound = F.coalesce(F.col("le").cast("string"), F.lit("+Inf"))
-    parts.append(
-        _rows(hist, 5, f"{name}_bucket", "histogram", F.col("cum_count"), label("le", bound), F.col("bucket"))
+    by_decision = [(K.APPROVE, "approved"), (K.REVIEW, "reviewed"), (K.DECLINE, "declined")]
+    decisions = [
+        _row(2, "decisions_total", "counter", F.col(column), label("decision", F.lit(decision)), F.lit(i))
+        for i, (decision, column) in enumerate(by_decision)
+    ]
+    bound = label("le", F.coalesce(F.col("le").cast("string"), F.lit("+Inf")))
+    buckets = F.array(_row(5, f"{_SCORING}_bucket", "histogram", F.col("cum_count"), bound, F.col("bucket")))
+    whole = F.array(
+        _row(6, f"{_SCORING}_sum", "histogram", F.col("sum")),
+        _row(7, f"{_SCORING}_count", "histogram", F.col("count")),
     )
-    whole = hist.filter("le IS NULL")
-    parts.append(_rows(whole, 6, f"{name}_sum", "histogram", F.col("sum")))
-    parts.append(_rows(whole, 7, f"{name}_count", "histogram", F.col("count")))
+    parts = [
+        _rows(
+            counts,
+            _row(1, "transactions_scored_total", "counter", F.col("processed")),
+            *decisions,
+            _row(3, "submissions_rejected_total", "counter", F.lit(rejected)),
+        ),
+        _rows(fires, _row(4, "rule_fires_total", "counter", F.col("fires"), label("rule", F.col("rule")))),
+        # The overflow bucket also carries the totals.
+        hist.select(F.inline(F.when(F.col("le").isNull(), F.concat(buckets, whole)).otherwise(buckets))),
+    ]
     if rate_per_sec is not None:
-        parts.append(_rows(rate_per_sec, 8, "throughput_per_second", "gauge", F.col("rate")))
+        parts.append(_rows(rate_per_sec, _row(8, "throughput_per_second", "gauge", F.col("rate"))))
     if lags is not None:
         text = label("partition", F.col("partition").cast("string"))
-        parts.append(_rows(lags, 9, "kafka_consumer_lag", "gauge", F.col("lag"), text, F.col("partition")))
-        parts.append(
-            _rows(lag_total(lags), 10, "kafka_consumer_lag_total", "gauge", F.col("lag_total"))
-        )
+        parts.append(_rows(lags, _row(9, "kafka_consumer_lag", "gauge", F.col("lag"), text, F.col("partition"))))
+        parts.append(_rows(lag_total(lags), _row(10, "kafka_consumer_lag_total", "gauge", F.col("lag_total"))))
     rows = reduce(DataFrame.unionByName, parts)
     return rows.orderBy("family", "sort", "label").select("metric", "type", "label", "value")

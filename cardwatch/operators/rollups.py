@@ -36,6 +36,36 @@ def rule_fires(verdicts: DataFrame) -> DataFrame:
     )
 
 
+def totals(verdicts: DataFrame, extra: Column | None = None) -> DataFrame:
+    """Decision counts and rule fires in one pass: (kind, name, n).
+
+    ``extra`` is an array of further (kind, name) structs to count per row.
+    """
+    marks = F.concat(
+        F.array(F.struct(F.lit("decision").alias("kind"), F.col("decision").alias("name"))),
+        F.transform("flags", lambda f: F.struct(F.lit("rule").alias("kind"), f.alias("name"))),
+        *([] if extra is None else [extra]),
+    )
+    return verdicts.select(F.inline(marks)).groupBy("kind", "name").agg(F.count("*").alias("n"))
+
+
+def counts_of(total_rows: DataFrame) -> DataFrame:
+    """The decision counts back from ``totals``."""
+
+    def n(decision: str) -> Column:
+        hit = (F.col("kind") == "decision") & (F.col("name") == decision)
+        return F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).cast("bigint")
+
+    counts = total_rows.agg(
+        n(K.APPROVE).alias("approved"), n(K.REVIEW).alias("reviewed"), n(K.DECLINE).alias("declined")
+    )
+    return counts.withColumn("processed", F.col("approved") + F.col("reviewed") + F.col("declined"))
+
+
+def fires_of(total_rows: DataFrame) -> DataFrame:
+    return total_rows.filter(F.col("kind") == "rule").select(F.col("name").alias("rule"), F.col("n").alias("fires"))
+
+
 def rule_fires_map(fires: DataFrame) -> DataFrame:
     """The same counters as one map, ordered by rule name (a row per flag)."""
     pairs = F.array_sort(F.collect_list(F.struct("rule", "fires")))

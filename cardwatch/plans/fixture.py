@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from cardwatch import constants as K
 from cardwatch import schemas
 from cardwatch.functions.columns import is_flagged
-from cardwatch.operators.scoring import score, verdicts
-from cardwatch.session import configure
+from cardwatch.operators.scoring import flagged, score, verdicts
+from cardwatch.session import configure, stage
 
 # Start of the event data and the factor that compresses time.
 EPOCH_MS = 1704067200000
@@ -65,6 +65,11 @@ def scored_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(scored(spark, sf_dir))
 
 
+def hot_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagged verdicts as a table, scored once for queries that read them often."""
+    return stage(flagged(scored_verdicts(spark, sf_dir)), "flagged")
+
+
 def latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A long column that reaches every bucket."""
     return transactions(spark, sf_dir).select((F.col("amount") * 100).cast("bigint").alias("us"))

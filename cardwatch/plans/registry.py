@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardwatch import constants as K
-from cardwatch.functions.columns import flag_text, is_flagged, is_valid_resolution
+from cardwatch.functions.columns import flag_text, is_valid_resolution
 from cardwatch.functions.rules import AMOUNT, CARD_VELOCITY, GEO, IP_FANOUT, MCC
 from cardwatch.operators import audit, cases, feed, histogram, lag, lookups, metrics, replay, rollups, timeline
 from cardwatch.operators.scoring import flagged
@@ -188,12 +188,12 @@ def top_rules(spark, d):
 
 @query("S9_metrics_rows")
 def metric_rows(spark, d):
-    verdicts = X.scored_verdicts(spark, d)
+    totals = rollups.totals(X.scored_verdicts(spark, d))
     series = timeline.throughput(X.transactions(spark, d))
     rate = timeline.rate_history(series, keep=1).select(F.col("n").alias("rate"))
     return metrics.metric_rows(
-        rollups.decision_counts(verdicts),
-        rollups.rule_fires(verdicts),
+        rollups.counts_of(totals),
+        rollups.fires_of(totals),
         histogram.histogram(X.latencies(spark, d), "us"),
         rate,
         lags=lag.partition_lag(X.lag_observations(spark, d)),
@@ -204,7 +204,7 @@ def metric_rows(spark, d):
 
 
 def _case_rows(spark, d) -> DataFrame:
-    verdicts = X.scored_verdicts(spark, d)
+    verdicts = X.hot_verdicts(spark, d)
     return cases.resolve_cases(cases.open_cases(verdicts), X.resolutions(verdicts))
 
 
@@ -220,7 +220,7 @@ def first_verdict(spark, d):
 
 @query("J3_open_new_cases")
 def open_new_cases(spark, d):
-    verdicts = X.scored_verdicts(spark, d)
+    verdicts = X.hot_verdicts(spark, d)
     known = cases.open_cases(verdicts.filter(F.col("seq") % 2 == 0)).select("id")
     return cases.open_cases(verdicts, known).select("id", "score", "opened_at")
 
@@ -232,14 +232,14 @@ def open_cases(spark, d):
 
 @query("J4_apply_resolutions")
 def apply_resolutions(spark, d):
-    verdicts = X.scored_verdicts(spark, d)
+    verdicts = X.hot_verdicts(spark, d)
     done = cases.apply_resolutions(cases.open_cases(verdicts), X.resolutions(verdicts))
     return done.select("id", "resolution", "resolved_at")
 
 
 @query("J4_rejected_resolutions")
 def rejected_resolutions(spark, d):
-    verdicts = X.scored_verdicts(spark, d)
+    verdicts = X.hot_verdicts(spark, d)
     opened = cases.open_cases(verdicts.filter(F.col("seq") % 9 != 0))
     return cases.rejected_resolutions(opened, X.resolutions(verdicts)).select("id", "seq", "reason")
 
@@ -330,8 +330,8 @@ def recent_feed(spark, d):
 
 @query("J6_missing_verdicts")
 def missing_verdicts(spark, d):
-    verdicts = X.scored_verdicts(spark, d)
-    return audit.missing_verdicts(verdicts.filter(is_flagged()), X.deliveries(verdicts))
+    verdicts = X.hot_verdicts(spark, d)
+    return audit.missing_verdicts(verdicts, X.deliveries(verdicts))
 
 
 @query("A12_delivery_audit")

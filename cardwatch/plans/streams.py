@@ -190,7 +190,7 @@ def read_bodies(spark: SparkSession, d: str) -> DataFrame:
 
 def case_table(spark: SparkSession, d: str) -> DataFrame:
     """Two versions of the durable table: opens, then late opens and labels."""
-    verdicts = X.scored_verdicts(spark, d)
+    verdicts = X.hot_verdicts(spark, d)
     table = CaseTable(spark, fresh_path(spark, "cases"))
     table.commit(0, verdicts.filter(F.col("seq") % 2 == 0), order=("at", "seq"))
     table.commit(1, verdicts, X.resolutions(verdicts), order=("at", "seq"))

@@ -15,10 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from cardwatch import constants as K
 from cardwatch import schemas
 from cardwatch.functions.rules import DEFAULT_RULES, Rule
-from cardwatch.operators import feed
+from cardwatch.operators import feed, rollups
 from cardwatch.operators.histogram import bucket_of
 from cardwatch.operators.scoring import flagged, score_counted, verdicts
 from cardwatch.sources.records import dead_letters, decode
@@ -77,16 +76,10 @@ def case_sink(path: str) -> Hook:
 
 def _totals(rows: DataFrame) -> DataFrame:
     """Counters of one micro-batch: (kind, name, n). A few rows per batch."""
-    counted = F.array(
-        F.struct(F.lit("decision").alias("kind"), F.col("decision").alias("name"), F.lit(1).alias("w")),
-        F.struct(F.lit("bucket"), bucket_of(F.col("latency_us")).cast("string"), F.lit(1)),
-    )
-    fired = F.transform("flags", lambda f: F.struct(F.lit("rule"), f, F.lit(1)))
-    return (
-        rows.select(F.inline(F.concat(counted, fired)))
-        .groupBy("kind", "name")
-        .agg(F.count("w").cast("bigint").alias("n"))
+    bucket = F.array(
+        F.struct(F.lit("bucket").alias("kind"), bucket_of(F.col("latency_us")).cast("string").alias("name"))
     )
+    return rollups.totals(rows, bucket)
 
 
 def snapshot_sink(path: str) -> Hook:
@@ -119,19 +112,9 @@ def read_snapshot(spark: SparkSession, path: str, batch: int) -> tuple[DataFrame
     """(stats row, recent feed) as of a micro-batch."""
     totals = spark.read.schema("kind string, name string, n bigint").parquet(f"{path}/totals/batch={batch}")
 
-    def n(name: str) -> Column:
-        hit = (F.col("kind") == "decision") & (F.col("name") == name)
-        return F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).cast("bigint")
-
-    fired = F.collect_list(F.when(F.col("kind") == "rule", F.struct("name", "n")))
-    stats = totals.agg(
-        n(K.APPROVE).alias("approved"),
-        n(K.REVIEW).alias("reviewed"),
-        n(K.DECLINE).alias("declined"),
-        F.map_from_entries(F.array_sort(fired)).alias("rule_fires"),
-    ).withColumn("processed", F.col("approved") + F.col("reviewed") + F.col("declined"))
-    rate = (F.col("reviewed") + F.col("declined")) / F.col("processed")
-    stats = stats.withColumn("flagged_rate", F.when(F.col("processed") > 0, rate).otherwise(F.lit(0.0)))
+    fires = rollups.rule_fires_map(rollups.fires_of(totals)).withColumn("_one", F.lit(1))
+    stats = rollups.with_flagged_rate(rollups.counts_of(totals)).withColumn("_one", F.lit(1))
+    stats = stats.join(fires, "_one").drop("_one")
     recent = spark.read.schema(schemas.VERDICT).parquet(f"{path}/recent/batch={batch}")
     return stats, feed.recent(recent)
 

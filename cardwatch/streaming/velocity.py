@@ -100,5 +100,9 @@ def stream_velocity(
 
 
 def use_rocksdb(spark) -> None:
+    """Session options of the stateful queries; call before one starts."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    # Expiry on the wall clock asks for another micro-batch forever, so a run
+    # over the available data would never end. Expired keys go with the next data.
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
