@@ -25,10 +25,11 @@ from cardwatch.streaming.job import (
     throughput_stream,
     write_updates,
 )
-from cardwatch.streaming.velocity import stream_velocity, use_rocksdb
+from cardwatch.streaming.velocity import RETENTION_MS, stream_velocity, use_rocksdb
 
 SLICES = 3
 SLICE_MS = 600_000  # the data spans about 30 minutes
+BUCKETS = 32  # state buckets, for a handful of cores
 
 
 def _slice(ts_ms) -> "F.Column":
@@ -56,6 +57,7 @@ def _job(spark: SparkSession, source: str, base: str, **options) -> ScoringJob:
         dead_path=f"{base}/dead",
         snapshot_path=f"{base}/snapshot",
         wall_clock=False,
+        buckets=BUCKETS,
         **options,
     )
     raw = file_records(spark, source, max_files_per_trigger=1)
@@ -63,14 +65,18 @@ def _job(spark: SparkSession, source: str, base: str, **options) -> ScoringJob:
     return job
 
 
-def _counted(spark: SparkSession, source: str, base: str) -> DataFrame:
+def _counted(
+    spark: SparkSession, source: str, base: str, retention_ms: int | None = RETENTION_MS
+) -> DataFrame:
     """Run the two stateful counters over record files; returns what they wrote."""
     configure(spark)
     use_rocksdb(spark)
     raw = file_records(spark, source, max_files_per_trigger=1)
     tx = decode(raw).filter("cause IS NULL").select("tx.*", F.col("offset").alias("seq"))
     tx = tx.withColumn("ts_ms", F.unix_millis("timestamp"))
-    counted = stream_velocity(tx.select("id", "card_hash", "ip", "ts_ms", "seq"))
+    counted = stream_velocity(
+        tx.select("id", "card_hash", "ip", "ts_ms", "seq"), retention_ms=retention_ms, buckets=BUCKETS
+    )
     (
         counted.writeStream.outputMode("append")
         .option("checkpointLocation", f"{base}/checkpoint")
@@ -90,7 +96,8 @@ def velocity(spark: SparkSession, d: str) -> DataFrame:
 def late_velocity(spark: SparkSession, d: str) -> DataFrame:
     """The first slice arrives last: its rows are late, and scored all the same."""
     source = _record_files(spark, d, order=[1, 2, 0])
-    return _counted(spark, source, fresh_path(spark, "late")).select("id", "card_n", "ip_n")
+    rows = _counted(spark, source, fresh_path(spark, "late"), retention_ms=None)
+    return rows.select("id", "card_n", "ip_n")
 
 
 def restart_loss(spark: SparkSession, d: str) -> DataFrame:

@@ -22,7 +22,7 @@ from cardwatch.operators.histogram import bucket_of
 from cardwatch.operators.scoring import flagged, score_counted, verdicts
 from cardwatch.sources.records import dead_letters, decode
 from cardwatch.sources.sinks import CaseTable, overwrite_part
-from cardwatch.streaming.velocity import IDLE_TTL_MS, stream_velocity, use_rocksdb
+from cardwatch.streaming.velocity import RETENTION_MS, STATE_BUCKETS, stream_velocity, use_rocksdb
 
 Hook = Callable[[DataFrame, int], None]
 
@@ -38,7 +38,8 @@ def scored_stream(
     raw: DataFrame,
     rules: Sequence[Rule] = DEFAULT_RULES,
     bins: DataFrame | None = None,
-    ttl_ms: int | None = IDLE_TTL_MS,
+    retention_ms: int | None = RETENTION_MS,
+    buckets: int = STATE_BUCKETS,
     wall_clock: bool = True,
 ) -> DataFrame:
     """One row per record: ``verdict`` for a scored one, ``dead`` for an undecodable one.
@@ -47,7 +48,8 @@ def scored_stream(
     delay since the record arrived; without it, with the event time and zero.
     """
     decoded = decode(raw)
-    scored = score_counted(stream_velocity(_stream_transactions(decoded), ttl_ms=ttl_ms), rules, bins)
+    counted = stream_velocity(_stream_transactions(decoded), retention_ms=retention_ms, buckets=buckets)
+    scored = score_counted(counted, rules, bins)
     at: Column | None = None
     delay: Column | None = None
     if wall_clock:
@@ -136,7 +138,8 @@ class ScoringJob:
     on_scored: list[Hook] = field(default_factory=list)
     rules: Sequence[Rule] = DEFAULT_RULES
     bins: DataFrame | None = None
-    ttl_ms: int | None = IDLE_TTL_MS
+    retention_ms: int | None = RETENTION_MS
+    buckets: int = STATE_BUCKETS
     wall_clock: bool = True
 
     def _flagged_sinks(self) -> list[Hook]:
@@ -169,7 +172,7 @@ class ScoringJob:
     def start(self, raw: DataFrame, **trigger) -> StreamingQuery:
         """Run over a record stream; ``trigger`` as in ``DataStreamWriter.trigger``."""
         use_rocksdb(raw.sparkSession)
-        rows = scored_stream(raw, self.rules, self.bins, self.ttl_ms, self.wall_clock)
+        rows = scored_stream(raw, self.rules, self.bins, self.retention_ms, self.buckets, self.wall_clock)
         return (
             rows.writeStream.outputMode("append")
             .option("checkpointLocation", self.checkpoint)

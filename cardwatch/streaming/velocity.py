@@ -1,76 +1,135 @@
-"""Per-event window counts on a stream, in keyed state.
+"""Per-event window counts on a stream, in checkpointed state.
 
-Each rule is one stateful operator; two are chained (card, then IP). The state
-of a key is a pair of arrays, distinct milliseconds and their counts, pruned to
-the rule's window at each touch, so it never holds more than one entry per
-millisecond of the window. It lives in the query's checkpoint: a restart or a
-moved partition finds it again.
+Each rule is one stateful operator; two are chained (card, then IP). Keys are
+hashed to buckets, and the state of a bucket is one small Arrow table of ticks
+(key, millisecond, count). A call of the operator then counts all rows of a
+bucket at once, instead of one key at a time, and a key costs no state
+round trip of its own. The state lives in the query's checkpoint: a restart or
+a moved partition finds it again.
 
 Rows are counted in arrival order: micro-batch by micro-batch, and by
-(ts_ms, seq) inside one. A late row also counts the newer rows it finds.
+(ts_ms, seq) inside one. A row drops the ticks of its key that are older than
+its window, for good, and a late row also counts the newer ticks it finds.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from cardwatch.operators.velocity import CARD, IP, WindowRule
 
-# Idle time after which a key's state is dropped. It runs on the wall clock, so
-# it must be longer than any outage the windows should survive.
-IDLE_TTL_MS = 24 * 3600 * 1000
+# Event time after which an idle key is forgotten, counted back from the newest
+# event of its bucket (or from now, if an event claims to be from the future).
+# Fixed value: ten minutes.
+RETENTION_MS = 600_000
+
+# Buckets of keys per rule. Several per core of the cluster; fixed for the life
+# of a checkpoint, because the state is stored per bucket.
+STATE_BUCKETS = 256
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-_STATE = T.StructType(
-    [T.StructField("ms", T.ArrayType(T.LongType())), T.StructField("n", T.ArrayType(T.LongType()))]
-)
+_STATE = T.StructType([T.StructField("ticks", T.BinaryType())])
+_TICKS = ["key", "ms", "n"]
+
+
+def empty_ticks() -> pd.DataFrame:
+    return pd.DataFrame({"key": pd.Series(dtype=object), "ms": np.zeros(0, "i8"), "n": np.zeros(0, "i8")})
 
 
 def count_arrivals(
-    held_ms: np.ndarray, held_n: np.ndarray, times: np.ndarray, window_ms: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts for ascending ``times`` given the held ticks, and the ticks to hold next."""
-    floor = times - window_ms
-    own = np.arange(1, len(times) + 1) - np.searchsorted(times, floor, side="left")
-    upto = np.concatenate(([0], np.cumsum(held_n)))
-    earlier = upto[-1] - upto[np.searchsorted(held_ms, floor, side="left")]
-    ms, where = np.unique(np.concatenate((held_ms, times)), return_inverse=True)
-    weight = np.concatenate((held_n, np.ones(len(times), dtype=np.int64)))
-    n = np.bincount(where, weights=weight, minlength=len(ms)).astype(np.int64)
-    live = ms >= floor[-1]
-    return (own + earlier).astype(np.int64), ms[live], n[live]
+    held: pd.DataFrame, keys: pd.Series, times: np.ndarray, window_ms: int, horizon: int | None = None
+) -> tuple[np.ndarray, pd.DataFrame]:
+    """Count one micro-batch of a bucket.
+
+    ``held`` is the state (key, ms, n). ``keys`` and ``times`` are the rows,
+    times ascending within a key. Returns the count per row and the new state,
+    without the keys whose newest tick is before ``horizon``.
+    """
+    size = len(held)
+    codes, names = pd.factorize(pd.concat([held["key"], keys], ignore_index=True))
+    ms = np.concatenate((held["ms"].to_numpy("i8"), times))
+    moments, rank = np.unique(ms, return_inverse=True)
+    stride = len(moments) + 1
+    place = codes.astype("i8") * stride + rank  # orders ticks by (key, time)
+
+    order = np.argsort(place[size:], kind="stable")
+    rows = place[size:][order]
+    code, when = codes[size:][order].astype("i8"), times[order]
+    floor = code * stride + np.searchsorted(moments, when - window_ms, side="left")
+    own = np.arange(1, len(rows) + 1) - np.searchsorted(rows, floor, side="left")
+
+    shelf = np.argsort(place[:size], kind="stable")
+    ticks = place[:size][shelf]
+    upto = np.concatenate(([0], np.cumsum(held["n"].to_numpy("i8")[shelf])))
+    earlier = upto[np.searchsorted(ticks, (code + 1) * stride)] - upto[np.searchsorted(ticks, floor)]
+    counts = np.empty(len(rows), dtype="i8")
+    counts[order] = own + earlier
+
+    spots, where = np.unique(place, return_inverse=True)
+    weight = np.concatenate((held["n"].to_numpy("i8"), np.ones(len(rows), dtype="i8")))
+    n = np.bincount(where, weights=weight, minlength=len(spots)).astype("i8")
+    owner, at = spots // stride, moments[spots % stride]
+    cut = np.full(len(names), np.iinfo("i8").min)
+    np.maximum.at(cut, code, when - window_ms)
+    newest = np.full(len(names), np.iinfo("i8").min)
+    np.maximum.at(newest, owner, at)
+    live = at >= cut[owner]
+    if horizon is not None:
+        live &= newest[owner] >= horizon
+    kept = pd.DataFrame({"key": np.asarray(names, dtype=object)[owner[live]], "ms": at[live], "n": n[live]})
+    return counts, kept
+
+
+def _pack(ticks: pd.DataFrame) -> bytes:
+    table = pa.table(
+        {"key": pa.array(ticks["key"], pa.string()).dictionary_encode(), "ms": ticks["ms"], "n": ticks["n"]}
+    )
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack(data: bytes) -> pd.DataFrame:
+    table = pa.ipc.open_stream(data).read_all()
+    frame = table.set_column(0, "key", table["key"].cast(pa.string())).to_pandas()
+    return frame.astype({"key": object})[_TICKS]
 
 
 class WindowCounter(StatefulProcessor):
-    """Adds the window count of every row of a key."""
+    """Adds the window count to every row of a bucket."""
 
-    def __init__(self, rule: WindowRule, columns: Sequence[str], ttl_ms: int | None):
+    def __init__(self, rule: WindowRule, columns: Sequence[str], retention_ms: int | None):
         self.rule = rule
         self.columns = list(columns)
-        self.ttl_ms = ttl_ms
+        self.retention_ms = retention_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ticks = handle.getValueState("ticks", _STATE, self.ttl_ms)
+        self.ticks = handle.getValueState("ticks", _STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # A key's rows come in chunks; together they are at most one micro-batch,
-        # whose size the source caps.
+        # A bucket's rows come in chunks; together they are at most one
+        # micro-batch, whose size the source caps.
         batch = pd.concat(list(rows), ignore_index=True).sort_values(["ts_ms", "seq"], ignore_index=True)
-        held = self.ticks.get() if self.ticks.exists() else ([], [])
-        counts, ms, n = count_arrivals(
-            np.asarray(held[0], dtype=np.int64),
-            np.asarray(held[1], dtype=np.int64),
-            batch["ts_ms"].to_numpy(dtype=np.int64),
-            self.rule.window_ms,
-        )
-        self.ticks.update((ms.tolist(), n.tolist()))
+        state = self.ticks.get()
+        held = empty_ticks() if state is None else _unpack(bytes(state[0]))
+        times = batch["ts_ms"].to_numpy("i8")
+        horizon = None
+        if self.retention_ms is not None:
+            newest = max(int(times[-1]), int(held["ms"].max()) if len(held) else int(times[-1]))
+            horizon = min(newest, int(time.time() * 1000)) - max(self.retention_ms, self.rule.window_ms)
+        counts, kept = count_arrivals(held, batch[self.rule.key], times, self.rule.window_ms, horizon)
+        self.ticks.update((_pack(kept),))
         batch[self.rule.out] = counts
         yield batch[[*self.columns, self.rule.out]]
 
@@ -79,22 +138,30 @@ class WindowCounter(StatefulProcessor):
 
 
 def stream_velocity(
-    tx: DataFrame, rules: Sequence[WindowRule] = (CARD, IP), ttl_ms: int | None = IDLE_TTL_MS
+    tx: DataFrame,
+    rules: Sequence[WindowRule] = (CARD, IP),
+    retention_ms: int | None = RETENTION_MS,
+    buckets: int = STATE_BUCKETS,
 ) -> DataFrame:
     """Add one window count per rule to a stream of transactions.
 
     ``seq`` must be a plain column (a number or a string). Needs the RocksDB
     state store (``use_rocksdb``). No watermark comes before it, so late rows
-    are scored like any other.
+    are scored like any other. ``retention_ms`` None keeps idle keys forever.
     """
     tx = tx.fillna("", [r.key for r in rules])
     for rule in rules:
         out = T.StructType([*tx.schema.fields, T.StructField(rule.out, T.LongType())])
-        tx = tx.groupBy(rule.key).transformWithStateInPandas(
-            WindowCounter(rule, tx.columns, ttl_ms),
-            outputStructType=out,
-            outputMode="append",
-            timeMode="None" if ttl_ms is None else "ProcessingTime",
+        bucket = F.pmod(F.xxhash64(rule.key), F.lit(buckets)).cast("int")
+        tx = (
+            tx.withColumn("_bucket", bucket)
+            .groupBy("_bucket")
+            .transformWithStateInPandas(
+                WindowCounter(rule, tx.columns, retention_ms),
+                outputStructType=out,
+                outputMode="append",
+                timeMode="None",
+            )
         )
     return tx
 
@@ -103,6 +170,3 @@ def use_rocksdb(spark) -> None:
     """Session options of the stateful queries; call before one starts."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
-    # Expiry on the wall clock asks for another micro-batch forever, so a run
-    # over the available data would never end. Expired keys go with the next data.
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
