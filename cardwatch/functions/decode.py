@@ -2,7 +2,10 @@
 
 A record is parsed once into a variant, wrapped in brackets: trailing text and
 bare tokens such as NaN then fail, and a second document shows up as a second
-element. Fields are matched by exact name first, then without regard to case.
+element. The type of the parsed document is then tested once, as a whole. A
+record that has the usual shape is read with one typed cast; only the others
+are taken apart field by field, to find the fault or a field spelt in another
+case.
 """
 
 from __future__ import annotations
@@ -17,6 +20,16 @@ RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
 ZERO_TIME = "0001-01-01T00:00:00Z"
 
 _NAMES = schemas.TRANSACTION.fieldNames()
+_NUMBER = r"(BIGINT|DOUBLE|DECIMAL\(\d+,\d+\)|VOID)"
+_TEXT = "(STRING|VOID)"
+# Type of a document with our fields only, any of them left out, keys in order.
+USUAL_SHAPE = (
+    "^OBJECT<"
+    + "".join(f"({n}: {_NUMBER if n == 'amount' else _TEXT}(, |>$))?" for n in sorted(_NAMES))
+    + "$"
+)
+_WIRE = "struct<" + ",".join(f"`{n}`:{'double' if n == 'amount' else 'string'}" for n in _NAMES) + ">"
+_LOOSE = "struct<" + ",".join(f"`{n}`:variant" for n in _NAMES) + ">"
 
 
 def _kind(variant: Column) -> Column:
@@ -24,54 +37,83 @@ def _kind(variant: Column) -> Column:
     return F.coalesce(F.regexp_replace(F.schema_of_variant(variant), "[(<].*$", ""), F.lit("VOID"))
 
 
-def _exact(doc: Column) -> Column:
-    """One variant per transaction field, by exact name; null for a non-object."""
-    return F.try_variant_get(doc, "$", "struct<" + ",".join(f"`{n}`:variant" for n in _NAMES) + ">")
-
-
 def _any_case(doc: Column, name: str) -> Column:
-    """The field under another spelling of its name. Read only where the exact one is absent."""
+    """The field under another spelling of its name."""
     entries = F.map_entries(F.try_variant_get(doc, "$", "map<string,variant>"))
     return F.try_element_at(F.filter(entries, lambda e: F.lower(e["key"]) == name), F.lit(-1))["value"]
 
 
-def _field(exact: Column, doc: Column, name: str) -> Column:
-    return F.coalesce(exact[name], _any_case(doc, name))
+def _split_by_shape(doc: Column) -> Column:
+    """The document under ``usual`` or ``odd``, whichever it is."""
+    usual = F.coalesce(F.schema_of_variant(doc).rlike(USUAL_SHAPE), F.lit(False))
+    return F.struct(F.when(usual, doc).alias("usual"), F.when(~usual, doc).alias("odd"))
 
 
-def _cause(kind: Column, parts) -> Column:
-    """Why the document is no transaction; null where it is one.
+def _read(shape: Column) -> Column:
+    """Typed values of a usual document, loose ones of an odd one."""
+    return F.struct(
+        F.try_variant_get(shape["usual"], "$", _WIRE).alias("typed"),
+        F.try_variant_get(shape["odd"], "$", _LOOSE).alias("loose"),
+        shape["odd"].alias("odd"),
+    )
 
-    A null document decodes to the zero transaction, like an empty object.
-    """
-    cause = F.when(~kind.isin("OBJECT", "VOID"), F.lit("not a JSON object"))
+
+def _fields(read: Column) -> Column:
+    """One variant per field of an odd document, exact name first."""
+    odd = read["odd"]
+    loose = [F.coalesce(read["loose"][n], _any_case(odd, n)).alias(n) for n in _NAMES]
+    return F.struct(read["typed"].alias("typed"), odd.alias("odd"), F.when(odd.isNotNull(), F.struct(*loose)).alias("loose"))
+
+
+def _value(fields: Column, name: str) -> Column:
+    kind = "double" if name == "amount" else "string"
+    return F.coalesce(fields["typed"][name], F.try_variant_get(fields["loose"][name], "$", kind))
+
+
+def _odd_cause(fields: Column) -> Column:
+    """Fault in the shape of an odd document. A null one is the zero transaction."""
+    loose = fields["loose"]
+    cause = F.when(~_kind(fields["odd"]).isin("OBJECT", "VOID"), F.lit("not a JSON object"))
     for name in schemas.TEXT_FIELDS:
-        cause = cause.when(~_kind(parts[name]).isin("STRING", "VOID"), F.lit(f"{name} is not a string"))
-    amount_kind = _kind(parts["amount"])
-    amount = F.try_variant_get(parts["amount"], "$", "double")
-    cause = cause.when(
-        ~amount_kind.isin("BIGINT", "DOUBLE", "DECIMAL", "VOID"), F.lit("amount is not a number")
-    ).when(F.abs(amount) == float("inf"), F.lit("amount is out of range"))
-    time_kind = _kind(parts["timestamp"])
-    text = F.try_variant_get(parts["timestamp"], "$", "string")
-    valid = F.coalesce(text.rlike(RFC3339) & text.try_cast("timestamp").isNotNull(), F.lit(False))
-    bad_time = (time_kind != "VOID") & ~((time_kind == "STRING") & valid)
-    return cause.when(bad_time, F.lit("timestamp is not RFC 3339"))
-
-
-def _transaction(parts, default_time: Column) -> Column:
+        cause = cause.when(~_kind(loose[name]).isin("STRING", "VOID"), F.lit(f"{name} is not a string"))
+    number = _kind(loose["amount"]).isin("BIGINT", "DOUBLE", "DECIMAL", "VOID")
+    cause = cause.when(~number, F.lit("amount is not a number"))
+    return cause.when(~_kind(loose["timestamp"]).isin("STRING", "VOID"), F.lit("timestamp is not RFC 3339"))
+
+
+def _cause(fields: Column) -> Column:
+    """Why the document is no transaction; null where it is one."""
+    text = _value(fields, "timestamp")
+    bad_time = text.isNotNull() & ~(text.rlike(RFC3339) & text.try_cast("timestamp").isNotNull())
+    return F.coalesce(
+        F.when(fields["odd"].isNotNull(), _odd_cause(fields)),
+        F.when(F.abs(_value(fields, "amount")) == float("inf"), F.lit("amount is out of range")),
+        F.when(bad_time, F.lit("timestamp is not RFC 3339")),
+    )
+
+
+def _transaction(fields: Column, default_time: Column) -> Column:
     """Typed fields; an absent field takes its zero value, an absent time the default."""
-    fields = []
+    out = []
     for field in schemas.TRANSACTION:
+        got = _value(fields, field.name)
         if field.name == "timestamp":
-            text = F.try_variant_get(parts["timestamp"], "$", "string")
-            given = F.when(text != ZERO_TIME, text.try_cast("timestamp"))
-            fields.append(F.coalesce(given, default_time).alias("timestamp"))
+            given = F.when(got != ZERO_TIME, got.try_cast("timestamp"))
+            out.append(F.coalesce(given, default_time).alias("timestamp"))
         else:
-            kind = field.dataType.simpleString()
-            got = F.try_variant_get(parts[field.name], "$", kind)
-            fields.append(F.coalesce(got, F.lit("" if kind == "string" else 0.0)).alias(field.name))
-    return F.struct(*fields)
+            zero = F.lit(0.0 if field.name == "amount" else "")
+            out.append(F.coalesce(got, zero).alias(field.name))
+    return F.struct(*out)
+
+
+def _emit(df: DataFrame, columns: list[str], cause: Column, value: Column, name: str) -> DataFrame:
+    """Add ``cause`` and the value of a good row.
+
+    The generator keeps a filter on ``cause`` above the parsing: each record is
+    parsed once, whichever side of a split reads it.
+    """
+    df = df.select(*columns, F.inline(F.array(F.struct(cause.alias("cause"), value.alias("_value")))))
+    return df.select(*columns, "cause", F.when(F.col("cause").isNull(), F.col("_value")).alias(name))
 
 
 def decode_records(raw: DataFrame, value: str = "value", record_time: str = "timestamp") -> DataFrame:
@@ -81,22 +123,24 @@ def decode_records(raw: DataFrame, value: str = "value", record_time: str = "tim
     """
     text = F.col(value).cast("string")
     df = raw.withColumn("_all", F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))))
-    df = df.withColumns({"_doc": F.try_variant_get("_all", "$[0]", "variant"), "_second": F.try_variant_get("_all", "$[1]", "variant")})
-    df = df.withColumn("_exact", _exact(F.col("_doc")))
-    df = df.withColumns({f"_f_{n}": _field(F.col("_exact"), F.col("_doc"), n) for n in _NAMES})
-    parts = {n: F.col(f"_f_{n}") for n in _NAMES}
+    df = df.withColumns(
+        {
+            "_doc": F.try_variant_get("_all", "$[0]", "variant"),
+            "_more": F.try_variant_get("_all", "$[1]", "variant").isNotNull(),
+        }
+    )
+    # One step per row of a one-element array: each result is computed once.
+    steps = F.transform(F.array("_doc"), _split_by_shape)
+    steps = F.transform(F.transform(steps, _read), _fields)
+    df = df.withColumn("_fields", steps)
+    fields = F.col("_fields")[0]
     cause = (
         F.when(text.isNull() | (F.trim(text) == ""), F.lit("empty record"))
         .when(F.col("_all").isNull(), F.lit("invalid JSON"))
-        .when(F.col("_second").isNotNull() | F.col("_doc").isNull(), F.lit("more than one JSON document"))
-        .otherwise(_cause(_kind(F.col("_doc")), parts))
+        .when(F.col("_more"), F.lit("more than one JSON document"))
+        .otherwise(_cause(fields))
     )
-    tx = _transaction(parts, F.col(record_time).cast("timestamp"))
-    # The generator keeps a filter on ``cause`` above the parsing: each record
-    # is parsed once, whichever side of the split reads it.
-    decoded = F.inline(F.array(F.struct(cause.alias("cause"), tx.alias("_tx"))))
-    df = df.select(*raw.columns, decoded)
-    return df.select(*raw.columns, "cause", F.when(F.col("cause").isNull(), F.col("_tx")).alias("tx"))
+    return _emit(df, raw.columns, cause, _transaction(fields, F.col(record_time).cast("timestamp")), "tx")
 
 
 def decode_bodies(bodies: DataFrame, ingest_time: Column, value: str = "value") -> DataFrame:
@@ -106,20 +150,15 @@ def decode_bodies(bodies: DataFrame, ingest_time: Column, value: str = "value")
     and ``txs`` (the transactions of a good body). Row-local: no shuffle ties
     the elements of a body together again.
     """
-
-    def read(doc: Column) -> Column:
-        exact = F.transform(F.array(_exact(doc)), lambda e: F.struct(*[_field(e, doc, n).alias(n) for n in _NAMES]))
-        return F.struct(_kind(doc).alias("kind"), exact[0].alias("parts"))
-
     df = bodies.withColumn("_all", F.try_parse_json(F.col(value)))
     df = df.withColumn("_docs", F.try_variant_get("_all", "$", "array<variant>"))
-    df = df.withColumn("_read", F.transform("_docs", read))
-    faults = F.filter(F.transform("_read", lambda r: _cause(r["kind"], r["parts"])), lambda c: c.isNotNull())
+    steps = F.transform(F.transform(F.transform("_docs", _split_by_shape), _read), _fields)
+    df = df.withColumn("_fields", steps)
+    faults = F.filter(F.transform("_fields", _cause), lambda c: c.isNotNull())
     cause = (
         F.when(F.col("_all").isNull(), F.lit("invalid JSON"))
         .when(F.col("_docs").isNull() & (_kind(F.col("_all")) != "VOID"), F.lit("not a JSON array"))
         .otherwise(F.try_element_at(faults, F.lit(1)))
     )
-    txs = F.transform("_read", lambda r: _transaction(r["parts"], ingest_time))
-    df = df.select(*bodies.columns, F.inline(F.array(F.struct(cause.alias("cause"), txs.alias("_txs")))))
-    return df.select(*bodies.columns, "cause", F.when(F.col("cause").isNull(), F.col("_txs")).alias("txs"))
+    txs = F.transform("_fields", lambda f: _transaction(f, ingest_time))
+    return _emit(df, bodies.columns, cause, txs, "txs")

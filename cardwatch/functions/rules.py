@@ -79,12 +79,18 @@ def total_points(rules: Sequence[Rule]) -> Column:
     return total.cast("int")
 
 
+_PASSED = "\u0000"  # stands for "no flag" until the array is built
+
+
 def fired_flags(rules: Sequence[Rule]) -> Column:
-    """Flags of the rules that gave points, in rule order."""
-    named = [F.when(rule.points() > 0, rule.flag()) for rule in rules]
-    if not named:
+    """Flags of the rules that gave points, in rule order.
+
+    Built from ``array`` and ``array_remove``, which stay inside generated code.
+    """
+    if not rules:
         return F.array().cast("array<string>")
-    return F.array_compact(F.array(*named))
+    named = [F.coalesce(F.when(rule.points() > 0, rule.flag()), F.lit(_PASSED)) for rule in rules]
+    return F.array_remove(F.array(*named), _PASSED)
 
 
 def decide(score: Column) -> Column:

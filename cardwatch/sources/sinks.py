@@ -56,52 +56,70 @@ def overwrite_part(df: DataFrame, path: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
-_COMMIT = T.StructType([T.StructField("version", T.LongType())])
+_COMMIT = T.StructType([T.StructField("version", T.LongType()), T.StructField("base", T.LongType())])
+_VERSIONED = T.StructType([*schemas.CASE.fields, T.StructField("version", T.LongType())])
 
 
 class CaseTable:
-    """Durable case table on files, split by status.
+    """Durable case table on files, in numbered versions.
 
-    ``open`` is rewritten per version (it holds the unresolved cases only);
-    ``resolved`` gets one part per version and is never rewritten. A version
-    counts once its commit row exists, so a failed or repeated write changes
-    nothing, and readers never see half a version.
+    A version adds a part of opened cases and a part of resolved ones; nothing
+    already written is touched, so a version costs what it adds. ``compact``
+    folds the open cases into a base now and then, which keeps the read of the
+    queue short. A version counts once its commit row exists: a failed or
+    repeated write changes nothing, and readers never see half a version.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
 
-    def version(self) -> int:
-        """The newest committed version, -1 before the first."""
+    def _newest(self) -> tuple[int, int]:
+        """(version, base), -1 before the first."""
         try:
             found = self.spark.read.schema(_COMMIT).parquet(f"{self.path}/commits/*")
-            newest = found.agg(F.max("version")).first()[0]
+            newest = found.agg(F.max(F.struct("version", "base"))).first()[0]
         except AnalysisException:
-            return -1
-        return -1 if newest is None else newest
+            newest = None
+        return (-1, -1) if newest is None else (newest[0], newest[1])
+
+    def version(self) -> int:
+        return self._newest()[0]
 
-    def _empty(self) -> DataFrame:
-        return self.spark.createDataFrame([], schemas.CASE)
+    def _parts(self, kind: str, after: int, upto: int) -> DataFrame:
+        """Rows of the parts numbered ``after`` < version <= ``upto``."""
+        wanted = (F.col("version") > after) & (F.col("version") <= upto)
+        try:
+            rows = self.spark.read.schema(_VERSIONED).parquet(f"{self.path}/{kind}").filter(wanted)
+        except AnalysisException:
+            return self.spark.createDataFrame([], schemas.CASE)
+        return rows.drop("version")
+
+    def _open(self, version: int, base: int) -> DataFrame:
+        rows = self._parts("base", base - 1, base).unionByName(self._parts("opened", base, version))
+        done = self._parts("resolved", base, version).select("id")
+        return rows.join(done, "id", "left_anti").select(*schemas.CASE.fieldNames())
 
     def open(self) -> DataFrame:
-        version = self.version()
-        if version < 0:
-            return self._empty()
-        return self.spark.read.schema(schemas.CASE).parquet(f"{self.path}/open/version={version}")
+        return self._open(*self._newest())
 
     def resolved(self) -> DataFrame:
-        version = self.version()
-        if version < 0:
-            return self._empty()
-        rows = self.spark.read.schema(
-            T.StructType([*schemas.CASE.fields, T.StructField("version", T.LongType())])
-        ).parquet(f"{self.path}/resolved")
-        return rows.filter(F.col("version") <= version).drop("version")
+        return self._parts("resolved", -1, self.version())
 
     def read(self) -> DataFrame:
         return self.open().unionByName(self.resolved())
 
+    def _write(self, rows: DataFrame, kind: str, version: int) -> DataFrame:
+        path = f"{self.path}/{kind}/version={version}"
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(schemas.CASE).parquet(path)
+
+    def _commit(self, version: int, base: int) -> None:
+        row = self.spark.range(1).select(F.lit(version).alias("version"), F.lit(base).alias("base"))
+        row.select(F.col("version").cast("bigint"), F.col("base").cast("bigint")).write.mode(
+            "overwrite"
+        ).parquet(f"{self.path}/commits/v={version}")
+
     def commit(
         self,
         version: int,
@@ -110,21 +128,35 @@ class CaseTable:
         order=("at", "tx_id"),
     ) -> bool:
         """Open cases for new flagged verdicts, then apply labels. Once per version."""
-        if version <= self.version():
+        before, base = self._newest()
+        if version <= before:
             return False
-        cases = self.open()
         if verdicts is not None:
-            known = self.open().select("id").unionByName(self.resolved().select("id"))
-            cases = cases.unionByName(open_cases(verdicts, known, order))
-        done = apply_resolutions(cases, resolutions) if resolutions is not None else self._empty()
-        done.write.mode("overwrite").parquet(f"{self.path}/resolved/version={version}")
-        written = self.spark.read.schema(schemas.CASE).parquet(f"{self.path}/resolved/version={version}")
-        left = cases.join(written.select("id"), "id", "left_anti").select(*schemas.CASE.fieldNames())
-        left.write.mode("overwrite").parquet(f"{self.path}/open/version={version}")
-        commit = self.spark.range(version, version + 1, 1, 1).select(F.col("id").alias("version"))
-        commit.write.mode("overwrite").parquet(f"{self.path}/commits/v={version}")
+            offered = open_cases(verdicts, None, order)
+            if before >= 0:
+                # Written first, so that its size is known when the ids of the
+                # table are matched: a small batch is broadcast to them, and
+                # the table is scanned (ids only) without a shuffle.
+                offered = self._write(offered, "offered", version)
+                known = self._parts("base", base - 1, base).select("id")
+                known = known.unionByName(self._parts("opened", base, before).select("id"))
+                known = known.unionByName(self._parts("resolved", -1, before).select("id"))
+                again = known.join(offered.select("id"), "id", "left_semi").distinct()
+                offered = offered.join(again, "id", "left_anti").select(*schemas.CASE.fieldNames())
+            self._write(offered, "opened", version)
+        if resolutions is not None:
+            pending = self._open(version, base)
+            self._write(apply_resolutions(pending, resolutions), "resolved", version)
+        self._commit(version, base)
         return True
 
+    def compact(self) -> None:
+        """Fold the open cases of the newest version into a base."""
+        version, base = self._newest()
+        if version > base:
+            self._write(self._open(version, base), "base", version)
+            self._commit(version, version)
+
 
 def status_partitioned(cases: DataFrame, path: str) -> None:
     """A snapshot of the case table, split by status for the queue and the label export."""

@@ -9,6 +9,7 @@ repeated micro-batch replaces its own output.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -93,7 +94,7 @@ def snapshot_sink(path: str) -> Hook:
 
     def write(rows: DataFrame, batch: int) -> None:
         totals = _totals(rows)
-        newest = feed.recent(feed.feed_rows(rows, exact=False))
+        newest = feed.feed_rows(rows, exact=False)
         if batch > 0:
             spark = rows.sparkSession
             before = spark.read.schema("kind string, name string, n bigint").parquet(
@@ -103,9 +104,9 @@ def snapshot_sink(path: str) -> Hook:
                 totals.unionByName(before).groupBy("kind", "name").agg(F.sum("n").cast("bigint").alias("n"))
             )
             old = spark.read.schema(schemas.VERDICT).parquet(f"{path}/recent/batch={batch - 1}")
-            newest = feed.recent(newest.unionByName(old))
+            newest = newest.unionByName(old)
         overwrite_part(totals.coalesce(1), f"{path}/totals", batch)
-        overwrite_part(newest.coalesce(1), f"{path}/recent", batch)
+        overwrite_part(feed.recent(newest), f"{path}/recent", batch)
 
     return write
 
@@ -155,17 +156,24 @@ class ScoringJob:
         return [*sinks, *self.on_scored]
 
     def handle(self, rows: DataFrame, batch: int) -> None:
-        """Write one micro-batch to every sink; an error leaves it uncommitted."""
+        """Write one micro-batch to every sink; an error leaves it uncommitted.
+
+        The sinks are independent, so their jobs are submitted side by side.
+        """
         rows = rows.persist()
+        rows.count()  # run the stateful part once, before the sinks share it
+        scored = rows.filter("verdict IS NOT NULL").select("verdict.*")
+        hot = flagged(scored)
+        writes = [(sink, scored) for sink in self._scored_sinks()]
+        writes += [(sink, hot) for sink in self._flagged_sinks()]
+        if self.dead_path:
+            dead = rows.filter("dead IS NOT NULL").select("dead.*")
+            writes.append((part_sink(self.dead_path), dead))
         try:
-            scored = rows.filter("verdict IS NOT NULL").select("verdict.*")
-            if self.dead_path:
-                overwrite_part(rows.filter("dead IS NOT NULL").select("dead.*"), self.dead_path, batch)
-            for sink in self._scored_sinks():
-                sink(scored, batch)
-            hot = flagged(scored)
-            for sink in self._flagged_sinks():
-                sink(hot, batch)
+            if writes:
+                with ThreadPoolExecutor(len(writes)) as pool:
+                    for done in [pool.submit(sink, part, batch) for sink, part in writes]:
+                        done.result()
         finally:
             rows.unpersist()
 
