@@ -43,37 +43,37 @@ def _any_case(doc: Column, name: str) -> Column:
     return F.try_element_at(F.filter(entries, lambda e: F.lower(e["key"]) == name), F.lit(-1))["value"]
 
 
-def _split_by_shape(doc: Column) -> Column:
-    """The document under ``usual`` or ``odd``, whichever it is."""
-    usual = F.coalesce(F.schema_of_variant(doc).rlike(USUAL_SHAPE), F.lit(False))
-    return F.struct(F.when(usual, doc).alias("usual"), F.when(~usual, doc).alias("odd"))
-
-
-def _read(shape: Column) -> Column:
-    """Typed values of a usual document, loose ones of an odd one."""
-    return F.struct(
-        F.try_variant_get(shape["usual"], "$", _WIRE).alias("typed"),
-        F.try_variant_get(shape["odd"], "$", _LOOSE).alias("loose"),
-        shape["odd"].alias("odd"),
-    )
+def _usual(doc: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(doc).rlike(USUAL_SHAPE), F.lit(False))
+
+
+def _typed(doc: Column) -> Column:
+    return F.try_variant_get(doc, "$", _WIRE)
 
 
-def _fields(read: Column) -> Column:
-    """One variant per field of an odd document, exact name first."""
-    odd = read["odd"]
-    loose = [F.coalesce(read["loose"][n], _any_case(odd, n)).alias(n) for n in _NAMES]
-    return F.struct(read["typed"].alias("typed"), odd.alias("odd"), F.when(odd.isNotNull(), F.struct(*loose)).alias("loose"))
+def _loosen(doc: Column) -> Column:
+    """An odd document with one variant per field, exact name first."""
+    exact = F.try_variant_get(doc, "$", _LOOSE)
+    return F.struct(doc.alias("doc"), F.transform(F.array(exact), lambda e: _by_name(doc, e))[0].alias("loose"))
 
 
-def _value(fields: Column, name: str) -> Column:
-    kind = "double" if name == "amount" else "string"
-    return F.coalesce(fields["typed"][name], F.try_variant_get(fields["loose"][name], "$", kind))
+def _by_name(doc: Column, exact: Column) -> Column:
+    return F.struct(*[F.coalesce(exact[n], _any_case(doc, n)).alias(n) for n in _NAMES])
 
 
-def _odd_cause(fields: Column) -> Column:
+def _odd_values(odd: Column) -> Column:
+    """Values of an odd document, and the fault in its shape if there is one."""
+    loose = odd["loose"]
+    values = [
+        F.try_variant_get(loose[n], "$", "double" if n == "amount" else "string").alias(n) for n in _NAMES
+    ]
+    return F.struct(_odd_cause(odd).alias("cause"), F.struct(*values).alias("values"))
+
+
+def _odd_cause(odd: Column) -> Column:
     """Fault in the shape of an odd document. A null one is the zero transaction."""
-    loose = fields["loose"]
-    cause = F.when(~_kind(fields["odd"]).isin("OBJECT", "VOID"), F.lit("not a JSON object"))
+    loose = odd["loose"]
+    cause = F.when(~_kind(odd["doc"]).isin("OBJECT", "VOID"), F.lit("not a JSON object"))
     for name in schemas.TEXT_FIELDS:
         cause = cause.when(~_kind(loose[name]).isin("STRING", "VOID"), F.lit(f"{name} is not a string"))
     number = _kind(loose["amount"]).isin("BIGINT", "DOUBLE", "DECIMAL", "VOID")
@@ -81,22 +81,20 @@ def _odd_cause(fields: Column) -> Column:
     return cause.when(~_kind(loose["timestamp"]).isin("STRING", "VOID"), F.lit("timestamp is not RFC 3339"))
 
 
-def _cause(fields: Column) -> Column:
-    """Why the document is no transaction; null where it is one."""
-    text = _value(fields, "timestamp")
+def _value_cause(values: Column) -> Column:
+    """Fault in a typed value; null where there is none."""
+    text = values["timestamp"]
     bad_time = text.isNotNull() & ~(text.rlike(RFC3339) & text.try_cast("timestamp").isNotNull())
-    return F.coalesce(
-        F.when(fields["odd"].isNotNull(), _odd_cause(fields)),
-        F.when(F.abs(_value(fields, "amount")) == float("inf"), F.lit("amount is out of range")),
-        F.when(bad_time, F.lit("timestamp is not RFC 3339")),
+    return F.when(F.abs(values["amount"]) == float("inf"), F.lit("amount is out of range")).when(
+        bad_time, F.lit("timestamp is not RFC 3339")
     )
 
 
-def _transaction(fields: Column, default_time: Column) -> Column:
+def _transaction(values: Column, default_time: Column) -> Column:
     """Typed fields; an absent field takes its zero value, an absent time the default."""
     out = []
     for field in schemas.TRANSACTION:
-        got = _value(fields, field.name)
+        got = values[field.name]
         if field.name == "timestamp":
             given = F.when(got != ZERO_TIME, got.try_cast("timestamp"))
             out.append(F.coalesce(given, default_time).alias("timestamp"))
@@ -129,18 +127,24 @@ def decode_records(raw: DataFrame, value: str = "value", record_time: str = "tim
             "_more": F.try_variant_get("_all", "$[1]", "variant").isNotNull(),
         }
     )
-    # One step per row of a one-element array: each result is computed once.
-    steps = F.transform(F.array("_doc"), _split_by_shape)
-    steps = F.transform(F.transform(steps, _read), _fields)
-    df = df.withColumn("_fields", steps)
-    fields = F.col("_fields")[0]
+    df = df.withColumn("_usual", _usual(F.col("_doc")))
+    odd = F.when(F.col("_usual"), F.array().cast("array<variant>")).otherwise(F.array("_doc"))
+    df = df.withColumns(
+        {
+            "_typed": F.when(F.col("_usual"), _typed(F.col("_doc"))),
+            "_odd": F.get(F.transform(F.transform(odd, _loosen), _odd_values), F.lit(0)),
+        }
+    )
+    df = df.withColumn("_values", F.coalesce("_typed", F.col("_odd")["values"]))
+    values = F.col("_values")
     cause = (
-        F.when(text.isNull() | (F.trim(text) == ""), F.lit("empty record"))
+        F.when(F.col("_usual") & ~F.col("_more"), _value_cause(values))
+        .when(text.isNull() | (F.trim(text) == ""), F.lit("empty record"))
         .when(F.col("_all").isNull(), F.lit("invalid JSON"))
         .when(F.col("_more"), F.lit("more than one JSON document"))
-        .otherwise(_cause(fields))
+        .otherwise(F.coalesce(F.col("_odd")["cause"], _value_cause(values)))
     )
-    return _emit(df, raw.columns, cause, _transaction(fields, F.col(record_time).cast("timestamp")), "tx")
+    return _emit(df, raw.columns, cause, _transaction(values, F.col(record_time).cast("timestamp")), "tx")
 
 
 def decode_bodies(bodies: DataFrame, ingest_time: Column, value: str = "value") -> DataFrame:
@@ -152,13 +156,17 @@ def decode_bodies(bodies: DataFrame, ingest_time: Column, value: str = "value")
     """
     df = bodies.withColumn("_all", F.try_parse_json(F.col(value)))
     df = df.withColumn("_docs", F.try_variant_get("_all", "$", "array<variant>"))
-    steps = F.transform(F.transform(F.transform("_docs", _split_by_shape), _read), _fields)
-    df = df.withColumn("_fields", steps)
-    faults = F.filter(F.transform("_fields", _cause), lambda c: c.isNotNull())
+
+    def read(doc: Column) -> Column:
+        usual = F.struct(F.lit(None).cast("string").alias("cause"), _typed(doc).alias("values"))
+        return F.when(_usual(doc), usual).otherwise(_odd_values(_loosen(doc)))
+
+    df = df.withColumn("_read", F.transform("_docs", read))
+    faults = F.transform("_read", lambda r: F.coalesce(r["cause"], _value_cause(r["values"])))
     cause = (
         F.when(F.col("_all").isNull(), F.lit("invalid JSON"))
         .when(F.col("_docs").isNull() & (_kind(F.col("_all")) != "VOID"), F.lit("not a JSON array"))
-        .otherwise(F.try_element_at(faults, F.lit(1)))
+        .otherwise(F.try_element_at(F.filter(faults, lambda c: c.isNotNull()), F.lit(1)))
     )
-    txs = F.transform("_fields", lambda f: _transaction(f, ingest_time))
+    txs = F.transform("_read", lambda r: _transaction(r["values"], ingest_time))
     return _emit(df, bodies.columns, cause, txs, "txs")
