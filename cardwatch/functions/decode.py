@@ -1,8 +1,8 @@
 """Strict JSON decoding as Column expressions.
 
-A record is parsed once into a variant, wrapped in brackets: trailing text and
-bare tokens such as NaN then fail, and a second document shows up as a second
-element. The type of the parsed document is then tested once, as a whole. A
+A record is parsed once into a variant, as the first element of an array:
+trailing text and bare tokens such as NaN then fail, and a second document
+shows up as one more element. The type of the parsed document is then tested once, as a whole. A
 record that has the usual shape is read with one typed cast; only the others
 are taken apart field by field, to find the fault or a field spelt in another
 case.
@@ -120,11 +120,15 @@ def decode_records(raw: DataFrame, value: str = "value", record_time: str = "tim
     An absent time takes the time of the record, since a record always has one.
     """
     text = F.col(value).cast("string")
-    df = raw.withColumn("_all", F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))))
+    # The parser stops at the end of the first value and ignores what follows.
+    # A closing mark that depends on the text shows that it came to the end.
+    mark = F.md5(text.cast("binary"))
+    df = raw.withColumn("_all", F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]'))))
     df = df.withColumns(
         {
             "_doc": F.try_variant_get("_all", "$[0]", "variant"),
-            "_more": F.try_variant_get("_all", "$[1]", "variant").isNotNull(),
+            "_more": F.try_variant_get("_all", "$[2]", "variant").isNotNull(),
+            "_whole": F.coalesce(F.try_variant_get("_all", "$[1]", "string") == mark, F.lit(False)),
         }
     )
     df = df.withColumn("_usual", _usual(F.col("_doc")))
@@ -138,9 +142,9 @@ def decode_records(raw: DataFrame, value: str = "value", record_time: str = "tim
     df = df.withColumn("_values", F.coalesce("_typed", F.col("_odd")["values"]))
     values = F.col("_values")
     cause = (
-        F.when(F.col("_usual") & ~F.col("_more"), _value_cause(values))
+        F.when(F.col("_usual") & F.col("_whole") & ~F.col("_more"), _value_cause(values))
         .when(text.isNull() | (F.trim(text) == ""), F.lit("empty record"))
-        .when(F.col("_all").isNull(), F.lit("invalid JSON"))
+        .when(F.col("_all").isNull() | ~(F.col("_whole") | F.col("_more")), F.lit("invalid JSON"))
         .when(F.col("_more"), F.lit("more than one JSON document"))
         .otherwise(F.coalesce(F.col("_odd")["cause"], _value_cause(values)))
     )
