@@ -63,9 +63,10 @@ def copied(spark: SparkSession, d: str, copies: int) -> DataFrame:
     )
 
 
-def stream_rate(spark: SparkSession, d: str) -> tuple[int, float]:
+def stream_rate(spark: SparkSession, d: str, copies: int, files: int) -> tuple[int, float]:
     """Rows and seconds of the whole scoring job over record files, every sink on."""
-    source = streams._record_files(spark, d)
+    records = fixture.records_of(copied(spark, d, copies), F.col("seq") % 6)
+    source = streams.write_slices(records, F.unix_millis("timestamp"), "bench-records", files=files)
     base = fresh_path(spark, "bench")
     job = ScoringJob(
         checkpoint=f"{base}/checkpoint",
@@ -76,7 +77,7 @@ def stream_rate(spark: SparkSession, d: str) -> tuple[int, float]:
         buckets=64,
         wall_clock=False,
     )
-    query = job.start(file_records(spark, source, max_files_per_trigger=1), availableNow=True)
+    query = job.start(file_records(spark, source, max_files_per_trigger=files), availableNow=True)
     query.awaitTermination()
     # The first micro-batch also starts the workers; the others show the rate.
     steady = [p for p in query.recentProgress if p.numInputRows > 0][1:]
@@ -96,7 +97,7 @@ def main() -> None:
     rows = big.count()
     timed(lambda: run(verdicts(score(big))))
     batch = timed(lambda: run(verdicts(score(big))))
-    stream_rows, stream_sec = stream_rate(spark, d)
+    stream_rows, stream_sec = stream_rate(spark, d, max(copies // 2, 1), int(cpus))
     print(
         json.dumps(
             {

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardwatch import schemas
 from cardwatch.functions.columns import is_flagged
 from cardwatch.functions.rules import DEFAULT_RULES, Rule, apply_rules
 from cardwatch.operators.lookups import with_issuer
@@ -51,6 +50,3 @@ def verdicts(scored: DataFrame, latency_us=None, at=None) -> DataFrame:
 def flagged(verdict_rows: DataFrame) -> DataFrame:
     return verdict_rows.filter(is_flagged())
 
-
-def verdict_struct() -> "F.Column":
-    return F.struct(*schemas.VERDICT_FIELDS)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardwatch import constants as K
@@ -19,7 +19,7 @@ COUNTRIES = ["US", "GB", "DE", "SE", "SE", "US", "JP", "BR", "NG", "XX"]
 MCCS = ["5411", "5812", "5732", "4111", "5999", "7995", "6051", "4829"]
 
 
-def _pick(values: list[str], index) -> "F.Column":
+def _pick(values: list[str], index) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), index.cast("int") + 1)
 
 
@@ -183,21 +183,25 @@ BROKEN = [
 BROKEN_EVERY = 40
 
 
-def raw_records(spark: SparkSession, sf_dir: str, broken: bool = True) -> DataFrame:
-    """The transactions as topic records, and one broken record per 40 events."""
-    tx = transactions(spark, sf_dir).withColumn("timestamp", F.timestamp_millis("ts_ms"))
+def records_of(tx: DataFrame, partition: Column) -> DataFrame:
+    """Transactions as topic records; the offset is twice the sequence number."""
+    timed = tx.withColumn("timestamp", F.timestamp_millis("ts_ms"))
     text = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("timestamp")
     fields = [text if n == "timestamp" else F.col(n) for n in schemas.TRANSACTION.fieldNames()]
-    good = tx.withColumn("value", F.to_json(F.struct(*fields)))
-    user = F.substring("card_hash", 5, 20).cast("bigint")
-    records = good.select(
+    return timed.select(
         F.col("card_hash").cast("binary").alias("key"),
-        "value",
+        F.to_json(F.struct(*fields)).alias("value"),
         F.lit(K.TX_TOPIC).alias("topic"),
-        (user % 6).cast("int").alias("partition"),
+        partition.cast("int").alias("partition"),
         (F.col("seq") * 2).alias("offset"),
         "timestamp",
     )
+
+
+def raw_records(spark: SparkSession, sf_dir: str, broken: bool = True) -> DataFrame:
+    """The transactions as topic records, and one broken record per 40 events."""
+    user = F.substring("card_hash", 5, 20).cast("bigint")
+    records = records_of(transactions(spark, sf_dir), user % 6)
     if not broken:
         return records
     event = F.col("offset") / 2

@@ -6,7 +6,7 @@ read back as a stream of one slice per micro-batch.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardwatch import schemas
@@ -32,21 +32,22 @@ SLICE_MS = 600_000  # the data spans about 30 minutes
 BUCKETS = 32  # state buckets, for a handful of cores
 
 
-def _slice(ts_ms) -> "F.Column":
+def _slice(ts_ms: Column) -> Column:
     return F.least(F.floor((ts_ms - X.EPOCH_MS) / SLICE_MS), F.lit(SLICES - 1)).cast("int")
 
 
-def _write_slices(rows: DataFrame, ts, label: str, order: list[int] | None = None) -> str:
+def write_slices(rows: DataFrame, ts: Column, label: str, order: list[int] | None = None, files: int = 1) -> str:
     """Append the slices one after the other; the file source reads oldest first."""
     path = fresh_path(rows.sparkSession, label)
     for number in order or range(SLICES):
         part = rows.filter(_slice(ts) == number)
-        part.coalesce(1).write.mode("append").parquet(path)
+        part = part.coalesce(1) if files == 1 else part.repartition(files)
+        part.write.mode("append").parquet(path)
     return path
 
 
 def _record_files(spark: SparkSession, d: str, order: list[int] | None = None) -> str:
-    return _write_slices(X.raw_records(spark, d), F.unix_millis("timestamp"), "records", order)
+    return write_slices(X.raw_records(spark, d), F.unix_millis("timestamp"), "records", order)
 
 
 def _job(spark: SparkSession, source: str, base: str, **options) -> ScoringJob:
@@ -162,7 +163,7 @@ def dedupe(spark: SparkSession, d: str) -> DataFrame:
     sent = X.scored_verdicts(spark, d).filter(is_flagged())
     copies = F.when(F.col("seq") % 7 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     sent = sent.select("tx_id", "score", "at", F.explode(copies).alias("again")).drop("again")
-    source, base = _write_slices(sent, F.col("at"), "verdicts"), fresh_path(spark, "dedupe")
+    source, base = write_slices(sent, F.col("at"), "verdicts"), fresh_path(spark, "dedupe")
     stream = (
         spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", "1").parquet(source)
     )
