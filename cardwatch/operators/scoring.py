@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardwatch.functions.columns import is_flagged
@@ -30,9 +30,9 @@ def score(
     return score_counted(with_velocity(tx, **velocity), rules, bins)
 
 
-def verdicts(scored: DataFrame, latency_us=None, at=None) -> DataFrame:
-    """The verdict row. ``at`` defaults to the event time, for repeatable runs."""
-    return scored.select(
+def verdict_struct(latency_us: Column | None = None, at: Column | None = None) -> Column:
+    """The verdict of a scored row. ``at`` defaults to the event time, for repeatable runs."""
+    return F.struct(
         F.col("id").alias("tx_id"),
         "card_bin",
         "amount",
@@ -43,10 +43,15 @@ def verdicts(scored: DataFrame, latency_us=None, at=None) -> DataFrame:
         "decision",
         (F.lit(0).cast("bigint") if latency_us is None else latency_us).alias("latency_us"),
         (F.col("ts_ms") if at is None else at).alias("at"),
-        *[c for c in ("seq",) if c in scored.columns],
     )
 
 
+def verdicts(scored: DataFrame, latency_us: Column | None = None, at: Column | None = None) -> DataFrame:
+    """The verdict rows; ``seq`` comes along where there is one."""
+    extra = [c for c in ("seq",) if c in scored.columns]
+    return scored.select(verdict_struct(latency_us, at).alias("_v"), *extra).select("_v.*", *extra)
+
+
 def flagged(verdict_rows: DataFrame) -> DataFrame:
     return verdict_rows.filter(is_flagged())
 

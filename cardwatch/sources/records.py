@@ -65,21 +65,22 @@ def good_transactions(decoded: DataFrame) -> DataFrame:
     return rows
 
 
-def dead_letters(decoded: DataFrame) -> DataFrame:
-    """Undecodable records as they came, with where they came from in the headers."""
+def dead_letter_struct(key: Column, value: Column, offset: Column) -> Column:
+    """The record as it came, with where it came from in the headers."""
     headers = [
         ("cause", F.col("cause")),
         ("origin-topic", F.col("topic")),
         ("origin-partition", F.col("partition").cast("string")),
-        ("origin-offset", F.col("offset").cast("string")),
+        ("origin-offset", offset.cast("string")),
     ]
-    return decoded.filter("cause IS NOT NULL").select(
-        F.col("key"),
-        F.col("value").cast("binary").alias("value"),
-        F.array(
-            *[F.struct(F.lit(k).alias("key"), v.cast("binary").alias("value")) for k, v in headers]
-        ).alias("headers"),
-    )
+    listed = [F.struct(F.lit(k).alias("key"), v.cast("binary").alias("value")) for k, v in headers]
+    return F.struct(key.alias("key"), value.cast("binary").alias("value"), F.array(*listed).alias("headers"))
+
+
+def dead_letters(decoded: DataFrame) -> DataFrame:
+    """Undecodable records."""
+    record = dead_letter_struct(F.col("key"), F.col("value"), F.col("offset"))
+    return decoded.filter("cause IS NOT NULL").select(record.alias("_d")).select("_d.*")
 
 
 def body_files(spark: SparkSession, path: str) -> DataFrame:

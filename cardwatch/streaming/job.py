@@ -20,19 +20,40 @@ from cardwatch import schemas
 from cardwatch.functions.rules import DEFAULT_RULES, Rule
 from cardwatch.operators import feed, rollups
 from cardwatch.operators.histogram import bucket_of
-from cardwatch.operators.scoring import flagged, score_counted, verdicts
-from cardwatch.sources.records import dead_letters, decode
+from cardwatch.operators.scoring import flagged, score_counted, verdict_struct
+from cardwatch.sources.records import dead_letter_struct, decode
 from cardwatch.sources.sinks import CaseTable, overwrite_part
 from cardwatch.streaming.velocity import RETENTION_MS, STATE_BUCKETS, stream_velocity, use_rocksdb
 
 Hook = Callable[[DataFrame, int], None]
 
 
-def _stream_transactions(decoded: DataFrame) -> DataFrame:
-    rows = decoded.filter("cause IS NULL").select(
-        "tx.*", "partition", F.col("offset").alias("seq"), F.col("timestamp").alias("arrived")
+def _stream_rows(decoded: DataFrame) -> DataFrame:
+    """Transactions and undecodable records in one frame, told apart by ``cause``.
+
+    A bad record has zero values in place of a transaction, so no number is
+    null on the way through the counters; a good one drops its raw bytes.
+    """
+    bad = F.col("cause").isNotNull()
+    fields = []
+    for field_ in schemas.TRANSACTION:
+        value = F.col("tx")[field_.name]
+        if field_.name == "timestamp":
+            value = F.coalesce(value, F.col("timestamp"))
+        else:
+            value = F.coalesce(value, F.lit(0.0 if field_.name == "amount" else ""))
+        fields.append(value.alias(field_.name))
+    raw = [F.when(bad, F.col(c)).alias(f"raw_{c}") for c in ("key", "value")]
+    rows = decoded.select(
+        *fields,
+        *raw,
+        "topic",
+        "partition",
+        F.col("offset").alias("seq"),
+        F.unix_micros("timestamp").alias("arrived"),
+        "cause",
     )
-    return rows.withColumn("ts_ms", F.unix_millis("timestamp"))
+    return rows.withColumn("ts_ms", F.unix_millis("timestamp")).drop("timestamp")
 
 
 def scored_stream(
@@ -48,22 +69,18 @@ def scored_stream(
     With ``wall_clock`` the verdict is stamped with the current time and the
     delay since the record arrived; without it, with the event time and zero.
     """
-    decoded = decode(raw)
-    counted = stream_velocity(_stream_transactions(decoded), retention_ms=retention_ms, buckets=buckets)
+    rows = _stream_rows(decode(raw))
+    counted = stream_velocity(rows, retention_ms=retention_ms, buckets=buckets, skip="cause")
     scored = score_counted(counted, rules, bins)
     at: Column | None = None
     delay: Column | None = None
     if wall_clock:
         at = F.unix_millis(F.current_timestamp())
-        delay = F.unix_micros(F.current_timestamp()) - F.unix_micros("arrived")
-    rows = verdicts(scored, delay, at)
-    verdict = F.struct(*schemas.VERDICT_FIELDS)
-    good = rows.select(verdict.alias("verdict"))
-    bad = dead_letters(decoded)
-    dead = F.struct("key", "value", "headers")
-    return good.withColumn("dead", F.lit(None).cast(bad.select(dead).schema[0].dataType)).unionByName(
-        bad.select(F.lit(None).cast(schemas.VERDICT).alias("verdict"), dead.alias("dead"))
-    )
+        delay = F.unix_micros(F.current_timestamp()) - F.col("arrived")
+    verdict = verdict_struct(delay, at)
+    dead = dead_letter_struct(F.col("raw_key"), F.col("raw_value"), F.col("seq"))
+    good = F.col("cause").isNull()
+    return scored.select(F.when(good, verdict).alias("verdict"), F.when(~good, dead).alias("dead"))
 
 
 def part_sink(path: str) -> Hook:

@@ -109,10 +109,13 @@ def _unpack(data: bytes) -> pd.DataFrame:
 class WindowCounter(StatefulProcessor):
     """Adds the window count to every row of a bucket."""
 
-    def __init__(self, rule: WindowRule, columns: Sequence[str], retention_ms: int | None):
+    def __init__(
+        self, rule: WindowRule, columns: Sequence[str], retention_ms: int | None, skip: str | None = None
+    ):
         self.rule = rule
         self.columns = list(columns)
         self.retention_ms = retention_ms
+        self.skip = skip
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.ticks = handle.getValueState("ticks", _STATE)
@@ -121,6 +124,13 @@ class WindowCounter(StatefulProcessor):
         # A bucket's rows come in chunks; together they are at most one
         # micro-batch, whose size the source caps.
         batch = pd.concat(list(rows), ignore_index=True).sort_values(["ts_ms", "seq"], ignore_index=True)
+        batch[self.rule.out] = 0
+        counted = batch.index if self.skip is None else batch.index[batch[self.skip].isna()]
+        if len(counted):
+            batch.loc[counted, self.rule.out] = self._count(batch.loc[counted])
+        yield batch[[*self.columns, self.rule.out]]
+
+    def _count(self, batch: pd.DataFrame) -> np.ndarray:
         state = self.ticks.get()
         held = empty_ticks() if state is None else _unpack(bytes(state[0]))
         times = batch["ts_ms"].to_numpy("i8")
@@ -130,8 +140,7 @@ class WindowCounter(StatefulProcessor):
             horizon = min(newest, int(time.time() * 1000)) - max(self.retention_ms, self.rule.window_ms)
         counts, kept = count_arrivals(held, batch[self.rule.key], times, self.rule.window_ms, horizon)
         self.ticks.update((_pack(kept),))
-        batch[self.rule.out] = counts
-        yield batch[[*self.columns, self.rule.out]]
+        return counts
 
     def close(self) -> None:
         pass
@@ -142,22 +151,28 @@ def stream_velocity(
     rules: Sequence[WindowRule] = (CARD, IP),
     retention_ms: int | None = RETENTION_MS,
     buckets: int = STATE_BUCKETS,
+    skip: str | None = None,
 ) -> DataFrame:
     """Add one window count per rule to a stream of transactions.
 
     ``seq`` must be a plain column (a number or a string). Needs the RocksDB
     state store (``use_rocksdb``). No watermark comes before it, so late rows
     are scored like any other. ``retention_ms`` None keeps idle keys forever.
+    Rows whose ``skip`` column is not null pass through uncounted, spread over
+    the buckets by ``seq``.
     """
     tx = tx.fillna("", [r.key for r in rules])
     for rule in rules:
         out = T.StructType([*tx.schema.fields, T.StructField(rule.out, T.LongType())])
-        bucket = F.pmod(F.xxhash64(rule.key), F.lit(buckets)).cast("int")
+        spread = F.xxhash64(rule.key)
+        if skip is not None:
+            spread = F.when(F.col(skip).isNull(), spread).otherwise(F.xxhash64("seq"))
+        bucket = F.pmod(spread, F.lit(buckets)).cast("int")
         tx = (
             tx.withColumn("_bucket", bucket)
             .groupBy("_bucket")
             .transformWithStateInPandas(
-                WindowCounter(rule, tx.columns, retention_ms),
+                WindowCounter(rule, tx.columns, retention_ms, skip),
                 outputStructType=out,
                 outputMode="append",
                 timeMode="None",
