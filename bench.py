@@ -82,7 +82,7 @@ def stream_rate(spark: SparkSession, d: str, copies: int, files: int) -> tuple[i
     # The first micro-batch also starts the workers; the others show the rate.
     steady = [p for p in query.recentProgress if p.numInputRows > 0][1:]
     rows = sum(p.numInputRows for p in steady)
-    return rows // 2, sum(p.durationMs["triggerExecution"] for p in steady) / 1000
+    return rows, sum(p.durationMs["triggerExecution"] for p in steady) / 1000
 
 
 def main() -> None:
