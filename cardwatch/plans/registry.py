@@ -405,6 +405,16 @@ def stream_velocity(spark, d):
     return streams.velocity(spark, d)
 
 
+@query("T2_state_expiry")
+def state_expiry(spark, d):
+    return streams.expiring_velocity(spark, d)
+
+
+@query("T4_commit_after_score")
+def commit_after_score(spark, d):
+    return streams.commit_after_score(spark, d)
+
+
 @query("T3_late_events")
 def late_events(spark, d):
     return streams.late_velocity(spark, d)

@@ -6,12 +6,13 @@ read back as a stream of one slice per micro-batch.
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardwatch import schemas
 from cardwatch.functions.columns import is_flagged
-from cardwatch.operators.audit import window_loss_audit
+from cardwatch.operators.audit import delivery_audit, window_loss_audit
 from cardwatch.plans import fixture as X
 from cardwatch.session import configure, fresh_path
 from cardwatch.sources.records import decode, file_records
@@ -94,6 +95,12 @@ def velocity(spark: SparkSession, d: str) -> DataFrame:
     return _counted(spark, source, fresh_path(spark, "counted")).select("id", "card_n", "ip_n")
 
 
+def expiring_velocity(spark: SparkSession, d: str) -> DataFrame:
+    """Idle keys dropped as soon as their window is over: no count may change."""
+    source = _record_files(spark, d)
+    return _counted(spark, source, fresh_path(spark, "expiring"), retention_ms=0).select("id", "card_n", "ip_n")
+
+
 def late_velocity(spark: SparkSession, d: str) -> DataFrame:
     """The first slice arrives last: its rows are late, and scored all the same."""
     source = _record_files(spark, d, order=[1, 2, 0])
@@ -132,6 +139,26 @@ def scored_job(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("tx_id", "score", F.array_join("flags", ",").alias("flags"), "decision", "at")
 
 
+def commit_after_score(spark: SparkSession, d: str) -> DataFrame:
+    """A sink fails in the second micro-batch, the job starts again: nothing is lost.
+
+    The failed micro-batch was not committed, so it is scored and written again.
+    """
+    source, base = _record_files(spark, d), fresh_path(spark, "commit")
+    failed: list[int] = []
+
+    def fail_once(rows: DataFrame, batch: int) -> None:
+        if batch == 1 and not failed:
+            failed.append(batch)
+            raise RuntimeError("sink is down")
+
+    try:
+        _job(spark, source, base, on_flagged=[fail_once])
+    except StreamingQueryException:
+        _job(spark, source, base, on_flagged=[fail_once])
+    return delivery_audit(spark.read.schema(schemas.VERDICT).parquet(f"{base}/verdicts"))
+
+
 def snapshot(spark: SparkSession, d: str) -> DataFrame:
     source, base = _record_files(spark, d), fresh_path(spark, "job")
     _job(spark, source, base)
