@@ -49,12 +49,30 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/cardwatch/{label}-{uuid.uuid4().hex}"
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """The application owns ``path``: its file system removes it when the driver's JVM ends."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a staged table that nothing reads any more."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Consumers read only the columns they need, and a lost executor costs a
-    re-read instead of a recomputation.
+    re-read instead of a recomputation. The table goes when the application ends.
     """
+    return stage_at(df, label)[0]
+
+
+def stage_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``stage``, and the path, for a caller that removes the table itself."""
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    remove_at_exit(df.sparkSession, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
