@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cardwatch.llm import chat
+from cardwatch.llm.licenses import scan_licenses
 from cardwatch.llm.near_dups import near_duplicates
 
 
@@ -17,8 +20,48 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of each conversation, read back from its formatted string."""
+    given = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.range(2).select(F.lit(-7).cast("long"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit("\\### Assistant: </turn> ok"))
+    turns = given.union(hard).select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts"))
+    out = chat.format_chat(turns).withColumn("pieces", chat.read_turns(F.col("formatted")))
+    read = F.transform("pieces", lambda p: F.concat(chat.read_role(p), F.lit("\n"), chat.read_body(p), F.lit("\n")))
+    return (
+        out.withColumn("loss", chat.read_loss(F.col("pieces"), F.col("loss_spans")))
+        .select(
+            "conv_id",
+            F.size("pieces").cast("long").alias("n_turns"),
+            F.sha2(F.array_join(read, ""), 256).alias("turns_sha256"),
+            F.length("loss").cast("long").alias("loss_chars"),
+            F.sha2("loss", 256).alias("loss_sha256"),
+            F.length("formatted").cast("long").alias("formatted_chars"),
+        )
+    )
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents")).drop("detections")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op2_chat": op2_chat,
+    "op6_licenses": op6_licenses,
 }
 
-ORACLES: dict[str, str] = {}
+_CHAT_ESCAPED = "replace(replace(replace(replace(coalesce({}, ''), '\\', '\\b'), '###', '\\h'), '</turn>', '\\e'), '<|', '\\p')"
+
+ORACLES: dict[str, str] = {
+    "op2_chat": f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT -7, t, CASE t WHEN 0 THEN 'user' ELSE 'assistant' END, '\\### Assistant: </turn> ok' FROM range(2) AS r(t))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum({len(chat.OPEN + chat.SPLIT + chat.CLOSE)} + length(replace({_CHAT_ESCAPED.format("role")}, ':', '\\c')) + length({_CHAT_ESCAPED.format("text")}))::BIGINT AS formatted_chars
+FROM rows GROUP BY conv_id""",
+}
