@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cardwatch.llm import chat
 from cardwatch.llm.licenses import scan_licenses
 from cardwatch.llm.near_dups import near_duplicates
+from cardwatch.llm.toxicity import Toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,10 +45,19 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; labels of ids whose crc32 leaves 0 modulo 5 are held out."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = Toxicity.fit(docs, _table(spark, sf_dir, "labels").filter(~held_out))
+    return model.scored(docs).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "flagged")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_chat": op2_chat,
     "op6_licenses": op6_licenses,
+    "op9_toxicity": op9_toxicity,
 }
 
 _CHAT_ESCAPED = "replace(replace(replace(replace(coalesce({}, ''), '\\', '\\b'), '###', '\\h'), '</turn>', '\\e'), '<|', '\\p')"

@@ -20,6 +20,9 @@ _BASE_INV = pow(_BASE, -1, 1 << 64)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes apart from ASCII letters, ASCII digits and other scripts.
+MARKS = np.ones(256, bool)
+MARKS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _powers = np.ones((2, 1), np.uint64)
@@ -54,21 +57,26 @@ class Words:
     first: np.ndarray
 
     def hashes(self) -> np.ndarray:
+        return self.prefix_hashes()[0]
+
+    def prefix_hashes(self, *lengths: int) -> list[np.ndarray]:
+        """Hashes of the words, and of their first bytes, so many or all there are."""
         p = powers(len(self.data) + 1)
         sums = np.zeros(len(self.data) + 1, np.uint64)
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * p[0, : len(self.data)], out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * p[1, self.start] + (self.end - self.start).astype(np.uint64))
+        ends = [self.end, *(np.minimum(self.start + n, self.end) for n in lengths)]
+        return [mix((sums[e] - sums[self.start]) * p[1, self.start] + (e - self.start).astype(np.uint64)) for e in ends]
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
 
-def cut(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Words:
+def cut(data: np.ndarray, offsets: np.ndarray, lower: bool = True, apart: np.ndarray = SPACE) -> Words:
     """Words of the texts that lie between ``offsets`` in ``data``."""
     base = int(offsets[0])
     data, offsets = data[base : int(offsets[-1])], np.asarray(offsets, np.int64) - base
     inside = np.zeros(len(data) + 1, bool)
-    np.logical_not(SPACE[data], out=inside[:-1])
+    np.logical_not(apart[data], out=inside[:-1])
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     begins[offsets] = inside[offsets]  # a text's end ends a word
@@ -89,13 +97,13 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), at
 
 
-def slices(column: pa.Array, lower: bool = True, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, Words]]:
+def slices(column: pa.Array, lower: bool = True, most: int = SLICE_BYTES, apart: np.ndarray = SPACE) -> Iterator[tuple[int, int, Words]]:
     """(first row, row after the last, words) for runs of rows of bounded size."""
     data, at = text_buffers(column)
     i, n = 0, len(at) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(at, at[i] + most, side="right")) - 1)
-        yield i, j, cut(data, at[i : j + 1], lower)
+        yield i, j, cut(data, at[i : j + 1], lower, apart)
         i = j
 
 
