@@ -230,7 +230,7 @@ def _links(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(family.select("node")).distinct()
     sets = stage(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .join(asked, "doc_id")
+        .join(asked.hint("merge"), "doc_id")  # ids grow with the data: one plan at every size
         .mapInArrow(_sets, "doc_id long, shingles binary"),
         "sets",
     )
