@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cardwatch.llm import chat
 from cardwatch.llm.licenses import scan_licenses
 from cardwatch.llm.near_dups import near_duplicates
+from cardwatch.llm.packing import pack
 from cardwatch.llm.toxicity import Toxicity
 
 
@@ -53,11 +54,16 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.scored(docs).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "flagged")
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_chat": op2_chat,
     "op6_licenses": op6_licenses,
     "op9_toxicity": op9_toxicity,
+    "op10_packing": op10_packing,
 }
 
 _CHAT_ESCAPED = "replace(replace(replace(replace(coalesce({}, ''), '\\', '\\b'), '###', '\\h'), '</turn>', '\\e'), '<|', '\\p')"
