@@ -12,6 +12,7 @@ from cardwatch.llm.decontaminate import leaks
 from cardwatch.llm.licenses import scan_licenses
 from cardwatch.llm.near_dups import near_duplicates
 from cardwatch.llm.packing import pack
+from cardwatch.llm.quality import quality_rules
 from cardwatch.llm.toxicity import Toxicity
 
 
@@ -52,6 +53,11 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return quality_rules(_table(spark, sf_dir, "documents")).select(*columns, "words_left")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents; labels of ids whose crc32 leaves 0 modulo 5 are held out."""
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -69,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat": op2_chat,
     "op4_decontamination": op4_decontamination,
     "op6_licenses": op6_licenses,
+    "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
 }

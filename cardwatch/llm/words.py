@@ -45,9 +45,17 @@ def powers(n: int) -> np.ndarray:
     return _powers
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, *ends: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the spans from ``start`` to each of ``ends`` in numbers of up to 64 bits."""
+    p = powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[0, : len(data)], out=sums[1:])
+    return [mix((sums[e] - sums[start]) * p[1, start] + (e - start).astype(np.uint64)) for e in ends]
+
+
 @dataclass
 class Words:
-    """Words of some texts, in order. ``doc``: index of the text of each word; ``first``: index of each text's first word."""
+    """Words of some texts, in order. ``doc``: index of the text of each word; ``first``: index of each text's first word; ``offsets``: the texts' bytes."""
 
     data: np.ndarray
     texts: int
@@ -55,17 +63,15 @@ class Words:
     end: np.ndarray
     doc: np.ndarray
     first: np.ndarray
+    offsets: np.ndarray
 
     def hashes(self) -> np.ndarray:
         return self.prefix_hashes()[0]
 
     def prefix_hashes(self, *lengths: int) -> list[np.ndarray]:
         """Hashes of the words, and of their first bytes, so many or all there are."""
-        p = powers(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * p[0, : len(self.data)], out=sums[1:])
         ends = [self.end, *(np.minimum(self.start + n, self.end) for n in lengths)]
-        return [mix((sums[e] - sums[self.start]) * p[1, self.start] + (e - self.start).astype(np.uint64)) for e in ends]
+        return span_hashes(self.data, self.start, *ends)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -85,7 +91,7 @@ def cut(data: np.ndarray, offsets: np.ndarray, lower: bool = True, apart: np.nda
     start, end = np.flatnonzero(begins), np.flatnonzero(ends)
     first = np.searchsorted(start, offsets)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    return Words(LOWER[data] if lower else data, len(offsets) - 1, start, end, doc, first)
+    return Words(LOWER[data] if lower else data, len(offsets) - 1, start, end, doc, first, offsets)
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
