@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cardwatch.llm import chat
 from cardwatch.llm.decontaminate import leaks
+from cardwatch.llm.html_text import extract_text
 from cardwatch.llm.licenses import scan_licenses
 from cardwatch.llm.near_dups import near_duplicates
 from cardwatch.llm.packing import pack
@@ -49,6 +50,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents")).drop("detections")
 
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_chat": op2_chat,
     "op4_decontamination": op4_decontamination,
+    "op5_main_text": op5_main_text,
     "op6_licenses": op6_licenses,
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
