@@ -58,14 +58,29 @@ def token_ids(texts: list[str], path: str) -> list[bytes]:
     """
     tokenizer, known = _tokenizer(path), _kept.setdefault(path, {"": b""})
     parts = [t.replace("\n", " ").split(" ") for t in texts]
-    new = list(set().union(*parts).difference(known))
-    made = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False))}
+    new = {w: _stem(w) for w in set().union(*parts).difference(known)}
+    stems = list({x for pair in new.values() for x in pair}.difference(known))
+    made = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(stems, tokenizer.encode_batch_fast(stems, add_special_tokens=False))}
+    get = lambda w: known[w] if w in known else made[w]
+    made |= {w: get(stem) + get(mark) for w, (stem, mark) in new.items()}
     if len(known) + len(made) <= KEPT_WORDS:
         known.update(made)
         return [b"".join([known[w] for w in words]) for words in parts]
     return [b"".join([known[w] if w in known else made[w] for w in words]) for words in parts]
 
 
+def _stem(word: str) -> tuple[str, str]:
+    """A word in the letters that the tokenizer sees, and the mark after its last letter, which is a token of its own."""
+    if "<" in word or len(word) < 2:
+        return word, ""
+    if word.isascii():
+        word = word.lower()
+    last = word[-2]
+    # Beyond these scripts, and in one of their letters, the lower-case or composed form may end in a mark.
+    plain = last < "\u0180" and last != "\u0130" and last.isalpha()
+    return (word[:-1], word[-1]) if plain and word[-1] in ",." else (word, "")
+
+
 def _pieces(path: str, keep_ids: bool):
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]
 
