@@ -39,6 +39,8 @@ WHOLE = 47
 LIST_ROWS = 64
 #: Members of a family that all others are compared with first.
 PIVOTS = 8
+#: Ids that are sent to every task at most: 8 MB.
+BROADCAST_IDS = 1_000_000
 #: Members compared at once with what is outside the main component.
 BLOCK_ROWS = 256
 
@@ -255,3 +257,23 @@ def _family_links(family: DataFrame, sure: DataFrame, sets: DataFrame) -> DataFr
     inner = placed.select("family", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node", "shingles", F.lit(False).alias("outer"))
     outer = placed.filter("component != main").select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", "shingles", F.lit(True).alias("outer"))
     return inner.union(outer).groupBy("family", "block").applyInPandas(_block_links, "a long, b long")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any others) of which one document of each component stays, that with the smallest doc_id.
+
+    Of rows with one doc_id one stays. Rows with a null doc_id are in no
+    component and all stay. Lists of ids go to the scan while they are short
+    and are joined by a shuffle beyond that; the rows are the same.
+    """
+    found = stage(near_duplicates(docs), "components")
+    named = found.filter("doc_id is not null")
+    lost = named.groupBy("doc_id").agg(F.count("*").alias("rows"), F.bool_or("kept").alias("kept"))
+    gone = stage(lost.filter("not kept or rows > 1").select("doc_id", "kept"), "gone")
+    twice = gone.filter("kept").select("doc_id")
+    once = docs.join(_sized(gone.select("doc_id")), "doc_id", "left_anti")
+    return once.union(docs.join(_sized(twice), "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
+
+
+def _sized(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")

@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from cardwatch.llm import chat
 from cardwatch.llm.decontaminate import leaks
 from cardwatch.llm.html_text import extract_text
 from cardwatch.llm.licenses import scan_licenses
 from cardwatch.llm.near_dups import near_duplicates
 from cardwatch.llm.packing import pack
+from cardwatch.llm.pii import scan_pii
 from cardwatch.llm.quality import quality_rules
 from cardwatch.llm.toxicity import Toxicity
 
@@ -58,6 +60,10 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_pii(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return quality_rules(_table(spark, sf_dir, "documents")).select(*columns, "words_left")
@@ -81,9 +87,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_main_text": op5_main_text,
     "op6_licenses": op6_licenses,
+    "op7_pii": op7_pii,
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
+    "pipeline": corpus_pipeline.run,
 }
 
 _CHAT_ESCAPED = "replace(replace(replace(replace(coalesce({}, ''), '\\', '\\b'), '###', '\\h'), '</turn>', '\\e'), '<|', '\\p')"
