@@ -46,6 +46,7 @@ SIGMA, REACH = 1.5, 4
 #: Share of the upper cluster's characters that the content element must hold.
 HELD = 0.8
 
+_TAG = re.compile(r"<[A-Za-z/!?]")
 _WORD = re.compile(r"[a-z]+")
 
 
@@ -149,10 +150,19 @@ def upper_cluster(values: np.ndarray) -> np.ndarray:
     return values > (ordered[k] + ordered[k + 1]) / 2 if ordered[k] < ordered[k + 1] else values >= ordered[k]
 
 
+def _ended(html: str) -> str:
+    """A page cut off inside a comment or a tag, up to there."""
+    k = html.rfind("<!--")
+    if k >= 0 and html.find("-->", k + 2) < 0:
+        html = html[:k]
+    k = html.rfind("<")
+    return html[:k] if k >= 0 and html.find(">", k) < 0 and _TAG.match(html, k) else html
+
+
 def main_text(html: str | None) -> str:
     """The content of one page; empty for null, empty or textless pages."""
     parser = _Lines()
-    parser.feed(html or "")
+    parser.feed(_ended(html or ""))
     parser.close()
     parser.flush()
     lines = parser.lines
