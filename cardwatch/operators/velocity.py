@@ -3,15 +3,13 @@
 The count of a row is the number of rows of its key with a time in
 ``[t - window, t]`` that come no later than the row in ``(ts_ms, seq)`` order.
 
-Two plans give the same numbers:
-
-* **Plain**: one exchange and one sort per key. ``row_number`` counts the rows
-  so far, and a frame that ends just before the window counts the expired
-  rows. Both advance once per row, so the cost is linear in the rows of a key,
-  not in the rows of the window.
-* **Split**: for keys too large for one task. Rows are numbered globally, and
-  per-millisecond counts (pre-aggregated, at most ``2 * window`` rows per key
-  and time block) give the rows before each tick. Nothing groups a whole key.
+There is one plan, whatever the sizes: time is cut into blocks of a few
+windows, and the rows of a key meet block by block. The rows of a block's last
+window are copied into the next one, where they count and are not returned. So
+a group holds a key for a few windows and never for its lifetime, and a rule
+costs one exchange and one sort. Within a group ``row_number`` counts the rows
+so far, and a frame that ends just before the window counts the expired ones;
+both advance once per row.
 """
 
 from __future__ import annotations
@@ -19,17 +17,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardwatch import constants as K
-from cardwatch.operators.positions import with_position
-from cardwatch.session import stage
 
-HOT_KEY_ROWS = 5_000_000  # rows of one key that a single task may sort
-HOT_KEY_FRACTION = 0.01  # share of rows read to estimate key sizes
-MAX_LISTED_KEYS = 10_000  # hot keys kept as a literal table
-CHUNK_ROWS = 1_000_000  # rows of one tick that may meet in one join group
+#: Windows in a block: a key's group spans so many, and one row in so many is copied.
+BLOCK_WINDOWS = 4
 
 
 @dataclass(frozen=True)
@@ -43,116 +37,23 @@ CARD = WindowRule("card_hash", K.CARD_WINDOW_MS, "card_n")
 IP = WindowRule("ip", K.IP_WINDOW_MS, "ip_n")
 
 
-def hot_keys(
-    rows: DataFrame,
-    keys: Sequence[str],
-    limit: int = HOT_KEY_ROWS,
-    fraction: float = HOT_KEY_FRACTION,
-) -> dict[str, DataFrame | None]:
-    """Keys that hold about ``limit`` rows or more, per key column.
-
-    Sizes are estimated from a fraction of the rows, the way Spark samples
-    before a range shuffle. The estimate only picks the plan: every row is
-    counted, and both plans return the same counts, so a wrong guess costs
-    time and never changes a result.
-    """
-    spark = rows.sparkSession
-    part = rows.select(*keys)
-    if fraction < 1.0:
-        part = part.sample(fraction, seed=11)
-    pairs = part.select(
-        F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("key")) for k in keys]))
-    )
-    large = (
-        pairs.groupBy("kind", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= limit * fraction)
-    ).select("kind", "key")
-    listed = large.take(MAX_LISTED_KEYS + 1)
-    found: dict[str, DataFrame | None] = {}
-    for key in keys:
-        mine = [(r["key"],) for r in listed if r["kind"] == key]
-        if len(listed) > MAX_LISTED_KEYS:
-            found[key] = stage(large.filter(F.col("kind") == key).select(F.col("key").alias(key)), "hot-keys")
-        elif mine:
-            found[key] = F.broadcast(spark.createDataFrame(mine, f"`{key}` string"))
-        else:
-            found[key] = None
-    return found
-
-
-def _plain(rows: DataFrame, rule: WindowRule, ts: str, seq: str) -> DataFrame:
-    so_far = Window.partitionBy(rule.key).orderBy(ts, seq)
-    expired = (
-        Window.partitionBy(rule.key)
-        .orderBy(ts)
-        .rangeBetween(Window.unboundedPreceding, -(rule.window_ms + 1))
-    )
-    # row_number first: its sort (key, ts, seq) also serves the second frame.
-    counted = rows.withColumn("_so_far", F.row_number().over(so_far).cast("bigint"))
-    counted = counted.withColumn("_expired", F.count("*").over(expired))
-    return counted.withColumn(rule.out, F.col("_so_far") - F.col("_expired")).drop("_so_far", "_expired")
-
-
-def rows_before_tick(ticks: DataFrame, key: str, window_ms: int, ts: str = "ts_ms") -> DataFrame:
-    """For each (key, ts) with count ``n``: rows of the key in ``[ts - window, ts)``.
-
-    Time is cut into blocks as long as the window, and each tick is copied to
-    the next block, so a group holds the distinct milliseconds of two windows
-    at most, however many rows the key has.
-    """
-    block = F.floor(F.col(ts) / F.lit(window_ms)).cast("bigint")
-    spread = ticks.withColumn("_block", F.explode(F.array(block, block + 1)))
-    by_block = Window.partitionBy(key, "_block").orderBy(ts)
-    upto = by_block.rangeBetween(Window.unboundedPreceding, -1)
-    gone = by_block.rangeBetween(Window.unboundedPreceding, -(window_ms + 1))
-    total = F.coalesce(F.sum("n").over(upto), F.lit(0))
-    expired = F.coalesce(F.sum("n").over(gone), F.lit(0))
-    return (
-        spread.withColumn("prior", total - expired)
-        .filter(F.col("_block") == block)
-        .drop("_block")
-    )
-
-
-def _split(rows: DataFrame, rule: WindowRule, ts: str, seq: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    numbered = with_position(rows, [rule.key, ts, seq], out="_g", label=f"hot-{rule.out}")
-    ticks = numbered.groupBy(rule.key, ts).agg(F.count("*").alias("n"), F.min("_g").alias("_g0"))
-    prior = rows_before_tick(ticks, rule.key, rule.window_ms, ts)
-    # A tick of many rows is repeated once per chunk of positions, and its rows
-    # meet it chunk by chunk: no join group grows beyond ``chunk_rows``.
-    first = F.floor(F.col("_g0") / F.lit(chunk_rows)).cast("bigint")
-    last = F.floor((F.col("_g0") + F.col("n") - 1) / F.lit(chunk_rows)).cast("bigint")
-    prior = prior.select(
-        F.col(rule.key).alias("_key"),
-        F.col(ts).alias("_ts"),
-        "prior",
-        "_g0",
-        F.explode(F.sequence(first, last)).alias("_chunk"),
-    )
-    chunked = numbered.withColumn("_chunk", F.floor(F.col("_g") / F.lit(chunk_rows)).cast("bigint"))
-    joined = chunked.join(
-        prior,
-        (chunked["_chunk"] == prior["_chunk"])
-        & (chunked[rule.key] == prior["_key"])
-        & (chunked[ts] == prior["_ts"]),
-    )
-    count: Column = F.col("prior") + F.col("_g") - F.col("_g0") + 1
-    return joined.select(*rows.columns, count.alias(rule.out))
-
-
-def count_in_window(
-    rows: DataFrame,
-    rule: WindowRule,
-    ts: str = "ts_ms",
-    seq: str = "seq",
-    hot: DataFrame | None = None,
-    chunk_rows: int = CHUNK_ROWS,
-) -> DataFrame:
-    """Add ``rule.out``. ``hot`` lists keys that need the split plan."""
-    if hot is None:
-        return _plain(rows, rule, ts, seq)
-    cold = _plain(rows.join(hot, rule.key, "left_anti").select(*rows.columns), rule, ts, seq)
-    split = _split(rows.join(hot, rule.key, "left_semi").select(*rows.columns), rule, ts, seq, chunk_rows)
-    return cold.unionByName(split)
+def count_in_window(rows: DataFrame, rule: WindowRule, ts: str = "ts_ms", seq: str = "seq", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """Add ``rule.out``. A row without a time counts the rows of its key without a time so far."""
+    span = rule.window_ms * block_windows
+    block = F.floor(F.col(ts) / F.lit(span)).cast("bigint")
+    reaches = F.pmod(F.col(ts), F.lit(span)) >= span - rule.window_ms
+    own = F.struct(block.alias("block"), F.lit(False).alias("copy"))
+    again = F.struct((block + 1).alias("block"), F.lit(True).alias("copy"))
+    spread = rows.withColumn("_at", F.explode(F.when(reaches, F.array(own, again)).otherwise(F.array(own))))
+    spread = spread.select(*rows.columns, F.col("_at.block").alias("_block"), F.col("_at.copy").alias("_copy"))
+    group = Window.partitionBy(rule.key, "_block")
+    so_far = group.orderBy(ts, seq)
+    expired = group.orderBy(ts).rangeBetween(Window.unboundedPreceding, -(rule.window_ms + 1))
+    # row_number first: its sort (key, block, ts, seq) also serves the second frame.
+    counted = spread.withColumn("_so_far", F.row_number().over(so_far).cast("bigint"))
+    counted = counted.withColumn("_expired", F.count("*").over(expired)).filter(~F.col("_copy"))
+    count = F.col("_so_far") - F.when(F.col(ts).isNull(), F.lit(0)).otherwise(F.col("_expired"))
+    return counted.select(*rows.columns, count.alias(rule.out))
 
 
 def with_velocity(
@@ -160,21 +61,14 @@ def with_velocity(
     rules: Sequence[WindowRule] = (CARD, IP),
     ts: str = "ts_ms",
     seq: str = "seq",
-    hot_limit: int = HOT_KEY_ROWS,
-    hot_fraction: float = HOT_KEY_FRACTION,
-    chunk_rows: int = CHUNK_ROWS,
+    block_windows: int = BLOCK_WINDOWS,
 ) -> DataFrame:
-    """Add one exact window count per rule to every transaction.
+    """Add one exact window count per rule to every transaction; nothing runs until the result is read.
 
     ``seq`` breaks ties between equal times. Absent keys are the empty key, as
     one shared window. Duplicates are counted: remove them after scoring only.
     """
     rows = tx.fillna("", [r.key for r in rules])
-    hot = hot_keys(rows, [r.key for r in rules], hot_limit, hot_fraction)
-    for i, rule in enumerate(rules):
-        rows = count_in_window(rows, rule, ts, seq, hot[rule.key], chunk_rows)
-        later_split = any(hot[r.key] is not None for r in rules[i + 1 :])
-        if later_split:
-            # The next rule reads this frame twice (plain and split part).
-            rows = stage(rows, f"counted-{rule.out}")
+    for rule in rules:
+        rows = count_in_window(rows, rule, ts, seq, block_windows)
     return rows

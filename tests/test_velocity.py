@@ -1,75 +1,65 @@
 import random
 
+import pytest
 from helpers import arrival_counts, frame, tx
 
 from cardwatch.operators.positions import with_position
-from cardwatch.operators.velocity import CARD, hot_keys, with_velocity
+from cardwatch.operators.velocity import CARD, with_velocity
 
 
-def random_rows(n, seed, span=400_000):
+def random_rows(n, seed, span=900_000):
     rnd = random.Random(seed)
     rows = []
     for i in range(n):
         hot = rnd.random() < 0.4  # one card and one address hold over a third of the rows
+        at = 1_700_000_000_000 + rnd.choice([rnd.randrange(span), rnd.randrange(90) * 10_000])
         rows.append(
             tx(
                 i,
                 card_hash="hot" if hot else f"c{rnd.randrange(6)}",
                 ip=None if rnd.random() < 0.1 else ("1.1.1.1" if rnd.random() < 0.4 else f"ip{rnd.randrange(9)}"),
-                ts_ms=1_700_000_000_000 + rnd.choice([rnd.randrange(span), rnd.randrange(40) * 10_000]),
+                ts_ms=None if rnd.random() < 0.1 else at - 1_700_000_000_000 * (i % 11 == 0),
             )
         )
-    return rows
+    return rows + [dict(r) for r in rows[::9]]
 
 
 def expected(rows):
-    order = sorted(rows, key=lambda r: (r["ts_ms"], r["seq"]))
-    card = arrival_counts([(r["card_hash"], r["ts_ms"]) for r in order], 60_000)
-    ip = arrival_counts([(r["ip"] or "", r["ts_ms"]) for r in order], 300_000)
-    return {r["id"]: (c, i) for r, c, i in zip(order, card, ip)}
+    """Sorted (id, card count, ip count); rows without a time count those so far."""
+    timed = sorted((r for r in rows if r["ts_ms"] is not None), key=lambda r: (r["ts_ms"], r["seq"]))
+    loose = sorted((r for r in rows if r["ts_ms"] is None), key=lambda r: r["seq"])
+    out = []
+    for part, windows in ((timed, (60_000, 300_000)), (loose, (1, 1))):
+        card = arrival_counts([(r["card_hash"], r["ts_ms"] or 0) for r in part], windows[0])
+        ip = arrival_counts([(r["ip"] or "", r["ts_ms"] or 0) for r in part], windows[1])
+        out += [(r["id"], c, i) for r, c, i in zip(part, card, ip)]
+    return out
 
 
 def counted(df, **kw):
-    return {r.id: (r.card_n, r.ip_n) for r in with_velocity(df, **kw).collect()}
+    return [(r.id, r.card_n, r.ip_n) for r in with_velocity(df, **kw).collect()]
 
 
-def test_plain_plan_equals_one_at_a_time(spark):
-    rows = random_rows(600, 1)
-    assert counted(frame(spark, rows)) == expected(rows)
-
-
-def test_split_plan_equals_one_at_a_time(spark):
-    rows = random_rows(600, 2)
-    got = counted(frame(spark, rows), hot_limit=80, hot_fraction=1.0, chunk_rows=7)
-    assert got == expected(rows)
-
-
-def test_one_key_in_one_millisecond_is_split(spark):
-    rows = [tx(i, card_hash="hot", ip=f"ip{i}", ts_ms=1_700_000_000_000) for i in range(300)]
-    got = counted(frame(spark, rows), hot_limit=50, hot_fraction=1.0, chunk_rows=10)
-    assert sorted(c for c, _ in got.values()) == list(range(1, 301))
-    assert got["tx_0"][0] == 1 and got["tx_299"][0] == 300
+@pytest.mark.parametrize("block_windows", [1, 2, 4, 1000])
+def test_any_block_length_equals_one_at_a_time(spark, block_windows):
+    rows = random_rows(600, block_windows)
+    got, want = counted(frame(spark, rows), block_windows=block_windows), expected(rows)
+    assert len(got) == len(rows)
+    # Copies of a row differ in nothing, so each rule's counts are compared as a set.
+    for k in (1, 2):
+        assert sorted((x[0], x[k]) for x in got) == sorted((x[0], x[k]) for x in want)
 
 
 def test_window_is_closed_below(spark):
     t = 1_700_000_000_000
     rows = [tx(0, card_hash="a", ts_ms=t), tx(1, card_hash="a", ts_ms=t + 60_000), tx(2, card_hash="a", ts_ms=t + 60_001)]
-    assert [counted(frame(spark, rows))[f"tx_{i}"][0] for i in range(3)] == [1, 2, 2]
+    for block_windows in (1, 4):
+        assert sorted(c for _, c, _ in counted(frame(spark, rows), block_windows=block_windows)) == [1, 2, 2]
 
 
 def test_copies_of_a_row_all_count(spark):
-    rows = [tx(5, card_hash="a", ip="i")] * 40
-    for kw in ({}, dict(hot_limit=10, hot_fraction=1.0, chunk_rows=6)):
-        out = with_velocity(frame(spark, rows), **kw).collect()
-        assert sorted(r.card_n for r in out) == list(range(1, 41))
-        assert sorted(r.ip_n for r in out) == list(range(1, 41))
-
-
-def test_hot_keys_are_found_per_column(spark):
-    rows = [tx(i, card_hash="hot" if i % 2 else f"c{i}", ip=f"ip{i}") for i in range(200)]
-    found = hot_keys(frame(spark, rows), ["card_hash", "ip"], limit=50, fraction=1.0)
-    assert [r[0] for r in found["card_hash"].collect()] == ["hot"]
-    assert found["ip"] is None
+    out = with_velocity(frame(spark, [tx(5, card_hash="a", ip="i")] * 40)).collect()
+    assert sorted(r.card_n for r in out) == sorted(r.ip_n for r in out) == list(range(1, 41))
 
 
 def test_positions_are_dense_and_copies_spread(spark):
@@ -80,7 +70,10 @@ def test_positions_are_dense_and_copies_spread(spark):
     assert min(r.position for r in out if r.k == 2) == 521
 
 
-def test_plan_has_one_exchange_and_one_sort_per_rule(spark):
+def test_plan_has_one_exchange_and_one_sort_per_rule_and_no_job(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "")
     plan = with_velocity(frame(spark, [tx(1)]), (CARD,))._jdf.queryExecution().executedPlan().toString()
+    assert not tracker.getJobIdsForGroup("building")
     assert plan.count("Exchange hashpartitioning") == 1
     assert plan.count("Sort [") == 1
