@@ -1,7 +1,6 @@
 """The review queue as tables: open, resolve, list, count, export.
 
-The contract is the durable one: a transaction has one case for life. The
-capped queue that forgets is in ``replay``.
+The contract is the durable one: a transaction has one case for life.
 """
 
 from __future__ import annotations

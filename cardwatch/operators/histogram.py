@@ -50,6 +50,16 @@ def histogram(
     )
 
 
+def from_counts(counts: DataFrame, bounds: Sequence[int] = tuple(K.LATENCY_BOUNDS)) -> DataFrame:
+    """Cumulative counts of a table of counts by bucket (bucket, n), several rows of a bucket being added up."""
+    summed = counts.groupBy(F.col("bucket").cast("int").alias("bucket")).agg(F.sum("n").alias("n"))
+    running = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    zero = F.lit(0).cast("bigint")
+    return _dense(counts.sparkSession, bounds).join(summed, "bucket", "left").select(
+        "bucket", "le", F.coalesce(F.sum("n").over(running), zero).alias("cum_count"), F.coalesce(F.sum("n").over(Window.partitionBy()), zero).alias("count")
+    )
+
+
 def cumulative_buckets(counts: DataFrame, order: str = "bucket", n: str = "n") -> DataFrame:
     """Running total over an ordered bucket table (a row per bucket)."""
     running = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -103,38 +103,6 @@ def deliveries(verdict_rows: DataFrame) -> DataFrame:
     return verdict_rows.filter(is_flagged()).withColumn("again", F.explode(sends))
 
 
-def case_log(verdict_rows: DataFrame) -> DataFrame:
-    """Opens in event order and labels 90 s later, one queue per country.
-
-    One in four resolved ids is delivered again after its label, which reopens it.
-    """
-    hot = verdict_rows.filter(is_flagged())
-    third = F.col("seq") % 3 == 0
-    label = F.when(F.col("score") >= K.DECLINE_SCORE, F.lit(K.CONFIRMED_FRAUD)).otherwise(F.lit(K.FALSE_POSITIVE))
-    none = F.lit(None).cast("string")
-
-    def step(action: str, delay: int, resolution, step_no: int):
-        return F.struct(
-            F.lit(action).alias("action"),
-            (F.col("at") + delay).alias("at"),
-            resolution.alias("resolution"),
-            F.lit(step_no).alias("step"),
-        )
-
-    first = step("open", 0, none, 0)
-    done = step("resolve", 90_000, label, 1)
-    again = step("open", 120_000, none, 2)
-    steps = (
-        F.when(third & (F.col("seq") % 4 == 0), F.array(first, done, again))
-        .when(third, F.array(first, done))
-        .otherwise(F.array(first))
-    )
-    rows = hot.select(F.col("country").alias("queue_id"), "tx_id", F.col("seq").alias("_id"), F.inline(steps))
-    # Time, then event, then step: one number orders the log of a queue.
-    seq = (F.col("at") - EPOCH_MS) * 100_000_000_000 + F.col("_id") * 3 + F.col("step")
-    return rows.select("queue_id", seq.cast("bigint").alias("seq"), "action", "tx_id", "resolution", "at")
-
-
 def lag_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One fetch per event on six partitions; each seventh fetch is empty.
 

@@ -292,6 +292,7 @@ UNION ALL SELECT 'kafka_consumer_lag_total', 'gauge', '', CAST(sum(lag) AS BIGIN
         "CAST(0 AS BIGINT) AS latency_us, \"at\" FROM cases c JOIN hot h ON tx_id = id WHERE status = 'resolved'"
     ),
     "S8_case_table": _case(f"SELECT {_FLAT} FROM cases"),
+    "S8_labels_beside_stream": _case(f"SELECT {_FLAT} FROM cases"),
     "W7_approval_sample": _ver(
         "SELECT tx_id, processed_no FROM (SELECT *, row_number() OVER (ORDER BY \"at\", event_id) AS processed_no FROM v) "
         "WHERE decision = 'approve' AND processed_no % 97 = 0"
@@ -360,7 +361,7 @@ UNION ALL SELECT 'kafka_consumer_lag_total', 'gauge', '', CAST(sum(lag) AS BIGIN
         "SELECT count(*) AS processed, count(*) FILTER (decision = 'approve') AS approved, "
         "count(*) FILTER (decision = 'review') AS reviewed, count(*) FILTER (decision = 'decline') AS declined, "
         "CAST(count(*) FILTER (decision <> 'approve') AS DOUBLE) / count(*) AS flagged_rate, "
-        "count(*) FILTER (decision <> 'approve') AS open, "
+        "count(*) FILTER (decision <> 'approve') AS open, CAST(1 AS BIGINT) AS p50_us, CAST(1 AS BIGINT) AS p99_us, "
         "(SELECT string_agg(rule || '=' || fires, ',' ORDER BY rule) FROM fires) AS rule_fires FROM v"
     ),
     "S1_S7_scoring_job": _ver("SELECT tx_id, score, flags, decision, \"at\" FROM hot"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cardwatch import constants as K
 from cardwatch.functions.columns import flag_text, is_valid_resolution
 from cardwatch.functions.rules import AMOUNT, CARD_VELOCITY, GEO, IP_FANOUT, MCC
-from cardwatch.operators import audit, cases, feed, histogram, lag, lookups, metrics, replay, rollups, timeline
+from cardwatch.operators import audit, cases, feed, histogram, lag, lookups, metrics, rollups, timeline
 from cardwatch.operators.scoring import flagged
 from cardwatch.operators.velocity import CARD, IP, with_velocity
 from cardwatch.plans import fixture as X
@@ -293,11 +293,6 @@ def queue_diff(spark, d):
     return cases.queue_diff(newer, older).agg(F.count("*").alias("new_cases"))
 
 
-@query("C4_case_replay")
-def case_replay(spark, d):
-    return replay.replay(X.case_log(X.scored_verdicts(spark, d)), cap=K.QUEUE_CAP)
-
-
 @query("C5_label_export")
 def label_export(spark, d):
     rows = cases.label_export(_case_rows(spark, d))
@@ -309,6 +304,11 @@ def case_table(spark, d):
     return _flat(streams.case_table(spark, d))
 
 
+@query("S8_labels_beside_stream")
+def labels_beside_stream(spark, d):
+    return _flat(streams.labels_beside_stream(spark, d))
+
+
 # ---- feed, audits, lag -------------------------------------------------------
 
 

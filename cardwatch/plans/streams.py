@@ -14,19 +14,19 @@ from cardwatch import schemas
 from cardwatch.functions.columns import is_flagged
 from cardwatch.operators.audit import delivery_audit, window_loss_audit
 from cardwatch.plans import fixture as X
-from cardwatch.session import configure, fresh_path
+from cardwatch.session import configure, fresh_path, stage
 from cardwatch.sources.records import decode, file_records
 from cardwatch.sources.records import read_bodies as split_bodies
 from cardwatch.sources.sinks import CaseTable
 from cardwatch.streaming.job import (
     ScoringJob,
+    case_sink,
     deduplicated,
-    latest_updates,
     read_snapshot,
-    throughput_stream,
-    write_updates,
+    read_throughput,
+    write_throughput,
 )
-from cardwatch.streaming.velocity import RETENTION_MS, stream_velocity, use_rocksdb
+from cardwatch.streaming.velocity import IDLE_MS, RETENTION_MS, stream_velocity, use_rocksdb
 
 SLICES = 3
 SLICE_MS = 600_000  # the data spans about 30 minutes
@@ -37,21 +37,34 @@ def _slice(ts_ms: Column) -> Column:
     return F.least(F.floor((ts_ms - X.EPOCH_MS) / SLICE_MS), F.lit(SLICES - 1)).cast("int")
 
 
-def write_slices(rows: DataFrame, ts: Column, label: str, order: list[int] | None = None, files: int = 1) -> str:
-    """Append the slices one after the other; the file source reads oldest first."""
-    path = fresh_path(rows.sparkSession, label)
+FILES, FILE_ROWS = 4, 1_000_000  # files of a slice at least, rows of a file at most
+
+
+def write_slices(rows: DataFrame, ts: Column, label: str, order: list[int] | None = None) -> tuple[str, int]:
+    """Append the slices one after the other; the file source reads oldest first.
+
+    The rows are made once. Returns the path and the files of a slice, which
+    together are one micro-batch.
+    """
+    spark = rows.sparkSession
+    made = stage(rows.withColumn("_slice", _slice(ts)), f"{label}-made")
+    largest = max(r["count"] for r in made.groupBy("_slice").count().collect())  # one row per slice
+    files = max(FILES, -(-largest // FILE_ROWS))
+    path = fresh_path(spark, label)
     for number in order or range(SLICES):
-        part = rows.filter(_slice(ts) == number)
-        part = part.coalesce(1) if files == 1 else part.repartition(files)
-        part.write.mode("append").parquet(path)
-    return path
+        append_slice(made, number, files, path)
+    return path, files
+
 
+def append_slice(made: DataFrame, number: int, files: int, path: str) -> None:
+    made.filter(F.col("_slice") == number).drop("_slice").repartition(files).write.mode("append").parquet(path)
 
-def _record_files(spark: SparkSession, d: str, order: list[int] | None = None) -> str:
+
+def _record_files(spark: SparkSession, d: str, order: list[int] | None = None) -> tuple[str, int]:
     return write_slices(X.raw_records(spark, d), F.unix_millis("timestamp"), "records", order)
 
 
-def _job(spark: SparkSession, source: str, base: str, **options) -> ScoringJob:
+def _job(spark: SparkSession, source: tuple[str, int], base: str, **options) -> ScoringJob:
     job = ScoringJob(
         checkpoint=f"{base}/checkpoint",
         verdict_path=f"{base}/verdicts",
@@ -62,22 +75,22 @@ def _job(spark: SparkSession, source: str, base: str, **options) -> ScoringJob:
         buckets=BUCKETS,
         **options,
     )
-    raw = file_records(spark, source, max_files_per_trigger=1)
+    raw = file_records(spark, source[0], max_files_per_trigger=source[1])
     job.start(raw, availableNow=True).awaitTermination()
     return job
 
 
 def _counted(
-    spark: SparkSession, source: str, base: str, retention_ms: int | None = RETENTION_MS
+    spark: SparkSession, source: tuple[str, int], base: str, retention_ms: int | None = RETENTION_MS, idle_ms: int = IDLE_MS
 ) -> DataFrame:
     """Run the two stateful counters over record files; returns what they wrote."""
     configure(spark)
     use_rocksdb(spark)
-    raw = file_records(spark, source, max_files_per_trigger=1)
+    raw = file_records(spark, source[0], max_files_per_trigger=source[1])
     tx = decode(raw).filter("cause IS NULL").select("tx.*", F.col("offset").alias("seq"))
     tx = tx.withColumn("ts_ms", F.unix_millis("timestamp"))
     counted = stream_velocity(
-        tx.select("id", "card_hash", "ip", "ts_ms", "seq"), retention_ms=retention_ms, buckets=BUCKETS
+        tx.select("id", "card_hash", "ip", "ts_ms", "seq"), retention_ms=retention_ms, buckets=BUCKETS, idle_ms=idle_ms
     )
     (
         counted.writeStream.outputMode("append")
@@ -98,13 +111,13 @@ def velocity(spark: SparkSession, d: str) -> DataFrame:
 def expiring_velocity(spark: SparkSession, d: str) -> DataFrame:
     """Idle keys dropped as soon as their window is over: no count may change."""
     source = _record_files(spark, d)
-    return _counted(spark, source, fresh_path(spark, "expiring"), retention_ms=0).select("id", "card_n", "ip_n")
+    return _counted(spark, source, fresh_path(spark, "expiring"), retention_ms=0, idle_ms=0).select("id", "card_n", "ip_n")
 
 
 def late_velocity(spark: SparkSession, d: str) -> DataFrame:
     """The first slice arrives last: its rows are late, and scored all the same."""
     source = _record_files(spark, d, order=[1, 2, 0])
-    rows = _counted(spark, source, fresh_path(spark, "late"), retention_ms=None)
+    rows = _counted(spark, source, fresh_path(spark, "late"))
     return rows.select("id", "card_n", "ip_n")
 
 
@@ -114,13 +127,13 @@ def restart_loss(spark: SparkSession, d: str) -> DataFrame:
     Only cards that a run without a stop shows in extreme velocity count; none
     of them may have lost its window.
     """
-    rows = X.raw_records(spark, d)
     ts = F.unix_millis("timestamp")
-    source, base = fresh_path(spark, "records"), fresh_path(spark, "restart")
+    made = stage(X.raw_records(spark, d).withColumn("_slice", _slice(ts)), "records-made")
+    source, base = (fresh_path(spark, "records"), FILES), fresh_path(spark, "restart")
     for number in range(SLICES - 1):
-        rows.filter(_slice(ts) == number).coalesce(1).write.mode("append").parquet(source)
+        append_slice(made, number, FILES, source[0])
     _counted(spark, source, base)
-    rows.filter(_slice(ts) == SLICES - 1).coalesce(1).write.mode("append").parquet(source)
+    append_slice(made, SLICES - 1, FILES, source[0])
     after = _counted(spark, source, base).filter(_slice(F.col("ts_ms")) == SLICES - 1)
     warm = X.scored(spark, d).filter(_slice(F.col("ts_ms")) == SLICES - 1)
     warm = warm.filter(F.array_contains("flags", "card_velocity_extreme")).select("card_hash").distinct()
@@ -162,7 +175,7 @@ def commit_after_score(spark: SparkSession, d: str) -> DataFrame:
 def snapshot(spark: SparkSession, d: str) -> DataFrame:
     source, base = _record_files(spark, d), fresh_path(spark, "job")
     _job(spark, source, base)
-    stats, _ = read_snapshot(spark, f"{base}/snapshot", SLICES - 1)
+    stats, _ = read_snapshot(spark, f"{base}/snapshot")
     table = CaseTable(spark, f"{base}/cases")
     opened = table.read().agg(F.count_if(F.col("status") == "open").cast("bigint").alias("open"))
     fires = F.array_join(
@@ -173,27 +186,24 @@ def snapshot(spark: SparkSession, d: str) -> DataFrame:
 
 
 def throughput(spark: SparkSession, d: str) -> DataFrame:
+    """The first slice arrives last, and its seconds count all the same."""
     configure(spark)
-    source, base = _record_files(spark, d), fresh_path(spark, "rate")
-    raw = file_records(spark, source, max_files_per_trigger=1)
+    source, base = _record_files(spark, d, order=[1, 2, 0]), fresh_path(spark, "rate")
+    raw = file_records(spark, source[0], max_files_per_trigger=source[1])
     tx = decode(raw).filter("cause IS NULL").select(F.unix_millis("tx.timestamp").alias("ts_ms"))
-    write_updates(
-        throughput_stream(tx), f"{base}/rate", f"{base}/checkpoint", availableNow=True
-    ).awaitTermination()
-    return latest_updates(spark, f"{base}/rate", "second", "n")
+    write_throughput(tx, f"{base}/rate", f"{base}/checkpoint", availableNow=True).awaitTermination()
+    return read_throughput(spark, f"{base}/rate")
 
 
 def dedupe(spark: SparkSession, d: str) -> DataFrame:
-    """Flagged verdicts delivered at least once, read as one each."""
+    """Flagged verdicts delivered at least once, the oldest last, read as one each."""
     configure(spark)
     use_rocksdb(spark)
     sent = X.scored_verdicts(spark, d).filter(is_flagged())
     copies = F.when(F.col("seq") % 7 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     sent = sent.select("tx_id", "score", "at", F.explode(copies).alias("again")).drop("again")
-    source, base = write_slices(sent, F.col("at"), "verdicts"), fresh_path(spark, "dedupe")
-    stream = (
-        spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", "1").parquet(source)
-    )
+    (path, files), base = write_slices(sent, F.col("at"), "verdicts", order=[1, 2, 0]), fresh_path(spark, "dedupe")
+    stream = spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", str(files)).parquet(path)
     (
         deduplicated(stream)
         .writeStream.outputMode("append")
@@ -224,9 +234,38 @@ def read_bodies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def case_table(spark: SparkSession, d: str) -> DataFrame:
-    """Two versions of the durable table: opens, then late opens and labels."""
+    """Opens, then opens that come again with late ones, and labels."""
     verdicts = X.hot_verdicts(spark, d)
     table = CaseTable(spark, fresh_path(spark, "cases"))
-    table.commit(0, verdicts.filter(F.col("seq") % 2 == 0), order=("at", "seq"))
-    table.commit(1, verdicts, X.resolutions(verdicts), order=("at", "seq"))
+    table.add(0, verdicts.filter(F.col("seq") % 2 == 0), order=("at", "seq"))
+    table.add(1, verdicts, order=("at", "seq"))
+    table.label("analysts", X.resolutions(verdicts))
+    return table.read()
+
+
+def labels_beside_stream(spark: SparkSession, d: str) -> DataFrame:
+    """A stream opens cases, analysts label them, and the stream goes on with a fresh checkpoint.
+
+    The second run numbers its micro-batches from zero again and delivers
+    everything once more; no case may be lost, doubled or opened anew.
+    """
+    verdicts = X.hot_verdicts(spark, d)
+    labels = X.resolutions(verdicts)
+    made = stage(verdicts.withColumn("_slice", _slice(F.col("at"))), "verdicts-made")
+    source, base = fresh_path(spark, "verdicts"), fresh_path(spark, "labels")
+    table = CaseTable(spark, f"{base}/cases")
+
+    def deliver(run: str) -> None:
+        stream = spark.readStream.schema(verdicts.schema).option("maxFilesPerTrigger", str(FILES)).parquet(source)
+        writer = stream.writeStream.option("checkpointLocation", f"{base}/{run}").trigger(availableNow=True)
+        writer.foreachBatch(case_sink(table.path, run)).start().awaitTermination()
+
+    for number in range(SLICES - 1):
+        append_slice(made, number, FILES, source)
+    deliver("first")
+    table.label("morning", labels)
+    table.compact()
+    append_slice(made, SLICES - 1, FILES, source)
+    deliver("second")
+    table.label("evening", labels)
     return table.read()

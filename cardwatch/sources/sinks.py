@@ -51,111 +51,131 @@ def to_kafka(messages: DataFrame, servers: str, topic: str, **options: str) -> N
     )
 
 
-def overwrite_part(df: DataFrame, path: str, batch: int) -> None:
-    """Write one numbered part of a table; writing it again replaces it."""
-    df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+def overwrite_part(df: DataFrame, path: str, run: str, batch: int) -> None:
+    """Write one part of a table, named by the run and its micro-batch; writing it again replaces it."""
+    df.write.mode("overwrite").parquet(f"{path}/run={run}/batch={batch}")
 
 
-_COMMIT = T.StructType([T.StructField("version", T.LongType()), T.StructField("base", T.LongType())])
-_VERSIONED = T.StructType([*schemas.CASE.fields, T.StructField("version", T.LongType())])
+def run_of(spark: SparkSession, checkpoint: str) -> str:
+    """The identity of a stream's checkpoint: it lasts over restarts, and a fresh checkpoint has another."""
+    return spark.read.schema("id string").json(f"{checkpoint.rstrip('/')}/metadata").first()["id"]
 
 
-class CaseTable:
-    """Durable case table on files, in numbered versions.
+_COMMIT = "kind string, part string, base bigint"
+_PARTED = T.StructType([*schemas.CASE.fields, T.StructField("part", T.StringType())])
+
 
-    A version adds a part of opened cases and a part of resolved ones; nothing
-    already written is touched, so a version costs what it adds. ``compact``
-    folds the open cases into a base now and then, which keeps the read of the
-    queue short. A version counts once its commit row exists: a failed or
-    repeated write changes nothing, and readers never see half a version.
+class CaseTable:
+    """Durable case table on files: a log of opened cases and a log of labels.
+
+    A part of a log has a name its writer chooses, and counts once its commit
+    exists: readers never see half a part, and a repeat of a committed part is
+    known by its name and changes nothing. The two logs do not share names, so
+    a stream and analysts write side by side. Nothing written is touched again.
+    ``compact`` folds the open cases into a base now and then, which keeps the
+    read of the queue short.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
 
-    def _newest(self) -> tuple[int, int]:
-        """(version, base), -1 before the first."""
+    def _read(self, schema, path: str) -> DataFrame:
+        """The rows at a path, none before anything was written there; any other fault is raised."""
         try:
-            found = self.spark.read.schema(_COMMIT).parquet(f"{self.path}/commits/*")
-            newest = found.agg(F.max(F.struct("version", "base"))).first()[0]
-        except AnalysisException:
-            newest = None
-        return (-1, -1) if newest is None else (newest[0], newest[1])
-
-    def version(self) -> int:
-        return self._newest()[0]
-
-    def _parts(self, kind: str, after: int, upto: int) -> DataFrame:
-        """Rows of the parts numbered ``after`` < version <= ``upto``."""
-        wanted = (F.col("version") > after) & (F.col("version") <= upto)
-        try:
-            rows = self.spark.read.schema(_VERSIONED).parquet(f"{self.path}/{kind}").filter(wanted)
-        except AnalysisException:
-            return self.spark.createDataFrame([], schemas.CASE)
-        return rows.drop("version")
-
-    def _open(self, version: int, base: int) -> DataFrame:
-        rows = self._parts("base", base - 1, base).unionByName(self._parts("opened", base, version))
-        done = self._parts("resolved", base, version).select("id")
-        return rows.join(done, "id", "left_anti").select(*schemas.CASE.fieldNames())
+            return self.spark.read.schema(schema).parquet(path)
+        except AnalysisException as fault:
+            if fault.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
+
+    def _commits(self) -> DataFrame:
+        return self._read(_COMMIT, f"{self.path}/commits/*")
+
+    def _base(self) -> int:
+        newest = self._commits().filter("kind = 'base'").agg(F.max("base")).first()[0]
+        return -1 if newest is None else newest
+
+    def committed(self, kind: str, part: str | int) -> bool:
+        return not self._commits().filter((F.col("kind") == kind) & (F.col("part") == str(part))).isEmpty()
+
+    def _parts(self, kind: str, base: int | None = None) -> DataFrame:
+        """Rows of the committed parts of a log; with ``base`` only those that it does not hold."""
+        done = self._commits().filter(F.col("kind") == kind)
+        rows = self._read(_PARTED, f"{self.path}/{kind}").join(done.select("part").distinct(), "part", "left_semi")
+        if base is not None and base >= 0:
+            folded = self._commits().filter((F.col("kind") == f"folded {kind}") & (F.col("base") == base))
+            rows = rows.join(folded.select("part"), "part", "left_anti")
+        return rows.select(*schemas.CASE.fieldNames())
+
+    def _opened(self, base: int) -> DataFrame:
+        rows = self._parts("opened", base)
+        if base < 0:
+            return rows
+        held = self._read(_PARTED, f"{self.path}/base").filter(F.col("part") == str(base))
+        return held.select(*schemas.CASE.fieldNames()).unionByName(rows)
 
     def open(self) -> DataFrame:
-        return self._open(*self._newest())
+        base = self._base()
+        done = self._parts("resolved", base).select("id")
+        return self._opened(base).join(done, "id", "left_anti").select(*schemas.CASE.fieldNames())
 
     def resolved(self) -> DataFrame:
-        return self._parts("resolved", -1, self.version())
+        return self._parts("resolved")
 
     def read(self) -> DataFrame:
         return self.open().unionByName(self.resolved())
 
-    def _write(self, rows: DataFrame, kind: str, version: int) -> DataFrame:
-        path = f"{self.path}/{kind}/version={version}"
+    def _write(self, rows: DataFrame, kind: str, part: str | int) -> DataFrame:
+        path = f"{self.path}/{kind}/part={part}"
         rows.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(schemas.CASE).parquet(path)
 
-    def _commit(self, version: int, base: int) -> None:
-        row = self.spark.range(1).select(F.lit(version).alias("version"), F.lit(base).alias("base"))
-        row.select(F.col("version").cast("bigint"), F.col("base").cast("bigint")).write.mode(
-            "overwrite"
-        ).parquet(f"{self.path}/commits/v={version}")
-
-    def commit(
-        self,
-        version: int,
-        verdicts: DataFrame | None = None,
-        resolutions: DataFrame | None = None,
-        order=("at", "tx_id"),
-    ) -> bool:
-        """Open cases for new flagged verdicts, then apply labels. Once per version."""
-        before, base = self._newest()
-        if version <= before:
+    def _commit(self, name: str, rows: DataFrame) -> None:
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/{name}")
+
+    def _done(self, kind: str, part: str | int) -> None:
+        one = self.spark.range(1).select(F.lit(kind).alias("kind"), F.lit(str(part)).alias("part"), F.lit(None).cast("bigint").alias("base"))
+        self._commit(f"{kind}-{part}", one)
+
+    def add(self, part: str | int, verdicts: DataFrame, order=("at", "tx_id")) -> bool:
+        """Open cases for the flagged verdicts whose id has none; False if this part is there already."""
+        if self.committed("opened", part):
+            return False
+        # Written first, so that its size is known when the ids of the table
+        # are matched: a small batch is broadcast to them, and the table is
+        # scanned (ids only) without a shuffle.
+        offered = self._write(open_cases(verdicts, None, order), "offered", part)
+        known = self._opened(self._base()).select("id").unionByName(self._parts("resolved").select("id"))
+        again = known.join(offered.select("id"), "id", "left_semi").distinct()
+        self._write(offered.join(again, "id", "left_anti").select(*schemas.CASE.fieldNames()), "opened", part)
+        self._done("opened", part)
+        return True
+
+    def label(self, part: str | int, resolutions: DataFrame) -> bool:
+        """Apply analyst labels to the open cases; False if this part is there already."""
+        if self.committed("resolved", part):
             return False
-        if verdicts is not None:
-            offered = open_cases(verdicts, None, order)
-            if before >= 0:
-                # Written first, so that its size is known when the ids of the
-                # table are matched: a small batch is broadcast to them, and
-                # the table is scanned (ids only) without a shuffle.
-                offered = self._write(offered, "offered", version)
-                known = self._parts("base", base - 1, base).select("id")
-                known = known.unionByName(self._parts("opened", base, before).select("id"))
-                known = known.unionByName(self._parts("resolved", -1, before).select("id"))
-                again = known.join(offered.select("id"), "id", "left_semi").distinct()
-                offered = offered.join(again, "id", "left_anti").select(*schemas.CASE.fieldNames())
-            self._write(offered, "opened", version)
-        if resolutions is not None:
-            pending = self._open(version, base)
-            self._write(apply_resolutions(pending, resolutions), "resolved", version)
-        self._commit(version, base)
+        self._write(apply_resolutions(self.open(), resolutions), "resolved", part)
+        self._done("resolved", part)
         return True
 
     def compact(self) -> None:
-        """Fold the open cases of the newest version into a base."""
-        version, base = self._newest()
-        if version > base:
-            self._write(self._open(version, base), "base", version)
-            self._commit(version, version)
+        """Fold the open cases into a new base, which lists the parts that it holds."""
+        old = self._base()
+        new = old + 1
+        folded = self._commits().filter("kind in ('opened', 'resolved')").distinct()
+        named = folded.select(F.concat(F.lit("folded "), "kind").alias("kind"), "part", F.lit(new).cast("bigint").alias("base"))
+        self._commit(f"folded-{new}", named)
+        # The cases of the listed parts, no matter what was added since.
+        mine = self._commits().filter(F.col("base") == new)
+        opened, done = (
+            self._read(_PARTED, f"{self.path}/{kind}").join(mine.filter(F.col("kind") == f"folded {kind}").select("part"), "part", "left_semi")
+            for kind in ("opened", "resolved")
+        )
+        self._write(opened.join(done.select("id"), "id", "left_anti").select(*schemas.CASE.fieldNames()), "base", new)
+        one = self.spark.range(1).select(F.lit("base").alias("kind"), F.lit(str(new)).alias("part"), F.lit(new).cast("bigint").alias("base"))
+        self._commit(f"base-{new}", one)
 
 
 def status_partitioned(cases: DataFrame, path: str) -> None:

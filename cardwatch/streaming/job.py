@@ -19,10 +19,10 @@ from pyspark.sql.streaming import StreamingQuery
 from cardwatch import schemas
 from cardwatch.functions.rules import DEFAULT_RULES, Rule
 from cardwatch.operators import feed, rollups
-from cardwatch.operators.histogram import bucket_of
+from cardwatch.operators.histogram import bucket_of, from_counts, quantiles
 from cardwatch.operators.scoring import flagged, score_counted, verdict_struct
 from cardwatch.sources.records import dead_letter_struct, decode
-from cardwatch.sources.sinks import CaseTable, overwrite_part
+from cardwatch.sources.sinks import CaseTable, overwrite_part, run_of, to_kafka, verdict_messages
 from cardwatch.streaming.velocity import RETENTION_MS, STATE_BUCKETS, stream_velocity, use_rocksdb
 
 Hook = Callable[[DataFrame, int], None]
@@ -83,17 +83,22 @@ def scored_stream(
     return scored.select(F.when(good, verdict).alias("verdict"), F.when(~good, dead).alias("dead"))
 
 
-def part_sink(path: str) -> Hook:
-    return lambda rows, batch: overwrite_part(rows, path, batch)
+def part_sink(path: str, run: str) -> Hook:
+    return lambda rows, batch: overwrite_part(rows, path, run, batch)
 
 
-def case_sink(path: str) -> Hook:
+def case_sink(path: str, run: str) -> Hook:
     def write(rows: DataFrame, batch: int) -> None:
-        CaseTable(rows.sparkSession, path).commit(batch, verdicts=rows)
+        CaseTable(rows.sparkSession, path).add(f"{run}-{batch}", rows)
 
     return write
 
 
+def topic_sink(topic: str, send: Callable[[DataFrame, str], None], messages: Callable[[DataFrame], DataFrame] | None = None) -> Hook:
+    """Rows as messages of a topic; a repeated micro-batch sends them again."""
+    return lambda rows, batch: send(messages(rows) if messages else rows, topic)
+
+
 def _totals(rows: DataFrame) -> DataFrame:
     """Counters of one micro-batch: (kind, name, n). A few rows per batch."""
     bucket = F.array(
@@ -102,49 +107,43 @@ def _totals(rows: DataFrame) -> DataFrame:
     return rollups.totals(rows, bucket)
 
 
-def snapshot_sink(path: str) -> Hook:
-    """Running counters and the recent feed, one part per micro-batch.
-
-    A part holds everything so far (counters by name and the newest rows of the
-    feed), so it is built from the part before it and the batch alone.
-    """
+def snapshot_sink(path: str, run: str) -> Hook:
+    """Counters of each micro-batch and its newest feed rows; a reader adds them up, so a part needs no other."""
 
     def write(rows: DataFrame, batch: int) -> None:
-        totals = _totals(rows)
-        newest = feed.feed_rows(rows, exact=False)
-        if batch > 0:
-            spark = rows.sparkSession
-            before = spark.read.schema("kind string, name string, n bigint").parquet(
-                f"{path}/totals/batch={batch - 1}"
-            )
-            totals = (
-                totals.unionByName(before).groupBy("kind", "name").agg(F.sum("n").cast("bigint").alias("n"))
-            )
-            old = spark.read.schema(schemas.VERDICT).parquet(f"{path}/recent/batch={batch - 1}")
-            newest = newest.unionByName(old)
-        overwrite_part(totals.coalesce(1), f"{path}/totals", batch)
-        overwrite_part(feed.recent(newest), f"{path}/recent", batch)
+        overwrite_part(_totals(rows).coalesce(1), f"{path}/totals", run, batch)
+        overwrite_part(feed.recent(feed.feed_rows(rows, exact=False)), f"{path}/recent", run, batch)
 
     return write
 
 
-def read_snapshot(spark: SparkSession, path: str, batch: int) -> tuple[DataFrame, DataFrame]:
-    """(stats row, recent feed) as of a micro-batch."""
-    totals = spark.read.schema("kind string, name string, n bigint").parquet(f"{path}/totals/batch={batch}")
+def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(stats row, recent feed) of all that was scored.
 
-    fires = rollups.rule_fires_map(rollups.fires_of(totals)).withColumn("_one", F.lit(1))
-    stats = rollups.with_flagged_rate(rollups.counts_of(totals)).withColumn("_one", F.lit(1))
-    stats = stats.join(fires, "_one").drop("_one")
-    recent = spark.read.schema(schemas.VERDICT).parquet(f"{path}/recent/batch={batch}")
-    return stats, feed.recent(recent)
+    The row holds the counters, rule fires, and the p50 and p99 of the delay by
+    bucket bound, as the histogram gives them.
+    """
+    parts = spark.read.schema("kind string, name string, n bigint").parquet(f"{path}/totals")
+    totals = parts.groupBy("kind", "name").agg(F.sum("n").cast("bigint").alias("n"))
+    one = F.lit(1).alias("_one")
+    fires = rollups.rule_fires_map(rollups.fires_of(totals)).select("*", one)
+    stats = rollups.with_flagged_rate(rollups.counts_of(totals)).select("*", one)
+    hist = from_counts(totals.filter("kind = 'bucket'").select(F.col("name").alias("bucket"), "n"))
+    bound = lambda q: F.max(F.when(F.col("q") == q, F.col("bound")))
+    delays = quantiles(hist, (0.5, 0.99)).agg(bound(0.5).alias("p50_us"), bound(0.99).alias("p99_us")).select("*", one)
+    stats = stats.join(fires, "_one").join(delays, "_one").drop("_one")
+    recent = spark.read.schema(schemas.VERDICT).parquet(f"{path}/recent")
+    return stats, feed.recent(recent.select(*schemas.VERDICT.fieldNames()))
 
 
 @dataclass
 class ScoringJob:
     """Where the stream writes. A path left out switches that sink off.
 
-    ``on_flagged`` hooks get every flagged verdict of a micro-batch, and
-    ``on_scored`` hooks every verdict.
+    ``on_flagged`` hooks get every flagged verdict of a micro-batch,
+    ``on_scored`` hooks every verdict and ``on_dead`` hooks every undecodable
+    record. ``verdict_topic`` and ``dead_topic`` send the same rows to topics
+    through ``send(messages, topic)``, by default to the brokers in ``servers``.
     """
 
     checkpoint: str
@@ -154,23 +153,32 @@ class ScoringJob:
     snapshot_path: str | None = None
     on_flagged: list[Hook] = field(default_factory=list)
     on_scored: list[Hook] = field(default_factory=list)
+    on_dead: list[Hook] = field(default_factory=list)
+    verdict_topic: str | None = None
+    dead_topic: str | None = None
+    servers: str | None = None
+    send: Callable[[DataFrame, str], None] | None = None
     rules: Sequence[Rule] = DEFAULT_RULES
     bins: DataFrame | None = None
     retention_ms: int | None = RETENTION_MS
     buckets: int = STATE_BUCKETS
     wall_clock: bool = True
 
-    def _flagged_sinks(self) -> list[Hook]:
-        sinks = []
-        if self.verdict_path:
-            sinks.append(part_sink(self.verdict_path))
-        if self.case_path:
-            sinks.append(case_sink(self.case_path))
-        return [*sinks, *self.on_flagged]
-
-    def _scored_sinks(self) -> list[Hook]:
-        sinks = [snapshot_sink(self.snapshot_path)] if self.snapshot_path else []
-        return [*sinks, *self.on_scored]
+    def __post_init__(self) -> None:
+        if self.send is None and (self.verdict_topic or self.dead_topic):
+            if not self.servers:
+                raise ValueError("a topic needs servers or a send function")
+            self.send = lambda messages, topic: to_kafka(messages, self.servers, topic)
+
+    def _sinks(self, run: str) -> tuple[list[Hook], list[Hook], list[Hook]]:
+        """Sinks of scored, flagged and undecodable rows."""
+        scored = [snapshot_sink(self.snapshot_path, run)] if self.snapshot_path else []
+        hot = [part_sink(self.verdict_path, run)] if self.verdict_path else []
+        hot += [case_sink(self.case_path, run)] if self.case_path else []
+        hot += [topic_sink(self.verdict_topic, self.send, verdict_messages)] if self.verdict_topic else []
+        dead = [part_sink(self.dead_path, run)] if self.dead_path else []
+        dead += [topic_sink(self.dead_topic, self.send)] if self.dead_topic else []
+        return [*scored, *self.on_scored], [*hot, *self.on_flagged], [*dead, *self.on_dead]
 
     def handle(self, rows: DataFrame, batch: int) -> None:
         """Write one micro-batch to every sink; an error leaves it uncommitted.
@@ -181,11 +189,9 @@ class ScoringJob:
         rows.count()  # run the stateful part once, before the sinks share it
         scored = rows.filter("verdict IS NOT NULL").select("verdict.*")
         hot = flagged(scored)
-        writes = [(sink, scored) for sink in self._scored_sinks()]
-        writes += [(sink, hot) for sink in self._flagged_sinks()]
-        if self.dead_path:
-            dead = rows.filter("dead IS NOT NULL").select("dead.*")
-            writes.append((part_sink(self.dead_path), dead))
+        dead = rows.filter("dead IS NOT NULL").select("dead.*")
+        on_scored, on_flagged, on_dead = self._sinks(run_of(rows.sparkSession, self.checkpoint))
+        writes = [*((x, scored) for x in on_scored), *((x, hot) for x in on_flagged), *((x, dead) for x in on_dead)]
         try:
             if writes:
                 with ThreadPoolExecutor(len(writes)) as pool:
@@ -207,36 +213,36 @@ class ScoringJob:
         )
 
 
-def deduplicated(verdict_stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """One verdict per id on a stream of verdicts.
+def deduplicated(verdict_stream: DataFrame, keep: str = "7 days") -> DataFrame:
+    """One verdict per id on a stream of verdicts, however late it comes.
 
-    For consumers, after scoring: a repeated transaction must still advance
-    the windows.
+    Ids stay in state for ``keep`` of processing time: the watermark runs on
+    the time of arrival, so no row is ever late, and an id that comes again
+    after that passes once more. For consumers, after scoring: a repeated
+    transaction must still advance the windows.
     """
-    timed = verdict_stream.withColumn("_time", F.timestamp_millis("at"))
-    return timed.withWatermark("_time", delay).dropDuplicatesWithinWatermark(["tx_id"]).drop("_time")
+    arrived = verdict_stream.withColumn("_arrived", F.current_timestamp())
+    return arrived.withWatermark("_arrived", keep).dropDuplicatesWithinWatermark(["tx_id"]).drop("_arrived")
+
 
+def per_second(tx: DataFrame) -> DataFrame:
+    return tx.groupBy(F.floor(F.col("ts_ms") / 1000).cast("bigint").alias("second")).agg(F.count("*").alias("n"))
 
-def throughput_stream(tx: DataFrame, delay: str = "1 minute") -> DataFrame:
-    """Transactions per second of event time. A query of its own, so its watermark
-    cannot touch the scoring state."""
-    timed = tx.withColumn("_time", F.timestamp_millis("ts_ms")).withWatermark("_time", delay)
-    per_second = timed.groupBy(F.window("_time", "1 second").alias("w")).agg(F.count("*").alias("n"))
-    return per_second.select((F.unix_millis("w.start") / 1000).cast("bigint").alias("second"), "n")
 
+def write_throughput(tx: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Transactions per second of event time, counted by micro-batch; ``read_throughput`` adds the parts up, so no row is too late."""
+
+    def write(rows: DataFrame, batch: int) -> None:
+        overwrite_part(per_second(rows), path, run_of(rows.sparkSession, checkpoint), batch)
 
-def write_updates(rows: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Write an aggregate in update mode, one part per micro-batch."""
     return (
-        rows.writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .foreachBatch(part_sink(path))
+        tx.writeStream.option("checkpointLocation", checkpoint)
+        .foreachBatch(write)
         .trigger(**(trigger or {"processingTime": "1 second"}))
         .start()
     )
 
 
-def latest_updates(spark: SparkSession, path: str, key: str, value: str) -> DataFrame:
-    """The newest value per key among the parts of ``write_updates``."""
-    return spark.read.parquet(path).groupBy(key).agg(F.max_by(value, "batch").alias(value))
-
+def read_throughput(spark: SparkSession, path: str) -> DataFrame:
+    parts = spark.read.schema("second bigint, n bigint").parquet(path)
+    return parts.groupBy("second").agg(F.sum("n").cast("bigint").alias("n"))

@@ -32,6 +32,10 @@ from cardwatch.operators.velocity import CARD, IP, WindowRule
 # Fixed value: ten minutes.
 RETENTION_MS = 600_000
 
+# A key must also have had no row for so long by the clock. Rows that are late
+# within this time are counted alike, however keys share buckets.
+IDLE_MS = 600_000
+
 # Buckets of keys per rule. Several per core of the cluster; fixed for the life
 # of a checkpoint, because the state is stored per bucket.
 STATE_BUCKETS = 256
@@ -39,21 +43,28 @@ STATE_BUCKETS = 256
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 _STATE = T.StructType([T.StructField("ticks", T.BinaryType())])
-_TICKS = ["key", "ms", "n"]
+_TICKS = ["key", "ms", "n", "seen"]
 
 
 def empty_ticks() -> pd.DataFrame:
-    return pd.DataFrame({"key": pd.Series(dtype=object), "ms": np.zeros(0, "i8"), "n": np.zeros(0, "i8")})
+    return pd.DataFrame({"key": pd.Series(dtype=object), "ms": np.zeros(0, "i8"), "n": np.zeros(0, "i8"), "seen": np.zeros(0, "i8")})
 
 
 def count_arrivals(
-    held: pd.DataFrame, keys: pd.Series, times: np.ndarray, window_ms: int, horizon: int | None = None
+    held: pd.DataFrame,
+    keys: pd.Series,
+    times: np.ndarray,
+    window_ms: int,
+    horizon: int | None = None,
+    now: int = 0,
+    idle_ms: int = 0,
 ) -> tuple[np.ndarray, pd.DataFrame]:
     """Count one micro-batch of a bucket.
 
-    ``held`` is the state (key, ms, n). ``keys`` and ``times`` are the rows,
-    times ascending within a key. Returns the count per row and the new state,
-    without the keys whose newest tick is before ``horizon``.
+    ``held`` is the state (key, ms, n, seen). ``keys`` and ``times`` are the
+    rows, times ascending within a key. Returns the count per row and the new
+    state, without the keys whose newest tick is before ``horizon`` and that
+    had no row since ``now - idle_ms``.
     """
     size = len(held)
     codes, names = pd.factorize(pd.concat([held["key"], keys], ignore_index=True))
@@ -83,16 +94,22 @@ def count_arrivals(
     np.maximum.at(cut, code, when - window_ms)
     newest = np.full(len(names), np.iinfo("i8").min)
     np.maximum.at(newest, owner, at)
+    seen = np.full(len(names), np.iinfo("i8").min)
+    np.maximum.at(seen, codes[:size], held["seen"].to_numpy("i8"))
+    seen[codes[size:]] = now
     live = at >= cut[owner]
     if horizon is not None:
-        live &= newest[owner] >= horizon
-    kept = pd.DataFrame({"key": np.asarray(names, dtype=object)[owner[live]], "ms": at[live], "n": n[live]})
+        live &= (newest[owner] >= horizon) | (seen[owner] > now - idle_ms)
+    kept = pd.DataFrame({"key": np.asarray(names, dtype=object)[owner[live]], "ms": at[live], "n": n[live], "seen": seen[owner[live]]})
     return counts, kept
 
 
 def _pack(ticks: pd.DataFrame) -> bytes:
     table = pa.table(
-        {"key": pa.array(ticks["key"], pa.string()).dictionary_encode(), "ms": ticks["ms"], "n": ticks["n"]}
+        {
+            "key": pa.array(ticks["key"], pa.string()).dictionary_encode(),
+            **{name: pa.array(ticks[name], pa.int64()) for name in _TICKS[1:]},
+        }
     )
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as writer:
@@ -110,12 +127,18 @@ class WindowCounter(StatefulProcessor):
     """Adds the window count to every row of a bucket."""
 
     def __init__(
-        self, rule: WindowRule, columns: Sequence[str], retention_ms: int | None, skip: str | None = None
+        self,
+        rule: WindowRule,
+        columns: Sequence[str],
+        retention_ms: int | None,
+        skip: str | None = None,
+        idle_ms: int = IDLE_MS,
     ):
         self.rule = rule
         self.columns = list(columns)
         self.retention_ms = retention_ms
         self.skip = skip
+        self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.ticks = handle.getValueState("ticks", _STATE)
@@ -134,11 +157,11 @@ class WindowCounter(StatefulProcessor):
         state = self.ticks.get()
         held = empty_ticks() if state is None else _unpack(bytes(state[0]))
         times = batch["ts_ms"].to_numpy("i8")
-        horizon = None
+        horizon, now = None, int(time.time() * 1000)
         if self.retention_ms is not None:
             newest = max(int(times[-1]), int(held["ms"].max()) if len(held) else int(times[-1]))
-            horizon = min(newest, int(time.time() * 1000)) - max(self.retention_ms, self.rule.window_ms)
-        counts, kept = count_arrivals(held, batch[self.rule.key], times, self.rule.window_ms, horizon)
+            horizon = min(newest, now) - max(self.retention_ms, self.rule.window_ms)
+        counts, kept = count_arrivals(held, batch[self.rule.key], times, self.rule.window_ms, horizon, now, self.idle_ms)
         self.ticks.update((_pack(kept),))
         return counts
 
@@ -152,6 +175,7 @@ def stream_velocity(
     retention_ms: int | None = RETENTION_MS,
     buckets: int = STATE_BUCKETS,
     skip: str | None = None,
+    idle_ms: int = IDLE_MS,
 ) -> DataFrame:
     """Add one window count per rule to a stream of transactions.
 
@@ -172,7 +196,7 @@ def stream_velocity(
             tx.withColumn("_bucket", bucket)
             .groupBy("_bucket")
             .transformWithStateInPandas(
-                WindowCounter(rule, tx.columns, retention_ms, skip),
+                WindowCounter(rule, tx.columns, retention_ms, skip, idle_ms),
                 outputStructType=out,
                 outputMode="append",
                 timeMode="None",

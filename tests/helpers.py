@@ -9,8 +9,8 @@ TX = "id string, card_bin string, card_hash string, amount double, currency stri
 
 def tx(i, **over):
     row = dict(
-        id=f"tx_{i}", card_bin="520082", card_hash=f"tok_{i}", amount=49.9, currency="SEK", country="SE",
-        ip=f"10.0.{i // 200}.{i % 200}", merchant_id="m_001", mcc="5411", ts_ms=1_700_000_000_000 + i, seq=i,
+        id=f"tx_{i}", card_bin="510510", card_hash=f"card-{i}", amount=31.25, currency="EUR", country="DE",
+        ip=f"172.16.{i // 200}.{i % 200}", merchant_id="shop", mcc="5943", ts_ms=1_700_000_000_000 + i, seq=i,
     )
     row.update(over)
     return row

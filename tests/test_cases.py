@@ -1,9 +1,7 @@
-import random
-
 import pytest
 from helpers import verdict, verdicts
 
-from cardwatch.operators import cases, replay
+from cardwatch.operators import cases
 from cardwatch.session import fresh_path
 from cardwatch.sources.sinks import CaseTable, status_partitioned
 
@@ -15,34 +13,34 @@ def labels(spark, rows):
 
 
 def test_open_list_resolve(spark):
-    opened = cases.open_cases(verdicts(spark, [verdict("tx_1", 50, 1), verdict("tx_2", 90, 2), verdict("tx_3", 0, 3)]))
-    assert [r.id for r in cases.review_queue(opened).collect()] == ["tx_2", "tx_1"]
+    opened = cases.open_cases(verdicts(spark, [verdict("k7", 47, 1), verdict("k8", 83, 2), verdict("k9", 12, 3)]))
+    assert [r.id for r in cases.review_queue(opened).collect()] == ["k8", "k7"]
     sent = labels(
         spark,
         [
-            ("tx_1", "false_positive", 10, "ana", 1),
-            ("tx_1", "confirmed_fraud", 11, "ana", 2),
-            ("tx_2", "maybe", 12, "ana", 3),
-            ("tx_9", "confirmed_fraud", 13, "ana", 4),
+            ("k7", "false_positive", 10, "ana", 1),
+            ("k7", "confirmed_fraud", 11, "ana", 2),
+            ("k8", "maybe", 12, "ana", 3),
+            ("k5", "confirmed_fraud", 13, "ana", 4),
         ],
     )
     table = cases.resolve_cases(opened, sent)
     assert tuple(cases.case_counts(table).first()) == (1, 0, 1)
     why = {(r.id, r.seq): r.reason for r in cases.rejected_resolutions(opened, sent).collect()}
     assert why == {
-        ("tx_1", 2): cases.NOT_OPEN,
-        ("tx_2", 3): cases.INVALID,
-        ("tx_9", 4): cases.NOT_OPEN,
+        ("k7", 2): cases.NOT_OPEN,
+        ("k8", 3): cases.INVALID,
+        ("k5", 4): cases.NOT_OPEN,
     }
     export = cases.label_export(table).collect()
-    assert [(r.tx_id, r.resolution, r.score) for r in export] == [("tx_1", "false_positive", 50)]
-    assert [r.id for r in cases.list_cases(table, "resolved").collect()] == ["tx_1"]
-    assert [r.id for r in cases.list_cases(table, "anything").collect()] == ["tx_2"]
+    assert [(r.tx_id, r.resolution, r.score) for r in export] == [("k7", "false_positive", 47)]
+    assert [r.id for r in cases.list_cases(table, "resolved").collect()] == ["k7"]
+    assert [r.id for r in cases.list_cases(table, "anything").collect()] == ["k8"]
 
 
 def test_first_verdict_wins(spark):
-    df = verdicts(spark, [verdict("tx_dup", 90, 2), verdict("tx_dup", 50, 1)])
-    assert [(r.id, r.score) for r in cases.open_cases(df).collect()] == [("tx_dup", 50)]
+    df = verdicts(spark, [verdict("twin", 71, 8), verdict("twin", 62, 4)])
+    assert [(r.id, r.score) for r in cases.open_cases(df).collect()] == [("twin", 62)]
 
 
 def test_queue_order_and_caps(spark):
@@ -58,104 +56,41 @@ def rows_of(table):
     return sorted((r.id, r.status, r.resolution, r.score) for r in table.read().collect())
 
 
-def test_case_table_versions(spark):
+def test_stream_and_analysts_write_side_by_side(spark):
     table = CaseTable(spark, fresh_path(spark, "table"))
-    assert table.version() == -1 and table.read().count() == 0
-    assert table.commit(0, verdicts(spark, [verdict("a", 50, 1), verdict("b", 80, 2)]))
-    # A repeated batch changes nothing, whatever it holds.
-    assert not table.commit(0, verdicts(spark, [verdict("z", 50, 9)]))
-    table.commit(1, verdicts(spark, [verdict("a", 99, 3), verdict("c", 40, 4)]), labels(spark, [("b", "confirmed_fraud", 5, "x", 1)]))
-    want = [("a", "open", None, 50), ("b", "resolved", "confirmed_fraud", 80), ("c", "open", None, 40)]
+    assert table.read().count() == 0
+    assert table.add("run1-0", verdicts(spark, [verdict("p", 55, 1), verdict("q", 81, 2)]))
+    # A repeated part changes nothing, whatever it holds; a label part may have any name.
+    assert not table.add("run1-0", verdicts(spark, [verdict("z", 51, 9)]))
+    assert table.label("run1-0", labels(spark, [("q", "confirmed_fraud", 5, "x", 1)]))
+    assert not table.label("run1-0", labels(spark, [("p", "confirmed_fraud", 5, "x", 1)]))
+    table.add("run1-1", verdicts(spark, [verdict("p", 97, 3), verdict("r", 43, 4)]))
+    want = [("p", "open", None, 55), ("q", "resolved", "confirmed_fraud", 81), ("r", "open", None, 43)]
     assert rows_of(table) == want
     table.compact()
     assert rows_of(table) == want
-    # One case for life: a replay after the label does not reopen it.
-    table.commit(2, verdicts(spark, [verdict("b", 80, 6), verdict("d", 41, 7)]), labels(spark, [("c", "false_positive", 8, "x", 2)]))
+    # One case for life: a fresh run numbers from zero, and a replay after the label does not reopen.
+    table.add("run2-0", verdicts(spark, [verdict("q", 81, 6), verdict("s", 44, 7)]))
+    table.label("later", labels(spark, [("r", "false_positive", 8, "x", 2), ("q", "false_positive", 9, "x", 3)]))
+    table.compact()
     assert rows_of(table) == [
-        ("a", "open", None, 50),
-        ("b", "resolved", "confirmed_fraud", 80),
-        ("c", "resolved", "false_positive", 40),
-        ("d", "open", None, 41),
+        ("p", "open", None, 55),
+        ("q", "resolved", "confirmed_fraud", 81),
+        ("r", "resolved", "false_positive", 43),
+        ("s", "open", None, 44),
     ]
-    assert sorted(r.id for r in table.open().collect()) == ["a", "d"]
+    assert sorted(r.id for r in table.open().collect()) == ["p", "s"]
     path = fresh_path(spark, "by-status")
     status_partitioned(table.read(), path)
     assert spark.read.parquet(path).filter("status = 'open'").count() == 2
 
 
-def test_a_half_written_version_is_not_seen(spark):
+def test_half_written_parts_are_not_seen_and_faults_are_raised(spark):
     table = CaseTable(spark, fresh_path(spark, "table"))
-    table.commit(0, verdicts(spark, [verdict("a", 50, 1)]))
+    table.add(0, verdicts(spark, [verdict("p", 52, 1)]))
     table._write(cases.open_cases(verdicts(spark, [verdict("lost", 50, 2)])), "opened", 1)
-    assert [r.id for r in table.read().collect()] == ["a"]
-    table.commit(1, verdicts(spark, [verdict("b", 50, 3)]))
-    assert sorted(r.id for r in table.read().collect()) == ["a", "b"]
-
-
-# ---- the capped queue --------------------------------------------------------
-
-
-def model(log, cap):
-    """The rules of the capped queue, written out plainly."""
-    is_open, line, lives = {}, [], []
-    for queue_seq, action, tx, resolution, at in log:
-        if action == "open" and tx not in is_open:
-            is_open[tx] = (queue_seq, at)
-            line.append(tx)
-            while len(is_open) > cap and line:
-                first = line.pop(0)
-                if first in is_open:
-                    lives.append((first, *is_open.pop(first), "evicted", None, queue_seq, at))
-        elif action == "resolve" and tx in is_open:
-            lives.append((tx, *is_open.pop(tx), "resolved", resolution, queue_seq, at))
-    return lives + [(tx, *v, "open", None, None, None) for tx, v in is_open.items()]
-
-
-LOG = "queue_id string, seq bigint, action string, tx_id string, resolution string, at bigint"
-
-
-def play(spark, queues, cap, **kw):
-    rows = [(q, *step[:2], step[2], step[3], step[4]) for q, steps in queues.items() for step in steps]
-    return replay.replay(spark.createDataFrame(rows, LOG), cap, **kw)
-
-
-def lives(df):
-    names = ["tx_id", "open_seq", "opened_at", "status", "resolution", "closed_seq", "closed_at"]
-    out = {}
-    for r in df.collect():
-        out.setdefault(r.queue_id, []).append(tuple(r[n] for n in names))
-    return {q: sorted(v, key=str) for q, v in out.items()}
-
-
-def test_reopened_after_a_label(spark):
-    steps = [(1, "open", "a", None, 1), (2, "resolve", "a", "false_positive", 2), (3, "open", "a", None, 3)]
-    counts = replay.replay_counts(play(spark, {"q": steps}, 9)).first()
-    assert tuple(counts) == ("q", 1, 0, 0, 1)
-
-
-def test_cap_keeps_the_newest(spark):
-    steps = [(i, "open", x, None, i) for i, x in enumerate("abcde")]
-    out = lives(play(spark, {"q": steps}, 3))["q"]
-    assert sorted(x[0] for x in out if x[3] == "open") == ["c", "d", "e"]
-
-
-def test_history_cap_leaves_the_totals(spark):
-    steps = []
-    for i in range(6):
-        steps += [(2 * i, "open", f"t{i}", None, i), (2 * i + 1, "resolve", f"t{i}", "confirmed_fraud", i)]
-    played = play(spark, {"q": steps}, 3)
-    assert replay.replay_counts(played).first().confirmed_fraud == 6
-    assert sorted(r.tx_id for r in replay.replay_history(played, 3).collect()) == ["t3", "t4", "t5"]
-
-
-@pytest.mark.parametrize("round_rows", [10_000, 40])
-def test_random_logs(spark, round_rows):
-    rnd = random.Random(5)
-    queues = {}
-    for q, size in (("long", 260), ("short", 30), ("mid", 90)):
-        queues[q] = [
-            (i * 3, rnd.choice(["open", "open", "resolve"]), f"t{rnd.randrange(12)}", rnd.choice(["confirmed_fraud", "false_positive"]), i)
-            for i in range(size)
-        ]
-    got = lives(play(spark, queues, 4, round_rows=round_rows))
-    assert got == {q: sorted(model(s, 4), key=str) for q, s in queues.items()}
+    assert [r.id for r in table.read().collect()] == ["p"]
+    table.add(1, verdicts(spark, [verdict("q", 53, 3)]))
+    assert sorted(r.id for r in table.read().collect()) == ["p", "q"]
+    with pytest.raises(Exception):  # noqa: B017  any fault but a missing path
+        CaseTable(spark, "nosuchscheme://x")._commits()
