@@ -202,6 +202,11 @@ ORACLES: dict[str, str] = {
     "P6_score_flags": _ver(
         "SELECT tx_id, score, CASE WHEN flags = '' THEN 'clean' ELSE replace(flags, ',', ', ') END AS flags FROM v"
     ),
+    "U1_own_rules": _ver(
+        "SELECT tx_id, s AS score, CASE WHEN s >= 70 THEN 'decline' WHEN s >= 40 THEN 'review' ELSE 'approve' END AS decision, "
+        "amount >= 1000 AS modelled FROM (SELECT *, CAST(score + CASE WHEN amount >= 1000 THEN 7 ELSE 0 END AS INT) AS s FROM v)"
+    ),
+    "S6_keyed_files": _tx("SELECT id, card_hash, amount, ts_ms FROM tx"),
     "P7_decide": _ver("SELECT tx_id, decision FROM v"),
     "P8_verdicts": _ver(
         "SELECT tx_id, card_bin, amount, currency, country, score, flags, decision, "

@@ -4,19 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardwatch import constants as K
 from cardwatch.functions.columns import flag_text, is_valid_resolution
-from cardwatch.functions.rules import AMOUNT, CARD_VELOCITY, GEO, IP_FANOUT, MCC
+from cardwatch.functions.rules import AMOUNT, CARD_VELOCITY, DEFAULT_RULES, GEO, IP_FANOUT, MCC, Rule
 from cardwatch.operators import audit, cases, feed, histogram, lag, lookups, metrics, rollups, timeline
-from cardwatch.operators.scoring import flagged
+from cardwatch.operators.scoring import flagged, score, verdicts
 from cardwatch.operators.velocity import CARD, IP, with_velocity
 from cardwatch.plans import fixture as X
 from cardwatch.plans import streams
+from cardwatch.session import fresh_path, stage
 from cardwatch.sources import records
-from cardwatch.sources.sinks import transaction_messages, verdict_messages
+from cardwatch.sources.sinks import transaction_messages, verdict_messages, write_keyed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -88,6 +90,26 @@ def score_flags(spark, d):
     return X.scored_verdicts(spark, d).select("tx_id", "score", flag_text(F.col("flags")).alias("flags"))
 
 
+@query("U1_own_rules")
+def own_rules(spark, d):
+    """The chain with one rule more, its points a Pandas UDF column as a model would give them."""
+
+    @F.pandas_udf("int")
+    def model(amount: pd.Series) -> pd.Series:
+        return (amount >= 1000).astype("int32") * 7
+
+    own = Rule("model", lambda: model(F.col("amount")), lambda: F.lit("model_high"))
+    rows = verdicts(score(X.transactions(spark, d), (*DEFAULT_RULES, own)))
+    return rows.select("tx_id", "score", "decision", F.array_contains("flags", "model_high").alias("modelled"))
+
+
+@query("S6_keyed_files")
+def keyed_files(spark, d):
+    path = fresh_path(spark, "keyed")
+    write_keyed(X.transactions(spark, d), path)
+    return spark.read.parquet(path).select("id", "card_hash", "amount", "ts_ms")
+
+
 @query("P7_decide")
 def decisions(spark, d):
     return X.scored_verdicts(spark, d).select("tx_id", "decision")
@@ -162,7 +184,8 @@ def throughput(spark, d):
 
 @query("W5_rate_delta")
 def rate_delta(spark, d):
-    snapshots = timeline.running_total(timeline.throughput(X.transactions(spark, d)))
+    series = stage(timeline.throughput(X.transactions(spark, d)), "series")
+    snapshots = timeline.running_total(series)
     return timeline.rate_delta(snapshots).select("second", "processed", "rate")
 
 
@@ -324,7 +347,7 @@ def approval_sample_by_id(spark, d):
 
 @query("L3_recent_feed")
 def recent_feed(spark, d):
-    rows = feed.recent(feed.feed_rows(X.scored_verdicts(spark, d)))
+    rows = feed.newest_feed(X.scored_verdicts(spark, d))
     return rows.select("tx_id", "score", "decision", "at", flag_text(F.col("flags")).alias("flags"))
 
 
