@@ -66,7 +66,7 @@ def copied(spark: SparkSession, d: str, copies: int) -> DataFrame:
 def stream_rate(spark: SparkSession, d: str, copies: int, files: int) -> tuple[int, float]:
     """Rows and seconds of the whole scoring job over record files, every sink on."""
     records = fixture.records_of(copied(spark, d, copies), F.col("seq") % 6)
-    source = streams.write_slices(records, F.unix_millis("timestamp"), "bench-records", files=files)
+    source, files = streams.write_slices(records, F.unix_millis("timestamp"), "bench-records", least=files)
     base = fresh_path(spark, "bench")
     job = ScoringJob(
         checkpoint=f"{base}/checkpoint",

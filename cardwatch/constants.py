@@ -48,14 +48,10 @@ QUANTILE_OVERFLOW = -1
 
 # Sizes of the feed, the queue and the rate history.
 FEED_SIZE = 64
-FEED_SHOWN = 14
 APPROVAL_EVERY = 97
 QUEUE_LIMIT = 50
-QUEUE_SHOWN = 8
 QUEUE_CAP = 200
 RATE_HISTORY = 90
 
 # Topic names.
 TX_TOPIC = "transactions"
-DLQ_TOPIC = "transactions.dlq"
-VERDICT_TOPIC = "verdicts"

@@ -22,12 +22,14 @@ def mcc_table(spark: SparkSession) -> DataFrame:
 def with_issuer(tx: DataFrame, bins: DataFrame | None = None) -> DataFrame:
     """Left lookup of the issuer country; an unknown BIN gets null.
 
-    The built-in table is broadcast because its size is fixed. A table passed
-    in must hold one row per BIN, and Spark sizes it before choosing the join.
+    The built-in table is broadcast because its size is fixed. Spark sizes a
+    table passed in before it chooses the join. Of a repeated BIN there the
+    smallest country counts, so a lookup never multiplies transactions.
     """
     if bins is None:
         return tx.join(F.broadcast(bin_table(tx.sparkSession)), "card_bin", "left")
-    return tx.join(bins.select("card_bin", "issuer"), "card_bin", "left")
+    one = bins.groupBy("card_bin").agg(F.min("issuer").alias("issuer"))
+    return tx.join(one, "card_bin", "left")
 
 
 def in_high_risk_mcc(tx: DataFrame, mccs: DataFrame | None = None) -> DataFrame:

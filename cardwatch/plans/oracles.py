@@ -21,8 +21,8 @@ tx AS (
     END AS country,
     CASE WHEN k < 6 THEN '10.9.9.9'
          ELSE '10.' || (user_id % 7) || '.' || user_id || '.' || (event_id % 2) END AS ip,
-    'm_' || (event_id % 400) AS merchant_id,
-    (['5411','5812','5732','4111','5999','7995','6051','4829'])[k % 8 + 1] AS mcc, ts_ms
+    'shop-' || (event_id % 250) AS merchant_id,
+    (['5942','7832','5541','5651','8062','7995','6051','4829'])[k % 8 + 1] AS mcc, ts_ms
   FROM b),
 bins(bin, issuer) AS (VALUES ('411111','US'), ('455673','GB'), ('510510','DE'), ('520082','SE'),
   ('530127','SE'), ('601100','US'), ('356600','JP'), ('627780','BR'), ('506699','NG'))

@@ -40,7 +40,7 @@ def _slice(ts_ms: Column) -> Column:
 FILES, FILE_ROWS = 4, 1_000_000  # files of a slice at least, rows of a file at most
 
 
-def write_slices(rows: DataFrame, ts: Column, label: str, order: list[int] | None = None) -> tuple[str, int]:
+def write_slices(rows: DataFrame, ts: Column, label: str, order: list[int] | None = None, least: int = FILES) -> tuple[str, int]:
     """Append the slices one after the other; the file source reads oldest first.
 
     The rows are made once. Returns the path and the files of a slice, which
@@ -49,7 +49,7 @@ def write_slices(rows: DataFrame, ts: Column, label: str, order: list[int] | Non
     spark = rows.sparkSession
     made = stage(rows.withColumn("_slice", _slice(ts)), f"{label}-made")
     largest = max(r["count"] for r in made.groupBy("_slice").count().collect())  # one row per slice
-    files = max(FILES, -(-largest // FILE_ROWS))
+    files = max(least, -(-largest // FILE_ROWS))
     path = fresh_path(spark, label)
     for number in order or range(SLICES):
         append_slice(made, number, files, path)

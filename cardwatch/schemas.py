@@ -61,12 +61,3 @@ RAW_RECORD = T.StructType(
         T.StructField("timestamp", T.TimestampType()),
     ]
 )
-
-LAG_OBSERVATION = T.StructType(
-    [
-        T.StructField("partition", T.IntegerType()),
-        T.StructField("seq", T.LongType()),
-        T.StructField("high_watermark", T.LongType()),
-        T.StructField("last_offset", T.LongType()),
-    ]
-)
