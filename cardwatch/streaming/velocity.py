@@ -186,6 +186,11 @@ def stream_velocity(
     the buckets by ``seq``.
     """
     tx = tx.fillna("", [r.key for r in rules])
+    schema = tx.schema
+    # Python reads what it counts by; all other columns cross as one string.
+    read = list(dict.fromkeys([*(r.key for r in rules), "ts_ms", "seq", *([skip] if skip else [])]))
+    rest = [f for f in schema.fields if f.name not in read]
+    tx = tx.select(*read, F.to_json(F.struct(*[f.name for f in rest]), {"ignoreNullFields": "true"}).alias("carried"))
     for rule in rules:
         out = T.StructType([*tx.schema.fields, T.StructField(rule.out, T.LongType())])
         spread = F.xxhash64(rule.key)
@@ -202,7 +207,9 @@ def stream_velocity(
                 timeMode="None",
             )
         )
-    return tx
+    whole = tx.withColumn("carried", F.from_json("carried", T.StructType(rest)))
+    counted = [r.out for r in rules]
+    return whole.select(*[F.col(n) if n in read else F.col("carried")[n].alias(n) for n in schema.names], *counted)
 
 
 def use_rocksdb(spark) -> None:
