@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from cardwatch.llm.words import MARKS, Words, slices
+from cardwatch.llm.words import MARKS, Words, in_batches, slices
 from cardwatch.session import stage
 
 #: Hashed terms, dimensions of the latent space, and further random directions.
@@ -134,7 +134,7 @@ class LatentSpace:
     @staticmethod
     def fit(docs: DataFrame) -> LatentSpace:
         """The space of all passages of ``docs`` (text): every word of every row counts."""
-        stored = stage(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_stored, "terms binary"), "terms")
+        stored = stage(in_batches(docs).select(F.col("text").cast("string").alias("text")).mapInArrow(_stored, "terms binary"), "terms")
         counts = np.zeros(TERMS)
         for row in stored.mapInArrow(_counted, "term int, words long").groupBy("term").agg(F.sum("words").alias("words")).collect():
             counts[row["term"]] = row["words"]

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cardwatch.llm.words import in_batches
+
 #: Elements that end the line before them and the one they hold.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -192,7 +194,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     empty text. Every row is treated by itself, so repeated rows repeat; null
     ids and urls stay null; other columns are not read.
     """
-    given = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
+    given = in_batches(pages).select("page_id", "url", F.col("html").cast("string").alias("html"))
     kinds = dict(given.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

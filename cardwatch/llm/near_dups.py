@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardwatch.llm.components import components
-from cardwatch.llm.words import distinct_per_text, mix, shingle_hashes, slices
+from cardwatch.llm.words import distinct_per_text, in_batches, mix, shingle_hashes, slices
 from cardwatch.session import stage
 
 WIDTH = 5
@@ -163,6 +163,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     no link and keeps a null component and ``kept`` true. Other columns are not
     read. An empty table gives no rows.
     """
+    docs = in_batches(docs)
     found = stage(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .mapInArrow(_signatures, "doc_id long, n_shingles long, p1 long, p2 long, sketch array<long>"),

@@ -21,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cardwatch.llm.words import in_batches
 from cardwatch.session import stage
 
 LENGTH, END_ID = 2048, 0
 #: Pieces in a block, islands of a block, packings of an island, epochs, children of an epoch.
 BLOCK_ROWS, ISLANDS, POPULATION, EPOCHS, CHILDREN = 4096, 3, 4, 3, 6
 #: Words whose ids a worker keeps.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 250_000
 #: Texts tokenized at once, in bytes.
 SLICE_BYTES = 1 << 22
 
@@ -239,7 +240,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, keep_ids: bool = False)
     """
     extra = ["ids"] if keep_ids else []
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if keep_ids else "")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = stage(texts.mapInArrow(_pieces(vocabulary or default_vocabulary(), keep_ids), schema).withColumn("key", F.monotonically_increasing_id()), "pieces")
     small = pieces.filter(F.col("length") < LENGTH)
     blocks = max(1, -(-small.count() // BLOCK_ROWS))

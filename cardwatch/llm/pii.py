@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from cardwatch.llm.words import LOWER, Words, cut, slices, text_buffers
+from cardwatch.llm.words import LOWER, Words, cut, in_batches, slices, text_buffers
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: Labels of the field; the first is outside.
@@ -362,7 +362,7 @@ def scan_pii(docs: DataFrame) -> DataFrame:
     or empty text has no spans. Rows are treated each by itself, so repeated
     rows repeat; other columns are not read.
     """
-    given = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    given = in_batches(docs).select("doc_id", F.col("text").cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(field())
     names = [f"n_{k}" for k in BASE_KINDS]
 
@@ -395,5 +395,5 @@ def redacted(docs: DataFrame) -> DataFrame:
             columns = [new if n == "text" else c for n, c in zip(names, batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    out = docs.mapInArrow(run, StructType([StructField(f.name, f.dataType, True) for f in docs.schema.fields]))
+    out = in_batches(docs).mapInArrow(run, StructType([StructField(f.name, f.dataType, True) for f in docs.schema.fields]))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardwatch.llm.words import LOWER, Words, mix, slices, span_hashes
+from cardwatch.llm.words import LOWER, Words, in_batches, mix, slices, span_hashes
 from cardwatch.session import stage
 
 #: Rules on a text alone.
@@ -101,7 +101,7 @@ def quality_rules(docs: DataFrame, host: str = "source") -> DataFrame:
     texts have no words and fail. Other columns are not read; an empty table
     gives no rows.
     """
-    given = docs.select(F.col("doc_id"), F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text"))
+    given = in_batches(docs).select(F.col("doc_id"), F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text"))
     kind = dict(given.dtypes)["doc_id"]
     measured = stage(given.mapInArrow(_measured, f"doc_id {kind}, host string, {_STATS}, lines {_LINES}").withColumn("row", F.monotonically_increasing_id()), "lines")
     lines = measured.select("row", "host", F.explode("lines").alias("line")).select("row", "host", "line.*")
