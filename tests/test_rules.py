@@ -68,7 +68,7 @@ def test_all_rules_add_up(spark):
 def test_rules_can_be_replaced(spark):
     model = tiered("model", lambda: F.col("amount") / 10, [(9, 80, "model_high"), (4, 41, "model_mid")])
     passes = Rule("never", lambda: F.lit(0), lambda: F.lit("never"))
-    rows = apply_rules(frame(spark, [tx(1), tx(2, amount=95.0)]), [model, passes]).collect()
+    rows = apply_rules(frame(spark, [tx(1, amount=52.5), tx(2, amount=95.0)]), [model, passes]).collect()
     assert [(r.score, r.flags, r.decision) for r in rows] == [
         (41, ["model_mid"], "review"),
         (80, ["model_high"], "decline"),
@@ -80,9 +80,9 @@ def test_rules_can_be_replaced(spark):
 
 def test_verdict_columns(spark):
     row = verdicts(score(frame(spark, [tx(7)]))).first()
-    assert (row.tx_id, row.at, row.latency_us, row.card_bin) == ("tx_7", 1_700_000_000_007, 0, "520082")
+    assert (row.tx_id, row.at, row.latency_us, row.card_bin) == ("tx_7", 1_700_000_000_007, 0, "510510")
 
 
 def test_own_bin_table(spark):
-    bins = spark.createDataFrame([("520082", "NO")], "card_bin string, issuer string")
+    bins = spark.createDataFrame([("510510", "NO"), ("510510", "SE")], "card_bin string, issuer string")
     assert scored(spark, [tx(1)], bins=bins)["tx_1"].flags == ["geo_mismatch"]
