@@ -28,9 +28,11 @@ LENGTH, END_ID = 2048, 0
 #: Pieces in a block, islands of a block, packings of an island, epochs, children of an epoch.
 BLOCK_ROWS, ISLANDS, POPULATION, EPOCHS, CHILDREN = 4096, 3, 4, 3, 6
 #: Words whose ids a worker keeps.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 150_000
 #: Texts tokenized at once, in bytes.
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 20
+#: Words that the tokenizer is given at once; its results are large.
+ENCODED_WORDS = 4096
 
 _kept: dict[str, dict[str, bytes]] = {}
 
@@ -61,7 +63,10 @@ def token_ids(texts: list[str], path: str) -> list[bytes]:
     parts = [t.replace("\n", " ").split(" ") for t in texts]
     new = {w: _stem(w) for w in set().union(*parts).difference(known)}
     stems = list({x for pair in new.values() for x in pair}.difference(known))
-    made = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(stems, tokenizer.encode_batch_fast(stems, add_special_tokens=False))}
+    made = {}
+    for k in range(0, len(stems), ENCODED_WORDS):
+        part = stems[k : k + ENCODED_WORDS]
+        made.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)))
     get = lambda w: known[w] if w in known else made[w]
     made |= {w: get(stem) + get(mark) for w, (stem, mark) in new.items()}
     if len(known) + len(made) <= KEPT_WORDS:
