@@ -11,6 +11,7 @@ import corpus_pipeline
 from cardwatch.llm import chat
 from cardwatch.llm.decontaminate import leaks
 from cardwatch.llm.html_text import extract_text
+from cardwatch.llm.importance import resample
 from cardwatch.llm.licenses import scan_licenses
 from cardwatch.llm.near_dups import near_duplicates
 from cardwatch.llm.packing import pack
@@ -47,6 +48,10 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, with the item."""
     return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -84,6 +89,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_chat": op2_chat,
+    "op3_importance": op3_importance,
     "op4_decontamination": op4_decontamination,
     "op5_main_text": op5_main_text,
     "op6_licenses": op6_licenses,
