@@ -3,9 +3,11 @@
 The standard library's parser gives events; block elements cut the text into
 lines, each with its characters and tags. The ratio of the two, smoothed by a
 Gaussian over neighbouring lines, is cut where it splits the lines into two
-clusters best; the upper cluster shows which element holds the content. The
-text is that of all lines of this element, short ones too, but for those in
-elements that are no content by their name, role or class.
+clusters best; the upper cluster shows which element holds the content: the
+smallest around all of it, or the article or main around that. The text is that
+of all lines of this element, short ones too, but for those in elements that
+are no content by their name, role or class. End tags that HTML lets a page
+leave out are added.
 """
 
 from __future__ import annotations
@@ -29,11 +31,38 @@ BLOCKS = frozenset(
 )
 #: Elements whose text is no content.
 NEVER = frozenset(
-    "script style head title template noscript iframe object svg math canvas audio video nav aside footer form menu "
+    "script style head title template noscript iframe object svg math canvas audio video nav aside footer menu "
     "button select textarea input dialog fieldset".split()
 )
 #: Elements that are followed as holders of lines.
 HOLDERS = frozenset("html body article main section div td header details figure blockquote center".split())
+#: Holders that are parts of the content, not all of it.
+PARTS = frozenset("section td header details figure blockquote".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Further elements that are followed, so that their ends are known.
+FOLLOWED = frozenset("p li ul ol dl dt dd table caption thead tbody tfoot tr th".split())
+#: Start tags that do not end the head, and those that end a paragraph.
+IN_HEAD = frozenset("title meta link script style noscript template base head".split())
+ENDS_P = (BLOCKS - frozenset("body head html legend title caption tbody td tfoot th thead tr".split())) | {"main"}
+_NONE, _P = frozenset[str](), frozenset(("p",))
+P_WITHIN = frozenset("table caption td th button object template".split())
+_LIST, _TABLE = frozenset("ul ol menu table td th section article main aside nav blockquote".split()), frozenset(("table",))
+_TERMS = frozenset("dl table td th section article main aside nav blockquote".split())
+_CELLS, _ROWS = frozenset(("td", "th", "caption")), frozenset(("tr",))
+_BODIES = frozenset("thead tbody tfoot".split())
+#: Start tags that end others: which, and what these are not looked for beyond.
+ENDS = {
+    "li": [(frozenset(("li",)), _LIST)],
+    **dict.fromkeys(("dt", "dd"), [(frozenset(("dt", "dd")), _TERMS)]),
+    **dict.fromkeys(("td", "th"), [(_CELLS, _TABLE)]),
+    "tr": [(_ROWS, _TABLE), (_CELLS, _TABLE)],
+    **dict.fromkeys(("thead", "tbody", "tfoot"), [(_BODIES, _TABLE), (_ROWS, _TABLE), (_CELLS, _TABLE)]),
+}
+#: What an end tag does not reach beyond.
+END_WITHIN = {
+    "p": P_WITHIN, "li": frozenset("ul ol menu table td th".split()), **dict.fromkeys(("dt", "dd"), frozenset("dl table td th".split())),
+    **dict.fromkeys(("td", "th", "caption", "tr", "thead", "tbody", "tfoot"), _TABLE),
+}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Roles, and words of a class or id, that mark an element as no content.
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form toolbar".split())
@@ -45,34 +74,73 @@ MARKERS = frozenset(
 )
 #: Width of the smoothing, in lines, and how many lines to either side it reaches.
 SIGMA, REACH = 1.5, 4
-#: Share of the upper cluster's characters that the content element must hold.
-HELD = 0.8
+#: Shares of the upper cluster's characters from which a marked element is the content: in an article, and elsewhere.
+HELD, MOST = 0.8, 0.5
 
 _TAG = re.compile(r"<[A-Za-z/!?]")
 _WORD = re.compile(r"[a-z]+")
 
 
 class _Lines(HTMLParser):
-    """Lines of a page: text, tags met, whether it can be content, and its holders from the outermost one."""
+    """Lines of a page: text, tags met, characters in links, whether it can be content, the marked elements around it and its holders from the outermost one."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, int, bool, tuple[int, ...], tuple[int, ...]]] = []
         self.parts: list[str] = []
         self.tags = 0
-        self.open: list[tuple[str, bool, bool]] = []  # tag, no content, holder
+        self.linked = 0
+        self.links = 0
+        self.open: list[tuple[str, bool, bool, bool]] = []  # tag, no content, marked, holder
         self.hidden = 0
+        self.marked: tuple[int, ...] = ()
+        self.begun: tuple[bool, tuple[int, ...]] | None = None  # as the line's first text was met
+        self.inside: dict[int, bool] = {}  # of each marked element: whether it is in an article
+        self.holding: set[int] = set()  # marked elements with an article or main
         self.holders: tuple[int, ...] = ()
-        self.made = 0
+        self.kinds: list[str] = [""]  # of each holder
         self.articles = 0
 
     def flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.lines.append((text, self.tags, not self.hidden, self.holders))
-                self.tags = 0
+                self.lines.append((text, self.tags, self.linked, *self.begun, self.holders))
+                self.tags = self.linked = 0
             self.parts = []
+            self.begun = None
+
+    def _pop(self, k: int) -> None:
+        """Ends the open elements from place ``k`` on."""
+        while len(self.open) > k:
+            name, hid, mark, held = self.open.pop()
+            self.hidden -= hid
+            self.articles -= name in ("article", "main")
+            if mark:
+                self.marked = self.marked[:-1]
+            if held:
+                self.holders = self.holders[:-1]
+
+    def _place(self, tags: frozenset[str], within: frozenset[str]) -> int:
+        """Place of the innermost open element of ``tags``, not looked for beyond one of ``within``; -1 without."""
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k][0] in tags:
+                return k
+            if self.open[k][0] in within:
+                return -1
+        return -1
+
+    def _imply(self, tag: str) -> None:
+        """End tags that the start of ``tag`` stands for."""
+        if self.open and tag not in IN_HEAD and self.open[-1][0] == "head":
+            self._pop(len(self.open) - 1)
+        if tag in ENDS_P and (k := self._place(_P, P_WITHIN)) >= 0:
+            self.flush()
+            self._pop(k)
+        for tags, within in ENDS.get(tag, ()):
+            if (k := self._place(tags, within)) >= 0:
+                self.flush()
+                self._pop(k)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -80,18 +148,32 @@ class _Lines(HTMLParser):
             self.flush()
         if tag == "br":
             self.parts.append(" ")
-        if tag in VOID or not (tag in HOLDERS or tag in NEVER or attrs):
+        if tag == "a":
+            self.links = 1
+        elif tag in HEADINGS:
+            self.links = -1  # a linked heading is no list of links
+        if tag in VOID or not (tag in HOLDERS or tag in NEVER or tag in FOLLOWED or tag == "form" or attrs):
             return
-        hides = tag in NEVER or (tag == "header" and not self.articles) or (bool(attrs) and tag not in ("html", "body", "article", "main") and _marked(attrs))
+        mark, hides = False, tag in NEVER
+        if not hides:
+            mark = (tag == "header" and not self.articles) or tag == "form"
+            if attrs and tag not in ("html", "body", "article", "main"):
+                hides = _concealed(attrs)
+                mark = mark or _marked(attrs)
         holds = tag in HOLDERS
-        if not (hides or holds):
+        if not (hides or mark or holds or tag in FOLLOWED):
             return
-        self.open.append((tag, hides, holds))
+        self.open.append((tag, hides, mark, holds))
         self.hidden += hides
-        self.articles += tag in ("article", "main")
+        if tag in ("article", "main"):
+            self.articles += 1
+            self.holding.update(self.marked)
+        if mark:
+            self.inside[len(self.inside) + 1] = any(self.kinds[h] == "article" for h in self.holders)
+            self.marked = (*self.marked, len(self.inside))
         if holds:
-            self.made += 1
-            self.holders = (*self.holders, self.made)
+            self.holders = (*self.holders, len(self.kinds))
+            self.kinds.append(tag)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -102,29 +184,33 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCKS:
             self.flush()
-        if any(tag == x[0] for x in self.open):
-            while True:
-                name, hid, held = self.open.pop()
-                self.hidden -= hid
-                self.articles -= name in ("article", "main")
-                if held:
-                    self.holders = self.holders[:-1]
-                if name == tag:
-                    break
+        if tag == "a" or tag in HEADINGS:
+            self.links = 0
+        if tag in ("html", "body"):
+            return  # what follows them is in the body as well
+        if (k := self._place(frozenset((tag,)), END_WITHIN.get(tag, _NONE))) >= 0:
+            self._pop(k)
 
     def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1][0] == "head" and not data.isspace():
+            self._pop(len(self.open) - 1)
         self.parts.append(data)
+        if self.begun is None and not data.isspace():
+            self.begun = (not self.hidden, self.marked)
+        if self.links > 0:
+            self.linked += len(data.strip())
+
+
+def _concealed(attrs: list[tuple[str, str | None]]) -> bool:
+    return any(
+        name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and value and "display:none" in value.replace(" ", "").lower())
+        for name, value in attrs
+    )
 
 
 def _marked(attrs: list[tuple[str, str | None]]) -> bool:
     for name, value in attrs:
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        if value and (
-            (name in ("class", "id") and not MARKERS.isdisjoint(_WORD.findall(value.lower())))
-            or (name == "role" and value.lower() in ROLES)
-            or (name == "style" and "display:none" in value.replace(" ", "").lower())
-        ):
+        if value and ((name in ("class", "id") and not MARKERS.isdisjoint(_WORD.findall(value.lower()))) or (name == "role" and value.lower() in ROLES)):
             return True
     return False
 
@@ -167,23 +253,71 @@ def main_text(html: str | None) -> str:
     parser.feed(_ended(html or ""))
     parser.close()
     parser.flush()
-    lines = parser.lines
-    shown = [k for k, x in enumerate(lines) if x[2]]
+    lines = [(text, tags, linked, ok and not hidden, holders) for (text, tags, linked, ok, _, holders), hidden in zip(parser.lines, _hidden(parser))]
+    shown = [k for k, x in enumerate(lines) if x[3]]
     if not shown:
         return ""
-    ratios = np.array([len(text) / max(1, tags) if ok else 0.0 for text, tags, ok, _ in lines])
-    chosen = upper_cluster(smoothed(ratios)[shown])
-    weight: dict[int, int] = {}
-    total = 0
-    for k, in_cluster in zip(shown, chosen):
-        if in_cluster:
-            total += len(lines[k][0])
-            for holder in lines[k][3]:
-                weight[holder] = weight.get(holder, 0) + len(lines[k][0])
-    # Inner elements have larger numbers than those around them.
-    content = max((h for h, w in weight.items() if w >= HELD * total), default=None)
-    kept = [lines[k][0] for k in shown if content is None or content in lines[k][3]]
-    return "\n".join(kept)
+    kept = _content([lines[k][4] for k in shown], _upper(lines, shown), parser.kinds, [(len(lines[k][0]), lines[k][2]) for k in shown])
+    return "\n".join(lines[k][0] for k, keep in zip(shown, kept) if keep)
+
+
+def _upper(lines: list[tuple], shown: list[int]) -> np.ndarray:
+    """Which of the lines ``shown`` are in the upper cluster, without those that only their neighbours lift into it."""
+    ratios = np.zeros(len(lines))
+    ratios[shown] = [len(lines[k][0]) / max(1, lines[k][1]) for k in shown]
+    means = smoothed(ratios)[shown]
+    upper = upper_cluster(means)
+    own = upper & (ratios[shown] >= means[upper].min())
+    return own if own.any() else upper
+
+
+def _hidden(page: _Lines) -> list[bool]:
+    """Of each line: whether a marked element hides it."""
+    around = [x[4] for x in page.lines]
+    return [bool(x) for x in around]
+
+
+def _content(around: list[tuple[int, ...]], upper: np.ndarray, kinds: list[str], sizes: list[tuple[int, int]]) -> list[bool]:
+    """Which lines belong to the content: those of the smallest holder of all upper lines, or of the outermost article or main around it.
+
+    Without an article, parts such as sections widen to what holds them, and
+    siblings that are not mostly links are taken back.
+    """
+    path: tuple[int, ...] | None = None
+    for holders, is_upper in zip(around, upper):
+        if is_upper:
+            path = holders if path is None else path[: next((k for k, (x, y) in enumerate(zip(path, holders)) if x != y), min(len(path), len(holders)))]
+    path = path or ()
+    for holder in path:
+        if kinds[holder] in ("article", "main"):
+            return [holder in x for x in around]
+    depth = len(path)
+    kept = [x[:depth] == path for x in around]
+    while depth and kinds[path[depth - 1]] not in ("body", "html"):
+        part = kinds[path[depth - 1]] in PARTS
+        depth -= 1
+        _take_back(kept, around, path[:depth], sizes)
+        if not part:
+            break
+    return kept
+
+
+def _take_back(kept: list[bool], around: list[tuple[int, ...]], outer: tuple[int, ...], sizes: list[tuple[int, int]]) -> None:
+    """Keeps the lines in ``outer`` of all its children, and of runs of lines between these, that are not mostly links."""
+    depth, runs, last = len(outer), [], object()
+    for k, x in enumerate(around):
+        if x[:depth] != outer:
+            last = object()
+            continue
+        child = x[depth] if len(x) > depth else None
+        if child != last:
+            runs.append([])
+        runs[-1].append(k)
+        last = child
+    for run in runs:
+        if 2 * sum(sizes[k][1] for k in run) < sum(sizes[k][0] for k in run):
+            for k in run:
+                kept[k] = True
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

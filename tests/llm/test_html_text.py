@@ -58,3 +58,18 @@ def test_smoothing_and_clusters():
     assert np.allclose(smoothed(np.full(3, 2.0)), 2.0)
     assert upper_cluster(np.array([1.0, 1.2, 9.0, 8.5])).tolist() == [False, False, True, True]
     assert upper_cluster(np.array([3.0, 3.0])).all()
+
+
+LONG = "A long line of prose that says one thing after another and does not come to an end before it has to, "
+
+
+def test_article_keeps_all_its_parts():
+    own = [f"{LONG * 6}{k}" for k in range(6)]
+    parts = ["Title", "Intro.", *(f"Short {k}." for k in range(8)), *own, "cell a", "cell b", "End."]
+    shorts = "".join(f"<p>Short <b>{k}</b>.</p>" for k in range(8))
+    table = "<table><tr><td>cell a<td>cell b</table>"
+    for wide in ("section", "blockquote", "div", "figure", "details"):
+        inner = "".join(f"<p>{x}</p>" for x in own)
+        body = f"<h1>Title</h1><p>Intro.</p><section>{shorts}</section><{wide}>{inner}</{wide}><section>{table}</section><p>End.</p>"
+        for page in (f"<body><article>{body}</article></body>", f"<body><main>{body}</main></body>", f"<body><div>{body}</div></body>"):
+            assert main_text(page).split("\n") == parts, (wide, page[:20])
