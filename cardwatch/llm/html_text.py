@@ -146,6 +146,7 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCKS:
             self.flush()
+        self._imply(tag)
         if tag == "br":
             self.parts.append(" ")
         if tag == "a":
@@ -272,8 +273,30 @@ def _upper(lines: list[tuple], shown: list[int]) -> np.ndarray:
 
 
 def _hidden(page: _Lines) -> list[bool]:
-    """Of each line: whether a marked element hides it."""
+    """Of each line: whether a marked element hides it.
+
+    A marked element is shown if it has an article or main that outweighs
+    those outside all marked elements, or most of the upper cluster.
+    """
     around = [x[4] for x in page.lines]
+    if not any(around):
+        return [False] * len(around)
+    can = [k for k, x in enumerate(page.lines) if x[3]]
+    if not can:
+        return [bool(x) for x in around]
+    weights = [(k, len(page.lines[k][0])) for k, upper in zip(can, _upper(page.lines, can)) if upper]
+    total = sum(w for _, w in weights)
+    for mark in range(1, len(page.inside) + 1):
+        mine = sum(w for k, w in weights if mark in around[k])
+        if page.inside[mark]:
+            show = total and mine >= HELD * total
+        else:
+            show = mine > MOST * total
+            if not show and mark in page.holding:
+                others = sum(w for k, w in weights if not around[k] and any(page.kinds[h] in ("article", "main") for h in page.lines[k][5]))
+                show = not others or mine > others
+        if show:
+            around = [tuple(m for m in x if m != mark) if mark in x else x for x in around]
     return [bool(x) for x in around]
 
 

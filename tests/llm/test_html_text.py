@@ -73,3 +73,28 @@ def test_article_keeps_all_its_parts():
         body = f"<h1>Title</h1><p>Intro.</p><section>{shorts}</section><{wide}>{inner}</{wide}><section>{table}</section><p>End.</p>"
         for page in (f"<body><article>{body}</article></body>", f"<body><main>{body}</main></body>", f"<body><div>{body}</div></body>"):
             assert main_text(page).split("\n") == parts, (wide, page[:20])
+
+
+@pytest.mark.parametrize("mark", ["class='layout has-sidebar'", "class='page no-sidebar'", "id='header-main-wrap'"])
+def test_marked_element_around_the_content_is_shown(mark):
+    body = f"<h1>Title</h1><p>{LONG}1</p><p>{LONG}2</p>"
+    want = ["Title", f"{LONG}1", f"{LONG}2"]
+    for inner in (f"<article>{body}</article>", f"<main>{body}</main>", f"<div>{body}</div>"):
+        side = f"<div class='sidebar'><p>{LONG}</p></div>"
+        assert main_text(f"<body><div {mark}>{inner}{side}</div></body>").split("\n") == want
+    comment = f"<section class='comments'><article><p>{LONG}</p></article></section>"
+    assert main_text(f"<body><div {mark}><article>{body}{comment}</article></div></body>").split("\n") == want
+    assert main_text(f"<body><article><div {mark}>{body}</div></article></body>").split("\n") == want
+
+
+@pytest.mark.parametrize("start,after", [
+    ("<head><title>T</title><body>", ""), ("<head><title>T</title>", ""), ("<p class='notice'>Mind", ""), ("<p class='notice'>Mind<ul><li>one</ul>", "one"),
+    ("<ul><li class='share'>Share<li>one</ul>", "one"), ("<ul><li class='share'>Share</ul>", ""), ("<dl><dt class='ad'>Buy<dd>one</dl>", "one"),
+    ("<table><tr><td class='ad'>Buy<td>one</table>", "one"), ("<table><tr class='ad'><td>Buy<tr><td>one</table>", "one"),
+    ("<p><span class='share'>", ""), ("<table><tr><td><p class='notice'>Mind<td>one</table>", "one"),
+])
+def test_implied_end_tags(start, after):
+    own = [f"{LONG}{k}" for k in range(3)]
+    tail = "".join(f"<p>{x}" for x in own)
+    for page in (f"<html>{start}{tail}", f"<html><body><article>{start}{tail}</article></body></html>"):
+        assert main_text(page).split("\n") == [*after.split(), *own]
