@@ -8,9 +8,11 @@ drops those far from the limit; full sets confirm the rest.
 A value that more than ``LIST_ROWS`` classes hold (a passage that thousands
 share, a large family of edited copies) never gives all pairs. Classes that
 meet in such lists form a family. Its members are compared with a few pivots
-first; what then is outside the family's main component, and only that, is
-compared with all its members, block against block on full sets, and a block
-gives no more links than join it together.
+first. What then is outside the family's main component, and only that, meets
+members of other components with which it shares one of the rarest quarter of
+the values of both full sets, as linked sets do, and whose size is near enough.
+Where more than ``LIST_ROWS`` hold such a value, blocks of bounded size are
+compared, and two blocks give no more links than join them together.
 """
 
 from __future__ import annotations
@@ -41,8 +43,12 @@ LIST_ROWS = 64
 PIVOTS = 8
 #: Ids that are sent to every task at most: 8 MB.
 BROADCAST_IDS = 1_000_000
-#: Members compared at once with what is outside the main component.
-BLOCK_ROWS = 256
+#: Members of a block, and bytes of their sets; a block outside the main component is compared with one of all.
+BLOCK_ROWS, BLOCK_BYTES = 256, 1 << 22
+#: Values are ordered by counts of so many hashed buckets; any order gives all links, that from the rarest the fewest candidates.
+ORDER_BUCKETS = 1 << 18
+#: Values of two blocks that are multiplied at once.
+_VALUES_AT_ONCE = 1 << 12
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +98,7 @@ def _incidence(sets: list[np.ndarray], shared: np.ndarray) -> np.ndarray:
 
 
 def _block_links(pdf):
-    """Links between the rows outside (``outer``) and the members of one block, as a forest."""
+    """Links between a block of rows outside (``outer``) and a block of members, as a forest."""
     import pandas as pd
 
     root: dict[int, int] = {}
@@ -104,20 +110,17 @@ def _block_links(pdf):
         return v
 
     out = []
-    mine = pdf[~pdf["outer"]]
-    inner = [np.frombuffer(x, np.uint64) for x in mine["shingles"]]
-    inner_ids, inner_n = mine["node"].to_numpy(), np.array([len(x) for x in inner])
-    vocabulary = np.unique(np.concatenate([*inner, np.zeros(0, np.uint64)]))
-    others = pdf[pdf["outer"]]
-    for start in range(0, len(others), BLOCK_ROWS):
-        part = others.iloc[start : start + BLOCK_ROWS]
-        outer = [np.frombuffer(x, np.uint64) for x in part["shingles"]]
-        shared = np.intersect1d(vocabulary, np.concatenate([*outer, np.zeros(0, np.uint64)]))
-        if not len(shared):
-            continue
-        both = (_incidence(outer, shared) @ _incidence(inner, shared).T).astype(np.int64)
-        union = np.array([len(x) for x in outer])[:, None] + inner_n[None, :] - both
-        ids = part["node"].to_numpy()
+    sides = [pdf[~pdf["outer"]], pdf[pdf["outer"]]]
+    inner, outer = ([np.frombuffer(x, np.uint64) for x in side["shingles"]] for side in sides)
+    if inner and outer:
+        shared = np.intersect1d(np.concatenate(inner), np.concatenate(outer))
+        both = np.zeros((len(outer), len(inner)), np.float32)
+        for k in range(0, len(shared), _VALUES_AT_ONCE):
+            part = shared[k : k + _VALUES_AT_ONCE]
+            both += _incidence(outer, part) @ _incidence(inner, part).T
+        both = both.astype(np.int64)
+        union = np.array([len(x) for x in outer])[:, None] + np.array([len(x) for x in inner])[None, :] - both
+        inner_ids, ids = (side["node"].to_numpy() for side in sides)
         for i, j in zip(*np.nonzero(PART * both >= OF * union)):
             a, b = find(int(ids[i])), find(int(inner_ids[j]))
             if a != b:
@@ -248,16 +251,87 @@ def _own_links(found: DataFrame, classes: DataFrame) -> DataFrame:
     return mine.filter("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
 
 
+def _bucket(values: np.ndarray) -> np.ndarray:
+    return (mix(values) % np.uint64(ORDER_BUCKETS)).astype(np.int64)
+
+
+def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(ORDER_BUCKETS, np.int64)
+    for batch in batches:
+        for x in batch.column("shingles"):
+            np.add.at(total, _bucket(np.frombuffer(x.as_py(), np.uint64)), 1)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
+
+
+def _prefix(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The rarest values of a set, of which any set linked with it has one among its own."""
+    order = np.lexsort((values, counts[_bucket(values)]))
+    return values[order[: len(values) - -(-len(values) * OF // PART) + 1]]
+
+
 def _family_links(family: DataFrame, sure: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links of a family's members outside its main component with any member."""
+    """Links of a family's members outside its main component with members of other components."""
     known = stage(family.join(components(sure), "node", "left").select("node", "family", F.coalesce("component", "node").alias("component")), "known")
     by = known.groupBy("family", "component").agg(F.count("*").alias("rows"))
-    main = by.groupBy("family").agg(F.max_by("component", F.struct("rows", "component")).alias("main"), F.sum("rows").alias("rows"))
-    blocks = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
-    placed = known.join(main.withColumn("blocks", blocks), "family").join(sets.withColumnRenamed("doc_id", "node"), "node")
-    inner = placed.select("family", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node", "shingles", F.lit(False).alias("outer"))
-    outer = placed.filter("component != main").select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", "shingles", F.lit(True).alias("outer"))
-    return inner.union(outer).groupBy("family", "block").applyInPandas(_block_links, "a long, b long")
+    main = by.groupBy("family").agg(F.max_by("component", F.struct("rows", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
+    counts = np.zeros(ORDER_BUCKETS, np.int64)
+    summed = sets.select("shingles").mapInArrow(_bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts[summed["bucket"].to_numpy(np.int64)] = summed["n"].to_numpy(np.int64)
+    shared = family.sparkSession.sparkContext.broadcast(counts)
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            full = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column("shingles")]
+            for k in range(0, len(full), 64):
+                some = [_prefix(x, shared.value) for x in full[k : k + 64]]
+                at = pa.array(np.repeat(np.arange(k, k + len(some)), [len(x) for x in some]))
+                n = pa.array([len(x) for x in full], pa.int64()).take(at)
+                columns = [batch.column(c).take(at) for c in ("family", "node", "component", "outer")]
+                yield pa.RecordBatch.from_arrays([*columns, n, pa.array(np.concatenate(some).view(np.int64))], ["family", "node", "component", "outer", "n", "value"])
+
+    members = known.join(main, "family").select("family", "node", "component", (F.col("component") != F.col("main")).alias("outer"))
+    full = sets.withColumnRenamed("doc_id", "node")
+    postings = stage(
+        members.join(full, "node").select("family", "node", "component", "outer", "shingles")
+        .mapInArrow(rare, "family long, node long, component long, outer boolean, n long, value long"),
+        "postings",
+    )
+    lists = postings.groupBy("family", "value").agg(F.count("*").alias("rows"), F.min("component").alias("first"), F.max("component").alias("last")).filter("first != last")
+    met = stage(postings.join(lists.select("family", "value", "rows"), ["family", "value"]), "met")
+    short = met.filter(F.col("rows") <= LIST_ROWS)
+    one = short.filter("outer").select("family", "value", F.col("node").alias("x"), F.col("component").alias("xc"), F.col("n").alias("xn"))
+    two = short.select("family", "value", F.col("node").alias("y"), F.col("component").alias("yc"), F.col("n").alias("yn"))
+    near = (PART * F.least("xn", "yn") >= OF * F.greatest("xn", "yn")) & (F.col("xc") != F.col("yc"))
+    pairs = one.join(two, ["family", "value"]).filter(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    hot = met.filter(F.col("rows") > LIST_ROWS).select("family", "node", "outer", "n").distinct()
+    return _confirmed(pairs, sets).union(_hot_links(stage(hot, "hot"), full))
+
+
+def _hot_links(hot: DataFrame, full: DataFrame) -> DataFrame:
+    """Links of the members outside with all members of ``hot`` (family, node, outer, n), by blocks of sizes that can be linked."""
+    # The sizes of linked sets are in one class or in two next to each other.
+    placed = hot.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(PART / OF))).cast("int"))
+    cells = placed.groupBy("family", "size").agg(*[
+        F.ceil(F.greatest(F.count(F.when(side, 1)) / BLOCK_ROWS, F.sum(F.when(side, F.col("n") * 8).otherwise(0)) / BLOCK_BYTES)).cast("int").alias(name)
+        for name, side in (("outer_blocks", F.col("outer")), ("all_blocks", F.lit(True)))
+    ])
+    cells = stage(cells, "cells")
+    mine = F.pmod(F.xxhash64("node"), F.col("own")).cast("int")
+
+    def dealt(rows: DataFrame, own: str, other: str, outer: bool) -> DataFrame:
+        to = cells.filter(F.col(other) > 0).select("family", F.col("size").alias("to"), F.col(other).alias("others"))
+        at = (
+            rows.join(cells.select("family", "size", F.col(own).alias("own")), ["family", "size"])
+            .withColumn("to", F.explode(F.array(*[F.col("size") + k for k in (-1, 0, 1)])))
+            .join(to, ["family", "to"])
+            .select("family", "node", "size", mine.alias("block"), "to", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"))
+        )
+        names = ("size", "block", "to", "other") if outer else ("to", "other", "size", "block")
+        return at.select("family", *[F.col(c).alias(f"k{i}") for i, c in enumerate(names)], "node", F.lit(outer).alias("outer"))
+
+    rows = dealt(placed.filter("outer"), "outer_blocks", "all_blocks", True).union(dealt(placed, "all_blocks", "outer_blocks", False))
+    return rows.join(full, "node").groupBy("family", "k0", "k1", "k2", "k3").applyInPandas(_block_links, "a long, b long")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

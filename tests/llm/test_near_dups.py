@@ -64,3 +64,37 @@ def test_long_chain_of_edges(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 99), (99, 100), (7, 7)], "a long, b long")
     found = {r.node: r.component for r in components(edges).collect()}
     assert found == {i: 1 for i in range(1, 61)} | {99: 99, 100: 99}
+
+
+def test_outer_members_meet_in_bounded_groups_and_only_if_they_can_be_linked(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "LIST_ROWS", 4)
+    monkeypatch.setattr(near_dups, "BLOCK_ROWS", 8)
+    largest = []
+    whole = near_dups._hot_links
+
+    def watched(hot, full):
+        counted = near_dups._block_links
+
+        def block(pdf):
+            import pandas as pd
+
+            return pd.DataFrame([(int(pdf["outer"].sum()), int((~pdf["outer"]).sum()))], columns=["a", "b"])
+
+        near_dups._block_links = block
+        largest.extend((r.a, r.b) for r in whole(hot, full).collect())
+        near_dups._block_links = counted
+        return whole(hot, full)
+
+    monkeypatch.setattr(near_dups, "_hot_links", watched)
+    r = random.Random(11)
+    # Half of each text is a template: a family, but no prefix is shared.
+    passage = brute.prose(r, 60)
+    rows = [(k, " ".join(brute.prose(r, 60) + passage)) for k in range(60)]
+    assert got(near_dups.near_duplicates(spark.createDataFrame(rows, SCHEMA))) == brute.near_duplicates(rows)
+    assert not largest
+    # Four fifths are a template: not linked, yet the prefixes meet.
+    passage = brute.prose(r, 200)
+    rows = [(k, " ".join(brute.prose(r, 46 + k % 5) + passage)) for k in range(80)]
+    rows += [(100 + k, " ".join(edited(r, rows[0][1].split(), 1))) for k in range(10)]
+    assert got(near_dups.near_duplicates(spark.createDataFrame(rows, SCHEMA))) == brute.near_duplicates(rows)
+    assert largest and max(max(x) for x in largest) <= 24
