@@ -20,8 +20,8 @@ from cardwatch.session import stage
 
 #: Rules on a text alone.
 LEAST_WORDS, REPEAT_WINDOW = 50, 3
-#: A line is common that more than so many documents of a host hold, and more than this share of them.
-LINE_DOCUMENTS, LINE_SHARE = 20, 0.005
+#: A line is common that more than so many documents of a host hold, however large the host is. A share of the host is not asked.
+LINE_DOCUMENTS, LINE_SHARE = 20, 0.0
 #: Share of its words that a document must keep, beside ``LEAST_WORDS``.
 LEFT = 0.5
 _SYMBOLS = np.zeros(256, bool)
@@ -106,12 +106,9 @@ def quality_rules(docs: DataFrame, host: str = "source") -> DataFrame:
     measured = stage(given.mapInArrow(_measured, f"doc_id {kind}, host string, {_STATS}, lines {_LINES}").withColumn("row", F.monotonically_increasing_id()), "lines")
     lines = measured.select("row", "host", F.explode("lines").alias("line")).select("row", "host", "line.*")
     once = measured.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x.hash))).alias("hash"))
-    sizes = measured.groupBy("host").agg(F.count("*").alias("documents"))
     common = (
         once.groupBy("host", "hash").agg(F.count("*").alias("held"))
         .filter(F.col("held") > LINE_DOCUMENTS)
-        .join(sizes.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h")))
-        .filter(F.col("held") > F.col("documents") * LINE_SHARE)
         .select(F.col("host").alias("h"), F.col("hash").alias("k"))
     )
     # The same hash of a null host meets the null host only.

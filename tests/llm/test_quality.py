@@ -31,3 +31,12 @@ def test_common_lines_are_cut_by_number(spark, monkeypatch):
     docs = spark.createDataFrame([(k, f"Menu  here\nown {k}\n\nmenu HERE", "s") for k in range(3)], "doc_id long, text string, source string")
     rows = quality.quality_rules(docs).join(docs, "doc_id").select("doc_id", "common_lines", quality.cut_lines(F.col("text"), F.col("common_lines")).alias("t")).collect()
     assert {(r.doc_id, tuple(r.common_lines), r.t) for r in rows} == {(k, (0, 3), f"own {k}\n") for k in range(3)}
+
+
+def test_a_passage_is_common_at_a_host_of_any_size(spark):
+    r = random.Random(6)
+    passage = " ".join(brute.prose(r, 60))
+    rows = [(k, passage if k < 300 else f"own {k}", "big") for k in range(70_000)] + [(100_000 + k, passage, "small") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    held = quality.quality_rules(docs).filter("doc_id < 300 or doc_id >= 100000")
+    assert {(x.common_lines[0], x.words_left, x.kept) for x in held.collect()} == {(0, 0, False)} and held.count() == 600
