@@ -17,7 +17,7 @@ WORD, GAP = f"[^{_APART}]+", f"[{_APART}]+"
 #: Fixed phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 #: A text without any of these holds no phrase and fits no rule.
-GATE = rf"(?i)licen[sc]|copyright|copyleft|spdx|cc(?:{GAP})by|rights(?:{GAP})reserved|public(?:{GAP})domain|creative(?:{GAP})commons|redistribut|warranty|permission|proprietary|(?:released|distributed|available|published|provided)(?:{GAP})under"
+GATE = rf"(?i)licen[sc]|copyright|copyleft|spdx|cc(?:{GAP})by|rights(?:{GAP})reserved|public(?:{GAP})domain|creative(?:{GAP})commons|redistribut|warranty|permission|proprietary|(?:released|distributed|available|published|provided)(?:{GAP})under|(?:^|[{_APART}])(?:gnu(?:{GAP})?)?(?:(?:a|l)?gpl|gfdl|fdl|mpl|epl|cddl|eupl|cecill|lppl|wtfpl|odbl|mulanpsl|osl|afl|cpl|qpl|zpl|upl|ecl|efl|busl|bsl|ofl|ms(?:{GAP})[pr]l|cc0|apache|bsd)(?:[v0-9{_APART}]|$)"
 
 #: (label, keyword, words of the name, words of its identifier) of each family.
 FAMILIES = (
@@ -87,6 +87,61 @@ FORMS = (
     (r"{name} licen[sc]e", 10, 0.6),
 )
 
+_LATER = r"(?: or (?:any )?(?:later|newer)(?: version)?| only)?"
+
+
+def _version(*forms: str) -> str:
+    """A version in running text, with what may stand before it: v2, version 2 0, 2."""
+    return rf"(?: ?(?:licen[sc]e )?(?:version |ver |v ?)?(?:{'|'.join(forms)}))"
+
+
+#: (label, keyword, abbreviation with its versions) of running text: gpl v3, gplv3, gpl 3 0 or later, gnu gpl version 2, lgpl 2 1.
+SHORT = (
+    ("agpl-3.0", "agpl", rf"(?:gnu )?agpl{_version('3 0', '3')}?{_LATER}"),
+    ("agpl-3.0", "affero gpl", rf"(?:gnu )?affero gpl{_version('3 0', '3')}?{_LATER}"),
+    ("gpl-2.0", "gpl", rf"(?:gnu )?gpl{_version('2 0', '2')}{_LATER}"),
+    ("gpl-3.0", "gpl", rf"(?:gnu )?gpl{_version('3 0', '3')}{_LATER}"),
+    ("gpl", "gpl", r"(?:gnu )?gpl"),
+    ("lgpl-2.1", "lgpl", rf"(?:gnu )?lgpl{_version('2 1', '2 0', '2')}{_LATER}"),
+    ("lgpl-3.0", "lgpl", rf"(?:gnu )?lgpl{_version('3 0', '3')}{_LATER}"),
+    ("lgpl", "lgpl", r"(?:gnu )?lgpl"),
+    ("gfdl-1.3", "fdl", rf"(?:gfdl|gnu fdl){_version('1 [1-3]')}?{_LATER}"),
+    ("mpl-1.1", "mpl", rf"mpl{_version('1 [01]', '1')}"),
+    ("mpl-2.0", "mpl", rf"mpl{_version('2 0', '2')}?"),
+    ("epl-1.0", "epl", rf"epl{_version('1 0', '1')}"),
+    ("epl-2.0", "epl", rf"epl{_version('2 0', '2')}?"),
+    ("cddl-1.0", "cddl", rf"cddl{_version('1 [01]', '1')}?"),
+    ("eupl-1.2", "eupl", rf"eupl{_version('1 [0-2]')}?"),
+    ("cecill-2.1", "cecill", rf"cecill{_version('2 [01]', '2')}?"),
+    ("lppl-1.3c", "lppl", rf"lppl{_version('1 3[ac]?')}?"),
+    ("odbl-1.0", "odbl", rf"odbl{_version('1 0')}?"),
+    ("mulanpsl-2.0", "mulanpsl", rf"mulanpsl{_version('2 0', '2')}?"),
+    ("wtfpl", "wtfpl", r"wtfpl"),
+    ("cc0-1.0", "cc0", rf"cc0{_version('1 0')}?"),
+    ("ms-pl", "ms pl", r"ms pl"),
+    ("ms-rl", "ms rl", r"ms rl"),
+    ("apache-2.0", "apache", rf"apache{_version('2 0', '2')}"),
+    ("bsd-2-clause", "bsd", r"bsd 2 clause|2 clause bsd"),
+    ("bsd-3-clause", "bsd", r"bsd 3 clause|3 clause bsd"),
+    # These say too little without a version.
+    ("afl-3.0", "afl", rf"afl{_version('3 0')}"),
+    ("bsl-1.0", "bsl", rf"bsl{_version('1 0')}"),
+    ("busl-1.1", "busl", rf"busl{_version('1 1')}"),
+    ("cpl-1.0", "cpl", rf"cpl{_version('1 0')}"),
+    ("ecl-2.0", "ecl", rf"ecl{_version('2 0')}"),
+    ("efl-2.0", "efl", rf"efl{_version('2 0')}"),
+    ("ofl-1.1", "ofl", rf"(?:sil )?ofl{_version('1 1')}"),
+    ("osl-3.0", "osl", rf"osl{_version('3 0')}"),
+    ("qpl-1.0", "qpl", rf"qpl{_version('1 0')}"),
+    ("upl-1.0", "upl", rf"upl{_version('1 0')}"),
+    ("zpl-2.1", "zpl", rf"zpl{_version('2 [01]')}"),
+)
+#: (pattern around an abbreviation, priority, confidence); the versions are part of the place, so the longer one stays.
+SHORT_FORMS = (
+    (r"(?:licen[sc]ed|released|distributed|available|published|provided) under (?:the )?(?:terms of (?:the )?)?(?:{name})(?: licen[sc]e)?", 28, 0.9),
+    (r"(?:{name})(?: licen[sc]e)?", 12, 0.6),
+)
+
 #: Signatures that stand for no family: (label, keyword, pattern, priority, confidence).
 NOTICES = (
     ("copyright", "copyright", r"copyright(?: c)? (?:19|20)[0-9]{2}", 5, 0.4),
@@ -109,7 +164,8 @@ def rules() -> list[tuple[str, str, str, int, float]]:
         for label, keyword, name, short in FAMILIES
         for form, priority, sure in FORMS
     ]
-    return [(label, keyword, f"(?<= ){pattern}(?= )", priority, sure) for label, keyword, pattern, priority, sure in [*made, *NOTICES]]
+    short = [(label, keyword, form.format(name=name), priority - (label in ("gpl", "lgpl")), sure) for label, keyword, name in SHORT for form, priority, sure in SHORT_FORMS]
+    return [(label, keyword, f"(?<= ){pattern}(?= )", priority, sure) for label, keyword, pattern, priority, sure in [*made, *short, *NOTICES]]
 
 
 def _rule_array() -> Column:

@@ -45,3 +45,24 @@ def test_table_and_empty_table(spark):
 
 def test_there_are_hundreds_of_rules():
     assert len(rules()) > 200
+
+
+FORMS = {
+    "gpl-3.0": ["licensed under GPLv3", "GPL v3", "the GPL-3.0", "GPL 3.0 or later", "GNU GPL version 3", "(gpl3)", "GPLv3+"],
+    "gpl-2.0": ["under the GNU GPL version 2", "GPL v2", "gplv2 only", "GNU GPLv2", "Released under the GPL, version 2.0"],
+    "gpl": ["licensed under the GPL", "GPL"], "lgpl": ["the GNU LGPL"], "lgpl-2.1": ["LGPL-2.1", "LGPLv2.1+", "lgpl version 2.1"], "lgpl-3.0": ["LGPLv3", "LGPL 3.0"],
+    "agpl-3.0": ["AGPL", "AGPLv3", "GNU AGPL-3.0 or later", "Affero GPL v3"], "mpl-2.0": ["MPL 2.0", "MPL", "licensed under MPLv2"], "mpl-1.1": ["MPL 1.1"],
+    "epl-2.0": ["EPL", "EPL-2.0"], "epl-1.0": ["EPL v1.0"], "cddl-1.0": ["CDDL", "CDDL 1.0"], "eupl-1.2": ["EUPL", "EUPL v1.2"], "gfdl-1.3": ["GFDL", "GNU FDL 1.3"],
+    "cecill-2.1": ["CeCILL 2.1"], "lppl-1.3c": ["LPPL 1.3c"], "odbl-1.0": ["ODbL 1.0"], "wtfpl": ["WTFPL"], "cc0-1.0": ["CC0 1.0", "CC0"], "ms-pl": ["Ms-PL"], "ms-rl": ["MS-RL"],
+    "apache-2.0": ["Apache 2.0", "Apache-2.0", "Apache v2"], "bsd-2-clause": ["BSD 2-Clause"], "bsd-3-clause": ["BSD-3-Clause", "3-clause BSD"], "mulanpsl-2.0": ["MulanPSL v2"],
+    "afl-3.0": ["AFL 3.0"], "bsl-1.0": ["BSL-1.0"], "busl-1.1": ["BUSL 1.1"], "cpl-1.0": ["CPL 1.0"], "ecl-2.0": ["ECL 2.0"], "efl-2.0": ["EFL 2.0"], "ofl-1.1": ["OFL 1.1", "SIL OFL 1.1"],
+    "osl-3.0": ["OSL 3.0"], "qpl-1.0": ["QPL 1.0"], "upl-1.0": ["UPL 1.0"], "zpl-2.1": ["ZPL 2.1"],
+}
+
+
+def test_short_forms_of_each_family(spark):
+    texts = [(label, t) for label, forms in FORMS.items() for x in forms for t in (x, f"This code is {x}, as it says.")]
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in scan_licenses(docs).collect()}
+    assert [(t, got[k].labels) for k, (_, t) in enumerate(texts)] == [(t, label) for label, t in texts]
+    assert all(r.score > 0 for r in got.values())
