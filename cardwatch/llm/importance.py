@@ -19,8 +19,6 @@ from cardwatch.llm.words import Words, in_batches, mix, slices, span_hashes
 from cardwatch.operators.positions import with_position
 
 BUCKETS = 1 << 14
-#: Labelled documents that the target model is counted on, at most.
-TARGET_ROWS = 5000
 #: Share of the documents that is drawn.
 KEEP = 0.9
 #: The mean log ratio of an n-gram counts as that of so many.
@@ -58,9 +56,8 @@ def _model(texts: DataFrame) -> np.ndarray:
 def resample(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_ngrams, log_ratio, kept.
 
-    The target is the documents that ``labels`` (doc_id, quality) marks 1, a
-    bounded sample taken by a hash of their ids; the raw model counts all
-    documents. ``log_ratio`` is the mean over a document's n-grams, 0 without
+    The target is all documents that ``labels`` (doc_id, quality) marks 1; the
+    raw model counts all documents. ``log_ratio`` is the mean over a document's n-grams, 0 without
     any. The share ``keep`` of the rows with the largest noisy ratio is kept;
     the noise comes from the doc_id, so a run can be repeated, and ties go by
     doc_id. Null and empty texts and null ids take part like others. Without a
@@ -68,8 +65,7 @@ def resample(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFram
     """
     texts = in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    chosen = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_ROWS)
-    raw, target = _model(texts), _model(texts.join(F.broadcast(chosen), "doc_id", "left_semi"))
+    raw, target = _model(texts), _model(texts.join(good, "doc_id", "left_semi"))
     ratio = target - raw if np.ptp(target) > 0 else np.zeros(BUCKETS)
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
 

@@ -41,3 +41,11 @@ def test_without_a_target_or_rows(spark, labelled):
     got = importance.resample(docs, labels).collect()
     assert {x.log_ratio for x in got} == {0.0} and sum(x.kept for x in got) == 9
     assert importance.resample(docs.limit(0), labels).count() == 0
+
+
+def test_the_target_is_every_labelled_good_document(spark):
+    n = 6000
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('w', id) AS text")
+    got = importance.resample(docs, docs.selectExpr("doc_id", "1 AS quality"))
+    # Target and raw counts are the same, so no n-gram tells them apart.
+    assert got.filter("abs(log_ratio) > 1e-12").count() == 0 and got.count() == n
