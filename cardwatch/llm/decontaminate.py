@@ -7,11 +7,14 @@ fixed by the parameters) reaches the driver for the last small factorisation.
 Windows of every document whose cosine with a part of a benchmark item is high
 are then compared with the item word by word: the longest common subsequence
 shows a copy, and a shorter one together with the item's last words, its
-answer, a paraphrase.
+answer, a paraphrase. Items shorter than a window are searched for by windows
+of about their own size as well, and as an exact sequence of words; those in
+scripts without spaces as an exact sequence of characters.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,8 +40,14 @@ NEAR, NEAR_TERMS = 0.55, 0.3
 COPY, PARAPHRASE = 0.7, 0.6
 #: Last words of an item that are its answer, and the share of them that a paraphrase has in order.
 ANSWER_WORDS, ANSWER = 6, 0.8
-#: Items of fewer words say too little to be searched for.
+#: Items of fewer words are only found as exact sequences.
 LEAST_WORDS = 8
+#: Step of the four-step windows for items below ``WINDOW`` words, by the least number of their words.
+SHORT_STEPS = {8: 2, 12: 3, 16: 4}
+#: Cosines held at once.
+_COSINES = 1 << 22
+#: Letters of scripts without spaces between words.
+_UNSPACED = "[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3005-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]"
 #: Items that are sent to the tasks at once.
 ITEMS_AT_ONCE = 10_000
 _SEED = 20
@@ -180,19 +189,38 @@ class Benchmark:
     def __init__(self, rows: list[tuple[int, str]], space: LatentSpace):
         self.table, self.squares = space.table, np.square(space.weights)
         self.items, vectors, owner, held, sizes = [], [], [], [], []
+        short: dict[int, tuple[list, list, list]] = {step: ([], [], []) for step in SHORT_STEPS.values()}
+        self.exact: dict[int, list[tuple[int, int, np.ndarray]]] = {}
+        self.unspaced: list[tuple[int, bytes, re.Pattern]] = []
         for (item, _), (_, _, words) in zip(rows, slices(pa.array([t or "" for _, t in rows], pa.string()), apart=MARKS, most=1)):
-            h = words.hashes().tolist()
-            if len(h) < LEAST_WORDS:
+            hashes = words.hashes()
+            h = hashes.tolist()
+            if not h:
                 continue
-            terms = _terms(words)
-            places = sorted({*range(0, max(1, len(h) - WINDOW), PART_STEP), max(0, len(h) - WINDOW)})
-            vectors += [space.table[terms[a : a + WINDOW]].sum(axis=0) for a in places]
-            sizes += [np.sqrt(self.squares[terms[a : a + WINDOW]].sum()) for a in places]
-            owner += [len(self.items)] * len(places)
+            terms = (hashes % np.uint64(TERMS)).astype(np.int32)
+            if len(h) >= LEAST_WORDS:
+                places = sorted({*range(0, max(1, len(h) - WINDOW), PART_STEP), max(0, len(h) - WINDOW)})
+                vectors += [space.table[terms[a : a + WINDOW]].sum(axis=0) for a in places]
+                sizes += [np.sqrt(self.squares[terms[a : a + WINDOW]].sum()) for a in places]
+                owner += [len(self.items)] * len(places)
+                if len(h) < WINDOW:
+                    mine = short[SHORT_STEPS[max(n for n in SHORT_STEPS if n <= len(h))]]
+                    for to, x in zip(mine, (vectors[-1], sizes[-1], len(self.items))):
+                        to.append(x)
+            if len(h) < WINDOW:
+                rarest = int(np.argmax(space.weights[terms]))
+                self.exact.setdefault(h[rarest], []).append((len(self.items), rarest, hashes))
+            self._unspaced(words)
             bits = np.zeros(TERMS, bool)
             bits[terms] = True
             held.append(np.packbits(bits))
             self.items.append((item, len(h), _masks(h), min(ANSWER_WORDS, len(h)), _masks(h[-ANSWER_WORDS:])))
+        self.short = {
+            step: (_unit(np.array(v, np.float32).reshape(len(v), space.table.shape[1])), np.array(z, np.float32), np.array(o, np.int64))
+            for step, (v, z, o) in short.items() if o
+        }
+        self.anchors = np.zeros(TERMS, bool)
+        self.anchors[[x % TERMS for x in self.exact]] = True
         self.vectors = _unit(np.array(vectors, np.float32).reshape(len(vectors), space.table.shape[1]))
         self.owner, self.sizes = np.array(owner, np.int64), np.array(sizes, np.float32)
         self.held = np.array(held, np.uint8).reshape(len(held), TERMS // 8)
@@ -200,54 +228,94 @@ class Benchmark:
     def search(self, words: Words) -> list[list[tuple[int, float, float, bool]]]:
         """Leaks of each text: (item, cosine, share of the item in common, whether it is a copy)."""
         found: list[list[tuple[int, float, float, bool]]] = [[] for _ in range(words.texts)]
-        if not len(words.start) or not len(self.owner):
+        if not len(words.start) or not self.items:
             return found
         hashes = words.hashes()
         terms = (hashes % np.uint64(TERMS)).astype(np.int32)
-        starts, groups = _group_starts(words, STEP)
+        best: dict[tuple[int, int], tuple[float, float, bool]] = {}
+        self._windows(words, hashes, terms, STEP, STEPS, self.vectors, self.sizes, self.owner, best)
+        for step, (vectors, sizes, owner) in self.short.items():
+            self._windows(words, hashes, terms, step, 4, vectors, sizes, owner, best)
+        self._sequences(words, hashes, terms, best)
+        for (doc, item), (share, cosine, copy) in sorted(best.items()):
+            found[doc].append((self.items[item][0], cosine, share, copy))
+        return found
+
+    def _windows(self, words: Words, hashes: np.ndarray, terms: np.ndarray, step: int, count: int, parts: np.ndarray, sizes: np.ndarray, owner: np.ndarray, best: dict) -> None:
+        """Leaks that windows of ``count`` steps of ``step`` words show."""
+        if not len(owner):
+            return
+        starts, groups = _group_starts(words, step)
         steps = np.add.reduceat(self.table[terms], starts, axis=0)
         # A window is the sum of steps of one text; a text of fewer steps is one window.
         text = np.repeat(np.arange(words.texts), groups)
         begin = np.cumsum(groups) - groups
         left = np.repeat(begin + groups, groups) - np.arange(len(text))
         windows = steps.copy()
-        for k in range(1, STEPS):
+        for k in range(1, count):
             windows[: len(steps) - k] += np.where((left > k)[: len(steps) - k, None], steps[k:], 0)
-        whole = np.flatnonzero((left >= STEPS) | (np.arange(len(text)) == np.repeat(begin, groups)))
+        whole = np.flatnonzero((left >= count) | (np.arange(len(text)) == np.repeat(begin, groups)))
         vectors = _unit(windows[whole])
-        best: dict[tuple[int, int], tuple[float, float, bool]] = {}
-        cosines = vectors @ self.vectors.T
-        near, part = np.nonzero(cosines >= NEAR)
-        keep = self._share_terms(terms, starts[whole[near]], words.first[text[whole[near]] + 1], part)
-        for w, q in zip(near[keep], part[keep]):
-            doc, item = int(text[whole[w]]), int(self.owner[q])
-            _, size, masks, answer_size, answer = self.items[item]
-            a = int(starts[whole[w]])
-            lo, hi = max(int(words.first[doc]), a - size), min(int(words.first[doc + 1]), a + WINDOW + size)
-            region = hashes[lo:hi].tolist()
-            share = common_words(masks, size, region) / size
-            copy = share >= COPY
-            if not copy and not (share >= PARAPHRASE and common_words(answer, answer_size, region) >= ANSWER * answer_size):
-                continue
-            now = (share, float(cosines[w, q]), copy)
-            if now > best.get((doc, item), (0.0, 0.0, False)):
-                best[doc, item] = now
-        for (doc, item), (share, cosine, copy) in sorted(best.items()):
-            found[doc].append((self.items[item][0], cosine, share, copy))
-        return found
-
-
-    def _share_terms(self, terms: np.ndarray, start: np.ndarray, end: np.ndarray, part: np.ndarray) -> np.ndarray:
+        some = max(1, _COSINES // len(owner))
+        for at in range(0, len(whole), some):
+            cosines = vectors[at : at + some] @ parts.T
+            near, part = np.nonzero(cosines >= NEAR)
+            mine = whole[at : at + some][near]
+            keep = self._share_terms(terms, starts[mine], words.first[text[mine] + 1], owner[part], sizes[part], step * count)
+            for w, v, q in zip(mine[keep], near[keep], part[keep]):
+                doc, item = int(text[w]), int(owner[q])
+                _, size, masks, answer_size, answer = self.items[item]
+                a = int(starts[w])
+                lo, hi = max(int(words.first[doc]), a - size), min(int(words.first[doc + 1]), a + step * count + size)
+                region = hashes[lo:hi].tolist()
+                share = common_words(masks, size, region) / size
+                copy = share >= COPY
+                if not copy and not (share >= PARAPHRASE and common_words(answer, answer_size, region) >= ANSWER * answer_size):
+                    continue
+                now = (share, float(cosines[v, q]), copy)
+                if now > best.get((doc, item), (0.0, 0.0, False)):
+                    best[doc, item] = now
+
+    def _unspaced(self, words: Words) -> None:
+        """Notes the last item by its characters, if it has letters of a script without spaces."""
+        runs = [bytes(words.data[a:b]).decode("utf-8", "replace") for a, b in zip(words.start, words.end)]
+        text = " ".join(runs)
+        if re.search(_UNSPACED, text):
+            edge = ["" if re.match(_UNSPACED, text[k]) or not text[k].isalnum() else x for k, x in ((0, "(?:^|(?<= ))"), (-1, "(?= |$)"))]
+            self.unspaced.append((len(self.items), max(runs, key=len).encode(), re.compile(edge[0] + re.escape(text) + edge[1])))
+
+    def _sequences(self, words: Words, hashes: np.ndarray, terms: np.ndarray, best: dict) -> None:
+        """Leaks that are exact sequences of an item's words, or of its characters."""
+        for k in np.flatnonzero(self.anchors[terms]):
+            doc = int(words.doc[k])
+            for item, place, whole in self.exact.get(int(hashes[k]), ()):
+                a = int(k) - place
+                if a >= words.first[doc] and a + len(whole) <= words.first[doc + 1] and (doc, item) not in best and np.array_equal(hashes[a : a + len(whole)], whole):
+                    best[doc, item] = (1.0, 1.0, True)
+        if not self.unspaced or not (words.data >= 0xE0).any():
+            return
+        raw, texts = words.data.tobytes(), {}
+        for item, longest, pattern in self.unspaced:
+            at = raw.find(longest)
+            while at >= 0:
+                doc = int(np.searchsorted(words.offsets, at, side="right")) - 1
+                if doc not in texts:
+                    a, b = words.first[doc], words.first[doc + 1]
+                    texts[doc] = " ".join(raw[x:y].decode("utf-8", "replace") for x, y in zip(words.start[a:b], words.end[a:b]))
+                if pattern.search(texts[doc]):
+                    best[doc, item] = (1.0, 1.0, True)
+                at = raw.find(longest, int(words.offsets[doc + 1]))
+
+    def _share_terms(self, terms: np.ndarray, start: np.ndarray, end: np.ndarray, item: np.ndarray, sizes: np.ndarray, window: int) -> np.ndarray:
         """Of candidate windows: whether they hold enough of the item's terms, by weight."""
         both, own = np.zeros(len(start), np.float32), np.zeros(len(start), np.float32)
-        item = self.owner[part]
-        for k in range(WINDOW):
+        for k in range(window):
             inside = start + k < end
             t = terms[np.minimum(start + k, len(terms) - 1)]
             weight = self.squares[t] * inside
             own += weight
             both += weight * (self.held[item, t >> 3] >> (7 - (t & 7)) & 1)
-        return both >= NEAR_TERMS * np.sqrt(own) * self.sizes[part]
+        return both >= NEAR_TERMS * np.sqrt(own) * sizes
 
 
 def _masks(words: list[int]) -> dict[int, int]:
@@ -272,8 +340,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     ``share`` is the part of the item's words that the document has in order;
     ``copied`` tells a copy from a paraphrase. Null and empty texts hold no
-    item, items of under ``LEAST_WORDS`` words are not searched for, repeated
-    rows give repeated results, null ids stay null, other columns are not read,
+    item, items of under ``LEAST_WORDS`` words are only found word by word
+    (one of a single common word is in every text with it), repeated rows give repeated results, null ids stay null, other columns are not read,
     empty tables give no rows.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -75,3 +75,19 @@ def test_latent_space_is_that_of_the_matrix(spark):
     matrix = np.array(rows)
     best = np.square(np.linalg.svd(matrix, compute_uv=False)[: decontaminate.RANK]).sum()
     assert np.square(matrix @ basis).sum() >= 0.5 * best
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    r = random.Random(4)
+    items = [(k, " ".join(brute.prose(r, 3 + k % 10))) for k in range(100)]
+    items += [(100, "水の沸点は何度ですか"), (101, "什么是光合作用？"), (102, "GDP 是什么意思")]
+    docs = []
+    for k, text in items:
+        words = brute.prose(r, 120)
+        at = r.randrange(121)
+        words[at:at] = [w.upper() + "," for w in text.split()] if k < 100 else ["前文" + text + "後文" if k < 102 else "(" + text + "後文"]
+        docs.append((k, " ".join(words)))
+    docs += [(1000 + k, " ".join([*t.split()[:-1], "other", *brute.prose(r, 40)])) for k, t in items[:100:10]] + [(2000, "xgdp 是什么意思"), (2001, "水の沸点は")]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((x.doc_id, x.item_id, x.copied) for x in decontaminate.leaks(frame, bench).collect())
+    assert got == [(k, k, True) for k, _ in items]
