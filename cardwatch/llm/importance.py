@@ -56,7 +56,8 @@ def _model(texts: DataFrame) -> np.ndarray:
 def resample(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_ngrams, log_ratio, kept.
 
-    The target is all documents that ``labels`` (doc_id, quality) marks 1; the
+    The target is all documents that ``labels`` (doc_id, quality) marks 1, a text
+    that one doc_id repeats counting once; the
     raw model counts all documents. ``log_ratio`` is the mean over a document's n-grams, 0 without
     any. The share ``keep`` of the rows with the largest noisy ratio is kept;
     the noise comes from the doc_id, so a run can be repeated, and ties go by
@@ -65,7 +66,7 @@ def resample(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFram
     """
     texts = in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    raw, target = _model(texts), _model(texts.join(good, "doc_id", "left_semi"))
+    raw, target = _model(texts), _model(texts.join(good, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
     ratio = target - raw if np.ptp(target) > 0 else np.zeros(BUCKETS)
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
 

@@ -49,3 +49,12 @@ def test_the_target_is_every_labelled_good_document(spark):
     got = importance.resample(docs, docs.selectExpr("doc_id", "1 AS quality"))
     # Target and raw counts are the same, so no n-gram tells them apart.
     assert got.filter("abs(log_ratio) > 1e-12").count() == 0 and got.count() == n
+
+
+def test_a_repeated_row_weighs_once_in_the_target(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "d e f"), (3, "g h")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 1)], "doc_id long, quality int")
+    more = docs.union(docs.filter("doc_id = 1"))
+    got = {r.doc_id: r.log_ratio for r in importance.resample(more, labels).collect()}
+    # Raw text has the first document twice, the target once.
+    assert got[1] < got[2]
