@@ -8,15 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cardwatch.llm import chat
+from cardwatch.llm import chat, oracles
 from cardwatch.llm.decontaminate import leaks
 from cardwatch.llm.html_text import extract_text
 from cardwatch.llm.importance import resample
 from cardwatch.llm.licenses import scan_licenses
 from cardwatch.llm.near_dups import near_duplicates
 from cardwatch.llm.packing import pack
+from cardwatch.llm.phrases import collocations
 from cardwatch.llm.pii import scan_pii
 from cardwatch.llm.quality import quality_rules
+from cardwatch.llm.simhash import simhash_components
 from cardwatch.llm.toxicity import Toxicity
 
 
@@ -86,6 +88,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(_table(spark, sf_dir, "documents"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_chat": op2_chat,
@@ -97,12 +107,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
+    "op12_simhash": op12_simhash,
+    "op13_phrases": op13_phrases,
     "pipeline": corpus_pipeline.run,
 }
 
 _CHAT_ESCAPED = "replace(replace(replace(replace(coalesce({}, ''), '\\', '\\b'), '###', '\\h'), '</turn>', '\\e'), '<|', '\\p')"
 
 ORACLES: dict[str, str] = {
+    "op13_phrases": oracles.PHRASES,
     "op2_chat": f"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

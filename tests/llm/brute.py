@@ -87,3 +87,53 @@ def pii_base(text: str) -> list[tuple]:
         if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
             out.append((m.start(), 3, m.end()))
     return [(a, ("email", "ip", "card", "phone")[k], b) for a, k, b in sorted(out)]
+
+
+def simhash(rows: list[tuple[int, str | None]], radius: int = 2) -> list[tuple]:
+    import xxhash
+
+    prints = []
+    for _, text in rows:
+        w = (text or "").encode().lower().split()
+        runs = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+        hashes = [xxhash.xxh64_intdigest(x, 42) for x in runs]
+        prints.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
+    root = {i: i for i, _ in rows}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for k, (i, _) in enumerate(rows):
+        for j in range(k):
+            if (prints[k] ^ prints[j]).bit_count() <= radius:
+                x, y = find(i), find(rows[j][0])
+                root[max(x, y)] = min(x, y)
+    return sorted((i, f"{p:016x}", find(i)) for (i, _), p in zip(rows, prints))
+
+
+def phrases(rows: list[tuple[str | None, str | None]], least: int, inside: int, top: int) -> list[tuple]:
+    """``rows``: (text, lang)."""
+    upper = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    f, n = Counter(), Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\x0a-\x0d]", (text or "").translate(upper)):
+            w = re.findall("[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            f.update((lang, *w[i : i + k]) for k in range(1, 5) for i in range(len(w) - k + 1))
+    often = {p: a for p, a in f.items() if len(p) > 2 and a >= least}
+    covered = set()
+    for (lang, *w), a in often.items():
+        for k in range(2, len(w)):
+            for i in range(len(w) - k + 1):
+                if 100 * a >= inside * f[(lang, *w[i : i + k])]:
+                    covered.add((lang, *w[i : i + k]))
+    found: dict[str, list] = {}
+    for (lang, *w), a in often.items():
+        if (lang, *w) not in covered:
+            cuts = [(2_000_000 * a // (f[(lang, *w[:k])] + f[(lang, *w[k:])]), k) for k in range(1, len(w))]
+            score, k = min(cuts)
+            found.setdefault(lang, []).append((-score, -a, " ".join(w).encode(), f[(lang, *w[:k])], f[(lang, *w[k:])]))
+    return sorted((lang, i + 1, p.decode(), -a, left, right, n[lang], -s) for lang, rows in found.items() for i, (s, a, p, left, right) in enumerate(sorted(rows)[:top]))
