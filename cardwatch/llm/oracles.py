@@ -36,3 +36,41 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
 FROM free JOIN total AS t USING (lang)
 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
 """
+
+TRIE = r"""
+WITH given AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         sha256(octet_length(encode(coalesce(role, '')))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS id
+  FROM conversations WHERE conv_id IS NOT NULL),
+turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) AS place, id,
+         len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM given),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base,
+         xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+           lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM given)),
+rebuilt AS (
+  SELECT c.conv_id, 0 AS part, t.place, t.id, t.words FROM convs AS c JOIN turns AS t ON t.conv_id = c.base AND t.place <= c.h
+  UNION ALL SELECT c.conv_id, 1, t.place, t.id, t.words FROM convs AS c JOIN turns AS t ON t.conv_id = c.conv_id AND t.place > c.h),
+ordered AS (SELECT conv_id, id, words, row_number() OVER (PARTITION BY conv_id ORDER BY part, place) AS depth FROM rebuilt),
+prefixes AS (
+  SELECT conv_id, depth, words, string_agg(id, '') OVER (PARTITION BY conv_id ORDER BY depth) AS prefix FROM ordered
+  UNION ALL SELECT conv_id, 0, 0, '' FROM convs),
+members AS (
+  SELECT conv_id AS member, depth, words, min(conv_id) OVER (PARTITION BY depth, prefix) AS node,
+         max(depth) OVER (PARTITION BY conv_id) = depth AS ends FROM prefixes),
+nodes AS (
+  SELECT node, depth, count(*) AS n, any_value(words) AS words,
+         sha256(coalesce(string_agg(member::VARCHAR, ',' ORDER BY member) FILTER (ends), '')) AS ends FROM members GROUP BY node, depth),
+linked AS (
+  SELECT n.*, m.node AS parent FROM nodes AS n LEFT JOIN members AS m ON m.member = n.node AND m.depth = n.depth - 1),
+children AS (SELECT parent AS node, depth - 1 AS depth, count(*) AS kids FROM linked WHERE parent IS NOT NULL GROUP BY ALL),
+full_ AS (SELECT l.*, coalesce(c.kids, 0) AS kids FROM linked AS l LEFT JOIN children AS c ON c.node = l.node AND c.depth = l.depth),
+below AS (
+  SELECT m.node, m.depth, count(*) FILTER (f.kids = 0) AS leaves, sum((f.n - 1) * f.words) AS saved
+  FROM full_ AS f JOIN members AS m ON m.member = f.node AND m.depth <= f.depth GROUP BY ALL)
+SELECT f.node AS conv_id, f.depth::BIGINT AS depth, f.parent AS parent_conv_id, f.n::BIGINT AS n_convs, f.kids::BIGINT AS n_children,
+       b.leaves::BIGINT AS n_leaves, b.saved::BIGINT AS saved_tokens, f.ends AS ends_sha256
+FROM full_ AS f JOIN below AS b ON b.node = f.node AND b.depth = f.depth
+"""

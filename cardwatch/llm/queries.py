@@ -17,9 +17,11 @@ from cardwatch.llm.near_dups import near_duplicates
 from cardwatch.llm.packing import pack
 from cardwatch.llm.phrases import collocations
 from cardwatch.llm.pii import scan_pii
+from cardwatch.llm.prefix_trie import heads_shared, numbered_turns, prefix_trie
 from cardwatch.llm.quality import quality_rules
 from cardwatch.llm.simhash import simhash_components
 from cardwatch.llm.toxicity import Toxicity
+from cardwatch.session import stage
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,6 +90,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, each begun like the first of its group."""
+    turns = stage(numbered_turns(_table(spark, sf_dir, "conversations")), "turns")
+    return prefix_trie(heads_shared(turns))
+
+
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"))
 
@@ -107,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_simhash": op12_simhash,
     "op13_phrases": op13_phrases,
     "pipeline": corpus_pipeline.run,
@@ -115,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _CHAT_ESCAPED = "replace(replace(replace(replace(coalesce({}, ''), '\\', '\\b'), '###', '\\h'), '</turn>', '\\e'), '<|', '\\p')"
 
 ORACLES: dict[str, str] = {
+    "op11_prefix_trie": oracles.TRIE,
     "op13_phrases": oracles.PHRASES,
     "op2_chat": f"""
 WITH rows AS (

@@ -137,3 +137,34 @@ def phrases(rows: list[tuple[str | None, str | None]], least: int, inside: int,
             score, k = min(cuts)
             found.setdefault(lang, []).append((-score, -a, " ".join(w).encode(), f[(lang, *w[:k])], f[(lang, *w[k:])]))
     return sorted((lang, i + 1, p.decode(), -a, left, right, n[lang], -s) for lang, rows in found.items() for i, (s, a, p, left, right) in enumerate(sorted(rows)[:top]))
+
+
+def prefix_trie(convs: dict[int, list[tuple[str, int]]]) -> list[tuple]:
+    """``convs``: turns as (name, words)."""
+    import hashlib
+
+    members: dict[tuple, list[int]] = {}
+    for c, turns in convs.items():
+        for d in range(len(turns) + 1):
+            members.setdefault(tuple(turns[:d]), []).append(c)
+    out = []
+    for p, own in members.items():
+        below = [q for q in members if q[: len(p)] == p]
+        leaf = [q for q in below if not any(len(x) == len(q) + 1 and x[: len(q)] == q for x in members)]
+        saved = sum((len(members[q]) - 1) * (q[-1][1] if q else 0) for q in below)
+        ends = ",".join(str(c) for c in sorted(own) if len(convs[c]) == len(p))
+        kids = sum(len(q) == len(p) + 1 for q in below)
+        parent = min(members[p[:-1]]) if p else None
+        out.append((min(own), len(p), parent, len(own), kids, len(leaf), saved, hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=lambda r: (r[1], r[0]))
+
+
+def rebuilt(rows: list[tuple]) -> dict[int, list[tuple[str, int]]]:
+    """``rows``: (conv_id, turn, role, text); no two turns of a conversation have one number."""
+    import zlib
+
+    turns: dict[int, list] = {}
+    for c, turn, role, text in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0)):
+        turns.setdefault(c, []).append(((role or "") + "\x00" + (text or ""), len(re.findall("[^\x20\x09-\x0d]+", text or ""))))
+    group = lambda c: c // 20 * 20 if c >= 0 else -(-c // 20 * 20)  # noqa: E731  rounded towards zero
+    return {c: turns.get(group(c), [])[: zlib.crc32(str(c).encode()) % 4] + own[zlib.crc32(str(c).encode()) % 4 :] for c, own in turns.items()}
