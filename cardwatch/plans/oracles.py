@@ -369,5 +369,20 @@ UNION ALL SELECT 'kafka_consumer_lag_total', 'gauge', '', CAST(sum(lag) AS BIGIN
         "count(*) FILTER (decision <> 'approve') AS open, CAST(1 AS BIGINT) AS p50_us, CAST(1 AS BIGINT) AS p99_us, "
         "(SELECT string_agg(rule || '=' || fires, ',' ORDER BY rule) FROM fires) AS rule_fires FROM v"
     ),
+    "T9_stream_lag": _tx(
+        ", r AS (SELECT CAST(user_id % 6 AS INT) AS partition, event_id * 2 AS o, max(event_id * 2) OVER () * 2 // 3 AS cut FROM tx), "
+        "h AS (SELECT partition, max(o) FILTER (o < cut) + 1 AS early, max(o) + 1 AS head FROM r GROUP BY 1), "
+        "e AS (SELECT *, CASE WHEN sum(early) OVER () <= 50000 THEN early "
+        "ELSE (early * 50000 + sum(early) OVER () - 1) // sum(early) OVER () END AS one FROM h), "
+        "f AS (SELECT *, CASE WHEN sum(head - one) OVER () <= 50000 THEN head "
+        "ELSE one + ((head - one) * 50000 + sum(head - one) OVER () - 1) // sum(head - one) OVER () END AS two FROM e) "
+        "SELECT partition, CAST(head - two AS BIGINT) AS lag, CAST(sum(head - two) OVER () AS BIGINT) AS lag_total FROM f"
+    ),
+    "S1_read_tx_stream": _tx(
+        ", r AS (SELECT user_id % 6 AS p, event_id * 2 AS o FROM tx UNION ALL "
+        "SELECT user_id % 6, event_id * 2 + 1 FROM tx WHERE event_id % 40 = 0) "
+        "SELECT 'transactions' AS topic, CAST(p AS INT) AS partition, count(*) AS n, count(DISTINCT o) AS offsets, "
+        'min(o) AS first, max(o) AS "last", max(o) + 1 AS high_watermark FROM r GROUP BY p'
+    ),
     "S1_S7_scoring_job": _ver("SELECT tx_id, score, flags, decision, \"at\" FROM hot"),
 }

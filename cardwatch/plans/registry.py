@@ -463,6 +463,16 @@ def stream_snapshot(spark, d):
     return streams.snapshot(spark, d)
 
 
+@query("T9_stream_lag")
+def stream_lag(spark, d):
+    return streams.stream_lag(spark, d)
+
+
+@query("S1_read_tx_stream")
+def read_tx_stream(spark, d):
+    return streams.read_log(spark, d)
+
+
 @query("S1_S7_scoring_job")
 def scoring_job(spark, d):
     return streams.scored_job(spark, d)

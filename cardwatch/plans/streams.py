@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from cardwatch import schemas
 from cardwatch.functions.columns import is_flagged
 from cardwatch.operators.audit import delivery_audit, window_loss_audit
+from cardwatch.operators.lag import lag_total, partition_lag
 from cardwatch.plans import fixture as X
 from cardwatch.session import configure, fresh_path, stage
+from cardwatch.sources import record_log
 from cardwatch.sources.records import decode, file_records
 from cardwatch.sources.records import read_bodies as split_bodies
-from cardwatch.sources.sinks import CaseTable
+from cardwatch.sources.sinks import CaseTable, run_of
 from cardwatch.streaming.job import (
     ScoringJob,
     case_sink,
@@ -26,6 +28,7 @@ from cardwatch.streaming.job import (
     read_throughput,
     write_throughput,
 )
+from cardwatch.streaming.progress import LagRecorder, recorded
 from cardwatch.streaming.velocity import IDLE_MS, RETENTION_MS, stream_velocity, use_rocksdb
 
 SLICES = 3
@@ -152,6 +155,59 @@ def scored_job(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("tx_id", "score", F.array_join("flags", ",").alias("flags"), "decision", "at")
 
 
+LAG_OFFSETS = 50_000  # offsets of a micro-batch of the lag query
+
+
+def stream_lag(spark: SparkSession, d: str) -> DataFrame:
+    """Lag of a stream over a partitioned log, stopped in its middle, as a listener recorded it while it ran.
+
+    Two thirds of the log are there, one micro-batch is read, the rest comes
+    in, and the stream goes on from its checkpoint for one more micro-batch.
+    """
+    configure(spark)
+    made = stage(X.raw_records(spark, d, broken=False), "log-made")
+    cut = made.agg(F.max("offset") * 2).first()[0] // 3
+    log, base = fresh_path(spark, "log"), fresh_path(spark, "lag")
+    recorder = LagRecorder(spark, f"{base}/lag", lambda: record_log.heads(spark, log))
+    spark.streams.addListener(recorder)
+    try:
+        for part in (F.col("offset") < cut, F.col("offset") >= cut):
+            record_log.append(made.filter(part), log)
+            rows = record_log.stream(spark, log, f"{base}/position.json", LAG_OFFSETS)
+            writer = rows.select("partition", "offset").writeStream.option("checkpointLocation", f"{base}/checkpoint")
+            # One micro-batch, up to what the rate cap admits.
+            writer.trigger(availableNow=True).format("parquet").start(f"{base}/read").awaitTermination()
+            spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+    finally:
+        spark.streams.removeListener(recorder)
+    lags = partition_lag(recorded(spark, f"{base}/lag", run_of(spark, f"{base}/checkpoint")))
+    return lags.crossJoin(F.broadcast(lag_total(lags)))  # one row
+
+
+def read_log(spark: SparkSession, d: str) -> DataFrame:
+    """A partitioned log read to its end in capped micro-batches: records and offsets per partition."""
+    configure(spark)
+    log, base = fresh_path(spark, "log"), fresh_path(spark, "read")
+    record_log.append(X.raw_records(spark, d), log)
+    heads = record_log.heads(spark, log)
+    rows = record_log.stream(spark, log, f"{base}/position.json", LAG_OFFSETS)
+    query = (
+        rows.select("topic", "partition", "offset")
+        .writeStream.option("checkpointLocation", f"{base}/checkpoint")
+        .format("parquet")
+        .start(f"{base}/read")
+    )
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    got = spark.read.schema("topic string, partition int, offset long").parquet(f"{base}/read")
+    counts = got.groupBy("topic", "partition").agg(
+        F.count("*").alias("n"), F.count_distinct("offset").alias("offsets"), F.min("offset").alias("first"), F.max("offset").alias("last")
+    )
+    return counts.join(heads, ["topic", "partition"])
+
+
 def commit_after_score(spark: SparkSession, d: str) -> DataFrame:
     """A sink fails in the second micro-batch, the job starts again: nothing is lost.
 
