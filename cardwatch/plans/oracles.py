@@ -150,6 +150,21 @@ _CASE_COUNTS = (
     "count(*) FILTER (resolution = 'false_positive') AS false_positive FROM cases"
 )
 # Position of an arrival in the late-run order: slices 1, 2, then 0.
+_BITS = "lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END"
+_CRC32 = (
+    "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({}, ''), lambda c: ascii(c)::BIGINT)), "
+    f"lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), {_BITS})))"
+)
+
+
+def _left(key: str, window: int) -> str:
+    """Keys of a rule with an event in a block of time that is not over for the newest event of their bucket."""
+    return (
+        f"SELECT DISTINCT '{key}' AS rule, CAST(bucket AS INT) AS bucket, key FROM (SELECT key, bucket, ts_ms, max(ts_ms) OVER (PARTITION BY bucket) AS newest FROM "
+        f"(SELECT {key} AS key, {_CRC32.format(key)} % 32 AS bucket, ts_ms FROM tx)) WHERE (ts_ms // {window} + 1) * {window} > newest - {window}"
+    )
+
+
 _LATE = """,
 arr AS (
   SELECT *, CASE slice WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE 2 END AS turn FROM (
@@ -348,6 +363,7 @@ UNION ALL SELECT 'kafka_consumer_lag_total', 'gauge', '', CAST(sum(lag) AS BIGIN
     "T2_state_expiry": _vel(
         "SELECT id, card_n, ip_n FROM tx JOIN card USING (event_id) JOIN fan USING (event_id)"
     ),
+    "T2_keys_left": _tx(f"{_left('card_hash', 60000)} UNION ALL {_left('ip', 300000)}"),
     "T4_commit_after_score": _ver(
         "SELECT count(*) AS delivered, count(DISTINCT tx_id) AS distinct_ids, CAST(0 AS BIGINT) AS duplicated_ids FROM hot"
     ),

@@ -433,6 +433,11 @@ def state_expiry(spark, d):
     return streams.expiring_velocity(spark, d)
 
 
+@query("T2_keys_left")
+def keys_left(spark, d):
+    return streams.keys_left(spark, d)
+
+
 @query("T4_commit_after_score")
 def commit_after_score(spark, d):
     return streams.commit_after_score(spark, d)

@@ -29,7 +29,7 @@ from cardwatch.streaming.job import (
     write_throughput,
 )
 from cardwatch.streaming.progress import LagRecorder, recorded
-from cardwatch.streaming.velocity import IDLE_MS, RETENTION_MS, stream_velocity, use_rocksdb
+from cardwatch.streaming.velocity import IDLE_MS, RETENTION_MS, read_state, stream_velocity, use_rocksdb
 
 SLICES = 3
 SLICE_MS = 600_000  # the data spans about 30 minutes
@@ -117,6 +117,14 @@ def expiring_velocity(spark: SparkSession, d: str) -> DataFrame:
     return _counted(spark, source, fresh_path(spark, "expiring"), retention_ms=0, idle_ms=0).select("id", "card_n", "ip_n")
 
 
+def keys_left(spark: SparkSession, d: str) -> DataFrame:
+    """Keys in the state of a checkpoint whose stream forgets a block when its window is over; idle keys are not in it."""
+    source, base = _record_files(spark, d), fresh_path(spark, "left")
+    _counted(spark, source, base, retention_ms=0, idle_ms=0)
+    ticks = [read_state(spark, f"{base}/checkpoint", k).select(F.lit(rule).alias("rule"), "bucket", "key") for k, rule in ((1, "card_hash"), (0, "ip"))]
+    return ticks[0].union(ticks[1]).distinct()
+
+
 def late_velocity(spark: SparkSession, d: str) -> DataFrame:
     """The first slice arrives last: its rows are late, and scored all the same."""
     source = _record_files(spark, d, order=[1, 2, 0])

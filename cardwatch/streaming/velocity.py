@@ -1,39 +1,40 @@
 """Per-event window counts on a stream, in checkpointed state.
 
 Each rule is one stateful operator; two are chained (card, then IP). Keys are
-hashed to buckets, and the state of a bucket is one small Arrow table of ticks
-(key, millisecond, count). A call of the operator then counts all rows of a
-bucket at once, instead of one key at a time, and a key costs no state
-round trip of its own. The state lives in the query's checkpoint: a restart or
-a moved partition finds it again.
+hashed to buckets, and a bucket holds its ticks (key, millisecond, count) by
+blocks of time, each block one small Arrow table in a map. A micro-batch reads
+the blocks that its rows can count in and writes those its rows are in; a call
+of the operator counts all rows of a bucket at once. The state lives in the
+query's checkpoint: a restart or a moved partition finds it again.
 
 Rows are counted in arrival order: micro-batch by micro-batch, and by
 (ts_ms, seq) inside one. A row drops the ticks of its key that are older than
-its window, for good, and a late row also counts the newer ticks it finds.
+its window, for good, and a late row also counts the newer ticks it finds. A
+block that is not read keeps dropped ticks until it is; the round in which a
+tick came tells them apart then. Old blocks go whole and unread.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from cardwatch.operators.velocity import CARD, IP, WindowRule
 
-# Event time after which an idle key is forgotten, counted back from the newest
-# event of its bucket (or from now, if an event claims to be from the future).
-# Fixed value: ten minutes.
+# Event time after which a block of ticks is forgotten, counted back from the
+# newest event of its bucket (or from now, if an event claims to be from the
+# future). Fixed value: ten minutes.
 RETENTION_MS = 600_000
 
-# A key must also have had no row for so long by the clock. Rows that are late
-# within this time are counted alike, however keys share buckets.
+# Nothing must have come into the block for so long by the clock either. Rows
+# that are late within this time are counted alike, however keys share buckets.
 IDLE_MS = 600_000
 
 # Buckets of keys per rule. Several per core of the cluster; fixed for the life
@@ -42,85 +43,116 @@ STATE_BUCKETS = 256
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-_STATE = T.StructType([T.StructField("ticks", T.BinaryType())])
-_TICKS = ["key", "ms", "n", "seen"]
+# Columns that only pass through cross as JSON, times with all their digits.
+_CARRIED = {
+    "ignoreNullFields": "true",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
 
+_BLOCK = T.StructType([T.StructField("block", T.LongType())])
+_TICKS = T.StructType([T.StructField("ticks", T.BinaryType())])
+_CAME = T.StructType([T.StructField("came", T.LongType()), T.StructField("round", T.LongType())])
 
-def empty_ticks() -> pd.DataFrame:
-    return pd.DataFrame({"key": pd.Series(dtype=object), "ms": np.zeros(0, "i8"), "n": np.zeros(0, "i8"), "seen": np.zeros(0, "i8")})
 
+class Ticks:
+    """``key`` is an Arrow string array; ``ms``, ``n`` and ``round`` are numpy arrays beside it."""
 
-def count_arrivals(
-    held: pd.DataFrame,
-    keys: pd.Series,
-    times: np.ndarray,
-    window_ms: int,
-    horizon: int | None = None,
-    now: int = 0,
-    idle_ms: int = 0,
-) -> tuple[np.ndarray, pd.DataFrame]:
-    """Count one micro-batch of a bucket.
+    __slots__ = ("key", "ms", "n", "round")
 
-    ``held`` is the state (key, ms, n, seen). ``keys`` and ``times`` are the
-    rows, times ascending within a key. Returns the count per row and the new
-    state, without the keys whose newest tick is before ``horizon`` and that
-    had no row since ``now - idle_ms``.
+    def __init__(self, key=None, ms=None, n=None, round_=None):
+        zero = np.zeros(0, "i8")
+        self.key = pa.array([], pa.string()) if key is None else key
+        self.ms, self.n, self.round = (zero if x is None else x for x in (ms, n, round_))
+
+    def __len__(self) -> int:
+        return len(self.ms)
+
+    def take(self, which: np.ndarray) -> Ticks:
+        return Ticks(self.key.take(pa.array(which)), self.ms[which], self.n[which], self.round[which])
+
+    @staticmethod
+    def join(parts: Sequence[Ticks]) -> Ticks:
+        if not parts:
+            return Ticks()
+        return Ticks(pa.concat_arrays([p.key for p in parts]), *(np.concatenate([getattr(p, c) for p in parts]) for c in ("ms", "n", "round")))
+
+    def pack(self) -> bytes:
+        table = pa.table({"key": self.key.dictionary_encode(), "ms": self.ms, "n": self.n, "round": self.round})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_table(table)
+        return sink.getvalue().to_pybytes()
+
+    @staticmethod
+    def unpack(data: bytes) -> Ticks:
+        table = pa.ipc.open_stream(data).read_all().combine_chunks()
+        key = table["key"].cast(pa.string()).combine_chunks()
+        key = key if isinstance(key, pa.Array) else key.chunk(0) if key.num_chunks else pa.array([], pa.string())
+        return Ticks(key, *(table[c].to_numpy() for c in ("ms", "n", "round")))
+
+
+def _codes(*keys: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    coded = pa.concat_arrays(list(keys)).dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype("i8"), coded.dictionary
+
+
+def _not_dropped(code: np.ndarray, ms: np.ndarray, round_: np.ndarray, window_ms: int) -> np.ndarray:
+    """Ticks that no row of their key has dropped: none came in their round or later that is over a window newer."""
+    if not len(ms):
+        return np.zeros(0, bool)
+    order = np.lexsort((-round_, code))
+    moments, rank = np.unique(ms, return_inverse=True)
+    c, r, base = code[order], round_[order], code[order] * (len(moments) + 1)
+    newest = np.maximum.accumulate(base + rank[order]) - base
+    begins = np.r_[True, (c[1:] != c[:-1]) | (r[1:] != r[:-1])]
+    last = np.r_[np.flatnonzero(begins)[1:], len(c)] - 1  # of each round of a key
+    alive = np.empty(len(ms), bool)
+    alive[order] = ms[order] >= moments[newest[last][np.cumsum(begins) - 1]] - window_ms
+    return alive
+
+
+def count_arrivals(held: Ticks, keys: pa.Array, times: np.ndarray, window_ms: int, now: int) -> tuple[np.ndarray, Ticks]:
+    """Count one micro-batch of a bucket, its round ``now``.
+
+    ``held`` is the state that was read. ``keys`` and ``times`` are the rows,
+    times ascending within a key. Returns the count per row and the new state.
     """
     size = len(held)
-    codes, names = pd.factorize(pd.concat([held["key"], keys], ignore_index=True))
-    ms = np.concatenate((held["ms"].to_numpy("i8"), times))
+    codes, names = _codes(held.key, keys)
+    alive = _not_dropped(codes[:size], held.ms, held.round, window_ms)
+    codes = np.concatenate((codes[:size][alive], codes[size:]))
+    weight = np.concatenate((held.n[alive], np.ones(len(times), dtype="i8")))
+    ms = np.concatenate((held.ms[alive], times))
+    rounds = np.concatenate((held.round[alive], np.full(len(times), now)))
+    size = int(alive.sum())
     moments, rank = np.unique(ms, return_inverse=True)
     stride = len(moments) + 1
-    place = codes.astype("i8") * stride + rank  # orders ticks by (key, time)
+    place = codes * stride + rank  # orders ticks by (key, time)
 
     order = np.argsort(place[size:], kind="stable")
     rows = place[size:][order]
-    code, when = codes[size:][order].astype("i8"), times[order]
+    code, when = codes[size:][order], times[order]
     floor = code * stride + np.searchsorted(moments, when - window_ms, side="left")
     own = np.arange(1, len(rows) + 1) - np.searchsorted(rows, floor, side="left")
 
     shelf = np.argsort(place[:size], kind="stable")
     ticks = place[:size][shelf]
-    upto = np.concatenate(([0], np.cumsum(held["n"].to_numpy("i8")[shelf])))
+    upto = np.concatenate(([0], np.cumsum(weight[:size][shelf])))
     earlier = upto[np.searchsorted(ticks, (code + 1) * stride)] - upto[np.searchsorted(ticks, floor)]
     counts = np.empty(len(rows), dtype="i8")
     counts[order] = own + earlier
 
     spots, where = np.unique(place, return_inverse=True)
-    weight = np.concatenate((held["n"].to_numpy("i8"), np.ones(len(rows), dtype="i8")))
-    n = np.bincount(where, weights=weight, minlength=len(spots)).astype("i8")
+    n = np.zeros(len(spots), "i8")
+    np.add.at(n, where, weight)
+    newest = np.zeros(len(spots), "i8")
+    np.maximum.at(newest, where, rounds)
     owner, at = spots // stride, moments[spots % stride]
     cut = np.full(len(names), np.iinfo("i8").min)
     np.maximum.at(cut, code, when - window_ms)
-    newest = np.full(len(names), np.iinfo("i8").min)
-    np.maximum.at(newest, owner, at)
-    seen = np.full(len(names), np.iinfo("i8").min)
-    np.maximum.at(seen, codes[:size], held["seen"].to_numpy("i8"))
-    seen[codes[size:]] = now
     live = at >= cut[owner]
-    if horizon is not None:
-        live &= (newest[owner] >= horizon) | (seen[owner] > now - idle_ms)
-    kept = pd.DataFrame({"key": np.asarray(names, dtype=object)[owner[live]], "ms": at[live], "n": n[live], "seen": seen[owner[live]]})
-    return counts, kept
-
-
-def _pack(ticks: pd.DataFrame) -> bytes:
-    table = pa.table(
-        {
-            "key": pa.array(ticks["key"], pa.string()).dictionary_encode(),
-            **{name: pa.array(ticks[name], pa.int64()) for name in _TICKS[1:]},
-        }
-    )
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as writer:
-        writer.write_table(table)
-    return sink.getvalue().to_pybytes()
-
-
-def _unpack(data: bytes) -> pd.DataFrame:
-    table = pa.ipc.open_stream(data).read_all()
-    frame = table.set_column(0, "key", table["key"].cast(pa.string())).to_pandas()
-    return frame.astype({"key": object})[_TICKS]
+    return counts, Ticks(names.take(pa.array(owner[live])), at[live], n[live], newest[live])
 
 
 class WindowCounter(StatefulProcessor):
@@ -141,34 +173,53 @@ class WindowCounter(StatefulProcessor):
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ticks = handle.getValueState("ticks", _STATE)
+        self.blocks = handle.getMapState("blocks", _BLOCK, _TICKS)
+        # When, and in which round of the bucket, rows last came into a block: known without reading its ticks.
+        self.came = handle.getMapState("came", _BLOCK, _CAME)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # A bucket's rows come in chunks; together they are at most one
         # micro-batch, whose size the source caps.
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["ts_ms", "seq"], ignore_index=True)
+        batch = pd.concat(list(rows), ignore_index=True)
+        # By place: a column that is one value for the whole micro-batch comes without its name.
+        batch.columns = [*self.columns, *batch.columns[len(self.columns) :]]
+        batch = batch.sort_values(["ts_ms", "seq"], ignore_index=True)
         batch[self.rule.out] = 0
         counted = batch.index if self.skip is None else batch.index[batch[self.skip].isna()]
         if len(counted):
-            batch.loc[counted, self.rule.out] = self._count(batch.loc[counted])
+            batch.loc[counted, self.rule.out] = self._count(batch.loc[counted], int(batch["_now"].iloc[0]))
         yield batch[[*self.columns, self.rule.out]]
 
-    def _count(self, batch: pd.DataFrame) -> np.ndarray:
-        state = self.ticks.get()
-        held = empty_ticks() if state is None else _unpack(bytes(state[0]))
+    def _count(self, batch: pd.DataFrame, now: int) -> np.ndarray:
         times = batch["ts_ms"].to_numpy("i8")
-        horizon, now = None, int(time.time() * 1000)
+        size = self.rule.window_ms
+        came = {block[0]: tuple(at) for block, at in self.came.iterator()}
+        number = 1 + max((r for _, r in came.values()), default=0)
+        first = (int(times[0]) - self.rule.window_ms) // size
+        read = [Ticks.unpack(bytes(self.blocks.getValue((b,))[0])) for b in sorted(came) if b >= first]
+        counts, ticks = count_arrivals(Ticks.join(read), pa.array(batch[self.rule.key], pa.string()), times, self.rule.window_ms, number)
+        block = ticks.ms // size
+        for b in np.unique(times // size).tolist():
+            self.blocks.updateValue((b,), (ticks.take(np.flatnonzero(block == b)).pack(),))
+            came[b] = now, number
+            self.came.updateValue((b,), came[b])
         if self.retention_ms is not None:
-            newest = max(int(times[-1]), int(held["ms"].max()) if len(held) else int(times[-1]))
+            newest = max(int(times[-1]), max(came) * size)
             horizon = min(newest, now) - max(self.retention_ms, self.rule.window_ms)
-        counts, kept = count_arrivals(held, batch[self.rule.key], times, self.rule.window_ms, horizon, now, self.idle_ms)
-        self.ticks.update((_pack(kept),))
+            for b, (at, _) in came.items():
+                if (b + 1) * size <= horizon and at <= now - self.idle_ms:
+                    self.blocks.removeKey((b,))
+                    self.came.removeKey((b,))
         return counts
 
     def close(self) -> None:
         pass
 
 
+def bucket_of(key: Column, buckets: int) -> Column:
+    return (F.crc32(key.cast("binary")) % buckets).cast("int")
+
+
 def stream_velocity(
     tx: DataFrame,
     rules: Sequence[WindowRule] = (CARD, IP),
@@ -181,7 +232,7 @@ def stream_velocity(
 
     ``seq`` must be a plain column (a number or a string). Needs the RocksDB
     state store (``use_rocksdb``). No watermark comes before it, so late rows
-    are scored like any other. ``retention_ms`` None keeps idle keys forever.
+    are scored like any other. ``retention_ms`` None keeps all blocks forever.
     Rows whose ``skip`` column is not null pass through uncounted, spread over
     the buckets by ``seq``.
     """
@@ -190,13 +241,14 @@ def stream_velocity(
     # Python reads what it counts by; all other columns cross as one string.
     read = list(dict.fromkeys([*(r.key for r in rules), "ts_ms", "seq", *([skip] if skip else [])]))
     rest = [f for f in schema.fields if f.name not in read]
-    tx = tx.select(*read, F.to_json(F.struct(*[f.name for f in rest]), {"ignoreNullFields": "true"}).alias("carried"))
+    carried = F.to_json(F.struct(*[f.name for f in rest]), _CARRIED).alias("carried")
+    # The micro-batch's own time, which its log keeps: a repeat of it sees the same clock.
+    tx = tx.select(*read, carried, F.unix_millis(F.current_timestamp()).alias("_now"))
     for rule in rules:
         out = T.StructType([*tx.schema.fields, T.StructField(rule.out, T.LongType())])
-        spread = F.xxhash64(rule.key)
+        bucket = bucket_of(F.col(rule.key), buckets)
         if skip is not None:
-            spread = F.when(F.col(skip).isNull(), spread).otherwise(F.xxhash64("seq"))
-        bucket = F.pmod(spread, F.lit(buckets)).cast("int")
+            bucket = F.when(F.col(skip).isNull(), bucket).otherwise(F.pmod(F.xxhash64("seq"), F.lit(buckets)).cast("int"))
         tx = (
             tx.withColumn("_bucket", bucket)
             .groupBy("_bucket")
@@ -207,7 +259,7 @@ def stream_velocity(
                 timeMode="None",
             )
         )
-    whole = tx.withColumn("carried", F.from_json("carried", T.StructType(rest)))
+    whole = tx.withColumn("carried", F.from_json("carried", T.StructType(rest), _CARRIED))
     counted = [r.out for r in rules]
     return whole.select(*[F.col(n) if n in read else F.col("carried")[n].alias(n) for n in schema.names], *counted)
 
@@ -216,3 +268,17 @@ def use_rocksdb(spark) -> None:
     """Session options of the stateful queries; call before one starts."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
+def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("ticks").to_pylist()):
+            ticks = Ticks.unpack(data)
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(bucket, pa.int32()), len(ticks)), ticks.key, pa.array(ticks.ms), pa.array(ticks.n)], ["bucket", "key", "ts_ms", "n"])
+
+
+def read_state(spark: SparkSession, checkpoint: str, operator: int) -> DataFrame:
+    """(bucket, key, ts_ms, n) of the ticks that a checkpoint holds for its ``operator``-th rule, the last rule being 0."""
+    stored = spark.read.format("statestore").option("operatorId", str(operator)).option("stateVarName", "blocks").load(checkpoint)
+    blocks = stored.select(F.col("key")["_bucket"].alias("bucket"), F.col("user_map_value")["ticks"].alias("ticks"))
+    return blocks.mapInArrow(_rows_of, "bucket int, key string, ts_ms long, n long")

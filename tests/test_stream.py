@@ -14,47 +14,102 @@ from cardwatch.session import fresh_path
 from cardwatch.sources.records import file_records
 from cardwatch.sources.sinks import CaseTable
 from cardwatch.streaming.job import ScoringJob, deduplicated, read_snapshot, read_throughput, write_throughput
-from cardwatch.streaming.velocity import _pack, _unpack, count_arrivals, empty_ticks
+from cardwatch.operators.velocity import WindowRule
+from cardwatch.streaming.velocity import Ticks, WindowCounter, read_state, stream_velocity, use_rocksdb
 
 T0 = 1_700_000_000_000
 
 
-def fold(batches, window, horizon=None):
-    """Run batches of (key, ts) through the state, sorted by time inside a batch."""
-    held, out = empty_ticks(), []
-    for batch in batches:
+class Map:
+    """A map state in memory that notes what is read and written."""
+
+    def __init__(self):
+        self.held, self.read, self.written, self.gone = {}, [], [], []
+
+    def iterator(self):
+        return iter(list(self.held.items()))
+
+    def getValue(self, key):
+        self.read.append(key[0])
+        return self.held[key]
+
+    def updateValue(self, key, value):
+        self.written.append(key[0])
+        self.held[key] = value
+
+    def removeKey(self, key):
+        self.gone.append(key[0])
+        del self.held[key]
+
+
+class Bucket:
+    def __init__(self, window=60_000, retention_ms=None, idle_ms=0):
+        self.counter = WindowCounter(WindowRule("key", window, "n"), [], retention_ms, idle_ms=idle_ms)
+        self.counter.blocks, self.counter.came = self.blocks, self.came = Map(), Map()
+
+    def add(self, batch, now=T0):
         rows = sorted(batch, key=lambda r: r[1])
-        keys = pd.Series([k for k, _ in rows], dtype=object)
-        times = np.array([t for _, t in rows], dtype="i8")
-        counts, held = count_arrivals(_unpack(_pack(held)), keys, times, window, horizon)
-        out += counts.tolist()
-    return out, held
+        return self.counter._count(pd.DataFrame(rows, columns=["key", "ts_ms"]), now).tolist()
 
+    def ticks(self):
+        return Ticks.join([Ticks.unpack(v[0]) for v in self.blocks.held.values()])
 
-@pytest.mark.parametrize("seed", range(6))
+
+@pytest.mark.parametrize("seed", range(12))
 def test_state_equals_one_at_a_time(seed):
     rnd = random.Random(seed)
-    late = seed % 2
-    batches = [
-        [
-            (f"k{rnd.randrange(5)}", T0 + 30_000 * (b if not late else rnd.randrange(8)) + rnd.randrange(40) * 1000)
-            for _ in range(rnd.randrange(1, 40))
-        ]
-        for b in range(12)
-    ]
-    got, held = fold(batches, 60_000)
-    events = [e for batch in batches for e in sorted(batch, key=lambda r: r[1])]
+    late = seed % 3
+    bucket, got, events = Bucket(), [], []
+    for b in range(25):
+        start = 30_000 * (b if not late else rnd.randrange(14) if late == 1 else max(0, b - rnd.choice((0, 0, 1, 6))))
+        batch = [(f"k{rnd.randrange(5)}", T0 + start + rnd.randrange(40) * 1000) for _ in range(rnd.randrange(1, 40))]
+        got += bucket.add(batch)
+        events += sorted(batch, key=lambda r: r[1])
     assert got == arrival_counts(events, 60_000)
     # At most one entry per key and millisecond.
-    assert not held.duplicated(["key", "ms"]).any()
-
-
-def test_idle_keys_are_forgotten():
-    _, held = fold([[("old", T0)], [("new", T0 + 700_000)]], 60_000, horizon=T0 + 100_000)
-    assert held["key"].tolist() == ["new"]
-    # A pruned window: ticks older than the key's last window go at once.
-    _, held = fold([[("k", T0)], [("k", T0 + 60_001)]], 60_000)
-    assert held["ms"].tolist() == [T0 + 60_001]
+    held = bucket.ticks()
+    assert len(set(zip(held.key.to_pylist(), held.ms.tolist()))) == len(held)
+
+
+def test_a_micro_batch_touches_its_own_blocks_only():
+    bucket = Bucket()
+    size = 60_000
+    for b in range(10):
+        bucket.add([("a", T0 // size * size + b * size), ("b", T0 // size * size + b * size + 5)])
+    first = T0 // size
+    assert sorted(k[0] for k in bucket.blocks.held) == list(range(first, first + 10))
+    bucket.blocks.read.clear(), bucket.blocks.written.clear()
+    assert bucket.add([("a", (first + 9) * size + 7)]) == [2]
+    assert bucket.blocks.read == [first + 8, first + 9] and bucket.blocks.written == [first + 9]
+
+
+def test_old_blocks_go_whole_and_unread():
+    bucket = Bucket(retention_ms=600_000, idle_ms=1000)
+    bucket.add([("old", T0)], now=T0)
+    bucket.blocks.read.clear()
+    bucket.add([("new", T0 + 700_000)], now=T0 + 999)  # rows came too lately
+    assert "old" in bucket.ticks().key.to_pylist()
+    bucket.blocks.read.clear()
+    bucket.add([("new", T0 + 700_001)], now=T0 + 700_000)
+    assert set(bucket.ticks().key.to_pylist()) == {"new"}
+    assert bucket.blocks.gone == [T0 // 60_000] and T0 // 60_000 not in bucket.blocks.read
+    # An event that claims to be from the future does not make the others old.
+    bucket = Bucket(retention_ms=600_000, idle_ms=0)
+    bucket.add([("k", T0)], now=T0)
+    bucket.add([("far", T0 + 10**12)], now=T0 + 1)
+    assert bucket.add([("k", T0 + 10)], now=T0 + 2) == [2]
+
+
+def test_a_repeated_micro_batch_sees_the_same_clock():
+    """What goes depends on the time of the micro-batch and on nothing else."""
+    def run(now):
+        bucket = Bucket(retention_ms=0, idle_ms=1000)
+        bucket.add([("a", T0)], now=T0)
+        bucket.add([("b", T0 + 400_000)], now=now)
+        return sorted(bucket.ticks().key.to_pylist())
+
+    assert run(T0 + 999) == ["a", "b"] and run(T0 + 1000_000) == ["b"]
+    assert run(T0 + 1000_000) == run(T0 + 1000_000)
 
 
 # ---- the job -----------------------------------------------------------------
@@ -207,12 +262,35 @@ def test_late_rows_count_alike_for_any_bucket_layout():
     minutes = 60_000
     first, second, late = [("a", T0)], [("b", T0 + 20 * minutes)], [("a", T0 + 1000)]
 
-    def together(*batches, held=None):
-        held, out = empty_ticks() if held is None else held, []
-        for now, batch in enumerate(batches):
-            times = np.array([t for _, t in batch], dtype="i8")
-            n, held = count_arrivals(held, pd.Series([k for k, _ in batch], dtype=object), times, 60_000, int(times.max()) - 600_000, now, 600_000)
-            out += n.tolist()
-        return out
+    def together(*batches):
+        bucket = Bucket(retention_ms=600_000, idle_ms=600_000)
+        return [n for now, batch in enumerate(batches) for n in bucket.add(batch, now=T0 + 30 * minutes + now)]
 
     assert together(first, second, late)[-1] == together(first, late)[-1] == 2
+
+
+@pytest.mark.parametrize("buckets", [8, 64])
+def test_columns_come_back_as_they_were_and_state_can_be_read(spark, buckets):
+    source, base = fresh_path(spark, "rows"), fresh_path(spark, "carried")
+    ddl = "card_hash string, ip string, ts_ms long, seq long, at timestamp, plain timestamp_ntz, part struct<x: double, y: array<timestamp>>"
+    at = dt.datetime(2024, 1, 2, 3, 4, 5, 123456, tzinfo=dt.timezone.utc)
+    naive = dt.datetime(1999, 12, 31, 23, 59, 59, 1)
+    rows = [(f"c{i % 4}", "i" if i % 3 else None, T0 + i * 25_000, i, at, naive, (0.1, [at])) for i in range(12)]
+    spark.createDataFrame(rows, ddl).coalesce(1).write.parquet(source)
+    use_rocksdb(spark)
+    stream = spark.readStream.schema(ddl).parquet(source)
+    out = stream_velocity(stream, buckets=buckets, retention_ms=None)
+    out.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).format("parquet").start(f"{base}/out").awaitTermination()
+    got = spark.read.parquet(f"{base}/out").orderBy("seq").collect()
+    assert len(got) == 12
+    same = spark.read.parquet(f"{base}/out").filter(
+        (F.unix_micros("at") % 1_000_000 == 123456) & (F.date_format("plain", "ss.SSSSSS") == "59.000001") & (F.unix_micros(F.col("part.y")[0]) % 1_000_000 == 123456)
+    )
+    assert same.count() == 12
+    assert [r.card_n for r in got] == arrival_counts([(r[0], r[2]) for r in rows], 60_000)
+    cards, ips = (read_state(spark, f"{base}/checkpoint", k) for k in (1, 0))
+    assert {(r.key, r.ts_ms, r.n) for r in ips.collect()} == {(r[1] or "", r[2], 1) for r in rows if r[2] >= T0 + 11 * 25_000 - 300_000} | {
+        (r[1] or "", r[2], 1) for r in rows if r[2] >= max(x[2] for x in rows if x[1] == r[1]) - 300_000
+    }
+    newest = {r[0]: r[2] for r in rows}
+    assert {(r.key, r.ts_ms) for r in cards.collect()} == {(r[0], r[2]) for r in rows if r[2] >= newest[r[0]] - 60_000}
