@@ -27,14 +27,37 @@ from cardwatch.session import stage
 LENGTH, END_ID = 2048, 0
 #: Pieces in a block, islands of a block, packings of an island, epochs, children of an epoch.
 BLOCK_ROWS, ISLANDS, POPULATION, EPOCHS, CHILDREN = 4096, 3, 4, 3, 6
-#: Words whose ids a worker keeps.
-KEPT_WORDS = 150_000
+#: Words in each of the two generations that a worker keeps the ids of, and letters of a kept word at most.
+KEPT_WORDS, KEPT_LETTERS = 100_000, 64
+#: Groups of the genetic algorithm are dealt to so many tasks at most.
+GROUP_TASKS = 10_000
 #: Texts tokenized at once, in bytes.
 SLICE_BYTES = 1 << 20
 #: Words that the tokenizer is given at once; its results are large.
 ENCODED_WORDS = 4096
 
-_kept: dict[str, dict[str, bytes]] = {}
+class Memory:
+    """Ids of words met lately: a word that is asked for again moves to the young generation, and a full one ages."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def recall(self, words: set[str]) -> dict[str, bytes]:
+        found = {w: self.young[w] for w in words.intersection(self.young)}
+        again = {w: self.old[w] for w in words.intersection(self.old).difference(found)}
+        self.keep(again)
+        return found | again
+
+    def keep(self, made: dict[str, bytes]) -> None:
+        for w, ids in made.items():
+            if len(w) <= KEPT_LETTERS:
+                self.young[w] = ids
+                if len(self.young) >= KEPT_WORDS:
+                    self.young, self.old = {}, self.young
+
+
+_kept: dict[str, Memory] = {}
 
 
 def default_vocabulary() -> str:
@@ -59,20 +82,25 @@ def token_ids(texts: list[str], path: str) -> list[bytes]:
     The tokenizer drops white space and never reads across it, so a text's ids
     are those of its parts between spaces, and parts met before are looked up.
     """
-    tokenizer, known = _tokenizer(path), _kept.setdefault(path, {"": b""})
+    tokenizer, memory = _tokenizer(path), _kept.setdefault(path, Memory())
     parts = [t.replace("\n", " ").split(" ") for t in texts]
-    new = {w: _stem(w) for w in set().union(*parts).difference(known)}
-    stems = list({x for pair in new.values() for x in pair}.difference(known))
+    pairs = {w: _stem(w) for w in set().union(*parts)}
+    stems = {x for pair in pairs.values() for x in pair}
+    ids = memory.recall(stems)
+    new = list(stems.difference(ids))
     made = {}
-    for k in range(0, len(stems), ENCODED_WORDS):
-        part = stems[k : k + ENCODED_WORDS]
-        made.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)))
-    get = lambda w: known[w] if w in known else made[w]
-    made |= {w: get(stem) + get(mark) for w, (stem, mark) in new.items()}
-    if len(known) + len(made) <= KEPT_WORDS:
-        known.update(made)
-        return [b"".join([known[w] for w in words]) for words in parts]
-    return [b"".join([known[w] if w in known else made[w] for w in words]) for words in parts]
+    for k in range(0, len(new), ENCODED_WORDS):
+        part = new[k : k + ENCODED_WORDS]
+        # As one text with spaces between: a call for each word costs more than its letters.
+        got = tokenizer.encode(" ".join(part), add_special_tokens=False)
+        begins = np.cumsum([0, *(len(w) + 1 for w in part)])
+        cut = np.searchsorted([a for a, _ in got.offsets], begins).tolist()
+        raw = np.array(got.ids, "<u4").tobytes()
+        made.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, cut, cut[1:]))
+    memory.keep(made)
+    ids |= made
+    whole = {w: ids[stem] + ids[mark] for w, (stem, mark) in pairs.items()}
+    return [b"".join([whole[w] for w in words]) for words in parts]
 
 
 def _stem(word: str) -> tuple[str, str]:
@@ -81,6 +109,8 @@ def _stem(word: str) -> tuple[str, str]:
         return word, ""
     if word.isascii():
         word = word.lower()
+        if word[-1] not in ",.":
+            return word, ""
     last = word[-2]
     # Beyond these scripts, and in one of their letters, the lower-case or composed form may end in a mark.
     plain = last < "\u0180" and last != "\u0130" and last.isalpha()
@@ -195,15 +225,13 @@ def _seed(block: int, island: int, epoch: int) -> int:
 
 
 def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
-    """First packings of a block's islands, and their first epoch."""
+    """First packings of an island, and its first epoch."""
     lengths = np.sort(pdf["length"].to_numpy())[::-1].astype(np.int64)
-    block = int(pdf["block"].iloc[0])
-    rows = []
-    for island in range(ISLANDS):
-        r = np.random.default_rng(_seed(block, island, 0))
-        first = [_decreasing(lengths, 0.15 * k * (island + 1) if k + island else 0.0, r) for k in range(POPULATION)]
-        rows.append(_row(block, island, lengths, evolve(lengths, first, _seed(block, island, 1))))
-    return pd.DataFrame(rows, columns=["block", "island", "lengths", "packings", "used"])
+    block, island = int(pdf["block"].iloc[0]), int(pdf["island"].iloc[0])
+    r = np.random.default_rng(_seed(block, island, 0))
+    first = [_decreasing(lengths, 0.15 * k * (island + 1) if k + island else 0.0, r) for k in range(POPULATION)]
+    row = _row(block, island, lengths, evolve(lengths, first, _seed(block, island, 1)))
+    return pd.DataFrame([row], columns=["block", "island", "lengths", "packings", "used"])
 
 
 def _row(block, island, lengths, population):
@@ -250,9 +278,12 @@ def pack(docs: DataFrame, vocabulary: str | None = None, keep_ids: bool = False)
     small = pieces.filter(F.col("length") < LENGTH)
     blocks = max(1, -(-small.count() // BLOCK_ROWS))
     small = small.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
-    state = small.select("block", "length").groupBy("block").applyInPandas(_settle, _STATE)
+    islands = small.select("block", "length", F.explode(F.array(*[F.lit(k) for k in range(ISLANDS)])).alias("island"))
+    # A stated number of partitions: merged by bytes, all groups would be one task's.
+    state = islands.repartition(min(blocks * ISLANDS, GROUP_TASKS), "block", "island").groupBy("block", "island").applyInPandas(_settle, _STATE)
     ring = Window.partitionBy("block").orderBy("island")
     everywhere = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    state = state.repartition(min(blocks, GROUP_TASKS), "block")
     for number in range(2, EPOCHS + 1):
         elite = F.element_at("packings", 1)
         guest = F.coalesce(F.lag(elite).over(ring), F.last(elite).over(everywhere))

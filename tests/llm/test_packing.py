@@ -66,3 +66,34 @@ def test_children_are_packings_and_evolution_never_loses():
             assert len(child) == n and fill.max() <= 2048 and fill.min() > 0 and fill.sum() == lengths.sum()
         before = min(packing.fitness(lengths, p) for p in first)
         assert packing.fitness(lengths, packing.evolve(lengths, first, 1)[0]) <= before
+
+
+def test_memory_keeps_what_is_met_again(monkeypatch):
+    monkeypatch.setattr(packing, "KEPT_WORDS", 10)
+    memory = packing.Memory()
+    memory.keep({"often": b"1", "x" * 100: b"2"})
+    for k in range(40):
+        assert memory.recall({"often"}) == {"often": b"1"}
+        memory.keep({f"once{k}": b"3"})
+        assert len(memory.young) + len(memory.old) <= 20
+    assert not memory.recall({"once0", "x" * 100}) and memory.recall({"once39", "new"}) == {"once39": b"3"}
+    texts = [" ".join(brute.prose(random.Random(k), 60)) for k in range(9)]
+    path = packing.default_vocabulary()
+    tokenizer = Tokenizer.from_file(path)
+    monkeypatch.setattr(packing, "_kept", {})
+    for t in texts * 2:
+        assert packing.token_ids([t], path) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()]
+
+
+def test_blocks_and_islands_are_groups_of_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_ROWS", 10)
+    r = random.Random(1)
+    docs = spark.createDataFrame([(k, " ".join(brute.prose(r, r.randint(1, 90)))) for k in range(600)], "doc_id long, text string")
+    frames, kind = {}, type(docs)
+    monkeypatch.setattr(kind, "groupBy", lambda self, *c, f=kind.groupBy: (frames.setdefault(c, self), f(self, *c))[1])
+    packing.pack(docs)
+    monkeypatch.undo()
+    dealt = frames["block", "island"]
+    tasks = dealt.select(F.spark_partition_id().alias("task"), "block", "island").distinct()
+    assert tasks.count() == tasks.select("block", "island").distinct().count()  # a group is in one task
+    assert tasks.select("task").distinct().count() > 20
