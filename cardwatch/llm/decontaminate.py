@@ -7,7 +7,8 @@ fixed by the parameters) reaches the driver for the last small factorisation.
 Windows of every document whose cosine with a part of a benchmark item is high
 are then compared with the item word by word: the longest common subsequence
 shows a copy, and a shorter one together with the item's last words, its
-answer, a paraphrase. Items shorter than a window are searched for by windows
+answer, a paraphrase. As both need most of the item's words, some of its rarest
+are near every such window, and vectors and cosines are taken there only. Items shorter than a window are searched for by windows
 of about their own size as well, and as an exact sequence of words; those in
 scripts without spaces as an exact sequence of characters.
 """
@@ -44,8 +45,8 @@ ANSWER_WORDS, ANSWER = 6, 0.8
 LEAST_WORDS = 8
 #: Step of the four-step windows for items below ``WINDOW`` words, by the least number of their words.
 SHORT_STEPS = {8: 2, 12: 3, 16: 4}
-#: Cosines held at once.
-_COSINES = 1 << 22
+#: Bits of the map of the items' rare words.
+_RARE_BITS = 20
 #: Letters of scripts without spaces between words.
 _UNSPACED = "[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3005-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]"
 #: Items that are sent to the tasks at once.
@@ -57,15 +58,6 @@ def _terms(words: Words) -> np.ndarray:
     return (words.hashes() % np.uint64(TERMS)).astype(np.int32)
 
 
-def _group_starts(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where runs of ``size`` words begin in each text, and how many each text has."""
-    n = words.counts()
-    groups = -(-n // size)
-    total = int(groups.sum())
-    within = np.arange(total) - np.repeat(np.cumsum(groups) - groups, groups)
-    return np.repeat(words.first[:-1], groups) + within * size, groups
-
-
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each text's terms as 16-bit numbers."""
     for batch in batches:
@@ -83,7 +75,7 @@ def _stored_slices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     i = 0
     while i < len(column):
         j = max(i + 1, int(np.searchsorted(at, at[i] + (1 << 17), side="right")) - 1)
-        yield terms[at[i] : at[j]].astype(np.int32), at[i : j + 1] - at[i]
+        yield terms[at[i] : at[j]], at[i : j + 1] - at[i]
         i = j
 
 
@@ -104,7 +96,7 @@ def _products(weights: np.ndarray):
     """Of each task: its passages' rows times the random matrix, and back, by term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weighted = _directions() * weights[:, None]
+        weighted, squares = _directions() * weights[:, None], np.square(weights)
         total = np.zeros((TERMS, RANK + MORE))
         for batch in batches:
             for terms, first in _stored_slices(batch.column("terms")):
@@ -114,11 +106,12 @@ def _products(weights: np.ndarray):
                 groups = -(-n // WINDOW)
                 within = np.arange(groups.sum()) - np.repeat(np.cumsum(groups) - groups, groups)
                 starts = np.repeat(first[:-1], groups) + within * WINDOW
-                square = np.add.reduceat(np.square(weights)[terms], starts)
-                seen = np.add.reduceat(weighted[terms], starts, axis=0) / np.maximum(square, 1e-12)[:, None]
+                wide = terms.astype(np.intp)
+                square = np.add.reduceat(squares[wide], starts)
+                seen = np.add.reduceat(weighted[wide], starts, axis=0) / np.maximum(square, 1e-12)[:, None]
                 passage = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(terms))))
-                order = np.argsort(terms, kind="stable")
-                sorted_terms = terms[order]
+                order = np.argsort(terms, kind="stable")  # 16-bit numbers: by radix
+                sorted_terms = wide[order]
                 begin = np.flatnonzero(np.append(True, sorted_terms[1:] != sorted_terms[:-1]))
                 total[sorted_terms[begin]] += np.add.reduceat(seen[passage[order]], begin, axis=0)
         total *= weights[:, None]
@@ -188,7 +181,7 @@ class Benchmark:
 
     def __init__(self, rows: list[tuple[int, str]], space: LatentSpace):
         self.table, self.squares = space.table, np.square(space.weights)
-        self.items, vectors, owner, held, sizes = [], [], [], [], []
+        self.items, vectors, owner, held, sizes, words_of = [], [], [], [], [], []
         short: dict[int, tuple[list, list, list]] = {step: ([], [], []) for step in SHORT_STEPS.values()}
         self.exact: dict[int, list[tuple[int, int, np.ndarray]]] = {}
         self.unspaced: list[tuple[int, bytes, re.Pattern]] = []
@@ -211,6 +204,7 @@ class Benchmark:
                 rarest = int(np.argmax(space.weights[terms]))
                 self.exact.setdefault(h[rarest], []).append((len(self.items), rarest, hashes))
             self._unspaced(words)
+            words_of.append(hashes)
             bits = np.zeros(TERMS, bool)
             bits[terms] = True
             held.append(np.packbits(bits))
@@ -219,12 +213,37 @@ class Benchmark:
             step: (_unit(np.array(v, np.float32).reshape(len(v), space.table.shape[1])), np.array(z, np.float32), np.array(o, np.int64))
             for step, (v, z, o) in short.items() if o
         }
+        self._note_rare(words_of, space.weights)
         self.anchors = np.zeros(TERMS, bool)
         self.anchors[[x % TERMS for x in self.exact]] = True
         self.vectors = _unit(np.array(vectors, np.float32).reshape(len(vectors), space.table.shape[1]))
         self.owner, self.sizes = np.array(owner, np.int64), np.array(sizes, np.float32)
         self.held = np.array(held, np.uint8).reshape(len(held), TERMS // 8)
 
+    def _note_rare(self, words_of: list[np.ndarray], weights: np.ndarray) -> None:
+        """Rare words of the items, and how many of them a leak of an item has at least.
+
+        A leak lacks a share of 1 - ``PARAPHRASE`` of an item's words at most,
+        so of any so many words and ``need`` more it has ``need``, at places of
+        its own.
+        """
+        held: dict[int, list[int]] = {}
+        need, sizes = [], []
+        for item, hashes in enumerate(words_of):
+            size = len(hashes)
+            lacks = size - int(np.ceil(PARAPHRASE * size - 1e-9))
+            need.append(max(1, size // 10))
+            sizes.append(size)
+            rarest = np.argsort(-weights[(hashes % np.uint64(TERMS)).astype(np.int64)], kind="stable")[: lacks + need[-1]]
+            for h in {int(x) for x in hashes[rarest]}:
+                held.setdefault(h, []).append(item)
+        self.need, self.size_of = np.array(need, np.int64), np.array(sizes, np.int64)
+        self.rare = np.array(sorted(held), np.uint64)
+        self.rare_items = np.array([i for h in sorted(held) for i in held[h]], np.int64)
+        self.rare_first = np.cumsum([0, *(len(held[h]) for h in sorted(held))])
+        self.rare_map = np.zeros(1 << _RARE_BITS, bool)
+        self.rare_map[(self.rare & np.uint64((1 << _RARE_BITS) - 1)).astype(np.int64)] = True
+
     def search(self, words: Words) -> list[list[tuple[int, float, float, bool]]]:
         """Leaks of each text: (item, cosine, share of the item in common, whether it is a copy)."""
         found: list[list[tuple[int, float, float, bool]]] = [[] for _ in range(words.texts)]
@@ -233,48 +252,83 @@ class Benchmark:
         hashes = words.hashes()
         terms = (hashes % np.uint64(TERMS)).astype(np.int32)
         best: dict[tuple[int, int], tuple[float, float, bool]] = {}
-        self._windows(words, hashes, terms, STEP, STEPS, self.vectors, self.sizes, self.owner, best)
+        rare = self._rare_places(hashes)
+        self._windows(words, hashes, terms, rare, STEP, STEPS, self.vectors, self.sizes, self.owner, best)
         for step, (vectors, sizes, owner) in self.short.items():
-            self._windows(words, hashes, terms, step, 4, vectors, sizes, owner, best)
+            self._windows(words, hashes, terms, rare, step, 4, vectors, sizes, owner, best)
         self._sequences(words, hashes, terms, best)
         for (doc, item), (share, cosine, copy) in sorted(best.items()):
             found[doc].append((self.items[item][0], cosine, share, copy))
         return found
 
-    def _windows(self, words: Words, hashes: np.ndarray, terms: np.ndarray, step: int, count: int, parts: np.ndarray, sizes: np.ndarray, owner: np.ndarray, best: dict) -> None:
+    def _rare_places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, item) where a rare word of an item stands, by item and place."""
+        at = np.flatnonzero(self.rare_map[(hashes & np.uint64((1 << _RARE_BITS) - 1)).astype(np.int64)])
+        slot = np.minimum(np.searchsorted(self.rare, hashes[at]), len(self.rare) - 1)
+        known = self.rare[slot] == hashes[at]
+        at, slot = at[known], slot[known]
+        n = self.rare_first[slot + 1] - self.rare_first[slot]
+        item = self.rare_items[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.rare_first[slot], n)]
+        place = np.repeat(at, n)
+        order = np.lexsort((place, item))
+        return place[order], item[order]
+
+    def _candidates(self, words: Words, rare: tuple[np.ndarray, np.ndarray], step: int, count: int, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, start, item) of the windows that have enough of an item's rare words around them."""
+        place, item = rare
+        asked = np.zeros(len(self.items), bool)
+        asked[owner] = True
+        first = np.flatnonzero(asked[item])
+        last = first + self.need[item[first]] - 1
+        first, last = first[last < len(place)], last[last < len(place)]
+        size, doc = self.size_of[item[first]], words.doc[place[first]]
+        # A window at a is compared with the words from a - size to a + step * count + size.
+        low, high = place[last] - step * count - size + 1, place[first] + size
+        near = (item[last] == item[first]) & (words.doc[place[last]] == doc) & (low <= high)
+        first, doc, low, high = first[near], doc[near], low[near], high[near]
+        begin, most = words.first[doc], np.maximum(-(-words.counts()[doc] // step) - count, 0)
+        low, high = np.maximum(-(-(low - begin) // step), 0), np.minimum((high - begin) // step, most)
+        n = np.maximum(high - low + 1, 0)
+        start = np.repeat(begin, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)) * step
+        both = np.unique(start * len(self.items) + np.repeat(item[first], n))
+        start, item = np.divmod(both, len(self.items))
+        return words.doc[start], start, item
+
+    def _windows(self, words: Words, hashes: np.ndarray, terms: np.ndarray, rare: tuple[np.ndarray, np.ndarray], step: int, count: int, parts: np.ndarray, sizes: np.ndarray, owner: np.ndarray, best: dict) -> None:
         """Leaks that windows of ``count`` steps of ``step`` words show."""
         if not len(owner):
             return
-        starts, groups = _group_starts(words, step)
-        steps = np.add.reduceat(self.table[terms], starts, axis=0)
-        # A window is the sum of steps of one text; a text of fewer steps is one window.
-        text = np.repeat(np.arange(words.texts), groups)
-        begin = np.cumsum(groups) - groups
-        left = np.repeat(begin + groups, groups) - np.arange(len(text))
-        windows = steps.copy()
-        for k in range(1, count):
-            windows[: len(steps) - k] += np.where((left > k)[: len(steps) - k, None], steps[k:], 0)
-        whole = np.flatnonzero((left >= count) | (np.arange(len(text)) == np.repeat(begin, groups)))
-        vectors = _unit(windows[whole])
-        some = max(1, _COSINES // len(owner))
-        for at in range(0, len(whole), some):
-            cosines = vectors[at : at + some] @ parts.T
-            near, part = np.nonzero(cosines >= NEAR)
-            mine = whole[at : at + some][near]
-            keep = self._share_terms(terms, starts[mine], words.first[text[mine] + 1], owner[part], sizes[part], step * count)
-            for w, v, q in zip(mine[keep], near[keep], part[keep]):
-                doc, item = int(text[w]), int(owner[q])
-                _, size, masks, answer_size, answer = self.items[item]
-                a = int(starts[w])
-                lo, hi = max(int(words.first[doc]), a - size), min(int(words.first[doc + 1]), a + step * count + size)
-                region = hashes[lo:hi].tolist()
-                share = common_words(masks, size, region) / size
-                copy = share >= COPY
-                if not copy and not (share >= PARAPHRASE and common_words(answer, answer_size, region) >= ANSWER * answer_size):
-                    continue
-                now = (share, float(cosines[v, q]), copy)
-                if now > best.get((doc, item), (0.0, 0.0, False)):
-                    best[doc, item] = now
+        doc, start, item = self._candidates(words, rare, step, count, owner)
+        if not len(start):
+            return
+        end = words.first[doc + 1]
+        windows, which = np.unique(start, return_inverse=True)
+        ends = words.first[words.doc[windows] + 1]
+        vectors = np.zeros((len(windows), self.table.shape[1]), np.float32)
+        for k in range(step * count):
+            inside = windows + k < ends
+            vectors[inside] += self.table[terms[windows[inside] + k]]
+        vectors = _unit(vectors)
+        low, high = np.searchsorted(owner, item, "left"), np.searchsorted(owner, item, "right")
+        n = high - low
+        part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        pair = np.repeat(np.arange(len(start)), n)
+        cosines = np.einsum("ij,ij->i", vectors[which[pair]], parts[part])
+        near = np.flatnonzero(cosines >= NEAR)
+        pair, part, cosines = pair[near], part[near], cosines[near]
+        keep = self._share_terms(terms, start[pair], end[pair], item[pair], sizes[part], step * count)
+        for p, cosine in zip(pair[keep].tolist(), cosines[keep].tolist()):
+            d, i, a = int(doc[p]), int(item[p]), int(start[p])
+            _, size, masks, answer_size, answer = self.items[i]
+            lo, hi = max(int(words.first[d]), a - size), min(int(words.first[d + 1]), a + step * count + size)
+            region = hashes[lo:hi].tolist()
+            share = common_words(masks, size, region) / size
+            copy = share >= COPY
+            if not copy and not (share >= PARAPHRASE and common_words(answer, answer_size, region) >= ANSWER * answer_size):
+                continue
+            now = (share, float(cosine), copy)
+            if now > best.get((d, i), (0.0, 0.0, False)):
+                best[d, i] = now
 
     def _unspaced(self, words: Words) -> None:
         """Notes the last item by its characters, if it has letters of a script without spaces."""

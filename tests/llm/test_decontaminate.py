@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from cardwatch.llm import decontaminate
@@ -91,3 +93,71 @@ def test_short_items_and_scripts_without_spaces(spark):
     frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = sorted((x.doc_id, x.item_id, x.copied) for x in decontaminate.leaks(frame, bench).collect())
     assert got == [(k, k, True) for k, _ in items]
+
+
+def _space():
+    r = np.random.default_rng(3)
+    table = r.standard_normal((decontaminate.TERMS, 24)).astype(np.float32)
+    return decontaminate.LatentSpace(table, np.ones(24), np.ones(decontaminate.TERMS, np.float32))
+
+
+def test_rare_words_lose_no_window_that_a_leak_needs():
+    """Every window against every item, word by word, finds the same leaks."""
+    r = random.Random(9)
+    items = [(k, " ".join(brute.prose(r, n))) for k, n in enumerate([8, 9, 12, 15, 23, 24, 31, 60, 90])]
+    texts = []
+    for _ in range(60):
+        words = r.choice(items)[1].split()
+        kept = [w if r.random() > r.choice((0, 0.1, 0.25, 0.35)) else brute.word(r) for w in words]
+        filler = brute.prose(r, r.randint(0, 80))
+        at = r.randint(0, len(filler))
+        texts.append(" ".join(filler[:at] + kept + filler[at:]))
+    bench = decontaminate.Benchmark(items, _space())
+    found, want = set(), set()
+    for i, _, words in decontaminate.slices(pa.array(texts), apart=decontaminate.MARKS, most=2000):
+        for k, leaks in enumerate(bench.search(words)):
+            found |= {(i + k, item, copy) for item, _, _, copy in leaks}
+        hashes, terms = words.hashes(), (words.hashes() % np.uint64(decontaminate.TERMS)).astype(np.int64)
+        for d in range(words.texts):
+            a, b = int(words.first[d]), int(words.first[d + 1])
+            for number, (item, size, masks, answer_size, answer) in enumerate(bench.items):
+                plans = [(decontaminate.STEP, decontaminate.STEPS, bench.vectors, bench.sizes, bench.owner)] + [(s, 4, *x) for s, x in bench.short.items()]
+                for step, count, parts, sizes, owner in plans:
+                    for start in range(a, b, step):
+                        if start > a and start + step * (count - 1) >= b:
+                            continue
+                        end = min(start + step * count, b)
+                        vector = decontaminate._unit(bench.table[terms[start:end]].sum(axis=0)[None])
+                        mine = np.flatnonzero(owner == number)
+                        near = mine[(vector @ parts[mine].T)[0] >= decontaminate.NEAR] if len(mine) else mine
+                        n = len(near)
+                        full = lambda v: np.full(n, v)
+                        if not n or not bench._share_terms(terms, full(start), full(b), full(number), sizes[near], step * count).any():
+                            continue
+                        region = hashes[max(a, start - size) : min(b, start + step * count + size)].tolist()
+                        share = decontaminate.common_words(masks, size, region) / size
+                        if share >= decontaminate.COPY:
+                            want.add((i + d, item, True))
+                        elif share >= decontaminate.PARAPHRASE and decontaminate.common_words(answer, answer_size, region) >= decontaminate.ANSWER * answer_size:
+                            want.add((i + d, item, False))
+    copies = {x[:2] for x in want if x[2]}
+    want = {(d, item, (d, item) in copies) for d, item, _ in want}
+    assert len(want) > 30 and want <= found
+    assert {x[:2] for x in found} - {x[:2] for x in want} <= {(d, i) for d, i, copy in found if copy}  # exact sequences of short items
+
+
+@pytest.mark.parametrize("share", [0.1, 0.2, 0.25])
+def test_paraphrases_are_found(share):
+    r = random.Random(int(share * 100))
+    items = [(k, " ".join(brute.prose(r, 45))) for k in range(40)]
+    bench = decontaminate.Benchmark(items, _space())
+    texts = []
+    for _, text in items:
+        words = text.split()
+        for at in r.sample(range(len(words) - 6), int(share * len(words))):
+            words[at] = brute.word(r)
+        texts.append(" ".join(brute.prose(r, 70) + words + brute.prose(r, 50)))
+    found = []
+    for _, _, words in decontaminate.slices(pa.array(texts), apart=decontaminate.MARKS):
+        found += [{item for item, *_ in leaks} for leaks in bench.search(words)]
+    assert sum(k in own for k, own in enumerate(found)) >= 0.95 * len(items)
