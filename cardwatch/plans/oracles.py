@@ -122,6 +122,17 @@ _CAUSES = (
     "'more than one JSON document','amount is not a number','invalid JSON','timestamp is not RFC 3339'])"
 )
 
+_BROKEN = (
+    """(['{not json','','[<json>]','{"id":5}','<json> x','<json>,<json>','{"amount":"12"}','{"amount":NaN}',"""
+    """'{"timestamp":"2024-01-01 00:00:00"}'])"""
+)
+_JSON = (
+    "'{' || " + " || ',' || ".join(
+        f"""'"{n}":"' || {n} || '"'""" if n != "amount" else """'"amount":' || amount"""
+        for n in "id card_bin card_hash amount currency country ip merchant_id mcc".split()
+    ) + """ || ',"timestamp":"' || strftime(make_timestamp_ms(ts_ms), '%Y-%m-%dT%H:%M:%S.%gZ') || '"}'"""
+)
+
 
 def _tx(body: str) -> str:
     return f"WITH {_TX} {body}"
@@ -352,7 +363,8 @@ UNION ALL SELECT 'kafka_consumer_lag_total', 'gauge', '', CAST(sum(lag) AS BIGIN
     "S4_dlq_split": _tx(
         "SELECT card_hash AS key, 'cause=' || "
         f"{_CAUSES}[CAST((event_id // 40) % 9 AS INT) + 1] || ';origin-topic=transactions;origin-partition=' || "
-        "(user_id % 6) || ';origin-offset=' || (event_id * 2 + 1) AS headers FROM tx WHERE event_id % 40 = 0"
+        "(user_id % 6) || ';origin-offset=' || (event_id * 2 + 1) AS headers, "
+        f"replace({_BROKEN}[CAST((event_id // 40) % 9 AS INT) + 1], '<json>', {_JSON}) AS value FROM tx WHERE event_id % 40 = 0"
     ),
     "S5_write_verdicts": _ver("SELECT tx_id AS key, tx_id, score, flags, \"at\" FROM hot"),
     "S6_write_tx_keyed": _tx("SELECT card_hash AS key, id FROM tx"),
@@ -383,6 +395,7 @@ UNION ALL SELECT 'kafka_consumer_lag_total', 'gauge', '', CAST(sum(lag) AS BIGIN
         "count(*) FILTER (decision = 'review') AS reviewed, count(*) FILTER (decision = 'decline') AS declined, "
         "CAST(count(*) FILTER (decision <> 'approve') AS DOUBLE) / count(*) AS flagged_rate, "
         "count(*) FILTER (decision <> 'approve') AS open, CAST(1 AS BIGINT) AS p50_us, CAST(1 AS BIGINT) AS p99_us, "
+        "(SELECT count(*) FROM v WHERE \"at\" // 1000 = (SELECT max(\"at\") // 1000 - 1 FROM v)) AS rate_per_sec, "
         "(SELECT string_agg(rule || '=' || fires, ',' ORDER BY rule) FROM fires) AS rule_fires FROM v"
     ),
     "T9_stream_lag": _tx(

@@ -398,7 +398,7 @@ def decode_tx(spark, d):
 def dlq_split(spark, d):
     dead = records.dead_letters(records.decode(X.raw_records(spark, d)))
     header = F.transform("headers", lambda h: F.concat(h["key"], F.lit("="), h["value"].cast("string")))
-    return dead.select(F.col("key").cast("string").alias("key"), F.array_join(header, ";").alias("headers"))
+    return dead.select(F.col("key").cast("string").alias("key"), F.array_join(header, ";").alias("headers"), F.col("value").cast("string").alias("value"))
 
 
 @query("S5_write_verdicts")

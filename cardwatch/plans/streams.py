@@ -24,11 +24,11 @@ from cardwatch.streaming.job import (
     ScoringJob,
     case_sink,
     deduplicated,
-    read_snapshot,
     read_throughput,
     write_throughput,
 )
 from cardwatch.streaming.progress import LagRecorder, recorded
+from cardwatch.streaming.snapshots import read_snapshot
 from cardwatch.streaming.velocity import IDLE_MS, RETENTION_MS, read_state, stream_velocity, use_rocksdb
 
 SLICES = 3

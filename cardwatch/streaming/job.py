@@ -18,11 +18,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from cardwatch import schemas
 from cardwatch.functions.rules import DEFAULT_RULES, Rule
-from cardwatch.operators import feed, rollups
-from cardwatch.operators.histogram import bucket_of, from_counts, quantiles
 from cardwatch.operators.scoring import flagged, score_counted, verdict_struct
 from cardwatch.sources.records import dead_letter_struct, decode
 from cardwatch.sources.sinks import CaseTable, overwrite_part, run_of, to_kafka, verdict_messages
+from cardwatch.streaming.snapshots import SnapshotLog
 from cardwatch.streaming.velocity import RETENTION_MS, STATE_BUCKETS, stream_velocity, use_rocksdb
 
 Hook = Callable[[DataFrame, int], None]
@@ -99,41 +98,9 @@ def topic_sink(topic: str, send: Callable[[DataFrame, str], None], messages: Cal
     return lambda rows, batch: send(messages(rows) if messages else rows, topic)
 
 
-def _totals(rows: DataFrame) -> DataFrame:
-    """Counters of one micro-batch: (kind, name, n). A few rows per batch."""
-    bucket = F.array(
-        F.struct(F.lit("bucket").alias("kind"), bucket_of(F.col("latency_us")).cast("string").alias("name"))
-    )
-    return rollups.totals(rows, bucket)
-
-
 def snapshot_sink(path: str, run: str) -> Hook:
-    """Counters of each micro-batch and its newest feed rows; a reader adds them up, so a part needs no other."""
-
-    def write(rows: DataFrame, batch: int) -> None:
-        overwrite_part(_totals(rows).coalesce(1), f"{path}/totals", run, batch)
-        overwrite_part(feed.recent(feed.feed_rows(rows, exact=False)), f"{path}/recent", run, batch)
-
-    return write
-
-
-def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(stats row, recent feed) of all that was scored.
-
-    The row holds the counters, rule fires, and the p50 and p99 of the delay by
-    bucket bound, as the histogram gives them.
-    """
-    parts = spark.read.schema("kind string, name string, n bigint").parquet(f"{path}/totals")
-    totals = parts.groupBy("kind", "name").agg(F.sum("n").cast("bigint").alias("n"))
-    one = F.lit(1).alias("_one")
-    fires = rollups.rule_fires_map(rollups.fires_of(totals)).select("*", one)
-    stats = rollups.with_flagged_rate(rollups.counts_of(totals)).select("*", one)
-    hist = from_counts(totals.filter("kind = 'bucket'").select(F.col("name").alias("bucket"), "n"))
-    bound = lambda q: F.max(F.when(F.col("q") == q, F.col("bound")))
-    delays = quantiles(hist, (0.5, 0.99)).agg(bound(0.5).alias("p50_us"), bound(0.99).alias("p99_us")).select("*", one)
-    stats = stats.join(fires, "_one").join(delays, "_one").drop("_one")
-    recent = spark.read.schema(schemas.VERDICT).parquet(f"{path}/recent")
-    return stats, feed.recent(recent.select(*schemas.VERDICT.fieldNames()))
+    """Counters, rates and newest feed rows of each micro-batch, in a log that folds itself."""
+    return lambda rows, batch: SnapshotLog(rows.sparkSession, path).write(rows, run, batch)
 
 
 @dataclass

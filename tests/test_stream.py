@@ -13,7 +13,8 @@ from cardwatch.operators.audit import delivery_audit, missing_verdicts, window_l
 from cardwatch.session import fresh_path
 from cardwatch.sources.records import file_records
 from cardwatch.sources.sinks import CaseTable
-from cardwatch.streaming.job import ScoringJob, deduplicated, read_snapshot, read_throughput, write_throughput
+from cardwatch.streaming.job import ScoringJob, deduplicated, read_throughput, write_throughput
+from cardwatch.streaming.snapshots import read_snapshot
 from cardwatch.operators.velocity import WindowRule
 from cardwatch.streaming.velocity import Ticks, WindowCounter, read_state, stream_velocity, use_rocksdb
 
