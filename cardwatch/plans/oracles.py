@@ -413,5 +413,14 @@ UNION ALL SELECT 'kafka_consumer_lag_total', 'gauge', '', CAST(sum(lag) AS BIGIN
         "SELECT 'transactions' AS topic, CAST(p AS INT) AS partition, count(*) AS n, count(DISTINCT o) AS offsets, "
         'min(o) AS first, max(o) AS "last", max(o) + 1 AS high_watermark FROM r GROUP BY p'
     ),
+    "S2_ingest_bodies": _tx(
+        "SELECT event_id // 100 AS body_no, CASE WHEN event_id // 100 % 9 = 4 THEN 0 ELSE count(*) END AS n, "
+        "CAST(CASE WHEN event_id // 100 % 9 = 4 THEN 0 ELSE sum(ts_ms) END AS BIGINT) AS times, "
+        "CASE WHEN event_id // 100 % 9 = 4 THEN 'id is not a string' ELSE '' END AS cause FROM tx GROUP BY 1"
+    ),
+    "S7_topics_once": _ver(
+        "SELECT 'verdicts' AS topic, count(*) AS n, true AS repeated FROM hot UNION ALL "
+        "SELECT 'dead', count(*) FILTER (event_id % 40 = 0), true FROM tx"
+    ),
     "S1_S7_scoring_job": _ver("SELECT tx_id, score, flags, decision, \"at\" FROM hot"),
 }

@@ -478,6 +478,16 @@ def read_tx_stream(spark, d):
     return streams.read_log(spark, d)
 
 
+@query("S2_ingest_bodies")
+def ingest_bodies(spark, d):
+    return streams.ingested_bodies(spark, d)
+
+
+@query("S7_topics_once")
+def topics_once(spark, d):
+    return streams.topics_once(spark, d)
+
+
 @query("S1_S7_scoring_job")
 def scoring_job(spark, d):
     return streams.scored_job(spark, d)

@@ -17,13 +17,14 @@ from cardwatch.operators.lag import lag_total, partition_lag
 from cardwatch.plans import fixture as X
 from cardwatch.session import configure, fresh_path, stage
 from cardwatch.sources import record_log
-from cardwatch.sources.records import decode, file_records
+from cardwatch.sources.records import body_stream, decode, file_records
 from cardwatch.sources.records import read_bodies as split_bodies
-from cardwatch.sources.sinks import CaseTable, run_of
+from cardwatch.sources.sinks import CaseTable, received_once, run_of
 from cardwatch.streaming.job import (
     ScoringJob,
     case_sink,
     deduplicated,
+    ingest_bodies,
     read_throughput,
     write_throughput,
 )
@@ -283,8 +284,8 @@ def dedupe(spark: SparkSession, d: str) -> DataFrame:
 BODY_ROWS = 100
 
 
-def read_bodies(spark: SparkSession, d: str) -> DataFrame:
-    """Bodies of 100 transactions; each ninth body has a bad element and is refused."""
+def _bodies(spark: SparkSession, d: str) -> DataFrame:
+    """(body_no, value): bodies of 100 transactions; each ninth body has a bad element."""
     good = X.raw_records(spark, d, broken=False)
     body = F.floor(F.col("offset") / 2 / BODY_ROWS).cast("bigint")
     # A body is one request, so a group is 100 rows at most.
@@ -292,11 +293,50 @@ def read_bodies(spark: SparkSession, d: str) -> DataFrame:
         F.array_join(F.array_sort(F.collect_list("value")), ",").alias("items")
     )
     bad = F.when(F.col("body_no") % 9 == 4, F.lit(',{"id":5}')).otherwise(F.lit(""))
-    text = F.concat(F.lit("["), F.col("items"), bad, F.lit("]"))
-    tx, _ = split_bodies(bodies.select("body_no", text.alias("value")))
+    return bodies.select("body_no", F.concat(F.lit("["), F.col("items"), bad, F.lit("]")).alias("value"))
+
+
+def read_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """Transactions of the bodies that are not refused."""
+    tx, _ = split_bodies(_bodies(spark, d))
     return tx.select("id", "amount", "ts_ms")
 
 
+def ingested_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """Body files read as a stream that stops between two halves: what came of each body."""
+    bodies = stage(_bodies(spark, d), "bodies")
+    source, base = fresh_path(spark, "bodies"), fresh_path(spark, "ingested")
+    for half in (0, 1):
+        bodies.filter(F.col("body_no") % 2 == half).repartition("body_no").write.mode("append").partitionBy("body_no").text(source)
+        ingest_bodies(body_stream(spark, source), base, f"{base}/checkpoint", availableNow=True).awaitTermination()
+    number = F.regexp_extract("body", "body_no=([0-9]+)", 1).cast("bigint").alias("body_no")
+    good = spark.read.parquet(f"{base}/transactions").groupBy(number).agg(F.count("*").alias("n"), F.sum("ts_ms").alias("times"), F.lit("").alias("cause"))
+    bad = spark.read.parquet(f"{base}/refused").select(number, F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("times"), "cause")
+    return good.unionByName(bad)
+
+
+def topics_once(spark: SparkSession, d: str) -> DataFrame:
+    """A job whose dead-letter topic fails after the verdicts of the micro-batch are sent, and starts again: each message once."""
+    source, base = _record_files(spark, d), fresh_path(spark, "topics")
+    failed: list[str] = []
+
+    def send(messages: DataFrame, topic: str) -> None:
+        messages.write.mode("append").parquet(f"{base}/topics/topic={topic}")
+        if topic == "dead" and not failed:
+            failed.append(topic)
+            raise RuntimeError("the broker is gone")
+
+    topics = {"verdict_topic": "verdicts", "dead_topic": "dead", "send": send}
+    try:
+        _job(spark, source, base, **topics)
+    except StreamingQueryException:
+        _job(spark, source, base, **topics)
+    sent = spark.read.schema("key string, value string, headers array<struct<key: string, value: binary>>, topic string").parquet(f"{base}/topics")
+    again = sent.groupBy("topic").agg(F.count("*").alias("_sent"))
+    once = received_once(sent).groupBy("topic").agg(F.count("*").alias("n"))
+    return once.join(again, "topic").select("topic", "n", (F.col("_sent") > F.col("n")).alias("repeated"))
+
+
 def case_table(spark: SparkSession, d: str) -> DataFrame:
     """Opens, then opens that come again with late ones, and labels."""
     verdicts = X.hot_verdicts(spark, d)

@@ -89,6 +89,13 @@ def body_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("body"), "value")
 
 
+def body_stream(spark: SparkSession, path: str, max_files_per_trigger: int = 1000) -> DataFrame:
+    """The same as a stream: a file is one body, read whole, once it is there."""
+    configure(spark)
+    reader = spark.readStream.format("text").option("wholetext", "true").option("maxFilesPerTrigger", str(max_files_per_trigger))
+    return reader.load(path).select(F.input_file_name().alias("body"), "value")
+
+
 def read_bodies(bodies: DataFrame, ingest_time: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Transactions of the good bodies, and the rejected bodies with their cause."""
     configure(bodies.sparkSession)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
@@ -51,6 +51,32 @@ def to_kafka(messages: DataFrame, servers: str, topic: str, **options: str) -> N
     )
 
 
+MESSAGE_ID = "message-id"
+
+
+def with_message_id(messages: DataFrame, run: str, batch: int) -> DataFrame:
+    """Messages with a header that names them by run, micro-batch, content and, among equal ones, number.
+
+    A micro-batch that is sent again gives its messages the same names, so a
+    consumer can tell a repeat from a second message of the same content.
+    """
+    digest = F.md5(F.to_json(F.struct(*messages.columns)).cast("binary"))
+    named = messages.withColumn("_digest", digest)
+    number = F.row_number().over(Window.partitionBy("_digest").orderBy(F.lit(0)))
+    name = F.concat_ws(":", F.lit(run), F.lit(str(batch)), "_digest", number.cast("string"))
+    header = F.array(F.struct(F.lit(MESSAGE_ID).alias("key"), name.cast("binary").alias("value")))
+    headers = F.concat("headers", header) if "headers" in messages.columns else header
+    return named.withColumn("headers", headers).drop("_digest")
+
+
+def received_once(messages: DataFrame) -> DataFrame:
+    """Messages (with headers) of a topic that was written at least once, each once. Those without a name all stay."""
+    mine = F.filter("headers", lambda h: h["key"] == MESSAGE_ID)
+    named = messages.withColumn("_id", F.try_element_at(mine, F.lit(-1))["value"].cast("string"))
+    rest = named.filter("_id IS NULL")
+    return named.filter("_id IS NOT NULL").dropDuplicates(["_id"]).unionByName(rest).drop("_id")
+
+
 def overwrite_part(df: DataFrame, path: str, run: str, batch: int) -> None:
     """Write one part of a table, named by the run and its micro-batch; writing it again replaces it."""
     df.write.mode("overwrite").parquet(f"{path}/run={run}/batch={batch}")

@@ -19,8 +19,8 @@ from pyspark.sql.streaming import StreamingQuery
 from cardwatch import schemas
 from cardwatch.functions.rules import DEFAULT_RULES, Rule
 from cardwatch.operators.scoring import flagged, score_counted, verdict_struct
-from cardwatch.sources.records import dead_letter_struct, decode
-from cardwatch.sources.sinks import CaseTable, overwrite_part, run_of, to_kafka, verdict_messages
+from cardwatch.sources.records import dead_letter_struct, decode, read_bodies
+from cardwatch.sources.sinks import CaseTable, overwrite_part, run_of, to_kafka, verdict_messages, with_message_id
 from cardwatch.streaming.snapshots import SnapshotLog
 from cardwatch.streaming.velocity import RETENTION_MS, STATE_BUCKETS, stream_velocity, use_rocksdb
 
@@ -93,9 +93,11 @@ def case_sink(path: str, run: str) -> Hook:
     return write
 
 
-def topic_sink(topic: str, send: Callable[[DataFrame, str], None], messages: Callable[[DataFrame], DataFrame] | None = None) -> Hook:
-    """Rows as messages of a topic; a repeated micro-batch sends them again."""
-    return lambda rows, batch: send(messages(rows) if messages else rows, topic)
+def topic_sink(
+    topic: str, send: Callable[[DataFrame, str], None], run: str, messages: Callable[[DataFrame], DataFrame] | None = None
+) -> Hook:
+    """Rows as messages of a topic. A repeated micro-batch sends them again under the same names (``received_once``)."""
+    return lambda rows, batch: send(with_message_id(messages(rows) if messages else rows, run, batch), topic)
 
 
 def snapshot_sink(path: str, run: str) -> Hook:
@@ -142,9 +144,9 @@ class ScoringJob:
         scored = [snapshot_sink(self.snapshot_path, run)] if self.snapshot_path else []
         hot = [part_sink(self.verdict_path, run)] if self.verdict_path else []
         hot += [case_sink(self.case_path, run)] if self.case_path else []
-        hot += [topic_sink(self.verdict_topic, self.send, verdict_messages)] if self.verdict_topic else []
+        hot += [topic_sink(self.verdict_topic, self.send, run, verdict_messages)] if self.verdict_topic else []
         dead = [part_sink(self.dead_path, run)] if self.dead_path else []
-        dead += [topic_sink(self.dead_topic, self.send)] if self.dead_topic else []
+        dead += [topic_sink(self.dead_topic, self.send, run)] if self.dead_topic else []
         return [*scored, *self.on_scored], [*hot, *self.on_flagged], [*dead, *self.on_dead]
 
     def handle(self, rows: DataFrame, batch: int) -> None:
@@ -213,3 +215,24 @@ def write_throughput(tx: DataFrame, path: str, checkpoint: str, **trigger) -> St
 def read_throughput(spark: SparkSession, path: str) -> DataFrame:
     parts = spark.read.schema("second bigint, n bigint").parquet(path)
     return parts.groupBy("second").agg(F.sum("n").cast("bigint").alias("n"))
+
+
+def ingest_bodies(bodies: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Request bodies (body, value) as a stream: transactions of the good ones, and the refused ones whole, in tables of their own.
+
+    An absent time is the time of the micro-batch. A repeated micro-batch
+    replaces its own parts.
+    """
+
+    def write(rows: DataFrame, batch: int) -> None:
+        good, bad = read_bodies(rows)
+        run = run_of(rows.sparkSession, checkpoint)
+        overwrite_part(good, f"{path}/transactions", run, batch)
+        overwrite_part(bad, f"{path}/refused", run, batch)
+
+    return (
+        bodies.writeStream.option("checkpointLocation", checkpoint)
+        .foreachBatch(write)
+        .trigger(**(trigger or {"processingTime": "1 second"}))
+        .start()
+    )
