@@ -55,3 +55,17 @@ RATE_HISTORY = 90
 
 # Topic names.
 TX_TOPIC = "transactions"
+
+# Metric names, in the order in which they are listed.
+METRICS = [
+    "transactions_scored_total",
+    "decisions_total",
+    "submissions_rejected_total",
+    "rule_fires_total",
+    "scoring_duration_microseconds_bucket",
+    "scoring_duration_microseconds_sum",
+    "scoring_duration_microseconds_count",
+    "throughput_per_second",
+    "kafka_consumer_lag",
+    "kafka_consumer_lag_total",
+]

@@ -211,16 +211,9 @@ def top_rules(spark, d):
 
 @query("S9_metrics_rows")
 def metric_rows(spark, d):
-    totals = rollups.totals(X.scored_verdicts(spark, d))
-    series = timeline.throughput(X.transactions(spark, d))
-    rate = timeline.rate_history(series, keep=1).select(F.col("n").alias("rate"))
-    return metrics.metric_rows(
-        rollups.counts_of(totals),
-        rollups.fires_of(totals),
-        histogram.histogram(X.latencies(spark, d), "us"),
-        rate,
-        lags=lag.partition_lag(X.lag_observations(spark, d)),
-    )
+    scored = score(X.transactions(spark, d))
+    rows = verdicts(scored, latency_us=(F.col("amount") * 100).cast("bigint"))
+    return metrics.scored_metric_rows(rows, F.col("latency_us"), F.col("at"), lags=lag.partition_lag(X.lag_observations(spark, d)))
 
 
 # ---- cases -------------------------------------------------------------------

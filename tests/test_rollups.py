@@ -1,5 +1,6 @@
 import pytest
 from helpers import verdict, verdicts
+from pyspark.sql import functions as F
 
 from cardwatch.operators import audit, feed, histogram, lag, metrics, rollups, timeline
 from cardwatch.streaming.progress import observations
@@ -46,7 +47,7 @@ def test_lag_from_progress(spark):
         '"endOffset": {"tx": {"0": %d, "1": 5}}, "latestOffset": {"tx": {"0": 100, "1": 9}}}]}'
     )
     obs = observations(spark, [report % (0, 0, 50), report % (1, 50, 90)])
-    assert sorted(map(tuple, obs.collect())) == [(0, 0, 100, 49), (0, 1, 100, 89), (1, 0, 9, -1), (1, 1, 9, -1)]
+    assert sorted(map(tuple, obs.collect())) == [("tx", 0, 0, 100, 49), ("tx", 0, 1, 100, 89), ("tx", 1, 0, 9, -1), ("tx", 1, 1, 9, -1)]
     assert [tuple(r) for r in lag.partition_lag(obs).collect()] == [(0, 10)]
 
 
@@ -82,6 +83,23 @@ def test_metric_rows_with_lag(spark):
     assert rows == [('{partition="0"}', 0), ('{partition="2"}', 120), ('{partition="10"}', 5), ("", 125)]
 
 
+def test_metric_rows_of_one_pass_are_the_same(spark):
+    rows = [
+        verdict("a", 0, 61_000, latency_us=1),
+        verdict("b", 45, 62_500, flags=["geo_mismatch", "amount_high"], latency_us=2_000_000),
+        verdict("c", 75, 62_900, flags=['we"ird\\\n', "geo_mismatch"], latency_us=None),
+    ]
+    lags = spark.createDataFrame([(10, 5), (2, 120)], "partition int, lag bigint")
+    for df in (verdicts(spark, rows), verdicts(spark, rows).filter("score > 99")):
+        hist = histogram.histogram(df, "latency_us")
+        rate = timeline.rate_history(timeline.throughput(df.withColumn("ts_ms", F.col("at"))), keep=1).select(F.col("n").alias("rate"))
+        want = metrics.metric_rows(rollups.decision_counts(df), rollups.rule_fires(df), hist, rate, 4, lags).collect()
+        one = metrics.scored_metric_rows(df, F.col("latency_us"), F.col("at"), 4, lags)
+        assert one.collect() == want
+        plan = one._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD[tx_id") <= 1
+
+
 def test_empty_rates(spark):
     none = verdicts(spark, [verdict("a", 0, 1)]).filter("score > 5")
     assert rollups.flagged_rate(none).first().flagged_rate == 0.0
