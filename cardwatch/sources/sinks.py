@@ -9,6 +9,7 @@ from pyspark.sql.utils import AnalysisException
 
 from cardwatch import schemas
 from cardwatch.operators.cases import apply_resolutions, open_cases
+from cardwatch.session import remove, stage_at
 
 
 def transaction_messages(tx: DataFrame) -> DataFrame:
@@ -171,11 +172,12 @@ class CaseTable:
         # Written first, so that its size is known when the ids of the table
         # are matched: a small batch is broadcast to them, and the table is
         # scanned (ids only) without a shuffle.
-        offered = self._write(open_cases(verdicts, None, order), "offered", part)
+        offered, path = stage_at(open_cases(verdicts, None, order), "offered")
         known = self._opened(self._base()).select("id").unionByName(self._parts("resolved").select("id"))
         again = known.join(offered.select("id"), "id", "left_semi").distinct()
         self._write(offered.join(again, "id", "left_anti").select(*schemas.CASE.fieldNames()), "opened", part)
         self._done("opened", part)
+        remove(self.spark, path)
         return True
 
     def label(self, part: str | int, resolutions: DataFrame) -> bool:
