@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -64,38 +65,44 @@ END_WITHIN = {
     **dict.fromkeys(("td", "th", "caption", "tr", "thead", "tbody", "tfoot"), _TABLE),
 }
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Roles, and words of a class or id, that mark an element as no content.
+#: Roles, and names in a class or id, that mark an element as no content.
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form toolbar".split())
 MARKERS = frozenset(
-    "ad ads adv advert adverts advertisement adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus "
+    "ad ads adv advert adverts advertisement adsense banner breadcrumb breadcrumbs consent cookie cookies "
     "footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination "
-    "popup promo promotion related replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription "
+    "popup promo promotion related share sharing sidebar signup skip social sponsor sponsored subscribe subscription "
     "toolbar toc widget widgets".split()
 )
+#: Names of reader comments, which are never content.
+COMMENTS = frozenset("comment comments disqus replies respond".split())
+#: A name of several words marks an element if one of them does and the others are of these: site-header, comment-list, left_sidebar.
+BESIDE = frozenset(
+    "area author bar bars block body bottom box container content form global group inner item items left links list main outer page panel "
+    "primary right secondary section site sub thread title top user widget wrap wrapper".split()
+)
 #: Width of the smoothing, in lines, and how many lines to either side it reaches.
 SIGMA, REACH = 1.5, 4
-#: Shares of the upper cluster's characters from which a marked element is the content: in an article, and elsewhere.
-HELD, MOST = 0.8, 0.5
 
 _TAG = re.compile(r"<[A-Za-z/!?]")
 _WORD = re.compile(r"[a-z]+")
 
 
 class _Lines(HTMLParser):
-    """Lines of a page: text, tags met, characters in links, whether it can be content, the marked elements around it and its holders from the outermost one."""
+    """Lines of a page: text, tags met, characters in links, whether it can be content, the marked elements around it, whether it is a paragraph, and its holders from the outermost one."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool, tuple[int, ...], tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, int, bool, tuple[int, ...], bool, tuple[int, ...]]] = []
         self.parts: list[str] = []
         self.tags = 0
         self.linked = 0
         self.links = 0
         self.open: list[tuple[str, bool, bool, bool]] = []  # tag, no content, marked, holder
+        self.opened: Counter[str] = Counter()  # open elements by tag
         self.hidden = 0
         self.marked: tuple[int, ...] = ()
-        self.begun: tuple[bool, tuple[int, ...]] | None = None  # as the line's first text was met
-        self.inside: dict[int, bool] = {}  # of each marked element: whether it is in an article
+        self.begun: tuple[bool, tuple[int, ...], bool] | None = None  # as the line's first text was met
+        self.marks = 0
         self.holding: set[int] = set()  # marked elements with an article or main
         self.holders: tuple[int, ...] = ()
         self.kinds: list[str] = [""]  # of each holder
@@ -114,6 +121,7 @@ class _Lines(HTMLParser):
         """Ends the open elements from place ``k`` on."""
         while len(self.open) > k:
             name, hid, mark, held = self.open.pop()
+            self.opened[name] -= 1
             self.hidden -= hid
             self.articles -= name in ("article", "main")
             if mark:
@@ -123,6 +131,8 @@ class _Lines(HTMLParser):
 
     def _place(self, tags: frozenset[str], within: frozenset[str]) -> int:
         """Place of the innermost open element of ``tags``, not looked for beyond one of ``within``; -1 without."""
+        if not any(self.opened[t] for t in tags):
+            return -1
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] in tags:
                 return k
@@ -158,20 +168,21 @@ class _Lines(HTMLParser):
         mark, hides = False, tag in NEVER
         if not hides:
             mark = (tag == "header" and not self.articles) or tag == "form"
-            if attrs and tag not in ("html", "body", "article", "main"):
-                hides = _concealed(attrs)
-                mark = mark or _marked(attrs)
+            if attrs and tag not in ("html", "body"):
+                hides = (tag not in ("article", "main") and _concealed(attrs)) or (tag != "main" and _marked(attrs, COMMENTS, tag == "p"))
+                mark = mark or _marked(attrs, MARKERS, tag == "p") or _has_role(attrs)
         holds = tag in HOLDERS
         if not (hides or mark or holds or tag in FOLLOWED):
             return
         self.open.append((tag, hides, mark, holds))
+        self.opened[tag] += 1
         self.hidden += hides
         if tag in ("article", "main"):
             self.articles += 1
             self.holding.update(self.marked)
         if mark:
-            self.inside[len(self.inside) + 1] = any(self.kinds[h] == "article" for h in self.holders)
-            self.marked = (*self.marked, len(self.inside))
+            self.marks += 1
+            self.marked = (*self.marked, self.marks)
         if holds:
             self.holders = (*self.holders, len(self.kinds))
             self.kinds.append(tag)
@@ -197,7 +208,7 @@ class _Lines(HTMLParser):
             self._pop(len(self.open) - 1)
         self.parts.append(data)
         if self.begun is None and not data.isspace():
-            self.begun = (not self.hidden, self.marked)
+            self.begun = (not self.hidden, self.marked, self.opened["p"] > 0)
         if self.links > 0:
             self.linked += len(data.strip())
 
@@ -209,13 +220,21 @@ def _concealed(attrs: list[tuple[str, str | None]]) -> bool:
     )
 
 
-def _marked(attrs: list[tuple[str, str | None]]) -> bool:
+def _marked(attrs: list[tuple[str, str | None]], names: frozenset[str], whole: bool) -> bool:
+    """Whether a name in a class or id is one of ``names``, alone or, unless ``whole``, among words that say where or what it is."""
     for name, value in attrs:
-        if value and ((name in ("class", "id") and not MARKERS.isdisjoint(_WORD.findall(value.lower()))) or (name == "role" and value.lower() in ROLES)):
-            return True
+        if value and name in ("class", "id"):
+            for token in value.lower().split():
+                words = _WORD.findall(token)
+                if token in names or (not whole and not names.isdisjoint(words) and all(w in names or w in MARKERS or w in COMMENTS or w in BESIDE for w in words)):
+                    return True
     return False
 
 
+def _has_role(attrs: list[tuple[str, str | None]]) -> bool:
+    return any(name == "role" and value and value.lower() in ROLES for name, value in attrs)
+
+
 _KERNEL = np.array([math.exp(-(k * k) / (2 * SIGMA * SIGMA)) for k in range(-REACH, REACH + 1)])
 _KERNEL /= _KERNEL.sum()
 
@@ -254,7 +273,7 @@ def main_text(html: str | None) -> str:
     parser.feed(_ended(html or ""))
     parser.close()
     parser.flush()
-    lines = [(text, tags, linked, ok and not hidden, holders) for (text, tags, linked, ok, _, holders), hidden in zip(parser.lines, _hidden(parser))]
+    lines = [(text, tags, linked, ok and not hidden, holders) for (text, tags, linked, ok, _, _, holders), hidden in zip(parser.lines, _hidden(parser))]
     shown = [k for k, x in enumerate(lines) if x[3]]
     if not shown:
         return ""
@@ -275,28 +294,24 @@ def _upper(lines: list[tuple], shown: list[int]) -> np.ndarray:
 def _hidden(page: _Lines) -> list[bool]:
     """Of each line: whether a marked element hides it.
 
-    A marked element is shown if it has an article or main that outweighs
-    those outside all marked elements, or most of the upper cluster.
+    A marked element is shown if it holds an article or main and none is
+    outside all marked elements. One that holds none is shown if there is no
+    paragraph outside marked elements, in an article or main if the page has
+    any. How long the parts are does not matter.
     """
     around = [x[4] for x in page.lines]
     if not any(around):
         return [False] * len(around)
     can = [k for k, x in enumerate(page.lines) if x[3]]
-    if not can:
-        return [bool(x) for x in around]
-    weights = [(k, len(page.lines[k][0])) for k, upper in zip(can, _upper(page.lines, can)) if upper]
-    total = sum(w for _, w in weights)
-    for mark in range(1, len(page.inside) + 1):
-        mine = sum(w for k, w in weights if mark in around[k])
-        if page.inside[mark]:
-            show = total and mine >= HELD * total
-        else:
-            show = mine > MOST * total
-            if not show and mark in page.holding:
-                others = sum(w for k, w in weights if not around[k] and any(page.kinds[h] in ("article", "main") for h in page.lines[k][5]))
-                show = not others or mine > others
-        if show:
-            around = [tuple(m for m in x if m != mark) if mark in x else x for x in around]
+    within = {k for k in can if any(page.kinds[h] in ("article", "main") for h in page.lines[k][6])}
+    if not any(not around[k] for k in within):
+        around = [tuple(m for m in x if m not in page.holding) for x in around]
+    asked = [k for k in can if k in within or not within]
+    depths = [len(around[k]) for k in asked if page.lines[k][5]]
+    if depths and min(depths):
+        # Those marked elements alone that a paragraph is the least deep in.
+        shown = {m for k in asked if page.lines[k][5] and len(around[k]) == min(depths) for m in around[k]}
+        around = [tuple(m for m in x if m not in shown) for x in around]
     return [bool(x) for x in around]
 
 

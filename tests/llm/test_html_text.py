@@ -1,3 +1,4 @@
+import time
 import html
 import re
 
@@ -98,3 +99,49 @@ def test_implied_end_tags(start, after):
     tail = "".join(f"<p>{x}" for x in own)
     for page in (f"<html>{start}{tail}", f"<html><body><article>{start}{tail}</article></body></html>"):
         assert main_text(page).split("\n") == [*after.split(), *own]
+
+
+def _p(n, word="Some words of a sentence, long enough to count as one"):
+    return "".join(f"<p>{word} {k}.</p>" for k in range(n))
+
+
+ARTICLE = "<h1>Title of it</h1>" + _p(2, "Article text here")
+WANT = "Title of it\nArticle text here 0.\nArticle text here 1."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<article>{ARTICLE}</article><div class='comments'>{_p(12)}</div>",
+        f"<article>{ARTICLE}<section id='comments'>{_p(12)}</section></article>",
+        f"<div id='content'>{ARTICLE}</div><div id='comments'>{_p(12)}</div>",
+        f"<div class='sidebar'>{_p(8)}</div><article>{ARTICLE}</article>",
+        f"<main>{ARTICLE}<div class='advert'>{_p(9)}</div></main>",
+        f"<article>{ARTICLE}</article><article class='comment'>{_p(6)}</article>",
+        f"<article class='related'>{_p(6)}</article><article>{ARTICLE}</article>",
+        f"<div class='comment-list'>{_p(6)}</div><div class='site-header'>{_p(5)}</div><main>{ARTICLE}</main>",
+        f"<div class='layout has-sidebar'><article>{ARTICLE}</article></div>",
+        f"<div class='page no-sidebar'>{ARTICLE}</div>",
+        f"<div id='header-main-wrap'><article>{ARTICLE}</article><div class='promo'>{_p(7)}</div></div>",
+        f"<div class='widget'>{ARTICLE}</div>",
+        f"<body class='comments'><ol class='comments'><li>{_p(9)}</li></ol><div>{ARTICLE}</div>",
+    ],
+)
+def test_what_surrounds_a_short_article_is_left_out_however_long_it_is(page):
+    assert main_text(page) == WANT
+
+
+def test_a_marker_within_a_longer_name_marks_nothing():
+    page = f"<article>{ARTICLE}<p class='ad-free'>Free of them.</p><p class='comment-line'>A line.</p></article>"
+    assert main_text(page) == f"{WANT}\nFree of them.\nA line."
+
+
+def test_only_comments_are_no_content():
+    assert main_text(f"<div id='comments'>{_p(5)}</div>") == ""
+
+
+def test_many_unclosed_and_nested_elements_take_little_time():
+    start = time.process_time()
+    assert main_text("<section>" * 4000 + f"<article>{ARTICLE}</article>") == WANT
+    assert main_text("<span class='x'>a</span>" * 30_000 + f"<article>{ARTICLE}</article>") == WANT
+    assert time.process_time() - start < 5
