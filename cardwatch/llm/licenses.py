@@ -8,6 +8,8 @@ stays; of equal or partly overlapping ones, the one of higher priority.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,12 +35,6 @@ FAMILIES = (
     ("bsd-4-clause", "bsd", r"(?:original bsd|bsd 4 clause|4 clause bsd)", "bsd 4 clause"),
     ("bsl-1.0", "boost", r"boost software license(?: version)?(?: 1(?: 0)?)?", "bsl 1 0"),
     ("busl-1.1", "business", r"business source license(?: version)?(?: 1 1)?", "busl 1 1"),
-    ("cc-by-4.0", "by", r"(?:cc by|creative commons attribution)(?: international)?(?: [1-4] [05])?", "cc by 4 0"),
-    ("cc-by-nc-4.0", "by", r"(?:cc by nc|creative commons attribution non ?commercial)(?: international)?(?: [1-4] [05])?", "cc by nc 4 0"),
-    ("cc-by-nc-nd-4.0", "by", r"(?:cc by nc nd|creative commons attribution non ?commercial no ?derivatives)(?: [1-4] [05])?", "cc by nc nd 4 0"),
-    ("cc-by-nc-sa-4.0", "by", r"(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1-4] [05])?", "cc by nc sa 4 0"),
-    ("cc-by-nd-4.0", "by", r"(?:cc by nd|creative commons attribution no ?derivatives)(?: [1-4] [05])?", "cc by nd 4 0"),
-    ("cc-by-sa-4.0", "by", r"(?:cc by sa|creative commons attribution share ?alike)(?: [1-4] [05])?", "cc by sa 4 0"),
     ("cc0-1.0", "cc0", r"(?:creative commons zero|cc0)(?: 1 0)?", "cc0 1 0"),
     ("cddl-1.0", "common", r"common development and distribution license(?: version)?(?: 1(?: 0)?)?", "cddl 1 0"),
     ("cecill-2.1", "cecill", r"cecill(?: version)?(?: 2(?: 1)?)?", "cecill 2 1"),
@@ -47,7 +43,7 @@ FAMILIES = (
     ("efl-2.0", "eiffel", r"eiffel forum license(?: version)?(?: 2(?: 0)?)?", "efl 2 0"),
     ("epl-1.0", "eclipse", r"eclipse public license(?: version)? v?1(?: 0)?", "epl 1 0"),
     ("epl-2.0", "eclipse", r"eclipse public license(?: version)?(?: v?2(?: 0)?)?", "epl 2 0"),
-    ("eupl-1.2", "european", r"european union public licence(?: version)?(?: v? ?1 2)?", "eupl 1 2"),
+    ("eupl-1.2", "european", r"european union public licen[sc]e(?: version)?(?: v? ?1 2)?", "eupl 1 2"),
     ("gfdl-1.3", "documentation", r"gnu free documentation license(?: version)?(?: 1 [1-3])?", "gfdl 1 3"),
     ("gpl-2.0", "public", r"(?:gnu )?general public license(?: version)? v?2(?: 0)?", "gpl 2 0"),
     ("gpl-3.0", "public", r"(?:gnu )?general public license(?: version)? v?3(?: 0)?", "gpl 3 0"),
@@ -84,7 +80,8 @@ FORMS = (
     (r"spdx license identifier {id}", 40, 0.99),
     (r"licen[sc]ed under (?:the )?(?:terms of (?:the )?)?{name}(?: licen[sc]e)?", 30, 0.95),
     (r"(?:released|distributed|available|published|provided) under (?:the )?(?:terms of (?:the )?)?{name}(?: licen[sc]e)?", 30, 0.9),
-    (r"{name} licen[sc]e", 10, 0.6),
+    (r"(?:spdx|opensource) org licenses? {id}", 32, 0.95),
+    (r"{name} licen[sc]ed?", 10, 0.6),
 )
 
 _LATER = r"(?: or (?:any )?(?:later|newer)(?: version)?| only)?"
@@ -142,6 +139,83 @@ SHORT_FORMS = (
     (r"(?:{name})(?: licen[sc]e)?", 12, 0.6),
 )
 
+#: What may stand between a GNU name and its version.
+_MID = r"(?: as published by the free software foundation)?(?: either)?"
+
+#: (label, keyword, name in running text with its versions); these names say enough without a word around them.
+RUNNING = (
+    ("afl-3.0", "academic", rf"academic free licen[sc]e{_version('3 0', '3')}?"),
+    ("agpl-3.0", "affero", rf"(?:gnu )?affero general public licen[sc]e(?:{_MID}{_version('3 0', '3')})?{_LATER}"),
+    ("apache-1.1", "apache", rf"apache(?: software)? licen[sc]e{_version('1 1')}"),
+    ("apache-2.0", "apache", rf"apache(?: software)? licen[sc]e{_version('2 0', '2')}?"),
+    ("artistic-1.0", "artistic", rf"artistic licen[sc]e{_version('1 0', '1')}"),
+    ("artistic-2.0", "artistic", rf"artistic licen[sc]e{_version('2 0', '2')}"),
+    ("blueoak-1.0.0", "oak", rf"blue oak model licen[sc]e{_version('1 0 0', '1')}?"),
+    ("bsl-1.0", "boost", rf"boost software licen[sc]e{_version('1 0', '1')}?"),
+    ("busl-1.1", "business", rf"business source licen[sc]e{_version('1 1')}?"),
+    ("cddl-1.0", "common", rf"common development and distribution licen[sc]e(?: cddl)?{_version('1 [01]', '1')}?"),
+    ("cpl-1.0", "common", rf"common public licen[sc]e{_version('1 0', '1')}?"),
+    ("ecl-2.0", "educational", rf"educational community licen[sc]e{_version('2 0', '2')}?"),
+    ("efl-2.0", "eiffel", rf"eiffel forum licen[sc]e{_version('2 0', '2')}?"),
+    ("epl-1.0", "eclipse", rf"eclipse public licen[sc]e{_version('1 0', '1')}"),
+    ("epl-2.0", "eclipse", rf"eclipse public licen[sc]e{_version('2 0', '2')}?"),
+    ("eupl-1.2", "european", rf"european union public licen[sc]e(?: eupl)?{_version('1 [0-2]')}?"),
+    ("gfdl-1.3", "documentation", rf"(?:gnu )?free documentation licen[sc]e{_version('1 [1-3]')}?{_LATER}"),
+    ("gpl-2.0", "public", rf"(?:gnu )?general public licen[sc]e(?: gpl)?{_MID}{_version('2 0', '2')}{_LATER}"),
+    ("gpl-3.0", "public", rf"(?:gnu )?general public licen[sc]e(?: gpl)?{_MID}{_version('3 0', '3')}{_LATER}"),
+    ("ipl-1.0", "ibm", rf"ibm public licen[sc]e{_version('1 0', '1')}?"),
+    ("lgpl-2.1", "public", rf"(?:gnu )?(?:lesser|library) general public licen[sc]e(?: lgpl)?{_MID}{_version('2 1', '2 0', '2')}{_LATER}"),
+    ("lgpl-3.0", "lesser", rf"(?:gnu )?lesser general public licen[sc]e(?: lgpl)?{_MID}{_version('3 0', '3')}{_LATER}"),
+    ("lgpl", "public", r"(?:gnu )?(?:lesser|library) general public licen[sc]e"),
+    ("lppl-1.3c", "latex", rf"latex project public licen[sc]e{_version('1 3[ac]?')}?"),
+    ("mpl-1.1", "mozilla", rf"mozilla public licen[sc]e{_version('1 [01]', '1')}"),
+    ("mpl-2.0", "mozilla", rf"mozilla public licen[sc]e{_version('2 0', '2')}?"),
+    ("ms-pl", "microsoft", r"microsoft public licen[sc]e"),
+    ("ms-rl", "microsoft", r"microsoft reciprocal licen[sc]e"),
+    ("mulanpsl-2.0", "mulan", rf"mulan permissive software licen[sc]e{_version('2 0', '2')}?"),
+    ("ncsa", "illinois", r"university of illinois(?: ncsa)? open source licen[sc]e"),
+    ("odbl-1.0", "database", rf"open (?:data commons open )?database licen[sc]e{_version('1 0')}?"),
+    ("ofl-1.1", "font", rf"(?:sil )?open font licen[sc]e{_version('1 1')}?"),
+    ("osl-3.0", "open", rf"open software licen[sc]e{_version('3 0', '3')}"),
+    ("php-3.01", "php", rf"php licen[sc]e{_version('3 01')}"),
+    ("psf-2.0", "python", rf"python software foundation licen[sc]e{_version('2')}?"),
+    ("qpl-1.0", "q public", rf"q public licen[sc]e{_version('1 0')}?"),
+    ("upl-1.0", "universal", rf"universal permissive licen[sc]e{_version('1 0')}?"),
+    ("w3c", "w3c", r"w3c software(?: notice)?(?: and)?(?: document)? licen[sc]e"),
+    ("zpl-2.1", "zope", rf"zope public licen[sc]e{_version('2 [01]', '2')}?"),
+)
+#: Priority and confidence of a name in running text.
+RUNNING_RANK = (20, 0.8)
+
+#: Parts of a Creative Commons license after attribution: (short, long).
+CC_PARTS = (("nc", "non ?commercial"), ("nd", "no ?deriv(?:ative)?s?(?: works?)?"), ("sa", "share ?alike"))
+CC_KINDS = ((), ("nc",), ("nd",), ("sa",), ("nc", "nd"), ("nc", "sa"))
+CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
+
+
+def creative_commons() -> list[tuple[str, str, str, int, float]]:
+    """Rules of each kind and version by its parts: long name, short name, address. Without a version the newest is meant."""
+    long, made = dict(CC_PARTS), []
+    for kind in CC_KINDS:
+        short = " ".join(("by", *kind))
+        name = "creative commons attribution" + "".join(f" {long[p]}" for p in kind)
+        for version in CC_VERSIONS:
+            label, number = f"cc-{short.replace(' ', '-')}-{version}", version.replace(".", " ")
+            newest = "?" if version == CC_VERSIONS[-1] else ""
+            place = r"(?: (?:international|unported|generic|intl))?"
+            after = rf"{place}(?: {number}){newest}{place}(?: public)?(?: licen[sc]e)?"
+            lead = r"(?:(?:licen[sc]ed|released|distributed|available|published|provided) under (?:the |an? )?(?:terms of (?:the )?)?)?"
+            made += [
+                (label, "creative commons", rf"{lead}(?:a )?{name}{after}", 26, 0.9),
+                # A short name alone is a fixed phrase; with a part, a version or a lead it says more.
+                (label, "cc by", rf"{lead}cc {short}(?: {number}){newest if kind else ''}{place}(?: licen[sc]e)?", 26, 0.9),
+                (label, "creativecommons", rf"creativecommons org licenses {short} {number}", 32, 0.95),
+                (label, "spdx", rf"spdx license identifier cc {short} {number}", 40, 0.99),
+            ]
+        made.append((f"cc-{short.replace(' ', '-')}-{CC_VERSIONS[-1]}", "cc by", rf"(?:licen[sc]ed|released|distributed|available|published|provided) under (?:the |a )?(?:terms of (?:the )?)?cc {short}(?: licen[sc]e)?", 26, 0.9))
+    return made
+
+
 #: Signatures that stand for no family: (label, keyword, pattern, priority, confidence).
 NOTICES = (
     ("copyright", "copyright", r"copyright(?: c)? (?:19|20)[0-9]{2}", 5, 0.4),
@@ -151,26 +225,63 @@ NOTICES = (
     ("gpl", "redistribute", r"you can redistribute it and or modify it under the terms of", 25, 0.8),
     ("public-domain", "domain", r"(?:dedicated to|released into|placed in|in) the public domain", 15, 0.7),
     ("proprietary", "proprietary", r"proprietary and confidential", 15, 0.7),
+    ("apache-2.0", "compliance", r"you may not use this file except in compliance with the license", 25, 0.8),
+    ("apache-2.0", "apache", r"apache org licenses license 2 0", 32, 0.95),
+    ("mpl-2.0", "mozilla", r"this source code form is subject to the terms of the mozilla public license v 2 0", 35, 0.99),
+    ("mpl-1.1", "mozilla", r"the contents of this file are subject to the mozilla public license version 1 1", 35, 0.99),
+    ("epl-1.0", "eclipse", r"made available under the terms of the eclipse public license (?:version |v ?)1 0", 35, 0.95),
+    ("epl-2.0", "eclipse", r"made available under the terms of the eclipse public license (?:version |v ?)?2 0", 35, 0.95),
+    ("bsl-1.0", "permission", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation", 35, 0.95),
+    ("zlib", "warranty", r"this software is provided as is without any express or implied warranty in no event will the authors? be held liable for any damages arising from the use of this software", 35, 0.95),
+    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain", 35, 0.95),
+    ("isc", "permission", r"permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted", 35, 0.9),
+    ("postgresql", "permission", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", 35, 0.95),
+    ("bsd-3-clause", "endorse", r"may be used to endorse or promote products derived from this software without specific prior written permission", 25, 0.9),
+    ("bsd-4-clause", "advertising", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment", 35, 0.95),
+    ("gpl-2.0", "freedom", r"the licenses for most software are designed to take away your freedom to share and change it", 25, 0.9),
+    ("gpl-3.0", "copyleft", r"the gnu general public license is a free copyleft license for software and other kinds of works", 35, 0.95),
+    ("agpl-3.0", "copyleft", r"the gnu affero general public license is a free copyleft license for software and other kinds of works", 35, 0.95),
+    ("lgpl-3.0", "incorporates", r"this version of the gnu lesser general public license incorporates the terms and conditions of version 3", 35, 0.95),
+    ("cddl-1.0", "common", r"the contents of this file are subject to the terms of the common development and distribution license", 35, 0.95),
+    ("ofl-1.1", "font", r"this font software is licensed under the sil open font license version 1 1", 35, 0.99),
+    ("cc0-1.0", "deed", r"the person who associated a work with this deed has dedicated the work to the public domain", 35, 0.95),
+    ("artistic-2.0", "copyright", r"this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed", 35, 0.95),
+    ("wtfpl", "want", r"you just do what the \w+ you want to", 35, 0.95),
     ("no-warranty", "warranty", r"without warranty of any kind", 5, 0.3),
     ("gpl", "public", r"(?:gnu )?general public license", 15, 0.7),
     ("cc", "creative", r"creative commons", 5, 0.4),
 )
 
 
+def _id_keyword(form: str, keyword: str) -> str:
+    """The keyword of a rule: the family's where its name stands in the form, else what goes with an identifier."""
+    if "{name}" in form:
+        return keyword
+    return "spdx license" if form.startswith("spdx") else " org license"
+
+
 def rules() -> list[tuple[str, str, str, int, float]]:
     """(label, keyword, regular expression, priority, confidence) of every rule, in order."""
     made = [
-        (label, keyword if "{name}" in form else "spdx", form.format(name=name, id=short), priority, sure)
+        (label, _id_keyword(form, keyword), form.format(name=name, id=short), priority, sure)
         for label, keyword, name, short in FAMILIES
         for form, priority, sure in FORMS
     ]
     short = [(label, keyword, form.format(name=name), priority - (label in ("gpl", "lgpl")), sure) for label, keyword, name in SHORT for form, priority, sure in SHORT_FORMS]
-    return [(label, keyword, f"(?<= ){pattern}(?= )", priority, sure) for label, keyword, pattern, priority, sure in [*made, *short, *NOTICES]]
+    running = [(label, keyword, name, *RUNNING_RANK) for label, keyword, name in RUNNING]
+    return [(label, keyword, f"(?<= )(?:{pattern})(?= )", priority, sure) for label, keyword, pattern, priority, sure in [*made, *short, *running, *creative_commons(), *NOTICES]]
+
+
+_RULES = "array<struct<keyword:string,rules:array<struct<label:string,pattern:string,priority:int,sure:double>>>>"
 
 
-def _rule_array() -> Column:
-    names = ("label", "keyword", "pattern", "priority", "sure")
-    return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, rule)]) for rule in rules()])
+def _rules_by_keyword() -> Column:
+    """(keyword, rules): a text is searched once for each keyword, whatever the number of its rules."""
+    grouped: dict[str, list[dict]] = {}
+    for label, keyword, pattern, priority, sure in rules():
+        grouped.setdefault(keyword, []).append({"label": label, "pattern": pattern, "priority": priority, "sure": sure})
+    # One literal, which the optimizer folds to a constant.
+    return F.from_json(F.lit(json.dumps([{"keyword": k, "rules": mine} for k, mine in grouped.items()])), _RULES)
 
 
 def _spaces(text: Column) -> Column:
@@ -236,7 +347,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         firsts.append(F.when(count > 0, _spaces(parts[0]) - 1))
         lasts.append(F.when(count > 0, F.col("n_words") - (_spaces(F.element_at(parts, -1)) - 1) - len(phrase.split())))
         labels.append(F.when(count > 0, F.lit(label)))
-    fitting = F.filter(_rule_array(), lambda r: F.contains(F.col("norm"), r.keyword))
+    fitting = F.flatten(F.transform(F.filter(_rules_by_keyword(), lambda g: F.contains(F.col("norm"), g.keyword)), lambda g: g.rules))
     found = F.flatten(F.transform(fitting, lambda r: _found(F.col("norm"), r)))
     kept = F.when(F.col("norm").isNotNull(), _resolve(found))
     out = out.select(

@@ -66,3 +66,34 @@ def test_short_forms_of_each_family(spark):
     got = {r.doc_id: r for r in scan_licenses(docs).collect()}
     assert [(t, got[k].labels) for k, (_, t) in enumerate(texts)] == [(t, label) for label, t in texts]
     assert all(r.score > 0 for r in got.values())
+
+
+#: (labels, text as it stands in real files).
+NOTICES = [
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL"),
+    ("epl-2.0", "under the Eclipse Public License v2.0"), ("epl-1.0", "made available under the terms of the Eclipse Public License v1.0"),
+    ("artistic-2.0", "Artistic License 2.0"), ("bsl-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("eupl-1.2", "European Union Public License 1.2"), ("eupl-1.2", "Licensed under the European Union Public Licence (EUPL) v1.2"), ("eupl-1.2", "Licensed under the European Union Public License 1.2"),
+    ("mit", "It is MIT-licensed."), ("mit", "see https://opensource.org/licenses/MIT"),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("gpl,lgpl-2.1", "GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"),
+    ("gpl,lgpl-2.1", "the GNU Library General Public License, version 2"), ("gpl,lgpl", "the GNU Lesser General Public License"),
+    ("agpl-3.0,gpl", "GNU Affero General Public License version 3"), ("gpl,gpl-2.0", "GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option)"),
+    ("gpl,gpl-3.0", "the GNU General Public License v3.0"),
+    ("cc-by-sa-4.0", "licensed under the Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-4.0", "under a Creative Commons Attribution 4.0 International License"), ("cc-by,cc-by-nc-nd-3.0", "CC BY-NC-ND 3.0"), ("cc-by,cc-by-4.0", "(CC BY 4.0)"),
+    ("cc-by,cc-by-sa-2.5", "released under CC-BY-SA 2.5"), ("cc-by-nc-sa-3.0", "http://creativecommons.org/licenses/by-nc-sa/3.0/"), ("cc-by-nc-4.0", "Creative Commons Attribution-NonCommercial"),
+    ("apache-2.0", "you may not use this file except in compliance with the License. http://www.apache.org/licenses/LICENSE-2.0"), ("apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee"),
+    ("bsd-4-clause", "All advertising materials mentioning features or use of this software must display the following acknowledgement: warranty"),
+    ("cddl-1.0", "The contents of this file are subject to the terms of the Common Development and Distribution License"),
+    ("ofl-1.1", "This Font Software is licensed under the SIL Open Font License, Version 1.1."),
+    ("", "the license of the driver was public, and the mozilla in it is open"), ("", "a boost to software, licensed plumbers, an artistic licence"),
+]
+
+
+def test_notices_as_they_stand_in_files(spark):
+    docs = spark.createDataFrame(list(enumerate(t for _, t in NOTICES)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in scan_licenses(docs).collect()}
+    assert [(got[k], t) for k, (_, t) in enumerate(NOTICES)] == NOTICES
