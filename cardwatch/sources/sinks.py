@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from cardwatch import schemas
@@ -89,28 +90,36 @@ def run_of(spark: SparkSession, checkpoint: str) -> str:
 
 
 _COMMIT = "kind string, part string, base bigint"
-_PARTED = T.StructType([*schemas.CASE.fields, T.StructField("part", T.StringType())])
+_FIELDS = schemas.CASE.fieldNames()
+_INDEX = "id string, bucket int"
 
 
 class CaseTable:
-    """Durable case table on files: a log of opened cases and a log of labels.
+    """Durable case table on files: a log of opened cases, a log of labels, and generations that they are folded into.
 
     A part of a log has a name its writer chooses, and counts once its commit
     exists: readers never see half a part, and a repeat of a committed part is
     known by its name and changes nothing. The two logs do not share names, so
-    a stream and analysts write side by side. Nothing written is touched again.
-    ``compact`` folds the open cases into a base now and then, which keeps the
-    read of the queue short.
+    a stream and analysts write side by side.
+
+    A generation holds the open cases, the resolved ones, and the ids of all in
+    hash buckets, sorted. One commit names it and lists the parts that it holds,
+    so it appears as a whole. ``add`` folds the logs into the next generation
+    whenever ``fold_every`` parts have come, and reads the buckets its ids fall
+    in and the parts since: the files it opens do not grow with the number of
+    micro-batches. What a generation replaced goes with the one after it, so a
+    read may last over one fold. One writer folds: the one that calls ``add``.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, fold_every: int = 32, buckets: int = 64):
         self.spark = spark
         self.path = path.rstrip("/")
+        self.fold_every, self.buckets = fold_every, buckets
 
-    def _read(self, schema, path: str) -> DataFrame:
-        """The rows at a path, none before anything was written there; any other fault is raised."""
+    def _read(self, schema, *paths: str) -> DataFrame:
+        """The rows at some paths, none before anything was written there; any other fault is raised."""
         try:
-            return self.spark.read.schema(schema).parquet(path)
+            return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
         except AnalysisException as fault:
             if fault.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -120,64 +129,83 @@ class CaseTable:
         return self._read(_COMMIT, f"{self.path}/commits/*")
 
     def _base(self) -> int:
-        newest = self._commits().filter("kind = 'base'").agg(F.max("base")).first()[0]
+        newest = self._commits().filter("kind = 'generation'").agg(F.max("base")).first()[0]
         return -1 if newest is None else newest
 
     def committed(self, kind: str, part: str | int) -> bool:
         return not self._commits().filter((F.col("kind") == kind) & (F.col("part") == str(part))).isEmpty()
 
-    def _parts(self, kind: str, base: int | None = None) -> DataFrame:
-        """Rows of the committed parts of a log; with ``base`` only those that it does not hold."""
-        done = self._commits().filter(F.col("kind") == kind)
-        rows = self._read(_PARTED, f"{self.path}/{kind}").join(done.select("part").distinct(), "part", "left_semi")
-        if base is not None and base >= 0:
-            folded = self._commits().filter((F.col("kind") == f"folded {kind}") & (F.col("base") == base))
-            rows = rows.join(folded.select("part"), "part", "left_anti")
-        return rows.select(*schemas.CASE.fieldNames())
-
-    def _opened(self, base: int) -> DataFrame:
-        rows = self._parts("opened", base)
-        if base < 0:
-            return rows
-        held = self._read(_PARTED, f"{self.path}/base").filter(F.col("part") == str(base))
-        return held.select(*schemas.CASE.fieldNames()).unionByName(rows)
+    def _own(self, generation: int, held: bool) -> list[tuple[str, str]]:
+        """The parts that still have a commit of their own, held by a generation or not: a few folds' worth."""
+        commits = self._commits()
+        listed = commits.filter(F.col("base") == generation).select("kind", "part")
+        own = commits.filter("base IS NULL").select("kind", "part")
+        return [tuple(r) for r in own.join(listed, ["kind", "part"], "left_semi" if held else "left_anti").distinct().collect()]
+
+    def _at(self, kind: str, part: str | int) -> str:
+        return f"{self.path}/{kind}/part={quote(str(part), safe='')}"
+
+    def _rows(self, kind: str, parts: list[tuple[str, str]]) -> DataFrame:
+        return self._read(schemas.CASE, *[self._at(k, part) for k, part in parts if k == kind])
+
+    def _held(self, status: str, base: int) -> DataFrame:
+        return self._read(schemas.CASE, *([f"{self.path}/{status}-cases/generation={base}"] if base >= 0 else []))
+
+    def _index(self, base: int) -> DataFrame:
+        return self._read(_INDEX, *([f"{self.path}/ids/generation={base}"] if base >= 0 else []))
+
+    def _bucket(self, column: str = "id"):
+        return F.pmod(F.xxhash64(column), F.lit(self.buckets)).cast("int")
+
+    def _open(self, base: int, parts: list[tuple[str, str]]) -> DataFrame:
+        done = self._rows("resolved", parts).select("id")
+        return self._held("open", base).unionByName(self._rows("opened", parts)).join(done, "id", "left_anti").select(*_FIELDS)
 
     def open(self) -> DataFrame:
         base = self._base()
-        done = self._parts("resolved", base).select("id")
-        return self._opened(base).join(done, "id", "left_anti").select(*schemas.CASE.fieldNames())
+        return self._open(base, self._own(base, held=False))
 
     def resolved(self) -> DataFrame:
-        return self._parts("resolved")
+        base = self._base()
+        return self._held("resolved", base).unionByName(self._rows("resolved", self._own(base, held=False)))
 
     def read(self) -> DataFrame:
         return self.open().unionByName(self.resolved())
 
-    def _write(self, rows: DataFrame, kind: str, part: str | int) -> DataFrame:
-        path = f"{self.path}/{kind}/part={part}"
-        rows.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(schemas.CASE).parquet(path)
+    def known_ids(self, offered: DataFrame) -> DataFrame:
+        """The ids of the table that can be among those of ``offered``, from the buckets they fall in."""
+        base = self._base()
+        mine = [r[0] for r in offered.select(self._bucket()).distinct().collect()]  # at most one per bucket
+        low, high = offered.agg(F.min("id"), F.max("id")).first()
+        old = self._index(base).filter(F.col("bucket").isin(mine) & F.col("id").between(low, high))
+        return old.select("id").unionByName(self._rows("opened", self._own(base, held=False)).select("id"))
+
+    def _write(self, rows: DataFrame, kind: str, part: str | int) -> None:
+        rows.write.mode("overwrite").parquet(self._at(kind, part))
 
     def _commit(self, name: str, rows: DataFrame) -> None:
         rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/{name}")
 
     def _done(self, kind: str, part: str | int) -> None:
         one = self.spark.range(1).select(F.lit(kind).alias("kind"), F.lit(str(part)).alias("part"), F.lit(None).cast("bigint").alias("base"))
-        self._commit(f"{kind}-{part}", one)
+        self._commit(self._name(kind, part), one)
+
+    def _name(self, kind: str, part: str | int) -> str:
+        return f"{kind}-{quote(str(part), safe='')}"
 
     def add(self, part: str | int, verdicts: DataFrame, order=("at", "tx_id")) -> bool:
         """Open cases for the flagged verdicts whose id has none; False if this part is there already."""
         if self.committed("opened", part):
             return False
-        # Written first, so that its size is known when the ids of the table
-        # are matched: a small batch is broadcast to them, and the table is
-        # scanned (ids only) without a shuffle.
+        # Written first, so that its size is known when its ids are matched: a
+        # small batch is broadcast to the index.
         offered, path = stage_at(open_cases(verdicts, None, order), "offered")
-        known = self._opened(self._base()).select("id").unionByName(self._parts("resolved").select("id"))
-        again = known.join(offered.select("id"), "id", "left_semi").distinct()
-        self._write(offered.join(again, "id", "left_anti").select(*schemas.CASE.fieldNames()), "opened", part)
+        again = self.known_ids(offered).join(offered.select("id"), "id", "left_semi").distinct()
+        self._write(offered.join(again, "id", "left_anti").select(*_FIELDS), "opened", part)
         self._done("opened", part)
         remove(self.spark, path)
+        if len(self._own(self._base(), held=False)) >= self.fold_every:
+            self.compact()
         return True
 
     def label(self, part: str | int, resolutions: DataFrame) -> bool:
@@ -189,21 +217,27 @@ class CaseTable:
         return True
 
     def compact(self) -> None:
-        """Fold the open cases into a new base, which lists the parts that it holds."""
+        """Fold the parts since the last generation into the next one; ``add`` calls it."""
         old = self._base()
-        new = old + 1
-        folded = self._commits().filter("kind in ('opened', 'resolved')").distinct()
-        named = folded.select(F.concat(F.lit("folded "), "kind").alias("kind"), "part", F.lit(new).cast("bigint").alias("base"))
-        self._commit(f"folded-{new}", named)
-        # The cases of the listed parts, no matter what was added since.
-        mine = self._commits().filter(F.col("base") == new)
-        opened, done = (
-            self._read(_PARTED, f"{self.path}/{kind}").join(mine.filter(F.col("kind") == f"folded {kind}").select("part"), "part", "left_semi")
-            for kind in ("opened", "resolved")
-        )
-        self._write(opened.join(done.select("id"), "id", "left_anti").select(*schemas.CASE.fieldNames()), "base", new)
-        one = self.spark.range(1).select(F.lit("base").alias("kind"), F.lit(str(new)).alias("part"), F.lit(new).cast("bigint").alias("base"))
-        self._commit(f"base-{new}", one)
+        new, parts = old + 1, self._own(old, held=False)
+        self._open(old, parts).write.mode("overwrite").parquet(f"{self.path}/open-cases/generation={new}")
+        done = self._held("resolved", old).unionByName(self._rows("resolved", parts))
+        done.write.mode("overwrite").parquet(f"{self.path}/resolved-cases/generation={new}")
+        ids = self._index(old).unionByName(self._rows("opened", parts).select("id", self._bucket().alias("bucket")))
+        ids.repartition("bucket").sortWithinPartitions("bucket", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/ids/generation={new}")
+        fresh = self.spark.createDataFrame([*parts, ("generation", str(new))], "kind string, part string")
+        before = self._commits().filter((F.col("base") == old) & (F.col("kind") != "generation")).select("kind", "part")
+        self._commit(f"generation-{new}", before.unionByName(fresh).withColumn("base", F.lit(new).cast("bigint")))
+        self._clear(old)
+
+    def _clear(self, generation: int) -> None:
+        """Remove what ``generation`` replaced: the parts it holds and the generation before it."""
+        for kind, part in self._own(generation, held=True):
+            remove(self.spark, f"{self.path}/commits/{self._name(kind, part)}")
+            remove(self.spark, self._at(kind, part))
+        for name in ("open-cases", "resolved-cases", "ids"):
+            remove(self.spark, f"{self.path}/{name}/generation={generation - 1}")
+        remove(self.spark, f"{self.path}/commits/generation-{generation - 1}")
 
 
 def status_partitioned(cases: DataFrame, path: str) -> None:

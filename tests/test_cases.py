@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from helpers import verdict, verdicts
 
@@ -94,3 +96,53 @@ def test_half_written_parts_are_not_seen_and_faults_are_raised(spark):
     assert sorted(r.id for r in table.read().collect()) == ["p", "q"]
     with pytest.raises(Exception):  # noqa: B017  any fault but a missing path
         CaseTable(spark, "nosuchscheme://x")._commits()
+
+
+def files_under(path):
+    return sum(f.endswith(".parquet") for _, _, files in os.walk(path.removeprefix("file:")) for f in files)
+
+
+def test_the_table_folds_itself_and_its_files_do_not_grow(spark):
+    """Eight micro-batches with repeats of old ids: one case per id, whole history known, files bounded."""
+    path = fresh_path(spark, "table")
+    table = CaseTable(spark, path, fold_every=2, buckets=4)
+    opened, sizes = {}, []
+    for k in range(8):
+        mine = [(f"id{k}", 50 + k), (f"id{k // 2}", 99), ("hot", 60 + k)]
+        table.add(f"run-{k}", verdicts(spark, [verdict(i, score, k) for i, score in mine]))
+        for i, score in mine if mine[0][0] != mine[1][0] else [mine[1], mine[2]]:
+            opened.setdefault(i, score)
+        if k == 3:
+            table.label("a/b *?", labels(spark, [("hot", "confirmed_fraud", 5, "x", 1)]))
+        sizes.append(files_under(path))
+    want = {i: ("resolved" if i == "hot" else "open") for i in opened}
+    assert {r.id: r.status for r in table.read().collect()} == want
+    assert table.read().count() == len(want)
+    assert max(sizes[4:]) <= max(sizes[:4]) + 8
+    # A part of a fold long ago is still known, and a label still meets its case.
+    assert not table.add("run-0", verdicts(spark, [verdict("other", 90, 1)]))
+    assert not table.label("a/b *?", labels(spark, [("id3", "false_positive", 9, "x", 1)]))
+    assert table.label("later", labels(spark, [("id3", "false_positive", 9, "x", 1), ("hot", "false_positive", 9, "x", 2)]))
+    assert {(r.id, r.resolution) for r in table.resolved().collect()} == {("hot", "confirmed_fraud"), ("id3", "false_positive")}
+
+
+def test_a_batch_reads_only_the_buckets_of_its_ids(spark):
+    table = CaseTable(spark, fresh_path(spark, "table"), fold_every=1, buckets=16)
+    table.add(0, verdicts(spark, [verdict(f"t{i}", 50, i) for i in range(200)]))
+    few = spark.createDataFrame([("t7",), ("new",)], "id string")
+    known = table.known_ids(few)
+    assert known.join(few, "id", "left_semi").collect() == [("t7",)]
+    assert known.count() < 60
+    assert "PartitionFilters: [bucket" in known._jdf.queryExecution().executedPlan().toString()
+    assert table.known_ids(few.limit(0)).count() == 0
+
+
+def test_a_fold_that_stopped_half_way_is_not_seen(spark):
+    table = CaseTable(spark, fresh_path(spark, "table"), fold_every=100)
+    table.add(0, verdicts(spark, [verdict("p", 52, 1)]))
+    table._open(-1, []).write.parquet(f"{table.path}/open-cases/generation=0")
+    assert [r.id for r in table.read().collect()] == ["p"]
+    table.compact()
+    assert [r.id for r in table.read().collect()] == ["p"]
+    table.add(1, verdicts(spark, [verdict("p", 77, 2), verdict("q", 53, 3)]))
+    assert sorted((r.id, r.score) for r in table.read().collect()) == [("p", 52), ("q", 53)]
