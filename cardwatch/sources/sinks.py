@@ -128,20 +128,15 @@ class CaseTable:
     def _commits(self) -> DataFrame:
         return self._read(_COMMIT, f"{self.path}/commits/*")
 
-    def _base(self) -> int:
-        newest = self._commits().filter("kind = 'generation'").agg(F.max("base")).first()[0]
-        return -1 if newest is None else newest
+    def _state(self) -> tuple[int, list[tuple[str, str]]]:
+        """The newest generation, and the parts since: at most a fold's worth."""
+        parts = self._commits().groupBy("kind", "part").agg(F.max("base").alias("base"))
+        rows = parts.filter("base IS NULL OR kind = 'generation'").collect()
+        return max((r.base for r in rows if r.kind == "generation"), default=-1), [(r.kind, r.part) for r in rows if r.kind != "generation"]
 
     def committed(self, kind: str, part: str | int) -> bool:
         return not self._commits().filter((F.col("kind") == kind) & (F.col("part") == str(part))).isEmpty()
 
-    def _own(self, generation: int, held: bool) -> list[tuple[str, str]]:
-        """The parts that still have a commit of their own, held by a generation or not: a few folds' worth."""
-        commits = self._commits()
-        listed = commits.filter(F.col("base") == generation).select("kind", "part")
-        own = commits.filter("base IS NULL").select("kind", "part")
-        return [tuple(r) for r in own.join(listed, ["kind", "part"], "left_semi" if held else "left_anti").distinct().collect()]
-
     def _at(self, kind: str, part: str | int) -> str:
         return f"{self.path}/{kind}/part={quote(str(part), safe='')}"
 
@@ -162,23 +157,27 @@ class CaseTable:
         return self._held("open", base).unionByName(self._rows("opened", parts)).join(done, "id", "left_anti").select(*_FIELDS)
 
     def open(self) -> DataFrame:
-        base = self._base()
-        return self._open(base, self._own(base, held=False))
+        return self._open(*self._state())
 
     def resolved(self) -> DataFrame:
-        base = self._base()
-        return self._held("resolved", base).unionByName(self._rows("resolved", self._own(base, held=False)))
+        base, parts = self._state()
+        return self._held("resolved", base).unionByName(self._rows("resolved", parts))
 
     def read(self) -> DataFrame:
         return self.open().unionByName(self.resolved())
 
     def known_ids(self, offered: DataFrame) -> DataFrame:
         """The ids of the table that can be among those of ``offered``, from the buckets they fall in."""
-        base = self._base()
-        mine = [r[0] for r in offered.select(self._bucket()).distinct().collect()]  # at most one per bucket
-        low, high = offered.agg(F.min("id"), F.max("id")).first()
+        return self._known_ids(offered, *self._state())
+
+    def _known_ids(self, offered: DataFrame, base: int, parts: list[tuple[str, str]]) -> DataFrame:
+        since = self._rows("opened", parts).select("id")
+        if base < 0:
+            return since
+        # The set holds at most one number per bucket.
+        mine, low, high = offered.agg(F.collect_set(self._bucket()), F.min("id"), F.max("id")).first()
         old = self._index(base).filter(F.col("bucket").isin(mine) & F.col("id").between(low, high))
-        return old.select("id").unionByName(self._rows("opened", self._own(base, held=False)).select("id"))
+        return old.select("id").unionByName(since)
 
     def _write(self, rows: DataFrame, kind: str, part: str | int) -> None:
         rows.write.mode("overwrite").parquet(self._at(kind, part))
@@ -200,11 +199,12 @@ class CaseTable:
         # Written first, so that its size is known when its ids are matched: a
         # small batch is broadcast to the index.
         offered, path = stage_at(open_cases(verdicts, None, order), "offered")
-        again = self.known_ids(offered).join(offered.select("id"), "id", "left_semi").distinct()
+        base, parts = self._state()
+        again = self._known_ids(offered, base, parts).join(offered.select("id"), "id", "left_semi").distinct()
         self._write(offered.join(again, "id", "left_anti").select(*_FIELDS), "opened", part)
         self._done("opened", part)
         remove(self.spark, path)
-        if len(self._own(self._base(), held=False)) >= self.fold_every:
+        if len(parts) + 1 >= self.fold_every:
             self.compact()
         return True
 
@@ -218,8 +218,8 @@ class CaseTable:
 
     def compact(self) -> None:
         """Fold the parts since the last generation into the next one; ``add`` calls it."""
-        old = self._base()
-        new, parts = old + 1, self._own(old, held=False)
+        old, parts = self._state()
+        new = old + 1
         self._open(old, parts).write.mode("overwrite").parquet(f"{self.path}/open-cases/generation={new}")
         done = self._held("resolved", old).unionByName(self._rows("resolved", parts))
         done.write.mode("overwrite").parquet(f"{self.path}/resolved-cases/generation={new}")
@@ -232,7 +232,10 @@ class CaseTable:
 
     def _clear(self, generation: int) -> None:
         """Remove what ``generation`` replaced: the parts it holds and the generation before it."""
-        for kind, part in self._own(generation, held=True):
+        commits = self._commits()
+        listed = commits.filter(F.col("base") == generation).select("kind", "part")
+        own = commits.filter("base IS NULL").select("kind", "part").join(listed, ["kind", "part"], "left_semi")
+        for kind, part in own.distinct().collect():
             remove(self.spark, f"{self.path}/commits/{self._name(kind, part)}")
             remove(self.spark, self._at(kind, part))
         for name in ("open-cases", "resolved-cases", "ids"):
