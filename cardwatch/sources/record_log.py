@@ -55,7 +55,7 @@ def append(records: DataFrame, path: str, segment_rows: int = SEGMENT_ROWS) -> N
         F.min("offset").alias("first"), (F.max("offset") + 1).alias("next"), F.count("*").alias("rows")
     )
     # One file, which appears at once: the append is there or it is not.
-    index.select("topic", "partition", "first", "next", "rows", "file").coalesce(1).write.parquet(f"{path.rstrip('/')}/index/{name}")
+    index.select("topic", "partition", "first", "next", "rows", "file").repartition(1).write.parquet(f"{path.rstrip('/')}/index/{name}")
 
 
 def segments(spark: SparkSession, path: str) -> DataFrame:

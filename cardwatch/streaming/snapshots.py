@@ -84,8 +84,9 @@ class SnapshotLog:
     def write(self, rows: DataFrame, run: str, batch: int) -> None:
         """Add a micro-batch of verdicts, and fold what lies before it if that has grown long."""
         feed.recent(feed.feed_rows(rows, exact=False)).coalesce(1).write.mode("overwrite").parquet(f"{self._part(run, batch)}/recent")
-        # The totals come last: a part counts once they are there.
-        _totals(rows).coalesce(1).write.mode("overwrite").parquet(f"{self._part(run, batch)}/totals")
+        # The totals come last: a part counts once they are there. They meet in one task only after they were added up:
+        # ``coalesce`` would add up all partitions of the shuffle in that task, each with a table of its own.
+        _totals(rows).repartition(1).write.mode("overwrite").parquet(f"{self._part(run, batch)}/totals")
         held = self._pointer(self._generation())
         open_ = sum(b > held.get(r, -1) for r, own in self._parts().items() for b in own)
         if open_ > self.fold_after:
@@ -101,7 +102,7 @@ class SnapshotLog:
         if not any(taken.values()):
             return
         totals, recent = self._read(old, taken)
-        totals.coalesce(1).write.mode("overwrite").parquet(f"{self._base(old + 1)}/totals")
+        totals.repartition(1).write.mode("overwrite").parquet(f"{self._base(old + 1)}/totals")
         recent.coalesce(1).write.mode("overwrite").parquet(f"{self._base(old + 1)}/recent")
         pointer = self.spark.createDataFrame(sorted(new.items()), _POINTER).coalesce(1)
         pointer.write.mode("overwrite").parquet(f"{self.path}/pointers/generation={old + 1}")

@@ -1,6 +1,12 @@
 """What must not grow with the tables, on tables that are small."""
 
-from cardwatch.plans import streams
+from helpers import verdict, verdicts
+from pyspark.sql.readwriter import DataFrameWriter
+
+from cardwatch.plans import fixture, streams
+from cardwatch.session import fresh_path
+from cardwatch.sources import record_log
+from cardwatch.streaming.snapshots import SnapshotLog
 
 DATA = "/root/testdata/sf0.001"
 
@@ -18,3 +24,23 @@ def test_a_longer_log_is_not_read_in_more_micro_batches(spark, monkeypatch):
     (limit, held), = queries
     assert held / limit <= streams.READ_BATCHES < held / 100
     assert sum(r.n for r in got) == 1000 + 25 and all(r.n == r.offsets for r in got)
+
+
+def test_counters_are_added_up_in_many_tasks_and_meet_as_sums(spark, monkeypatch):
+    """No single task adds up the partitions of a shuffle one after the other, with a table for each."""
+    plans, real = [], DataFrameWriter.parquet
+
+    def parquet(writer, *args, **how):
+        plans.append(writer._df._jdf.queryExecution().executedPlan().toString())
+        return real(writer, *args, **how)
+
+    rows = verdicts(spark, [verdict(f"t{k}", k, 1_700_000_000_000 + k * 700) for k in range(100)])
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    log = SnapshotLog(spark, fresh_path(spark, "log"), fold_after=1)
+    for batch in range(3):
+        log.write(rows, "run", batch)
+    record_log.append(fixture.raw_records(spark, DATA, broken=False), fresh_path(spark, "records"))
+    monkeypatch.undo()
+    counted = [p for p in plans if "HashAggregate" in p]
+    assert len(counted) >= 5 and not any("Coalesce" in p for p in counted)
+    assert {r.n for r in log.read()[0].filter("kind = 'decision'").collect()} == {3 * 40, 3 * 30}
