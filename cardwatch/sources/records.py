@@ -89,9 +89,17 @@ def body_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("body"), "value")
 
 
-def body_stream(spark: SparkSession, path: str, max_files_per_trigger: int = 1000) -> DataFrame:
-    """The same as a stream: a file is one body, read whole, once it is there."""
+def body_stream(spark: SparkSession, path: str, max_files_per_trigger: int = 1000, packed: bool = False) -> DataFrame:
+    """The same as a stream: a file is one body, read whole, once it is there.
+
+    With ``packed`` a file is a Parquet table of many bodies (body, value).
+    The driver lists every file of a stream, a few kilobytes each, so senders
+    of many small bodies should write tables of them.
+    """
     configure(spark)
+    if packed:
+        reader = spark.readStream.schema("body string, value string")
+        return reader.option("maxFilesPerTrigger", str(max_files_per_trigger)).parquet(path)
     reader = spark.readStream.format("text").option("wholetext", "true").option("maxFilesPerTrigger", str(max_files_per_trigger))
     return reader.load(path).select(F.input_file_name().alias("body"), "value")
 

@@ -6,6 +6,8 @@ from pyspark.sql.readwriter import DataFrameWriter
 from cardwatch.plans import fixture, streams
 from cardwatch.session import fresh_path
 from cardwatch.sources import record_log
+from cardwatch.sources.records import body_stream
+from cardwatch.streaming.job import ingest_bodies
 from cardwatch.streaming.snapshots import SnapshotLog
 
 DATA = "/root/testdata/sf0.001"
@@ -44,3 +46,32 @@ def test_counters_are_added_up_in_many_tasks_and_meet_as_sums(spark, monkeypatch
     counted = [p for p in plans if "HashAggregate" in p]
     assert len(counted) >= 5 and not any("Coalesce" in p for p in counted)
     assert {r.n for r in log.read()[0].filter("kind = 'decision'").collect()} == {3 * 40, 3 * 30}
+
+
+def test_more_bodies_are_not_more_files(spark, monkeypatch):
+    files, real = [], streams.ingest_bodies
+
+    def ingest(bodies, path, checkpoint, **trigger):
+        query = real(bodies, path, checkpoint, **trigger)
+        query.awaitTermination()
+        files.append(sum(p["numInputRows"] for p in query.recentProgress))
+        return query
+
+    made, source = [], streams.body_stream
+    monkeypatch.setattr(streams, "body_stream", lambda session, path, *args, **how: made.append(path) or source(session, path, *args, **how))
+    monkeypatch.setattr(streams, "ingest_bodies", ingest)
+    got = {r.body_no: r for r in streams.ingested_bodies(spark, "/root/testdata/sf0.01").collect()}
+    assert len(got) == 100 and {n for n, r in got.items() if r.cause} == set(range(4, 100, 9))
+    assert all(r.n == (0 if r.cause else 100) for r in got.values())
+    assert len(set(spark.read.option("recursiveFileLookup", "true").format("binaryFile").load(made[0]).inputFiles())) <= 2 * streams.FILES
+    assert len(files) == 2
+
+
+def test_a_file_can_be_one_body(spark, tmp_path):
+    for k, text in enumerate(['[{"id":"a","amount":1}]', '[{"id":5}]']):
+        (tmp_path / f"{k}.json").write_text(text)
+    base = fresh_path(spark, "one")
+    ingest_bodies(body_stream(spark, str(tmp_path)), base, f"{base}/checkpoint", availableNow=True).awaitTermination()
+    assert [r.id for r in spark.read.parquet(f"{base}/transactions").collect()] == ["a"]
+    refused, = spark.read.parquet(f"{base}/refused").collect()
+    assert refused.body.endswith("/1.json") and refused.cause == "id is not a string"
