@@ -104,3 +104,48 @@ def test_a_mini_batch_in_parts_has_the_gradient_of_the_whole(monkeypatch):
     total = [sum(g) for g in zip(*(toxicity._gradients(model, *toxicity._side_by_side([inputs[i] for i in p]), y[p], w[p]) for p in parts))]
     for a, b in zip(whole, total):
         assert np.allclose(a, b, atol=1e-6)
+
+
+def test_rows_beyond_the_sample_are_learned_and_set_thresholds(spark, monkeypatch):
+    r = random.Random(4)
+    toxic = [x + y for x in ("zug", "vil", "krat", "blon") for y in ("rob", "mox")]
+    data = []
+    for k in range(4000):
+        words = brute.prose(r, r.randint(5, 20))
+        if k % 3 == 0:  # the sample holds some of these words only
+            words[r.randrange(len(words))] = toxic[k // 3 % 8]
+        data.append((k, " ".join(words), "en", int(k % 3 == 0)))
+    docs = spark.createDataFrame([x[:3] for x in data], "doc_id long, text string, lang string").repartition(2)
+    labels = spark.createDataFrame([(x[0], x[3]) for x in data if x[0] % 5], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "TRAIN_ROWS", {1: 4, 0: 12})
+    monkeypatch.setattr(toxicity, "CALIBRATE_ROWS", {1: 0, 0: 0})
+    got = toxicity.Toxicity.fit(docs, labels).scored(docs).filter("doc_id % 5 = 0").collect()
+    assert np.mean([x.flagged == (x.doc_id % 3 == 0) for x in got]) >= 0.9
+
+
+def test_tasks_that_never_met_a_word_do_not_hold_its_vector_back(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TASK_ROWS", 1)
+    monkeypatch.setattr(toxicity, "STEPS", 1)
+    texts = ["alpha beta", "gamma delta"]
+    stored = [x for x, _ in toxicity.buckets_of(pa.array(texts))]
+    rows = spark.createDataFrame([(k, k % 2, bytes(stored[k % 2].tobytes())) for k in range(8)], "doc_id long, toxic int, buckets binary")
+    model = toxicity.Model.new(1, 0.5)
+    before = model.rows()
+    toxicity.train_on(model, rows.repartitionByRange(2, "toxic"), 8, 0.5)
+    moved = np.abs(model.rows() - before).max(axis=1)[: toxicity.BUCKETS + 1]
+    met = np.unique(np.concatenate([x.ravel() for x in stored]))
+    assert moved[np.setdiff1d(np.arange(toxicity.BUCKETS + 1), met)].max() == 0
+    assert (moved[np.setdiff1d(met, [toxicity.BUCKETS])] > 0).sum() >= 2
+
+
+def test_threshold_of_counted_scores_is_that_of_their_rows():
+    scores, toxic, clean = np.array([0.1, 0.4, 0.6, 0.9]), np.array([1, 2, 0, 5]), np.array([7, 1, 2, 0])
+    y = np.concatenate([np.repeat([1, 0], [t, c]) for t, c in zip(toxic, clean)])
+    assert toxicity._threshold(scores, toxic, clean) == toxicity._threshold(np.repeat(scores, toxic + clean), y)
+
+
+def test_map_of_labelled_ids_loses_none_and_lets_few_others_in(spark):
+    rows = spark.range(0, 3000, 3).selectExpr("id - 600 AS doc_id")
+    docs = spark.range(3000).selectExpr("CAST(id - 600 AS int) AS doc_id")
+    got = {x.doc_id for x in docs.filter(toxicity._perhaps_labelled(rows, 1000)).collect()}
+    assert set(range(-600, 2400, 3)) <= got and len(got) < 1400
