@@ -49,6 +49,8 @@ SHORT_STEPS = {8: 2, 12: 3, 16: 4}
 _RARE_BITS = 20
 #: Letters of scripts without spaces between words.
 _UNSPACED = "[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3005-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]"
+#: Words whose passages are summed up by term at once, and places of a term that are added one by one.
+WORDS_BACK, RUN = 1 << 19, 64
 #: Items that are sent to the tasks at once.
 ITEMS_AT_ONCE = 10_000
 _SEED = 20
@@ -92,12 +94,48 @@ def _directions() -> np.ndarray:
     return np.random.default_rng(_SEED).standard_normal((TERMS, RANK + MORE)).astype(np.float32)
 
 
+def _run_sums(table: np.ndarray, at: np.ndarray, begin: np.ndarray, width: int) -> np.ndarray:
+    """Sums of the rows ``at`` of ``table`` over runs that start at ``begin``.
+
+    Runs are cut into parts of ``width`` places and added up place by place, the
+    longer parts first, so that what is gathered at once stays small.
+    """
+    size = np.diff(np.append(begin, len(at)))
+    parts = -(-size // width)
+    first = np.cumsum(parts) - parts
+    start = np.repeat(begin, parts) + (np.arange(parts.sum()) - np.repeat(first, parts)) * width
+    left = np.minimum(np.repeat(begin + size, parts) - start, width)
+    by = np.argsort(-left, kind="stable")
+    start, shorter = start[by], -left[by]
+    sums = table[at[start]]
+    row = np.empty_like(sums)
+    for k in range(1, width):
+        n = int(np.searchsorted(shorter, -k))  # parts of more than k places
+        if not n:
+            break
+        np.take(table, at[start[:n] + k], axis=0, out=row[:n], mode="clip")
+        sums[:n] += row[:n]
+    row[by] = sums
+    return row if len(row) == len(begin) else np.add.reduceat(row, first, axis=0)
+
+
 def _products(weights: np.ndarray):
     """Of each task: its passages' rows times the random matrix, and back, by term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weighted, squares = _directions() * weights[:, None], np.square(weights)
         total = np.zeros((TERMS, RANK + MORE))
+        waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # terms, passages' sizes and rows
+
+        def back() -> None:
+            terms, sizes, seen = (np.concatenate(x) for x in zip(*waiting))
+            waiting.clear()
+            passage = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.argsort(terms, kind="stable")  # 16-bit numbers: by radix
+            sorted_terms = terms[order]
+            begin = np.flatnonzero(np.append(True, sorted_terms[1:] != sorted_terms[:-1]))
+            total[sorted_terms[begin].astype(np.intp)] += _run_sums(seen, passage[order], begin, RUN)
+
         for batch in batches:
             for terms, first in _stored_slices(batch.column("terms")):
                 if not len(terms):
@@ -108,12 +146,12 @@ def _products(weights: np.ndarray):
                 starts = np.repeat(first[:-1], groups) + within * WINDOW
                 wide = terms.astype(np.intp)
                 square = np.add.reduceat(squares[wide], starts)
-                seen = np.add.reduceat(weighted[wide], starts, axis=0) / np.maximum(square, 1e-12)[:, None]
-                passage = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(terms))))
-                order = np.argsort(terms, kind="stable")  # 16-bit numbers: by radix
-                sorted_terms = wide[order]
-                begin = np.flatnonzero(np.append(True, sorted_terms[1:] != sorted_terms[:-1]))
-                total[sorted_terms[begin]] += np.add.reduceat(seen[passage[order]], begin, axis=0)
+                seen = _run_sums(weighted, wide, starts, WINDOW) / np.maximum(square, 1e-12)[:, None]
+                waiting.append((terms, np.diff(np.append(starts, len(terms))), seen))
+                if sum(len(t) for t, _, _ in waiting) >= WORDS_BACK:
+                    back()
+        if waiting:
+            back()
         total *= weights[:, None]
         at = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(c) for c in total[at].T)], ["term", *_columns()])

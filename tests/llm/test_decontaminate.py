@@ -161,3 +161,33 @@ def test_paraphrases_are_found(share):
     for _, _, words in decontaminate.slices(pa.array(texts), apart=decontaminate.MARKS):
         found += [{item for item, *_ in leaks} for leaks in bench.search(words)]
     assert sum(k in own for k, own in enumerate(found)) >= 0.95 * len(items)
+
+
+@pytest.mark.parametrize("width", [1, 2, 5, 64])
+def test_run_sums_are_those_of_the_rows(width):
+    r = np.random.default_rng(3)
+    table, sizes = r.random((50, 7)), r.integers(1, 30, 40)
+    at, begin = r.integers(0, 50, sizes.sum()), np.cumsum(sizes) - sizes
+    want = np.add.reduceat(table[at], begin, axis=0)
+    assert np.allclose(decontaminate._run_sums(table, at, begin, width), want)
+
+
+def test_products_of_several_slices_are_those_of_the_passages(monkeypatch):
+    r = random.Random(5)
+    texts = [" ".join(brute.prose(r, n)) for n in (100, 0, 1, 24, 25, 700)]
+    weights = np.random.default_rng(1).random(decontaminate.TERMS).astype(np.float32) + 0.5
+    want = np.zeros((decontaminate.TERMS, decontaminate.RANK + decontaminate.MORE))
+    stored = [b for t in texts for b in decontaminate._stored(iter([pa.RecordBatch.from_arrays([pa.array([t])], ["text"])]))]
+    for batch in stored:
+        terms = np.frombuffer(batch.column("terms")[0].as_py(), "<u2").astype(int)
+        for a in range(0, len(terms), decontaminate.WINDOW):
+            row = np.zeros(decontaminate.TERMS)
+            np.add.at(row, terms[a : a + decontaminate.WINDOW], weights[terms[a : a + decontaminate.WINDOW]].astype(float))
+            square = np.square(weights[terms[a : a + decontaminate.WINDOW]].astype(float)).sum()
+            want += np.outer(row, row @ decontaminate._directions()) / square
+    for words in (1, 200, 1 << 19):
+        monkeypatch.setattr(decontaminate, "WORDS_BACK", words)
+        (got,) = decontaminate._products(weights)(iter(stored))
+        have = np.zeros_like(want)
+        have[got.column("term").to_numpy()] = np.stack([got.column(c).to_numpy() for c in decontaminate._columns()], axis=1)
+        assert np.allclose(have, want, rtol=1e-3, atol=1e-3)
