@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cardwatch.llm.merges import merges_of
 from cardwatch.llm.words import in_batches
 from cardwatch.session import stage
 
@@ -35,6 +36,9 @@ GROUP_TASKS = 10_000
 SLICE_BYTES = 1 << 20
 #: Words that the tokenizer is given at once; its results are large.
 ENCODED_WORDS = 4096
+#: Different words that are merged in step at most.
+MERGED_PARTS = 1 << 18
+
 
 class Memory:
     """Ids of words met lately: a word that is asked for again moves to the young generation, and a full one ages."""
@@ -80,11 +84,57 @@ def token_ids(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space and never reads across it, so a text's ids
-    are those of its parts between spaces, and parts met before are looked up.
+    are those of its parts between spaces. Each different part of ``texts`` is
+    encoded once, all of them together.
     """
+    if not texts:
+        return []
+    texts = [t.replace("\n", " ") for t in texts]
+    parts = np.array([t.count(" ") + 1 for t in texts])
+    data = " ".join([*texts, ""]).encode()
+    ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 0x20) + 1
+    # A part keeps the space after it, so that parts lie side by side as Arrow wants them.
+    offsets = np.concatenate(([0], ends)).astype(np.int64)
+    coded = pa.LargeStringArray.from_buffers(len(ends), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
+    ids, size = _part_ids(coded.dictionary, path)
+    begin = np.cumsum(size) - size
+    code = coded.indices.to_numpy()
+    n = size[code]
+    upto = np.concatenate(([0], np.cumsum(n)))
+    raw = ids[np.arange(upto[-1]) + np.repeat(begin[code] - upto[:-1], n)].tobytes()
+    cut = (4 * upto[np.concatenate(([0], np.cumsum(parts)))]).tolist()
+    return [raw[a:b] for a, b in zip(cut, cut[1:])]
+
+
+def _part_ids(parts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of different parts, each with a space after it, one part after the other, and how many each has."""
+    merges, begin = merges_of(path), np.frombuffer(parts.buffers()[1], np.int64)[: len(parts) + 1]
+    data = np.frombuffer(parts.buffers()[2], np.uint8)
+    got, sizes = [], []
+    for k in range(0, len(parts), MERGED_PARTS):
+        at = begin[k : k + MERGED_PARTS + 1]
+        if merges is None:
+            done, ids, size = np.zeros(len(at) - 1, bool), np.zeros(0, np.int64), np.zeros(len(at) - 1, np.int64)
+        else:
+            done, ids, size = merges.plain(data[at[0] : at[-1]], at[:-1] - at[0], np.diff(at) - 1)
+        rest = np.flatnonzero(~done)
+        others = [w[:-1] for w in parts.take(pa.array(k + rest)).to_pylist()]
+        known = _library_ids(others, path)
+        size[rest] = [len(known[w]) // 4 for w in others]
+        mine = np.repeat(done, size)
+        flat = np.empty(len(mine), "<u4")
+        flat[mine], flat[~mine] = ids, np.frombuffer(b"".join([known[w] for w in others]), "<u4")
+        got.append(flat)
+        sizes.append(size)
+    return np.concatenate(got), np.concatenate(sizes)
+
+
+def _library_ids(words: list[str], path: str) -> dict[str, bytes]:
+    """Ids of parts without a space; those met before are looked up."""
+    if not words:
+        return {}
     tokenizer, memory = _tokenizer(path), _kept.setdefault(path, Memory())
-    parts = [t.replace("\n", " ").split(" ") for t in texts]
-    pairs = {w: _stem(w) for w in set().union(*parts)}
+    pairs = {w: _stem(w) for w in words}
     stems = {x for pair in pairs.values() for x in pair}
     ids = memory.recall(stems)
     new = list(stems.difference(ids))
@@ -99,8 +149,7 @@ def token_ids(texts: list[str], path: str) -> list[bytes]:
         made.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, cut, cut[1:]))
     memory.keep(made)
     ids |= made
-    whole = {w: ids[stem] + ids[mark] for w, (stem, mark) in pairs.items()}
-    return [b"".join([whole[w] for w in words]) for words in parts]
+    return {w: ids[stem] + ids[mark] for w, (stem, mark) in pairs.items()}
 
 
 def _stem(word: str) -> tuple[str, str]:

@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 
@@ -97,3 +98,41 @@ def test_blocks_and_islands_are_groups_of_several_tasks(spark, monkeypatch):
     tasks = dealt.select(F.spark_partition_id().alias("task"), "block", "island").distinct()
     assert tasks.count() == tasks.select("block", "island").distinct().count()  # a group is in one task
     assert tasks.select("task").distinct().count() > 20
+
+
+def test_ids_of_any_letters_are_those_of_the_tokenizer(monkeypatch, tmp_path):
+    path = packing.default_vocabulary()
+    tokenizer = Tokenizer.from_file(path)
+    r = random.Random(8)
+    ascii_, latin = [chr(c) for c in range(1, 128)], [chr(c) for c in range(0xA0, 0x180)]
+    other = list("İıßẞŒΑΣσς漢字한́̈\u2009\u3000’“—😀ªº²½\u200bﬁ\x85\x1c")
+    small = list("abcdefgh")
+    pools = [ascii_, small, small + latin, latin, small + other, ascii_ + latin + other, small + list("!?.,#&*'<|>"), list("0123456789.,ab")]
+    texts = []
+    for _ in range(600):
+        pool = r.choice(pools)
+        words = ["".join(r.choices(pool, k=r.choice([0, 1, 2, 3, 5, 8, 13, 40, 63, 64, 65, 200]))) for _ in range(r.randint(0, 12))]
+        texts.append(r.choice([" ", "\n", "  "]).join(words) + r.choice(["", " ", "\n"]))
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert packing.token_ids(texts, path) == want
+    monkeypatch.setattr(packing, "MERGED_PARTS", 7)
+    assert packing.token_ids(texts, path) == want
+    # A tokenizer that is built in another way is left to the library.
+    spec = json.load(open(path, encoding="utf-8"))
+    spec["normalizer"]["normalizers"].pop()
+    cased = tmp_path / "cased.json"
+    cased.write_text(json.dumps(spec), encoding="utf-8")
+    tokenizer, text = Tokenizer.from_file(str(cased)), "three small words, and 4"
+    assert packing.merges_of(str(cased)) is None
+    assert packing.token_ids([text], str(cased)) == [np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+
+
+def test_plain_words_are_not_looked_up_one_by_one(monkeypatch):
+    path = packing.default_vocabulary()
+    want = Tokenizer.from_file(path).encode("Élan, NEVER met 12.5 (añob)", add_special_tokens=False).ids
+
+    def none(*_):
+        raise AssertionError("a word of known letters went to the library")
+
+    monkeypatch.setattr(packing, "_tokenizer", none)
+    assert packing.token_ids(["Élan, NEVER met 12.5\n(añob)"], path) == [np.array(want, "<u4").tobytes()]
