@@ -50,6 +50,11 @@ def file_records(
     )
 
 
+def spread(raw: DataFrame) -> DataFrame:
+    """Records dealt to as many tasks as a shuffle has, however few files or partitions hold them: decoding costs far more than that."""
+    return raw.repartition("partition", "offset")
+
+
 def decode(raw: DataFrame) -> DataFrame:
     configure(raw.sparkSession)
     return decode_records(raw)

@@ -7,6 +7,11 @@ the blocks that its rows can count in and writes those its rows are in; a call
 of the operator counts all rows of a bucket at once. The state lives in the
 query's checkpoint: a restart or a moved partition finds it again.
 
+Spark hands rows to such an operator one by one, which costs more than counting
+them. So rows travel packed: before the first rule a task packs its rows into
+one Arrow table per bucket, a rule reads and gives such tables, by buckets of
+the next rule, and after the last one they are rows again.
+
 Rows are counted in arrival order: micro-batch by micro-batch, and by
 (ts_ms, seq) inside one. A row drops the ticks of its key that are older than
 its window, for good, and a late row also counts the newer ticks it finds. A
@@ -21,6 +26,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,6 +56,10 @@ _CARRIED = {
     "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
 }
 
+# Rows and bytes that a task packs at once, and that a packed table holds at most.
+PACK_ROWS, PACK_BYTES = 1 << 17, 16 << 20
+
+_PACKED = T.StructType([T.StructField("now", T.LongType()), T.StructField("rows", T.BinaryType()), T.StructField("_bucket", T.IntegerType())])
 _BLOCK = T.StructType([T.StructField("block", T.LongType())])
 _TICKS = T.StructType([T.StructField("ticks", T.BinaryType())])
 _CAME = T.StructType([T.StructField("came", T.LongType()), T.StructField("round", T.LongType())])
@@ -155,8 +165,69 @@ def count_arrivals(held: Ticks, keys: pa.Array, times: np.ndarray, window_ms: in
     return counts, Ticks(names.take(pa.array(owner[live])), at[live], n[live], newest[live])
 
 
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    joined = column.combine_chunks()
+    return joined if isinstance(joined, pa.Array) else pa.concat_arrays(joined.chunks) if joined.num_chunks else pa.array([], joined.type)
+
+
+def _packed(rows: pa.Table, by: str | None) -> Iterator[tuple[int | None, bytes]]:
+    """``rows`` as tables of one value of ``by`` and a bounded size each, without that column if it is given."""
+    if not len(rows):
+        return
+    groups = [(None, 0, len(rows))]
+    if by is not None:
+        rows = rows.take(pc.sort_indices(rows[by]))
+        value = rows[by].to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(value)) + 1).tolist(), len(value)]
+        groups = [(int(value[a]), a, b) for a, b in zip(cuts, cuts[1:])]
+        rows = rows.drop_columns([by])
+    rows = rows.combine_chunks()
+    step = max(1, min(PACK_ROWS, PACK_BYTES * len(rows) // max(1, rows.nbytes)))
+    for value, a, b in groups:
+        for k in range(a, b, step):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema) as writer:
+                writer.write_table(rows.slice(k, min(step, b - k)))
+            yield value, sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(bytes(data)).read_all()
+
+
+def _pack_rows(names: Sequence[str], by: str):
+    """Rows of a task (first the clock, then ``names``) as packed tables by bucket."""
+
+    def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        now, got = rows.column(0)[0].as_py(), list(_packed(rows.remove_column(0).rename_columns(list(names)), by))
+        columns = [pa.array([now] * len(got), pa.int64()), pa.array([d for _, d in got], pa.binary()), pa.array([b for b, _ in got], pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, _PACKED.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, size = [], 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            n, size = n + batch.num_rows, size + batch.nbytes
+            if n >= PACK_ROWS or size >= PACK_BYTES:
+                yield from flush(held)
+                held, n, size = [], 0, 0
+        if held:
+            yield from flush(held)
+
+    return run
+
+
+def _unpack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for data in batch.column("rows").to_pylist():
+            yield from _unpacked(data).to_batches()
+
+
 class WindowCounter(StatefulProcessor):
-    """Adds the window count to every row of a bucket."""
+    """Adds the window count to every row of a bucket. Rows come and go packed, on their way to the buckets in ``then``."""
 
     def __init__(
         self,
@@ -165,12 +236,14 @@ class WindowCounter(StatefulProcessor):
         retention_ms: int | None,
         skip: str | None = None,
         idle_ms: int = IDLE_MS,
+        then: str | None = None,
     ):
         self.rule = rule
         self.columns = list(columns)
         self.retention_ms = retention_ms
         self.skip = skip
         self.idle_ms = idle_ms
+        self.then = then
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.blocks = handle.getMapState("blocks", _BLOCK, _TICKS)
@@ -178,26 +251,31 @@ class WindowCounter(StatefulProcessor):
         self.came = handle.getMapState("came", _BLOCK, _CAME)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # A bucket's rows come in chunks; together they are at most one
-        # micro-batch, whose size the source caps.
-        batch = pd.concat(list(rows), ignore_index=True)
         # By place: a column that is one value for the whole micro-batch comes without its name.
-        batch.columns = [*self.columns, *batch.columns[len(self.columns) :]]
-        batch = batch.sort_values(["ts_ms", "seq"], ignore_index=True)
-        batch[self.rule.out] = 0
-        counted = batch.index if self.skip is None else batch.index[batch[self.skip].isna()]
+        tables = [(int(now), _unpacked(data)) for frame in rows for now, data in zip(frame.iloc[:, 0], frame.iloc[:, 1])]
+        # A bucket's tables together are at most one micro-batch, whose size the source caps.
+        now, batch = tables[0][0], pa.concat_tables([t for _, t in tables])
+        del tables
+        batch = batch.take(pc.sort_indices(batch, [("ts_ms", "ascending"), ("seq", "ascending")])).combine_chunks()
+        counts = np.zeros(len(batch), "i8")
+        counted = np.arange(len(batch)) if self.skip is None else np.flatnonzero(batch[self.skip].is_null().to_numpy())
         if len(counted):
-            batch.loc[counted, self.rule.out] = self._count(batch.loc[counted], int(batch["_now"].iloc[0]))
-        yield batch[[*self.columns, self.rule.out]]
+            mine = batch.select([self.rule.key, "ts_ms"]).take(pa.array(counted))
+            counts[counted] = self._counted(_whole(mine[self.rule.key].cast(pa.string())), mine["ts_ms"].to_numpy().astype("i8"), now)
+        batch = batch.select(self.columns).append_column(self.rule.out, pa.array(counts))
+        for bucket, data in _packed(batch, self.then):
+            yield pd.DataFrame({"now": [now], "rows": [data], "_bucket": pd.array([bucket], "Int32")})
 
     def _count(self, batch: pd.DataFrame, now: int) -> np.ndarray:
-        times = batch["ts_ms"].to_numpy("i8")
+        return self._counted(pa.array(batch[self.rule.key], pa.string()), batch["ts_ms"].to_numpy("i8"), now)
+
+    def _counted(self, keys: pa.Array, times: np.ndarray, now: int) -> np.ndarray:
         size = self.rule.window_ms
         came = {block[0]: tuple(at) for block, at in self.came.iterator()}
         number = 1 + max((r for _, r in came.values()), default=0)
         first = (int(times[0]) - self.rule.window_ms) // size
         read = [Ticks.unpack(bytes(self.blocks.getValue((b,))[0])) for b in sorted(came) if b >= first]
-        counts, ticks = count_arrivals(Ticks.join(read), pa.array(batch[self.rule.key], pa.string()), times, self.rule.window_ms, number)
+        counts, ticks = count_arrivals(Ticks.join(read), keys, times, self.rule.window_ms, number)
         block = ticks.ms // size
         for b in np.unique(times // size).tolist():
             self.blocks.updateValue((b,), (ticks.take(np.flatnonzero(block == b)).pack(),))
@@ -242,23 +320,30 @@ def stream_velocity(
     read = list(dict.fromkeys([*(r.key for r in rules), "ts_ms", "seq", *([skip] if skip else [])]))
     rest = [f for f in schema.fields if f.name not in read]
     carried = F.to_json(F.struct(*[f.name for f in rest]), _CARRIED).alias("carried")
-    # The micro-batch's own time, which its log keeps: a repeat of it sees the same clock.
-    tx = tx.select(*read, carried, F.unix_millis(F.current_timestamp()).alias("_now"))
+    buckets_of = []
     for rule in rules:
-        out = T.StructType([*tx.schema.fields, T.StructField(rule.out, T.LongType())])
         bucket = bucket_of(F.col(rule.key), buckets)
         if skip is not None:
             bucket = F.when(F.col(skip).isNull(), bucket).otherwise(F.pmod(F.xxhash64("seq"), F.lit(buckets)).cast("int"))
-        tx = (
-            tx.withColumn("_bucket", bucket)
-            .groupBy("_bucket")
-            .transformWithStateInPandas(
-                WindowCounter(rule, tx.columns, retention_ms, skip, idle_ms),
-                outputStructType=out,
+        buckets_of.append(bucket.alias(f"_bucket_{len(buckets_of)}"))
+    if rules:
+        fields = [*tx.select(*read, carried).schema.fields, *(T.StructField(r.out, T.LongType()) for r in rules)]
+        # The micro-batch's own time, which its log keeps: a repeat of it sees the same clock.
+        rows = tx.select(F.unix_millis(F.current_timestamp()).alias("_now"), *read, carried, *buckets_of)
+        tx = rows.mapInArrow(_pack_rows(rows.columns[1:], "_bucket_0"), _PACKED)
+        names = rows.columns[1 : len(read) + 2]
+        for k, rule in enumerate(rules):
+            later = [f"_bucket_{x}" for x in range(k + 1, len(rules))]
+            done = [r.out for r in rules[:k]]
+            tx = tx.groupBy("_bucket").transformWithStateInPandas(
+                WindowCounter(rule, [*names, *later, *done], retention_ms, skip, idle_ms, later[0] if later else None),
+                outputStructType=_PACKED,
                 outputMode="append",
                 timeMode="None",
             )
-        )
+        tx = tx.mapInArrow(_unpack_rows, T.StructType(fields))
+    else:
+        tx = tx.select(*read, carried)
     whole = tx.withColumn("carried", F.from_json("carried", T.StructType(rest), _CARRIED))
     counted = [r.out for r in rules]
     return whole.select(*[F.col(n) if n in read else F.col("carried")[n].alias(n) for n in schema.names], *counted)
