@@ -8,40 +8,44 @@ from pyspark.sql import functions as F
 from cardwatch.session import remove, stage_at
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """(node, m): the smallest node that each node hangs onto."""
+    return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Hang every larger neighbour of a node onto the smallest node around it."""
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    moved = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.filter("a != b").distinct()
+    """Hang every larger neighbour of a node onto the smallest node around it: the smallest it hangs onto, or itself."""
+    return edges.join(_least(edges), F.col("b") == F.col("node"), "left").select("a", F.coalesce("m", "b").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    """Edges run from larger to smaller: a node and its smaller neighbours hang onto the smallest of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    own = least.select("a", F.col("m").alias("b"))
-    return moved.union(own).filter("a != b").distinct()
+    """A node and its smaller neighbours hang onto the smallest of them; the edge to that one stands for the node's own."""
+    return edges.join(_least(edges), F.col("a") == F.col("node")).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether no node that hangs onto another has a second edge."""
+    ends = F.array(*[F.struct(F.col(c).alias("node"), F.lit(c == "a").alias("hangs")) for c in ("a", "b")])
+    found = edges.select(F.explode(ends).alias("e")).select("e.*").groupBy("node").agg(F.bool_or("hangs").alias("hangs"), F.count("*").alias("edges"))
+    return found.filter("hangs and edges > 1").count() == 0
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node in ``edges`` (a, b); the component is its smallest node.
 
-    Each round writes its edges to the shared folder and drops those of the
-    round before; it ends when a round changes nothing. Null ends and loops are
-    ignored; no edges give no rows.
+    Edges run from larger to smaller nodes. Each half of a round writes its
+    edges to the shared folder, so that no plan holds more than one join, and
+    drops those before; the rounds end when all edges form stars, which
+    another round would not change. Null ends and loops are ignored; no edges
+    give no rows.
     """
-    spark = edges.sparkSession
     start = edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now, path = stage_at(start, "edges")
-    before = None
-    while True:
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.xxhash64("b", "a") % 1_000_033)).first()
-        if mark == before or not mark[0]:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
-                now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-            )
-        before = mark
-        old = path
-        now, path = stage_at(_small_star(_large_star(now)), "edges")
-        remove(spark, old)
+    while not _stars(now):
+        for star in (_large_star, _small_star):
+            old = path
+            now, path = stage_at(star(now), "edges")
+            remove(edges.sparkSession, old)
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
+        now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    )

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from cardwatch.llm.components import components
 from cardwatch.llm.words import distinct_per_text, in_batches, mix, shingle_hashes, slices
-from cardwatch.session import stage
+from cardwatch.session import remove, stage, stage_at
 
 WIDTH = 5
 #: A link: ``PART`` * intersection >= ``OF`` * union.
@@ -47,6 +47,8 @@ BROADCAST_IDS = 1_000_000
 BLOCK_ROWS, BLOCK_BYTES = 256, 1 << 22
 #: Values are ordered by counts of so many hashed buckets; any order gives all links, that from the rarest the fewest candidates.
 ORDER_BUCKETS = 1 << 18
+#: Counts of so many buckets reach the driver as one row.
+RUN = 1 << 12
 #: Values of two blocks that are multiplied at once.
 _VALUES_AT_ONCE = 1 << 12
 
@@ -207,7 +209,7 @@ def _links(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     need = F.when(F.col("n_shingles") <= WHOLE, F.ceil(F.col("n_shingles") * OF / PART)).otherwise(SHARED)
     room = F.least("n_shingles", F.lit(SKETCH)) - need + 1
     held = values.join(common, "value").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("rows", "value"))).alias("held"))
-    lists = stage(
+    lists, lists_at = stage_at(
         held.join(classes.select("node", "n_shingles"), "node")
         .withColumn("alone", F.least("n_shingles", F.lit(SKETCH)) - F.size("held"))
         .withColumn("take", F.greatest(room - F.col("alone"), F.lit(0)).cast("int"))
@@ -217,18 +219,22 @@ def _links(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
         "lists",
     )
     sizes = lists.groupBy("value").agg(F.count("*").alias("rows"), F.min("node").alias("least")).filter("rows > 1")
-    short = lists.join(sizes.filter(F.col("rows") <= LIST_ROWS).select("value"), "value")
-    pairs = short.toDF("value", "a").join(short.toDF("value", "b"), "value").filter("a < b").select("a", "b").distinct()
+    # What several steps read is staged: a plan that repeats it costs the driver memory, whatever the rows.
+    sized = stage(lists.join(sizes, "value").select("value", "node", "rows", "least"), "sized")
+    remove(docs.sparkSession, lists_at)
+    short = sized.filter(F.col("rows") <= LIST_ROWS).select("value", "node")
+    pairs = short.toDF("value", "a").join(short.toDF("value", "b"), "value").filter("a < b").select("a", "b")
 
-    hot = lists.join(sizes.filter(F.col("rows") > LIST_ROWS).select("value", "least"), "value")
+    hot = sized.filter(F.col("rows") > LIST_ROWS)
     family = stage(components(hot.select(F.col("node").alias("a"), F.col("least").alias("b"))).toDF("node", "family"), "families")
     weight = hot.groupBy("node").agg(F.count("*").alias("lists"))
     place = F.pmod(F.xxhash64("node"), F.lit(PIVOTS))
-    pivots = (
+    pivots = stage(
         family.join(weight, "node")
         .groupBy("family", place.alias("place"))
         .agg(F.max_by("node", F.struct("lists", -F.col("node"))).alias("pivot"))
-        .select("family", "pivot")
+        .select("family", "pivot"),
+        "pivots",
     )
     starred = family.join(pivots, "family").filter("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
     pairs = stage(_near(pairs.union(starred).distinct(), classes), "pairs")
@@ -241,7 +247,7 @@ def _links(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
         "sets",
     )
     sure = stage(_confirmed(pairs, sets), "links")
-    return sure.union(_family_links(family, sure, sets)).union(_own_links(found, classes)), classes
+    return sure.union(_family_links(family, sure, sets)).union(stage(_own_links(found, classes), "own-links")), classes
 
 
 def _own_links(found: DataFrame, classes: DataFrame) -> DataFrame:
@@ -264,6 +270,15 @@ def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
 
 
+def _run(pdf):
+    """The counts (bucket, n) of one run of buckets as bytes."""
+    import pandas as pd
+
+    counts = np.zeros(RUN, np.int64)
+    counts[pdf["bucket"].to_numpy(np.int64) % RUN] = pdf["n"].to_numpy(np.int64)
+    return pd.DataFrame({"run": [int(pdf["bucket"].iloc[0]) // RUN], "counts": [counts.tobytes()]})
+
+
 def _prefix(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The rarest values of a set, of which any set linked with it has one among its own."""
     order = np.lexsort((values, counts[_bucket(values)]))
@@ -276,8 +291,9 @@ def _family_links(family: DataFrame, sure: DataFrame, sets: DataFrame) -> DataFr
     by = known.groupBy("family", "component").agg(F.count("*").alias("rows"))
     main = by.groupBy("family").agg(F.max_by("component", F.struct("rows", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
     counts = np.zeros(ORDER_BUCKETS, np.int64)
-    summed = sets.select("shingles").mapInArrow(_bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts[summed["bucket"].to_numpy(np.int64)] = summed["n"].to_numpy(np.int64)
+    summed = sets.select("shingles").mapInArrow(_bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    for r in summed.groupBy(F.floor(F.col("bucket") / RUN)).applyInPandas(_run, "run long, counts binary").collect():
+        counts[r["run"] * RUN : (r["run"] + 1) * RUN] = np.frombuffer(r["counts"], np.int64)
     shared = family.sparkSession.sparkContext.broadcast(counts)
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,6 +313,7 @@ def _family_links(family: DataFrame, sure: DataFrame, sets: DataFrame) -> DataFr
         .mapInArrow(rare, "family long, node long, component long, outer boolean, n long, value long"),
         "postings",
     )
+    shared.destroy()
     lists = postings.groupBy("family", "value").agg(F.count("*").alias("rows"), F.min("component").alias("first"), F.max("component").alias("last")).filter("first != last")
     met = stage(postings.join(lists.select("family", "value", "rows"), ["family", "value"]), "met")
     short = met.filter(F.col("rows") <= LIST_ROWS)
@@ -305,7 +322,7 @@ def _family_links(family: DataFrame, sure: DataFrame, sets: DataFrame) -> DataFr
     near = (PART * F.least("xn", "yn") >= OF * F.greatest("xn", "yn")) & (F.col("xc") != F.col("yc"))
     pairs = one.join(two, ["family", "value"]).filter(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     hot = met.filter(F.col("rows") > LIST_ROWS).select("family", "node", "outer", "n").distinct()
-    return _confirmed(pairs, sets).union(_hot_links(stage(hot, "hot"), full))
+    return stage(_confirmed(pairs, sets), "family-links").union(stage(_hot_links(stage(hot, "hot"), full), "hot-links"))
 
 
 def _hot_links(hot: DataFrame, full: DataFrame) -> DataFrame:

@@ -31,6 +31,8 @@ BUCKETS, VECTOR, WIDTHS, FILTERS = 1 << 14, 16, (1, 2, 3), 8
 BEGINNINGS = (4, 6)
 #: Bounds of the sample that the rounds start from, and of that which sets the start's bias, by label.
 TRAIN_ROWS, CALIBRATE_ROWS = {1: 2000, 0: 3000}, {1: 1000, 0: 2000}
+#: Parts in which that sample comes to the driver.
+SAMPLE_PARTS = 16
 #: Rounds over the labelled rows, at least and at most: as many as ``STEPS`` mini-batches take. Each is over one of so
 #: many slices of the rows by hash. Rows of a task of a round at least, and the rate in it.
 ROUNDS, SLICES, TASK_ROWS, ROUND_RATE = (4, 16), 2, 4000, 0.005
@@ -371,13 +373,13 @@ class Toxicity:
         least = own.groupBy(*by).agg(F.min("hash").alias("hash")).withColumn("more", F.lit(False))
         # One text of every id goes before further texts of any.
         ranked, ranked_at = stage_at(own.join(least, [*by, "hash"], "left").withColumn("more", F.coalesce("more", F.lit(True))), "toxicity-ranked")
-        got = bounded(ranked, "more", F.xxhash64("doc_id", "hash"), "doc_id").select("doc_id", "hash", "toxic", "trains", "buckets").toPandas()
+        got = bounded(ranked, "more", F.xxhash64("doc_id", "hash"), "doc_id").select("doc_id", "toxic", "hash", "trains", "buckets")
+        # A part at a time: at once, copies of the whole sample would lie in the driver's JVM side by side.
+        got = sorted((tuple(r) for r in got.repartition(SAMPLE_PARTS, "doc_id").toLocalIterator()), key=lambda r: r[:3])
         for path in (rows_at, chosen_at, own_at, ranked_at):
             remove(spark, path)
-        got = got.sort_values(["doc_id", "toxic", "hash"], ignore_index=True)
-        inputs = [np.frombuffer(x, np.uint16).reshape(1 + len(BEGINNINGS), -1) for x in got.pop("buckets")]
-        pa.default_memory_pool().release_unused()  # the driver goes on without the transferred batches
-        trains, y = got["trains"].to_numpy(bool), got["toxic"].to_numpy()
+        inputs = [np.frombuffer(r[4], np.uint16).reshape(1 + len(BEGINNINGS), -1) for r in got]
+        trains, y = np.array([r[3] for r in got], bool), np.array([r[1] for r in got], np.int32)
         known, labels_held = y[trains], y[~trains]
         every = [counts.get((True, label), 0) for label in (0, 1)]
         positive = every[1] / max(sum(every), 1)

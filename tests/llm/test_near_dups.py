@@ -1,7 +1,10 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from cardwatch import session
+from cardwatch.llm import components as stars
 from cardwatch.llm import near_dups
 from cardwatch.llm.components import components
 from tests.llm import brute
@@ -98,3 +101,40 @@ def test_outer_members_meet_in_bounded_groups_and_only_if_they_can_be_linked(spa
     rows += [(100 + k, " ".join(edited(r, rows[0][1].split(), 1))) for k in range(10)]
     assert got(near_dups.near_duplicates(spark.createDataFrame(rows, SCHEMA))) == brute.near_duplicates(rows)
     assert largest and max(max(x) for x in largest) <= 24
+
+
+def test_components_of_random_edges_match_union_find(spark):
+    r = random.Random(5)
+    pairs = [(r.randrange(400), r.randrange(400)) for _ in range(260)] + [(500, k) for k in range(501, 560)] + [(k, 900 - k) for k in range(510, 530)]
+    pairs += pairs[:20] + [(None, 3), (3, None)]
+    root = {}
+
+    def find(v):
+        while root.setdefault(v, v) != v:
+            v = root[v]
+        return v
+
+    for a, b in pairs:
+        if a is not None and b is not None and a != b:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    found = components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert len(found) == len(root) and {r.node: r.component for r in found} == {v: find(v) for v in list(root)}
+
+
+def test_plans_stay_small_and_no_table_goes_through_the_driver(spark, monkeypatch):
+    """Each plan of many scans, and each table sent to the driver at once, takes the driver's memory."""
+    leaves, staged = [], session.stage_at
+
+    def watched(df, label):
+        leaves.append((df._jdf.queryExecution().analyzed().collectLeaves().size(), label))
+        return staged(df, label)
+
+    for module in (session, stars, near_dups):
+        monkeypatch.setattr(module, "stage_at", watched, raising=False)
+    docs = spark.createDataFrame(corpus(), SCHEMA)
+    monkeypatch.setattr(near_dups, "LIST_ROWS", 4)
+    monkeypatch.setattr(near_dups, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(type(docs), "toPandas", lambda df: pytest.fail("a whole table to the driver"))
+    assert got(near_dups.near_duplicates(docs)) == brute.near_duplicates(corpus())
+    assert max(leaves)[0] <= 8, sorted(leaves)[-5:]

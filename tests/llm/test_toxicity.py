@@ -149,3 +149,14 @@ def test_map_of_labelled_ids_loses_none_and_lets_few_others_in(spark):
     docs = spark.range(3000).selectExpr("CAST(id - 600 AS int) AS doc_id")
     got = {x.doc_id for x in docs.filter(toxicity._perhaps_labelled(rows, 1000)).collect()}
     assert set(range(-600, 2400, 3)) <= got and len(got) < 1400
+
+
+def test_the_sample_comes_to_the_driver_in_parts(spark, monkeypatch):
+    data = rows(200)
+    docs = spark.createDataFrame([x[:3] for x in data], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(x[0], x[3]) for x in data], "doc_id long, toxic int")
+    whole, given = type(docs).toPandas, []
+    monkeypatch.setattr(type(docs), "toPandas", lambda df: given.append(df.columns) or whole(df))
+    model = toxicity.Toxicity.fit(docs, labels)
+    assert given and not any("buckets" in columns for columns in given)
+    assert model.arrays is not None
